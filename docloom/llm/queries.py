@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, pieces, quality
+from . import ann, langid, pieces, quality, warc
 
-MODULES = (langid, quality, pieces)
+MODULES = (quality, warc, ann, langid, pieces)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
