@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from os.path import commonprefix
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -24,7 +24,7 @@ from .common import append
 
 MARK = "▁"
 #: Words whose pieces a Python worker remembers between batches.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -131,23 +131,36 @@ class Vocabulary:
         """Ids of each word: sorted words share the forward states of common prefixes."""
         out: dict[str, list[int]] = {}
         before = ""
-        start: list[int] = [0]
-        best: list[float] = [0.0]
+        start, best, last = [0], [0.0], [""]  # by place: where its last piece begins, the sum of scores, the last piece
         open_: list[list[tuple[int, dict]]] = [[]]  # by place: where pieces begin that reach it and may go on, with their node
-        step = self._merged if self.kind == BPE else self._viterbi
+        root, pair, alone, bpe = self.tree.get, self.pair, self.alone, self.kind == BPE
         for w in sorted(words):
-            if self.kind == BPE and w.startswith(MARK * 2):
+            if bpe and w.startswith(MARK * 2):
                 out[w] = self.to_ids(self.merge(w))  # pieces of marks alone have equal scores
                 continue
-            keep = len(commonprefix((before, w))) if before else 0
-            del start[keep + 1 :], best[keep + 1 :], open_[keep + 1 :]
-            for end in range(keep + 1, len(w) + 1):
-                c = w[end - 1]
-                now = [(at, n) for at, node in open_[-1] if (n := node.get(c)) is not None]
-                if (n := self.tree.get(c)) is not None:
+            keep, most = 0, min(len(before), len(w))
+            while keep < most and before[keep] == w[keep]:
+                keep += 1
+            del start[keep + 1 :], best[keep + 1 :], open_[keep + 1 :], last[keep + 1 :]
+            now = open_[keep]
+            for end, c in enumerate(w[keep:], keep + 1):
+                now = [(at, n) for at, node in now if (n := node.get(c)) is not None]
+                if bpe:
+                    for at, node in now:
+                        if (p := node.get("")) is not None and alone(p) and (at == 0 or pair(last[at], p)):
+                            start.append(at)
+                            last.append(p)
+                            break
+                    else:
+                        start.append(end - 1)
+                        last.append(c)
+                    best.append(0.0)
+                if (n := root(c)) is not None:
                     now.append((end - 1, n))
                 open_.append(now)
-                step(w, end, now, start, best)
+                if not bpe:
+                    self._viterbi(w, end, now, start, best)
+                    last.append("")
             before = w
             cuts, at = [], len(w)
             while at:
@@ -156,14 +169,6 @@ class Vocabulary:
             out[w] = self.to_ids(cuts[::-1])
         return out
 
-    def _merged(self, w: str, end: int, now: list, start: list[int], best: list[float]) -> None:
-        best.append(0.0)
-        for at, node in now:
-            if (p := node.get("")) is not None and at < end - 1 and self.alone(p) and (at == 0 or self.pair(w[start[at] : at], p)):
-                start.append(at)
-                return
-        start.append(end - 1)
-
     def _viterbi(self, w: str, end: int, now: list, start: list[int], best: list[float]) -> None:
         top, cut = best[end - 1] + self.unknown_score, end - 1
         for at, node in now:
@@ -197,17 +202,14 @@ class Vocabulary:
             if ws is None:
                 out.append(None)
                 continue
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w]
-            out.append(ids)
+            out.append(list(chain.from_iterable(map(known.__getitem__, ws))))
         return out
 
     def decode(self, ids: list[int] | None) -> str | None:
         """The text of ids: byte pieces joined, marks turned into blanks, the first mark dropped."""
         if ids is None:
             return None
-        raw = b"".join(self.table[i] for i in ids)
+        raw = b"".join(map(self.table.__getitem__, ids))
         text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
