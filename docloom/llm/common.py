@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 #: Rows of an Arrow batch at most: whole texts travel in these batches.
 BATCH_ROWS = 1000
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,7 +70,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends here."""
     path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

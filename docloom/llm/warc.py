@@ -208,7 +208,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 due = body + length + 4
             elif record is not None:
                 record[4] += value + b"\r\n\r\n"
-            if held > 8 << 20 or len(out) > 5000:
+            if held > 2 << 20 or len(out) > 5000:
                 yield _part_batch(out)
                 out, held = [], 0
     if record is not None:
