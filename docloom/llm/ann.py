@@ -3,7 +3,7 @@
 Every vector is centred, normalised and rotated at random; what is kept for the search are the signs
 (packed bits) and correction scalars. The bits estimate each inner product, and the scalars bound
 the estimate's error. A query reranks by the original vectors, in double precision, just those
-whose upper bound reaches the k-th largest lower bound. Queries meet vectors block by block.
+whose upper bound reaches the k-th best score known. Queries meet vectors block by block.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from .common import cut, table, tune
 
 BLOCK = 8192
 QUERIES_A_BLOCK = 1024
+#: Signs of a code for each component of a vector.
+SPREAD = 4
 #: Standard deviations (of the rotation's randomness) that the error bound covers.
 SIGMAS = 4.0
 
@@ -30,45 +32,55 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def rotation(dim: int, seed: int = 17) -> np.ndarray:
-    """A random orthogonal matrix, the same wherever it is made."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """Random orthonormal columns: turn a vector of ``dim`` components, padded with zeros to SPREAD times as many."""
+    wide = max(dim * SPREAD, 8)
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((wide, dim)))
+    return (q * np.sign(np.diag(r))).T
 
 
 class Codes:
-    """Packed signs and scalars of a block of vectors."""
+    """Packed signs and correction scalars of a block of vectors."""
 
     def __init__(self, x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> None:
-        r = x.astype(np.float64) - centre
-        self.dim = x.shape[1]
-        self.norm = np.linalg.norm(r, axis=1)
-        y = (r / np.where(self.norm > 0, self.norm, 1)[:, None]) @ turn.T
+        r = x - centre
+        norm = np.linalg.norm(r, axis=1)
+        y = (r / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32) @ turn.astype(np.float32)
+        self.wide = turn.shape[1]
         self.bits = np.packbits(y > 0, axis=1)
-        self.along = np.maximum(np.abs(y).sum(1) / np.sqrt(self.dim), 1e-9)  # cosine of the vector and its code
-        self.error = np.where(self.norm > 0, np.sqrt(np.maximum(0, 1 - self.along**2)) / self.along, 0)
+        along = np.maximum(np.abs(y).sum(1) / np.sqrt(self.wide), 1e-6)  # cosine of the vector and its code
+        self.scale = (norm / along / np.sqrt(self.wide)).astype(np.float32)
+        self.error = (norm * np.sqrt(np.maximum(0, 1 - along**2)) / along / np.sqrt(self.wide - 1)).astype(np.float32)
 
-    def bounds(self, q: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of inner products: a row for each query."""
-        turned = q @ turn.T
-        signs = np.unpackbits(self.bits, axis=1, count=self.dim).astype(np.float32) * 2 - 1
-        dot = (turned.astype(np.float32) @ signs.T).astype(np.float64) / np.sqrt(self.dim)
-        middle = (q @ centre)[:, None] + dot / self.along * self.norm
-        spread = SIGMAS / np.sqrt(max(1, self.dim - 1)) * np.linalg.norm(q, axis=1)[:, None] * (self.error * self.norm) + 1e-6 * (1 + np.abs(middle))
-        return middle - spread, middle + spread
+    def signs(self) -> np.ndarray:
+        return np.unpackbits(self.bits, axis=1, count=self.wide).astype(np.float32) * 2 - 1
 
 
 def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its id, and ids and exact scores of its k best rows of the block."""
+    """For each query its id, and ids and exact scores of its k best rows of the block.
+
+    The k rows of largest estimate are scored first; the least of their scores is what a row's upper
+    bound must reach to be scored as well.
+    """
     turn = rotation(x.shape[1])
-    low, high = Codes(x, centre, turn).bounds(q.astype(np.float64), centre, turn)
-    for i in range(len(q)):
-        other = vid != qid[i]
-        lower = np.where(other, low[i], -np.inf)
-        least = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) > k else -np.inf
-        pick = np.flatnonzero(other & (high[i] >= least))
-        score = (x[pick].astype(np.float64) * q[i].astype(np.float64)).sum(1)
-        best = np.lexsort((vid[pick], -score))[:k]
-        yield int(qid[i]), vid[pick][best], score[best]
+    x, q = x.astype(np.float64), q.astype(np.float64)
+    codes = Codes(x, centre, turn)
+    signs = codes.signs()
+    turned, base, size = (q @ turn).astype(np.float32), q @ centre, np.linalg.norm(q, axis=1)
+    for at in range(0, len(q), 64):
+        estimates = (turned[at : at + 64] @ signs.T) * codes.scale
+        for i, est in enumerate(estimates, at):
+            est[vid == qid[i]] = -np.inf
+            if len(vid) > k:
+                first = np.argpartition(est, len(est) - k)[len(est) - k :]
+                score = (x[first] * q[i]).sum(1)
+                least = np.where(np.isfinite(est[first]), score, -np.inf).min() - base[i]
+                slack = 1e-5 * (1 + abs(least))  # estimates are in single precision
+                pick = np.flatnonzero((est + np.float32(SIGMAS * size[i]) * codes.error >= np.float32(least - slack)) & np.isfinite(est))
+            else:
+                pick = np.flatnonzero(np.isfinite(est))
+            score = (x[pick] * q[i]).sum(1)
+            best = np.lexsort((vid[pick], -score))[:k]
+            yield int(qid[i]), vid[pick][best], score[best]
 
 
 def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
