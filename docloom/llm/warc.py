@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import cut, new_path, remove, table, tune
+from .common import cut, new_path, table, tune
 
 END = "\r\n\r\n"
 MAGIC = b"WARC/1."
@@ -141,37 +141,41 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """For each block: file, block, base (offset of its first piece), entry (its first true record or null) and open.
 
+    Tables of the rounds hold a row or few for each block, and so go into a few files.
+
     open: the record that reaches into the block from an earlier one, as an offset in the file.
     """
     tune(spark)
-    found = cut(_chunks(spark, path).mapInArrow(_candidates, _CANDIDATES), "warc-candidates")
+    found = _chunks(spark, path).mapInArrow(_candidates, _CANDIDATES).persist()
     order = Window.partitionBy("file").orderBy("block")
     blocks = found.filter(F.col("start").isNull()).select("file", "block", (F.sum("size").over(order) - F.col("size")).alias("base"))
     cand = found.filter(F.col("start").isNotNull()).join(blocks, ["file", "block"]).select("file", "block", *[(F.col(c) + F.col("base")).alias(c) for c in ("start", "exit", "last")])
     # A record is an entry of its block if it starts the file or an earlier chain exits there.
     cand = cand.join(cand.select("file", F.col("exit").alias("start")).distinct().withColumn("to", F.lit(True)), ["file", "start"], "left")
-    cand = cut(cand.filter(F.col("to") | (F.col("start") == 0)).drop("to"), "warc-chain")
+    cand = cand.filter(F.col("to") | (F.col("start") == 0)).drop("to")
+    files = max(1, cand.count() // 500_000)
+    cand = cut(cand.coalesce(files), "warc-chain")
     reached = cand.filter("start = 0").select("file", "start")
     jump = cand.select("file", "start", F.col("exit").alias("next"))
     n, rounds = reached.count(), 0
     while True:
         step = reached.join(jump, ["file", "start"]).select("file", F.col("next").alias("start")).join(cand.select("file", "start"), ["file", "start"], "left_semi")
-        reached = cut(reached.union(step).distinct(), "warc-reached")
+        reached = cut(reached.union(step).distinct().coalesce(files), "warc-reached")
         now = reached.count()
         if now == n and rounds:
             break
         n, rounds = now, rounds + 1
-        jump = cut(jump.join(jump.select("file", F.col("start").alias("next"), F.col("next").alias("then")), ["file", "next"], "left").select("file", "start", F.coalesce("then", "next").alias("next")), "warc-jump")
+        jump = cut(jump.join(jump.select("file", F.col("start").alias("next"), F.col("next").alias("then")), ["file", "next"], "left").select("file", "start", F.coalesce("then", "next").alias("next")).coalesce(files), "warc-jump")
     first = cand.join(reached, ["file", "start"], "left_semi").groupBy("file", "block").agg(F.min("start").alias("entry"), F.max("last").alias("last"))
     blocks = blocks.join(first, ["file", "block"], "left")
     return blocks.select("file", "block", "base", "entry", F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
 
 
-_PARTS = "file string, record long, at long, whole boolean, header binary, length long, data binary"
+_PARTS = "file string, record long, at long, header binary, length long, data binary"
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of blocks, whole if they end inside; else what a block holds of them, by offset."""
+def _parts(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.RecordBatch]:
+    """Records that lie wholly inside a block (if ``want``), or else what blocks hold of the others, by offset."""
     out: list[tuple] = []
     held = 0
     key = base = due = None
@@ -183,9 +187,9 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = bytes(r[4]) if r[2] is None else bytes(r[4][: r[2]])
         if r[1] is None and not data:
             return
-        whole = r[2] is not None and len(data) == r[2]
-        out.append((file, r[0], r[3], whole, r[1], r[2], data))
-        held += len(data)
+        if (r[2] is not None and len(data) == r[2]) == want:
+            out.append((file, r[0], r[3], r[1], r[2], data))
+            held += len(data)
 
     for b in batches:
         for file, block, value, start, entry, open_ in zip(*(b.column(i).to_pylist() for i in range(6))):
@@ -218,8 +222,8 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "record", "at", "whole", "header", "length", "data"])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "record", "at", "header", "length", "data"])
 
 
 def read(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
@@ -234,12 +238,14 @@ def read(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
         rows = _chunks(spark, path).join(F.broadcast(at), key)
     else:
         rows = _chunks(spark, path).withColumn("n", F.monotonically_increasing_id()).join(at, key).repartition(*key).sortWithinPartitions(*key, "n")
-    parts = rows.select("file", "block", "value", "base", "entry", "open").mapInArrow(_parts, _PARTS)
-    parts = cut(parts, "warc-parts")
-    split = parts.filter(~F.col("whole")).groupBy("file", "record").agg(F.max("header").alias("header"), F.max("length").alias("length"), F.sort_array(F.collect_list(F.struct("at", "data"))).alias("parts")).filter(F.col("header").isNotNull())  # else blanks after a record that was whole
+    rows = rows.select("file", "block", "value", "base", "entry", "open")
+    whole = rows.mapInArrow(lambda batches: _parts(batches, True), _PARTS)
+    split = rows.mapInArrow(lambda batches: _parts(batches, False), _PARTS)
+    split = split.groupBy("file", "record").agg(F.max("header").alias("header"), F.max("length").alias("length"), F.sort_array(F.collect_list(F.struct("at", "data"))).alias("parts"))
+    split = split.filter(F.col("header").isNotNull())  # else blanks after a record that was whole
     joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["data"]))
     split = split.withColumn("joined", joined).select("file", "record", "header", F.expr("substring(joined, 1, cast(length as int))").alias("payload"))
-    both = parts.filter("whole").select("file", "record", "header", F.col("data").alias("payload")).union(split)
+    both = whole.select("file", "record", "header", F.col("data").alias("payload")).union(split)
     lines = F.slice(F.split(F.decode("header", "UTF-8"), "\r\n"), 2, 10_000)
     pairs = F.transform(F.filter(lines, lambda x: x.contains(":")), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
     return both.select("file", "record", F.map_from_entries(pairs).alias("header"), "payload")
