@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, langid, minhash, pieces, quality, warc
+from . import ann, langid, minhash, pieces, pii, quality, warc
 
-MODULES = (quality, minhash, warc, ann, langid, pieces)
+MODULES = (pii, quality, minhash, warc, ann, langid, pieces)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
