@@ -2,10 +2,11 @@
 
 Documents of equal shingle sets are one node, however many copies there are. Nodes meet in buckets
 of equal bands. A bucket does not give all its pairs: its least member is tested against the others,
-then a second pivot from outside the first one's component, and then only members outside the
-bucket's largest component are tested against the members of other components. So every pair of a
-bucket is tested or already in one component, which is all that components need. A test compares
-set sizes, then signatures, and at last the full sets.
+and the links found make components. Only in buckets that still hold several components are pairs
+across components tested: small buckets give them as rows, large ones are cut into blocks that are
+compared inside tasks, each pair in the first of its common buckets, and give links only. So every
+pair of a bucket is tested or already in one component, which is all that components need. A test
+compares set sizes, then signatures, and at last the full sets.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ from .common import cut, table, tune
 from .components import components
 
 WORDS = 4
-HASHES, ROWS = 128, 4
+#: 42 bands of 6 rows miss a pair of similarity 0.8 with probability 3e-6, and rarely join pairs under 0.4.
+HASHES, ROWS = 252, 6
 #: Signatures that agree less are not compared in full: 0.8 less five to six standard deviations.
-SIGNATURE_LEAST = 0.6
+SIGNATURE_LEAST = 0.66
+#: Members of a bucket whose pairs are rows at most; members and bytes of sets of a block at most, on average.
+SMALL, BLOCK, BLOCK_BYTES = 8, 256, 2 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 _RNG = np.random.default_rng(1)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,10 +70,10 @@ def signature(s: np.ndarray) -> bytes:
     least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), _PART):
         part = s[at : at + _PART]
-        for k in range(0, HASHES, 16):
-            h = _A[k : k + 16, None] * part[None, :]
-            h += _B[k : k + 16, None]
-            least[k : k + 16] = np.minimum(least[k : k + 16], h.min(1))
+        for k in range(0, HASHES, 18):
+            h = _A[k : k + 18, None] * part[None, :]
+            h += _B[k : k + 18, None]
+            least[k : k + 18] = np.minimum(least[k : k + 18], h.min(1))
     return (least >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
@@ -97,14 +101,36 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
     for b in batches:
-        keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= 80 * (len(x) + len(y) - both))
+        keep = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= 80 * (len(x) + len(y) - both)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links across components between two blocks of a bucket; a pair that shares an earlier band is left to that one."""
+    for b in batches:
+        u, v = [], []
+        for band, same, left, right in zip(*(b.column(i).to_pylist() for i in range(4))):
+            one, two = ((np.array([r["node"] for r in x]), np.array([r["comp"] for r in x]), np.array([r["n"] for r in x]), np.frombuffer(b"".join(r["sig"] for r in x), np.uint32).reshape(-1, HASHES)) for x in (left, right))
+            sets = [[np.frombuffer(r["set"], np.uint64) for r in x] for x in (left, right)]
+            for i in range(len(one[0])):
+                go = np.flatnonzero((two[1] != one[1][i]) & (100 * np.minimum(two[2], one[2][i]) >= 80 * np.maximum(two[2], one[2][i])) & ((two[0] > one[0][i]) | (not same)))
+                if not len(go):
+                    continue
+                equal = two[3][go] == one[3][i]
+                near = equal.mean(1) >= SIGNATURE_LEAST
+                first = equal[near].reshape(-1, HASHES // ROWS, ROWS).all(2).argmax(1)
+                for j in go[near][first == band].tolist():
+                    if _similar(sets[0][i], sets[1][j]):
+                        u.append(min(int(one[0][i]), int(two[0][j])))
+                        v.append(max(int(one[0][i]), int(two[0][j])))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 _PAIR = "u long, v long"
 
 
@@ -127,6 +153,17 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return cut(found.join(ids, "id", "left_semi"), "minhash-sets")
 
 
+def _large_buckets(at: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components inside buckets of many members; rows are pairs of blocks, never of members."""
+    full = at.join(nodes.select("node", "n", "sig"), "node").join(sets.select(F.col("id").alias("node"), "set"), "node")
+    parts = at.join(nodes.select("node", "n"), "node").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("n") * 8) / BLOCK_BYTES)).cast("int").alias("parts"))
+    full = full.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    blocks = cut(full.groupBy("key", "band", "part", "parts").agg(F.collect_list(F.struct("node", "comp", "n", "sig", "set")).alias("rows")), "minhash-blocks")
+    left = blocks.select("key", "band", F.col("part").alias("p"), F.col("rows").alias("left"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(blocks.select("key", "part", F.col("rows").alias("right")), ["key", "part"])
+    return pairs.select("band", (F.col("p") == F.col("part")).alias("same"), "left", "right").mapInArrow(_across, _PAIR)
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id column, n_shingles, component_id and kept for every row.
 
@@ -140,9 +177,9 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     live = rows.filter("n > 0 and id is not null")
     nodes = cut(live.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "minhash-nodes")
     band = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS)), i))
-    bands = nodes.select("node", F.explode(band).alias("key"))
+    bands = nodes.select("node", F.posexplode(band).alias("band", "key"))
     least = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
-    members = cut(bands.join(least, "key"), "minhash-members")
+    members = cut(bands.join(least, "key").select("key", "band", "node", "pivot"), "minhash-members")
     sets = _sets(docs, members.select(F.col("node").alias("id")).distinct())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -154,28 +191,16 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         p = p.join(sets.select(F.col("id").alias("u"), F.col("set").alias("xu")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("xv")), "v")
         return p.select("u", "v", "xu", "xv").mapInArrow(_confirm, _PAIR)
 
-    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    tested = cut(members.filter("node <> pivot").select(*pair("node", "pivot")).distinct(), "minhash-pairs")
+    tested = cut(members.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "minhash-pairs")
     links = cut(confirmed(tested), "minhash-links")
-    for last in (False, True):
-        comp = components(links)
-        at = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        mixed = at.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b")
-        at = cut(at.join(mixed.select("key", "a"), "key"), "minhash-mixed")
-        if not last:  # the second pivot: the least member outside the component of the least label
-            second = at.filter("comp <> a").groupBy("key").agg(F.min(F.struct("node", "comp")).alias("s")).select("key", F.col("s.node").alias("other"), F.col("s.comp").alias("oc"))
-            more = at.join(second, "key").filter("comp <> oc").select(*pair("node", "other"))
-        else:
-            size = at.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-            few = at.join(size, "key").filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), "main")
-            more = few.join(at.select("key", "node", "comp"), "key").filter("cx <> comp and (comp = main or x < node)").select(*pair("x", "node"))
-        more = cut(more.distinct().join(tested, ["u", "v"], "left_anti"), "minhash-pairs")
-        if more.isEmpty():
-            break
-        links = cut(links.union(confirmed(more)), "minhash-links")
-        tested = tested.union(more)
-    else:
-        comp = components(links)
+    at = members.join(components(links), "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = at.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).filter("a < b").select("key", "size")
+    at = cut(at.join(mixed, "key"), "minhash-mixed")
+    few = at.filter(F.col("size") <= SMALL).select("key", "node", "comp")
+    more = few.select("key", F.col("node").alias("x"), F.col("comp").alias("cx")).join(few, "key").filter("cx <> comp and x < node").select(F.col("x").alias("u"), F.col("node").alias("v"))
+    more = more.distinct().join(tested, ["u", "v"], "left_anti")
+    links = cut(links.union(confirmed(more)).union(_large_buckets(at.filter(F.col("size") > SMALL), nodes, sets)), "minhash-links")
+    comp = components(links)
     node = live.select("id", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"])
     if rows.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
         label = node.join(comp, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
