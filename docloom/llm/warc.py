@@ -21,12 +21,18 @@ from .common import cut, new_path, table, tune
 END = "\r\n\r\n"
 MAGIC = b"WARC/1."
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-SOURCE = "docloom"
+#: Payloads that repeat, of 60 bytes each, that are sent to all executors at most; beyond it, a shuffle joins them.
+BROADCAST_ROWS = 200_000
 
 
 def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: five hexadecimal digits give four letters."""
-    number = lambda i: F.conv(F.substring(F.sha1(data), i * 5 + 1, 5), 16, 10).cast("int")
+    """Bare upper-case base32 of the SHA-1."""
+    return base32(F.sha1(data))
+
+
+def base32(hexadecimal: Column) -> Column:
+    """Base32 of 40 hexadecimal digits: five of them give four letters."""
+    number = lambda i: F.conv(F.substring(hexadecimal, i * 5 + 1, 5), 16, 10).cast("int")
     letter = lambda v, shift: F.substring(F.lit(_BASE32), F.shiftright(v, shift).bitwiseAND(31) + 1, F.lit(1))
     return F.concat(*[F.concat(*[letter(number(i), s) for s in (15, 10, 5, 0)]) for i in range(8)])
 
@@ -40,9 +46,10 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     responses.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", base32_sha1(F.col("html")))
-    last = p.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    p = p.join(last, "payload_digest", "left")
+    p = p.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1("html"))
+    last = p.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha1", "last")
+    last = cut(last, "warc-repeated")
+    p = p.join(F.broadcast(last) if last.count() <= BROADCAST_ROWS else last, "sha1", "left").withColumn("payload_digest", base32(F.col("sha1")))
     again = (F.col("payload_bytes") >= least) & (F.col("page_id") < F.col("last"))
     return p.select(
         "page_id", "url", "html", "payload_bytes", "payload_digest",
