@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, langid, minhash, mixing, pieces, pii, quality, warc
+from . import ann, brown, langid, minhash, mixing, pieces, pii, quality, warc
 
-MODULES = (pii, quality, minhash, warc, ann, langid, mixing, pieces)
+MODULES = (pii, quality, brown, minhash, warc, ann, langid, mixing, pieces)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
