@@ -2,10 +2,10 @@
 
 Base spans (emails, addresses, cards, phones) are the seeds. Runs of tokens that hold a digit are
 the instances; the two words before a run are its lexical pattern. Patterns and instances form a
-graph. Each round scores a pattern by the mean score of its distinct instances and an instance by
-the patterns that it stands in; seeds score one. A pattern is trusted if it has enough distinct
-seeds, a high score, and is specific: a large part of all its occurrences in the corpus precede an
-instance. Runs behind trusted patterns are new spans of kind ``context``.
+graph. Each round scores a pattern by the mean score of its distinct instances, less what chance may
+add to it, and an instance by the patterns that it stands in; seeds score one. A pattern is trusted
+if it has enough distinct seeds, a high score, and is specific: a large part of all its occurrences
+in the corpus precede an instance. Runs behind trusted patterns are new spans of kind ``context``.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ RUN = rf"(?<![^{_BLANK}])[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+(?:[\x20\x09][^{_BLAN
 _EDGE = ".,;:!?\"'()[]{}<>"
 #: A run is an identifier if it has so many characters and digits.
 LEAST_CHARS, LEAST_DIGITS = 6, 3
-#: A trusted pattern has so many distinct seeds, such a mean score, and such a share of occurrences before instances.
-SEEDS, TRUST, SPECIFIC, ROUNDS = 5, 0.8, 0.3, 3
+#: A trusted pattern has so many distinct seeds, a mean score that is surely such (the lower end of its 95 % interval)
+#: and half-way from the score of all instances to one, and such a share of its occurrences before instances.
+SEEDS, TRUST, SPECIFIC, ROUNDS = 8, 0.6, 0.3, 3
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -118,19 +119,27 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     return cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), base_spans(text).alias("spans"), runs(text).alias("runs")), "pii-scan")
 
 
+def _sure(p: Column, n: Column) -> Column:
+    """Lower end of the Wilson interval of a share p of n."""
+    z = 1.96
+    return (p + z * z / (2 * n) - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def trusted(scanned: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame | None:
     """Trusted patterns (pattern), or None if there is none."""
     seed = F.exists("spans", lambda s: (s["start"] < F.col("r.end")) & (s["end"] > F.col("r.start")))
     occ = scanned.filter(F.size("runs") > 0).select("spans", F.explode("runs").alias("r")).select(F.col("r.pattern").alias("pattern"), F.col("r.text").alias("instance"), seed.cast("double").alias("seed"))
     edges = occ.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    overall = edges.agg(F.avg("seed")).first()[0]
+    least = max(TRUST, (1 + (overall or 0.0)) / 2)
     known = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= SEEDS)
     edges = cut(edges.join(known, "pattern").select("pattern", "instance", "seed", "n"), "pii-edges")
     score = edges.select("pattern", "instance", "n", "seed", F.col("seed").alias("score"))
     for _ in range(ROUNDS):
-        pattern = score.groupBy("pattern").agg(F.avg("score").alias("p"), F.sum("seed").alias("seeds"), F.sum("n").alias("before"))
-        doubt = score.join(pattern.filter(F.col("p") >= TRUST).select("pattern", "p"), "pattern").groupBy("instance").agg(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))).alias("doubt"))
+        pattern = score.groupBy("pattern").agg(_sure(F.avg("score"), F.count("*")).alias("p"))
+        doubt = score.join(pattern.filter(F.col("p") >= least).select("pattern", "p"), "pattern").groupBy("instance").agg(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))).alias("doubt"))
         score = cut(edges.join(doubt, "instance", "left").select("pattern", "instance", "n", "seed", F.greatest("seed", 1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("score")), "pii-score")
-    pattern = score.groupBy("pattern").agg(F.avg("score").alias("p"), F.sum("seed").alias("seeds"), F.sum("n").alias("before")).filter((F.col("p") >= TRUST) & (F.col("seeds") >= SEEDS))
+    pattern = score.groupBy("pattern").agg(_sure(F.avg("score"), F.count("*")).alias("p"), F.sum("seed").alias("seeds"), F.sum("n").alias("before")).filter((F.col("p") >= least) & (F.col("seeds") >= SEEDS))
     pattern = cut(pattern.select("pattern", "before"), "pii-patterns")
     if pattern.isEmpty():
         return None
@@ -142,14 +151,10 @@ def trusted(scanned: DataFrame, docs: DataFrame, text_col: str = "text") -> Data
 
 
 def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
-    """id, mark and added spans of the documents that have runs behind trusted patterns; runs that meet a base span add none."""
+    """more_id, more_mark and added spans (more) of the documents that have runs behind trusted patterns; runs that meet a base span add none."""
     r = scanned.filter(F.size("runs") > 0).select("id", "mark", "spans", F.explode("runs").alias("r")).filter(~F.exists("spans", lambda s: (s["start"] < F.col("r.end")) & (s["end"] > F.col("r.start"))))
     r = r.select("id", "mark", F.col("r.pattern").alias("pattern"), F.struct(F.col("r.start").alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("r.end").alias("end")).alias("s"))
-    return r.join(patterns, "pattern", "left_semi").groupBy("id", "mark").agg(F.array_sort(F.collect_set("s")).alias("more"))
-
-
-def _same(a: DataFrame, b: DataFrame):
-    return a["id"].eqNullSafe(b["id"]) & (a["mark"] == b["mark"])
+    return r.join(patterns, "pattern", "left_semi").groupBy(F.col("id").alias("more_id"), F.col("mark").alias("more_mark")).agg(F.array_sort(F.collect_set("s")).alias("more"))
 
 
 def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -163,7 +168,8 @@ def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     if patterns is None:
         return s.select("id", "spans", F.col("spans").alias("all_spans"))
     more = discovered(s, patterns)
-    return s.join(more, _same(s, more), "left").select(s["id"], "spans", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more"))).alias("all_spans"))
+    same = F.col("id").eqNullSafe(F.col("more_id")) & (F.col("mark") == F.col("more_mark"))
+    return s.join(more, same, "left").select("id", "spans", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more"))).alias("all_spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -179,8 +185,8 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     else:
         more = discovered(s, patterns)
         d = docs.withColumn("__mark", F.xxhash64(F.coalesce(text, F.lit(""))))
-        d = d.join(more, d[id_col].eqNullSafe(more["id"]) & (d["__mark"] == more["mark"]), "left")
-        d = d.withColumn("__spans", F.array_sort(F.concat(base_spans(text), F.coalesce("more", F.array().cast(_SPAN)))))
+        d = d.join(more.select(*[F.col(c).alias(f"__{c}") for c in more.columns]), F.col(id_col).eqNullSafe(F.col("__more_id")) & (F.col("__mark") == F.col("__more_mark")), "left")
+        d = d.withColumn("__spans", F.array_sort(F.concat(base_spans(text), F.coalesce("__more", F.array().cast(_SPAN)))))
     name = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, CONTEXT)])
     step = lambda a, x: F.when(
         x["start"] < a["pos"], F.struct(F.greatest(a["pos"], x["end"]).alias("pos"), a["out"].alias("out"))
