@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(e)
     while before[0]:
-        e = cut(_small(_large(e)), "cc")
+        e = cut(_small(_large(e)).coalesce(max(1, before[0] // 500_000)), "cc")
         now = mark(e)
         if now == before:
             break

@@ -114,9 +114,9 @@ def runs(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, mark (hash of the text), spans and runs of every row; the text is read once and left behind."""
+    """id, mark (hash of the text), spans and runs of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), base_spans(text).alias("spans"), runs(text).alias("runs")), "pii-scan")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), base_spans(text).alias("spans"), runs(text).alias("runs"))
 
 
 def _sure(p: Column, n: Column) -> Column:
@@ -129,16 +129,16 @@ def trusted(scanned: DataFrame, docs: DataFrame, text_col: str = "text") -> Data
     """Trusted patterns (pattern), or None if there is none."""
     seed = F.exists("spans", lambda s: (s["start"] < F.col("r.end")) & (s["end"] > F.col("r.start")))
     occ = scanned.filter(F.size("runs") > 0).select("spans", F.explode("runs").alias("r")).select(F.col("r.pattern").alias("pattern"), F.col("r.text").alias("instance"), seed.cast("double").alias("seed"))
-    edges = occ.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    edges = cut(occ.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
     overall = edges.agg(F.avg("seed")).first()[0]
     least = max(TRUST, (1 + (overall or 0.0)) / 2)
     known = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= SEEDS)
-    edges = cut(edges.join(known, "pattern").select("pattern", "instance", "seed", "n"), "pii-edges")
+    edges = edges.join(known, "pattern").select("pattern", "instance", "seed", "n")
     score = edges.select("pattern", "instance", "n", "seed", F.col("seed").alias("score"))
     for _ in range(ROUNDS):
         pattern = score.groupBy("pattern").agg(_sure(F.avg("score"), F.count("*")).alias("p"))
         doubt = score.join(pattern.filter(F.col("p") >= least).select("pattern", "p"), "pattern").groupBy("instance").agg(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))).alias("doubt"))
-        score = cut(edges.join(doubt, "instance", "left").select("pattern", "instance", "n", "seed", F.greatest("seed", 1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("score")), "pii-score")
+        score = edges.join(doubt, "instance", "left").select("pattern", "instance", "n", "seed", F.greatest("seed", 1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("score"))
     pattern = score.groupBy("pattern").agg(_sure(F.avg("score"), F.count("*")).alias("p"), F.sum("seed").alias("seeds"), F.sum("n").alias("before")).filter((F.col("p") >= least) & (F.col("seeds") >= SEEDS))
     pattern = cut(pattern.select("pattern", "before"), "pii-patterns")
     if pattern.isEmpty():
@@ -163,7 +163,7 @@ def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     A null or empty text has no spans. Rows of one id and one text get the same spans. Without
     seeds or trusted patterns, the base spans are all there are.
     """
-    s = scan(docs, text_col, id_col)
+    s = cut(scan(docs, text_col, id_col), "pii-scan")  # the text is read once for all that follows
     patterns = trusted(s, docs, text_col)
     if patterns is None:
         return s.select("id", "spans", F.col("spans").alias("all_spans"))
