@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import urldefrag, urljoin
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
@@ -144,22 +146,18 @@ def resolve_root_relative(base: Column, href: Column) -> Column:
     return F.when(plain.rlike(r"^https?://"), plain).when(plain.startswith("//"), F.concat(scheme(base), F.lit(":"), plain)).when(plain.startswith("/"), F.concat(origin(base), plain))
 
 
-def resolve_any(base: Column, href: Column) -> Column:
-    """Any link joined with its page's URL, by an Arrow UDF where the fast path cannot."""
-    from urllib.parse import urldefrag, urljoin
-
-    import pandas as pd
+def _join(base: pd.Series, href: pd.Series) -> pd.Series:
+    def one(x, y):
+        if x is None or y is None:
+            return None
+        try:
+            return urldefrag(urljoin(x, y))[0] or None
+        except ValueError:
+            return None
 
-    @F.pandas_udf("string")
-    def join(b: pd.Series, h: pd.Series) -> pd.Series:
-        def one(x, y):
-            if x is None or y is None:
-                return None
-            try:
-                return urldefrag(urljoin(x, y))[0] or None
-            except ValueError:
-                return None
+    return pd.Series([one(x, y) for x, y in zip(base, href)], dtype=object)
 
-        return pd.Series([one(x, y) for x, y in zip(b, h)], dtype=object)
 
-    return F.coalesce(resolve_root_relative(base, href), join(base, href))
+def resolve_any(base: Column, href: Column) -> Column:
+    """Any link joined with its page's URL, by an Arrow UDF where the fast path cannot."""
+    return F.coalesce(resolve_root_relative(base, href), F.pandas_udf(_join, "string")(base, href))

@@ -70,7 +70,7 @@ def cache_lookup(spark, d):
 
 
 @query(f"""WITH {PM}, {_TASKS}, n AS (SELECT kb_id, artifact_type, prompt_hash, model_id, 'New ' || path AS result_json FROM t WHERE page_id % 2 = 0)
-SELECT * FROM n UNION ALL SELECT * FROM ch WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kb_id = ch.kb_id AND n.artifact_type = ch.artifact_type AND n.prompt_hash = ch.prompt_hash AND n.model_id = ch.model_id)""")
+SELECT DISTINCT * FROM n UNION ALL SELECT DISTINCT * FROM ch WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kb_id = ch.kb_id AND n.artifact_type = ch.artifact_type AND n.prompt_hash = ch.prompt_hash AND n.model_id = ch.model_id)""")
 def cache_upsert(spark, d):
     new = tasks(spark, d).filter("page_id % 2 = 0").select(*enrich.KEYS, F.concat(F.lit("New "), "path").alias("result_json"))
     return diff.upsert(cache(spark, d), new, enrich.KEYS, [])
