@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from .common import append
 
 MARK = "▁"
-#: Words whose pieces a Python worker remembers between batches.
-REMEMBERED = 1_000_000
+#: Words after which a Python worker starts a new memory; words of the last one that come again move over.
+REMEMBERED = 200_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -97,9 +97,10 @@ class Vocabulary:
         self.unknown_score = least - 10.0
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark inside: words cannot be cut at marks")
-        self.pair = lru_cache(1 << 18)(lambda a, b: self.merge(a + b) == [a, b])
-        self.alone = lru_cache(1 << 17)(lambda a: len(a) == 1 or self.merge(a) == [a])
+        self.pair = lru_cache(1 << 17)(lambda a, b: self.merge(a + b) == [a, b])
+        self.alone = lru_cache(1 << 15)(lambda a: len(a) == 1 or self.merge(a) == [a])
         self.known: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
 
     def merge(self, word: str) -> list[str]:
         """The pieces that merging leaves: the best adjacent pair first, the leftmost of equals."""
@@ -191,12 +192,13 @@ class Vocabulary:
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         """Ids of each whole text; null for a null text, none for an empty one."""
         cut = [split_marked(x) if x is not None else None for x in texts]
-        new = {w for ws in cut if ws for w in ws}.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = {w for ws in cut if ws for w in ws}
-        known = self.known
-        known.update(self.encode_words(list(new)))
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new = {w for ws in cut if ws for w in ws}.difference(known)
+        again = new.intersection(before)
+        known.update((w, before[w]) for w in again)
+        known.update(self.encode_words(list(new - again)))
         out: list[list[int] | None] = []
         for ws in cut:
             if ws is None:
