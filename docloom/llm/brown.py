@@ -216,7 +216,7 @@ def score(df: DataFrame, model: ClassModel, counts: DataFrame, text_col: str = "
                 p = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
                 seen = p >= 0
                 u = np.zeros(len(w) + 2, np.int64)
-                u[1:-1] = np.where(seen, unit[p] if len(unit) else 0, first - 1 - p)
+                u[1:-1] = np.where(seen, unit[np.where(seen, p, 0)] if len(unit) else 0, first - 1 - p)
                 k = cls[u]
                 row.append(i)
                 word.append(b" %d" % i)  # a blank is in no word: this row meets no count, and rows spread evenly

@@ -193,8 +193,8 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     ).otherwise(F.struct(x["end"].alias("pos"), F.concat(a["out"], F.substring(text, a["pos"] + 1, x["start"] - a["pos"]), F.get(name, x["kind"])).alias("out")))
     done = F.aggregate("__spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
     new = F.when(F.size("__spans") > 0, done).otherwise(text)
-    cols = [new.alias(c) if c == text_col else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return d.select(*cols)
+    d = d.withColumn(text_col, new)
+    return d.select(*[F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
