@@ -6,6 +6,8 @@ a text is split at its fence lines, and the parts between them are outside and i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 _FENCE = r"(?m)^[ \t]*```[^\n]*"
@@ -15,17 +17,21 @@ TRUNCATED = "\n\n[... content truncated for LLM context window ...]"
 LIMITS = {"summary": 12000, "description": 8000, "context": 4000}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once for each row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines(md: Column) -> Column:
     """Lines without their ends; a final line end makes no line."""
-    x = F.regexp_replace(md, "\r\n", "\n")
-    return F.split(F.when(x.endswith("\n"), F.left(x, F.length(x) - 1)).otherwise(x), "\n", -1)
+    return F.split(F.regexp_replace(F.regexp_replace(md, "\r\n", "\n"), r"\n\z", ""), "\n", -1)
 
 
 def normalize_headings(md: Column) -> Column:
     """All first-level headings but the first go down one level, in code as well."""
-    rows = lines(md)
-    first = F.array_position(F.transform(rows, lambda x: x.rlike(r"^#\s+.+$")), True) - 1
-    return F.array_join(F.transform(rows, lambda x, i: F.when((i > first) & x.rlike(r"^#\s+.+$"), F.regexp_replace(x, r"^#\s+(.+)$", "## $1")).otherwise(x)), "\n")
+    first = lambda rows: F.array_position(F.transform(rows, lambda x: x.rlike(r"^#\s+.+$")), True) - 1
+    lower = lambda rows, at: F.transform(rows, lambda x, i: F.when((i > at) & x.rlike(r"^#\s+.+$"), F.regexp_replace(x, r"^#\s+(.+)$", "## $1")).otherwise(x))
+    return let(lines(md), lambda rows: let(first(rows), lambda at: F.array_join(lower(rows, at), "\n")))
 
 
 def clean_blank_lines(md: Column) -> Column:
@@ -38,11 +44,10 @@ def fence_languages(md: Column) -> Column:
 
 def strip_tags(md: Column) -> Column:
     """Tags of layout elements go outside code; a fence is any line that starts with three backticks after blanks."""
-    x = F.array_join(lines(md), "\n")
     tag = rf"</?(?:{'|'.join(DROPPED)})(?:\s[^>\n]*)?>"
-    parts = F.transform(F.split(x, _FENCE, -1), lambda s, i: F.when(i % 2 == 0, F.regexp_replace(s, tag, "")).otherwise(s))
-    fences = F.concat(F.regexp_extract_all(x, F.lit(_FENCE), F.lit(0)), F.array(F.lit("")))
-    return F.array_join(F.zip_with(parts, fences, lambda a, b: F.concat(a, b)), "")
+    parts = lambda x: F.transform(F.split(x, _FENCE, -1), lambda s, i: F.when(i % 2 == 0, F.regexp_replace(s, tag, "")).otherwise(s))
+    fences = lambda x: F.concat(F.regexp_extract_all(x, F.lit(_FENCE), F.lit(0)), F.array(F.lit("")))
+    return let(F.array_join(lines(md), "\n"), lambda x: F.array_join(F.zip_with(parts(x), fences(x), lambda a, b: F.concat(a, b)), ""))
 
 
 def resolve_links(md: Column, base: Column) -> Column:
