@@ -93,7 +93,7 @@ def fold(id_col: str, n: int) -> Column:
 def append(df: DataFrame, text_col: str, fields: list[T.StructField], fn: Callable[[list], list[list]]) -> DataFrame:
     """All columns of ``df`` and new ones that ``fn`` computes from lists of texts, batch by batch.
 
-    ``fn`` takes a list of texts (str or None) and returns a list of values for each new field.
+    ``fn`` takes a list of texts (str or None) and returns a list of values, or an Arrow array, for each new field.
     A column of ``df`` that has the name of a new field is replaced.
     """
     tune(df.sparkSession)
@@ -107,7 +107,7 @@ def append(df: DataFrame, text_col: str, fields: list[T.StructField], fn: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = fn(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, k) for v, k in zip(got, kinds))], names=[*b.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(got, kinds))], names=[*b.schema.names, *new])
 
     return df.mapInArrow(run, schema)
 

@@ -14,9 +14,12 @@ previous piece and this one leave the two apart, and exactly one such piece exis
 from __future__ import annotations
 
 import heapq
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -24,7 +27,9 @@ from .common import append
 
 MARK = "▁"
 #: Words after which a Python worker starts a new memory; words of the last one that come again move over.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+#: Texts whose words are held at once.
+SLICE = 500
 UNIGRAM, BPE = 1, 2
 
 
@@ -86,21 +91,24 @@ class Vocabulary:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.special and i not in self.byte_of}
         self.score = [sp.get_score(i) for i in range(n)]
-        self.tree: dict = {}
-        for p in self.ids:
-            node = self.tree
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = p
         self.unknown = sp.unk_id()
         least = min((self.score[i] for i in self.ids.values()), default=0.0)
         self.unknown_score = least - 10.0
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark inside: words cannot be cut at marks")
         self.pair = lru_cache(1 << 17)(lambda a, b: self.merge(a + b) == [a, b])
-        self.alone = lru_cache(1 << 15)(lambda a: len(a) == 1 or self.merge(a) == [a])
-        self.known: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}
+        self.plant()
+
+    def plant(self) -> None:
+        """The tree of pieces: a node's "" holds its piece, the packed id, and whether merging makes the piece (found out when first asked)."""
+        self.tree: dict = {}
+        for p, k in self.ids.items():
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = [p, struct.pack("<i", k), True if len(p) == 1 else None]
+        self.known: dict[str, bytes] = {}  # packed ids of words
+        self.before: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[str]:
         """The pieces that merging leaves: the best adjacent pair first, the leftmost of equals."""
@@ -128,69 +136,64 @@ class Vocabulary:
                 offer(left[i])
         return [x for x in part if x is not None]
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of each word: sorted words share the forward states of common prefixes."""
-        out: dict[str, list[int]] = {}
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of each word: sorted words share the forward states of common prefixes."""
+        out: dict[str, bytes] = {}
         before = ""
-        start, best, last = [0], [0.0], [""]  # by place: where its last piece begins, the sum of scores, the last piece
-        open_: list[list[tuple[int, dict]]] = [[]]  # by place: where pieces begin that reach it and may go on, with their node
-        root, pair, alone, bpe = self.tree.get, self.pair, self.alone, self.kind == BPE
+        # By place: the last piece, the sum of scores, the packed ids up to it, and where pieces begin that reach it and may go on.
+        last, best, ids, open_ = [""], [0.0], [b""], [[]]
+        root, pair, bpe = self.tree.get, self.pair, self.kind == BPE
         for w in sorted(words):
             if bpe and w.startswith(MARK * 2):
-                out[w] = self.to_ids(self.merge(w))  # pieces of marks alone have equal scores
+                out[w] = b"".join(map(self.pack, self.merge(w)))  # pieces of marks alone have equal scores
                 continue
             keep, most = 0, min(len(before), len(w))
             while keep < most and before[keep] == w[keep]:
                 keep += 1
-            del start[keep + 1 :], best[keep + 1 :], open_[keep + 1 :], last[keep + 1 :]
+            del last[keep + 1 :], best[keep + 1 :], ids[keep + 1 :], open_[keep + 1 :]
             now = open_[keep]
             for end, c in enumerate(w[keep:], keep + 1):
                 now = [(at, n) for at, node in now if (n := node.get(c)) is not None]
                 if bpe:
                     for at, node in now:
-                        if (p := node.get("")) is not None and alone(p) and (at == 0 or pair(last[at], p)):
-                            start.append(at)
-                            last.append(p)
+                        if (p := node.get("")) is not None and (p[2] or (p[2] is None and self.alone(p))) and (at == 0 or pair(last[at], p[0])):
+                            last.append(p[0])
+                            ids.append(ids[at] + p[1])
                             break
                     else:
-                        start.append(end - 1)
                         last.append(c)
-                    best.append(0.0)
+                        ids.append(ids[-1] + self.pack(c))
                 if (n := root(c)) is not None:
                     now.append((end - 1, n))
                 open_.append(now)
                 if not bpe:
-                    self._viterbi(w, end, now, start, best)
-                    last.append("")
+                    self._viterbi(c, end, now, best, ids)
             before = w
-            cuts, at = [], len(w)
-            while at:
-                cuts.append(w[start[at] : at])
-                at = start[at]
-            out[w] = self.to_ids(cuts[::-1])
+            out[w] = ids[len(w)]
         return out
 
-    def _viterbi(self, w: str, end: int, now: list, start: list[int], best: list[float]) -> None:
-        top, cut = best[end - 1] + self.unknown_score, end - 1
+    def alone(self, p: list) -> bool:
+        p[2] = self.merge(p[0]) == [p[0]]
+        return p[2]
+
+    def _viterbi(self, c: str, end: int, now: list, best: list[float], ids: list[bytes]) -> None:
+        top, packed = best[end - 1] + self.unknown_score, None
         for at, node in now:
-            if (p := node.get("")) is not None and (sure := best[at] + self.score[self.ids[p]]) > top:
-                top, cut = sure, at
-        start.append(cut)
+            if (p := node.get("")) is not None and (sure := best[at] + self.score[self.ids[p[0]]]) > top:
+                top, packed = sure, ids[at] + p[1]
         best.append(top)
-
-    def to_ids(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in pieces:
-            if (k := self.ids.get(p)) is not None:
-                out.append(k)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
-            else:
-                out.append(self.unknown)
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
-        """Ids of each whole text; null for a null text, none for an empty one."""
+        ids.append(ids[end - 1] + self.pack(c) if packed is None else packed)
+
+    def pack(self, piece: str) -> bytes:
+        """Packed id of a piece, of the bytes of a character that is none, or of the unknown piece."""
+        if (k := self.ids.get(piece)) is not None:
+            return struct.pack("<i", k)
+        if self.bytes:
+            return b"".join(struct.pack("<i", self.bytes[b]) for b in piece.encode("utf-8", "surrogatepass"))
+        return struct.pack("<i", self.unknown)
+
+    def packed(self, texts: list[str | None]) -> list[bytes | None]:
+        """Packed ids of each whole text; null for a null text, none for an empty one."""
         cut = [split_marked(x) if x is not None else None for x in texts]
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
@@ -199,13 +202,11 @@ class Vocabulary:
         again = new.intersection(before)
         known.update((w, before[w]) for w in again)
         known.update(self.encode_words(list(new - again)))
-        out: list[list[int] | None] = []
-        for ws in cut:
-            if ws is None:
-                out.append(None)
-                continue
-            out.append(list(chain.from_iterable(map(known.__getitem__, ws))))
-        return out
+        return [None if ws is None else b"".join(map(known.__getitem__, ws)) for ws in cut]
+
+    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+        """Ids of each whole text."""
+        return [None if x is None else np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
 
     def decode(self, ids: list[int] | None) -> str | None:
         """The text of ids: byte pieces joined, marks turned into blanks, the first mark dropped."""
@@ -244,10 +245,17 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _arrow(rows: list[bytes | None]) -> pa.Array:
+    """A column of id lists from packed rows."""
+    ends = np.cumsum([0] + [len(x or b"") // 4 for x in rows]).astype(np.int32)
+    gone = pa.array([x is None for x in rows], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x or b"" for x in rows), np.int32)), mask=gone)
+
+
 def encode(df: DataFrame, text_col: str = "text", model: str | None = None, out: str = "ids") -> DataFrame:
     """All columns and the ids of each whole text (null text: null; empty text: no ids)."""
     path = model or default_model()
-    return append(df, text_col, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda texts: [vocabulary(path).encode(texts)])
+    return append(df, text_col, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda texts: [_arrow(vocabulary(path).packed(texts))])
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model: str | None = None, out: str = "decoded") -> DataFrame:
@@ -267,8 +275,11 @@ def round_trip(df: DataFrame, text_col: str = "text", model: str | None = None)
 
     def run(texts: list) -> list[list]:
         v = vocabulary(path)
-        ids = v.encode(texts)
-        return [ids, [len(x or ()) for x in ids], [x is None or v.decode(i) == x.replace(MARK, " ") for x, i in zip(texts, ids)]]
+        rows: list[bytes | None] = []
+        for at in range(0, len(texts), SLICE):
+            rows += v.packed(texts[at : at + SLICE])
+        same = [x is None or v.decode(np.frombuffer(p, np.int32).tolist()) == x.replace(MARK, " ") for x, p in zip(texts, rows)]
+        return [_arrow(rows), [len(p or b"") // 4 for p in rows], same]
 
     return append(df, text_col, fields, run)
 

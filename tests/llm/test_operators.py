@@ -508,13 +508,8 @@ def test_unigram_forward_pass():
     v.kind, v.bytes, v.unknown, v.unknown_score = pieces.UNIGRAM, {}, 99, -20.0
     v.ids = {p: i for i, p in enumerate(score)}
     v.score = list(score.values())
-    v.pair = v.alone = None
-    v.tree = {}
-    for p in score:
-        node = v.tree
-        for c in p:
-            node = node.setdefault(c, {})
-        node[""] = p
+    v.pair = None
+    v.plant()
 
     def best(w):
         out = {0: (0.0, [])}
@@ -525,8 +520,8 @@ def test_unigram_forward_pass():
 
     words = ["▁" + "".join(random.Random(k).choice("abz") for _ in range(k % 9)) for k in range(60)]
     named = {i: p for p, i in v.ids.items()}
-    for w, ids in v.encode_words(list(set(words))).items():
-        assert sum(score[named[i]] if i in named else -20.0 for i in ids) == pytest.approx(best(w))
+    for w, packed in v.encode_words(list(set(words))).items():
+        assert sum(score[named[i]] if i in named else -20.0 for i in np.frombuffer(packed, np.int32).tolist()) == pytest.approx(best(w))
 
 
 def test_pieces_of_odd_rows(spark, odd, none):
