@@ -14,6 +14,27 @@ TASKS = ("skill", "rules", "style", "do_dont")
 PASSING = ("429", "rate limit", "500", "502", "503", "504", "timeout")
 
 
+#: Instructions of each kind of task; the content follows them.
+PROMPTS = {
+    "summary": "Summarise this documentation page in two or three plain sentences.",
+    "description": "Say in one line what this documentation page is for.",
+    "skill": "Write a short skill guide for assistants from these page summaries: when to use the library and how to begin.",
+    "rules": "List the coding rules that these page summaries state or clearly imply.",
+    "style": "List the naming, layout and style conventions that these page summaries show.",
+    "do_dont": "List what to do and what to avoid, in two lists, from these page summaries.",
+    "llms_txt": "Write an index of these pages: a title, a one-line summary, and links by section.",
+    "llms_full_txt": "Join these pages to one document with a table of contents.",
+}
+
+
+def prompt(task: Column, kb: Column, content: Column) -> Column:
+    """The text sent to a model: instructions, the knowledge base's name and the content; null for an unknown task."""
+    known = F.lit(None).cast("string")
+    for k, text in PROMPTS.items():
+        known = F.when(task == k, text).otherwise(known)
+    return F.concat(known, F.lit("\n\nDocumentation: "), kb, F.lit("\n\n"), content)
+
+
 def prompt_hash(content: Column, task: Column) -> Column:
     """SHA-256 of content and task; content is a page's body without front matter, so a new fetch time changes nothing."""
     return F.sha2(F.concat(content, task), 256)

@@ -151,3 +151,18 @@ def llms_accept(spark, d):
     body = F.when(C("doc_id") % 3 == 0, C("text")).otherwise(F.concat(F.lit(" \n# T\n"), F.coalesce("text", F.lit(""))))
     t = F.coalesce("text", F.lit(""))
     return docs(spark, d).select("doc_id", llmstxt.valid(t).alias("raw"), (llmstxt.valid(body) & (C("doc_id") % 3 != 0)).alias("headed"))
+
+
+@query(rf"""WITH {_FILES}, v AS (SELECT fl.id, fl.body, ok.ok AND ltrim(body, E' \n') LIKE '# %' AS good FROM fl JOIN ok USING (id))
+SELECT 'https://d' || id || '.org/x' AS url, 'https://d' || id || '.org' AS origin, good AS found, CASE WHEN good AND id % 2 = 0 THEN 'full ' || id END AS "full" FROM v""")
+def llms_discover(spark, d):
+    f = files(spark, d)
+    name = F.concat(F.lit("https://d"), C("id").cast("string"), F.lit(".org"))
+    fetched = f.select(F.concat(name, F.lit("/llms.txt")).alias("url"), "body").unionByName(f.filter("id % 2 = 0").select(F.concat(name, F.lit("/llms-full.txt")).alias("url"), F.concat(F.lit("full "), C("id").cast("string")).alias("body")))
+    return llmstxt.discover(f.select(F.concat(name, F.lit("/x")).alias("url")), fetched).select("url", "origin", "found", "full")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN CASE doc_id % 3 WHEN 0 THEN 'Summarise this documentation page in two or three plain sentences.' ELSE 'List the coding rules that these page summaries state or clearly imply.' END || chr(10) || chr(10) || 'Documentation: ' || source || chr(10) || chr(10) || text END AS prompt FROM documents")
+def prompt_text(spark, d):
+    task = F.when(C("doc_id") % 3 == 0, "summary").when(C("doc_id") % 3 == 1, "rules").otherwise("unknown")
+    return docs(spark, d).select("doc_id", enrich.prompt(task, C("source"), C("text")).alias("prompt"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docloom.functions import urls
 from docloom.functions.markdown import lines
 
 MOST_BYTES = 10 << 20
@@ -15,6 +16,19 @@ def valid(body: Column) -> Column:
     return F.coalesce(F.regexp_replace(body, r"^\s+", "").startswith("# ") & (F.octet_length(body) <= MOST_BYTES), F.lit(False))
 
 
+def discover(starts: DataFrame, files: DataFrame) -> DataFrame:
+    """url, origin, found, body and full of each start (url), from files (url, body) that were fetched.
+
+    A start is found if the llms.txt of its origin is valid; full is the llms-full.txt beside it, if any.
+    """
+    s = starts.select("url", urls.origin(F.col("url")).alias("origin"))
+    at = lambda name: F.regexp_extract("url", rf"^(.*)/{name}$", 1)
+    first = files.filter(F.col("url").endswith("/llms.txt") & valid(F.col("body"))).groupBy(at(r"llms\.txt").alias("origin")).agg(F.min("body").alias("body"))
+    full = files.filter(F.col("url").endswith("/llms-full.txt")).groupBy(at(r"llms-full\.txt").alias("origin")).agg(F.min("body").alias("full"))
+    got = s.join(first, "origin", "left").join(full, "origin", "left")
+    return got.select("url", "origin", F.col("body").isNotNull().alias("found"), "body", F.when(F.col("body").isNotNull(), F.col("full")).alias("full"))
+
+
 def _trimmed(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 

@@ -93,6 +93,30 @@ class Store:
         at = max([0, *(int(x[2:]) for x in self.files.names(f"{self.root}/{name}") if re.fullmatch(r"v-\d+", x))]) + 1
         df.select(*cols).write.parquet(f"{self.root}/{name}/v-{at}")
 
+    def touch(self, kb_id: str, now: str) -> None:
+        """Set a knowledge base's time of update."""
+        self._known(kb_id)
+        kbs = self.table("kbs")
+        self.write("kbs", kbs.withColumn("updated_at", F.when(F.col("kb_id") == kb_id, now).otherwise(F.col("updated_at"))))
+
+    def start_job(self, job_id: str, kb_id: str, now: str) -> None:
+        new = self.spark.createDataFrame([(job_id, kb_id, now, None, None)], SCHEMAS["jobs"])
+        self.write("jobs", self.table("jobs").unionByName(new))
+
+    def finish_job(self, job_id: str, now: str, stats: dict) -> None:
+        """Close a job with its counts: pages_fetched, pages_skipped, errors and status."""
+        jobs = self.table("jobs")
+        if jobs.filter(F.col("job_id") == job_id).isEmpty():
+            raise ValidationError(f"no such job: {job_id}")
+        mine = F.col("job_id") == job_id
+        self.write("jobs", jobs.withColumns({"finished_at": F.when(mine, now).otherwise(F.col("finished_at")), "stats": F.when(mine, json.dumps(stats, sort_keys=True)).otherwise(F.col("stats"))}))
+
+    def invalidate_cache(self, kb_id: str) -> None:
+        self.write("cache", self.table("cache").filter(F.col("kb_id") != kb_id))
+
+    def delete_page(self, page_id: int) -> None:
+        self.write("pages", self.table("pages").filter(F.col("page_id") != page_id))
+
     def kb_list(self) -> DataFrame:
         return self.table("kbs").orderBy("name")
 

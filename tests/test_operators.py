@@ -148,3 +148,59 @@ def test_cache_hits(spark):
     c = spark.createDataFrame([("k", "s", "h1", "m", "known")], "kb_id string, artifact_type string, prompt_hash string, model_id string, result_json string")
     got = enrich.stats(enrich.complete(t, c)).first().asDict()
     assert got == {"hits": 1, "misses": 1, "tokens_in": 1, "tokens_out": 1}
+
+
+def test_service(spark, tmp_path):
+    from docloom.plans.service import Service
+
+    s = st.Store(spark, str(tmp_path / "store"))
+    ingest.add(s, pages(spark), "t1")
+    v = Service(s)
+    assert v.kb_list()["structured"][0]["page_count"] == 3 and v.counts() == {"e.org": 3}
+    assert [x["path"] for x in v.kb_get_toc("e.org")["structured"]["sections"]] == ["index", "b", "a"]
+    assert v.kb_search("e.org", "installation")["text"].startswith("1. Installation (score: -")
+    for bad in (v.kb_search("e.org", " "), v.kb_search("e.org", "a", 51), v.kb_search("e.org", "a", True), v.kb_search("e.org", "a.b"), v.kb_search("x", "a"), v.kb_get_page("e.org", "none"), v.kb_get_page("e.org", "a/../b"), v.kb_get_artifact("e.org", "z"), v.kb_get_toc("x")):
+        assert bad["error"] and bad["text"]
+    assert all(v.read_resource(r["uri"])["text"] for r in v.resources())
+    assert v.read_resource("kb://page/e.org/../a")["error"] and v.read_resource("http://x")["error"]
+    assert v.kb_get_page("e.org", "a")["text"] == v.read_resource("kb://page/e.org/a")["text"]
+
+
+def test_store_rows(spark, tmp_path):
+    s = st.Store(spark, str(tmp_path / "store"))
+    ingest.add(s, pages(spark), "t1")
+    s.touch("e.org", "t2")
+    assert s.kb_list().first()["updated_at"] == "t2" and s.kb_list().first()["created_at"] == "t1"
+    s.start_job("j", "e.org", "t1")
+    s.finish_job("j", "t2", {"pages_fetched": 3, "status": "completed"})
+    assert s.table("jobs").first()["stats"] == '{"pages_fetched": 3, "status": "completed"}'
+    assert s.table("cache").count() > 0
+    s.invalidate_cache("e.org")
+    assert s.table("cache").count() == 0
+    s.delete_page(1)
+    assert s.table("pages").count() == 2
+    with pytest.raises(config.ValidationError):
+        s.finish_job("none", "t", {})
+
+
+def test_command_line(spark, tmp_path):
+    import io
+
+    from docloom import cli
+
+    src, root = str(tmp_path / "in"), str(tmp_path / "store")
+    pages(spark).write.parquet(src)
+    run = lambda *a: (cli.main(["--store", root, *a], spark, out := io.StringIO()), out.getvalue())
+    assert run("add", src, "--now", "t1") == (0, "")
+    assert run("update", src, "--now", "t2")[1].startswith('{"added": 0, "changed": 0, "unchanged": 3')
+    assert "3 pages" in run("list")[1] and "Installation" in run("search", "e.org", "inst*")[1]
+    assert run("export", str(tmp_path / "kb"), "e.org") == (0, "3\n") and run("validate", str(tmp_path / "kb"))[0] == 0
+    assert run("search", "none", "x")[0] == 1
+
+
+def test_parsed_precedence():
+    shape = lambda n: n.leaf if n.kind == "leaf" else (n.kind, *map(shape, n.parts))
+    tree = lambda q: shape(search.parse(q)[0])
+    assert tree("a NOT b c") == ("not", 0, ("and", 1, 2)) and tree("a b OR c") == ("or", ("and", 0, 1), 2)
+    assert tree("a OR b NOT c") == ("or", 0, ("not", 1, 2)) and tree("c NOT a NOT b") == ("not", ("not", 0, 1), 2)
+    assert tree("a NOT b AND c") == ("and", ("not", 0, 1), 2) and tree("a and b") == ("and", 0, 1, 2)
