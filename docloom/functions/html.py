@@ -8,7 +8,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docloom.functions import dom, markdown as md, urls
+from docloom.functions import dom, markdown as md
+from docloom.shipping import ship
 
 # Selectors of main content, tried in this order.
 CONTENT = ("article .markdown", ".vp-doc", ".markdown-section", "[role=main]", "article", "main", ".content")
@@ -94,6 +95,7 @@ FACTS = "adapter string, content string, body string, toc array<struct<title:str
 
 def facts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All other columns, and of each page: adapter, content, body (adapter content), toc and raw (Markdown before clean-up). Null html gives nulls."""
+    ship(pages.sparkSession)
     keep = [f for f in pages.schema.fields if f.name != html_col]
     names = [f.name for f in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), FACTS])
@@ -138,6 +140,3 @@ def table_markdown(rows: Column) -> Column:
     head = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), wide), " | "), F.lit(" |"))
     return F.array_join(F.concat(F.array(line(rows[0]), head), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), line)), "\n")
 
-
-def slug(title: Column) -> Column:
-    return urls.slugify(title)

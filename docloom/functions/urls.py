@@ -6,7 +6,9 @@ import re
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
+
+from docloom.shipping import ship
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 _PARTS = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -160,4 +162,5 @@ def _join(base: pd.Series, href: pd.Series) -> pd.Series:
 
 def resolve_any(base: Column, href: Column) -> Column:
     """Any link joined with its page's URL, by an Arrow UDF where the fast path cannot."""
+    ship(SparkSession.active())
     return F.coalesce(resolve_root_relative(base, href), F.pandas_udf(_join, "string")(base, href))

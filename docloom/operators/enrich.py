@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docloom.shipping import ship
+
 KEYS = ["kb_id", "artifact_type", "prompt_hash", "model_id"]
 TASKS = ("skill", "rules", "style", "do_dont")
 #: Parts of messages of failures that pass: worth another attempt.
@@ -80,6 +82,7 @@ def offline_model(prompt: str) -> str:
 
 def complete(tasks: DataFrame, cache: DataFrame, call: Callable[[str], str] = offline_model) -> DataFrame:
     """Tasks (the keys and content) with result, hit, tokens_in and tokens_out; misses call the model in Arrow batches, failures give null."""
+    ship(tasks.sparkSession)
     known = lookup(tasks, cache)
     names = known.columns
 
