@@ -6,7 +6,9 @@ windows of one gram make a segment. Segments that are equal as a whole need no c
 the earliest are repeats. The distinct segments of a gram are compared through a Burrows-Wheeler
 transform of their 8-byte symbols, which are aligned to the gram: breadth-first backward extension
 derives common prefixes by increasing length and stops at 11 symbols, the most that every window
-holds whole. The bytes at the edges of a window decide the rest.
+holds whole. The bytes at the edges of a window decide the rest. A gram in so many contexts that one
+task should not hold them all gives its windows, one by one, to the exchange that finds equal
+segments: exact as well, and without bound.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, table, tune
@@ -27,6 +30,8 @@ OFFSET_BITS = 29  # a text has fewer than 2^29 bytes
 CHUNK = 1 << 19
 FLUSH = 1 << 20
 BLOCK = 3 << 19
+#: Distinct segments of a gram that one task compares at most (about 7 MB).
+MOST_CONTEXTS = 50_000
 _REPEAT = 127
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -117,24 +122,25 @@ def _pieces(ords: list[int], texts: list[str | None]) -> Iterator[tuple[list[int
         yield o, f, t
 
 
+def _firsts(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Rows of (gram, content, place, shape) as code, content and place; all but the first of equal ones are marked and spread."""
+    gram, content, place, shape = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((place, content, gram))
+    gram, content, place, shape = gram[order], content[order], place[order], shape[order]
+    again = np.r_[False, (gram[1:] == gram[:-1]) & (content[1:] == content[:-1])]
+    spread = (place.astype(_U) * _U(_P)) >> _U(14)
+    gram = np.where(again, spread, gram)
+    shape = np.where(again, shape | _REPEAT, shape)
+    code = (gram << _U(14)) | shape.astype(_U)
+    content = np.where(again, _U(0), content)
+    for k in range(0, len(code), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (code.view(np.int64), content.view(np.int64), place)], names=["code", "content", "place"])
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """gram (50 bits of its hash, then windows and offset), content and place of segments; of equal ones in reach only the first, the others marked as repeats."""
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        gram, content, place, shape = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((place, content, gram))
-        gram, content, place, shape = gram[order], content[order], place[order], shape[order]
-        again = np.r_[False, (gram[1:] == gram[:-1]) & (content[1:] == content[:-1])]
-        spread = (place.astype(_U) * _U(_P)) >> _U(14)
-        gram = np.where(again, spread, gram)
-        shape = np.where(again, shape | _REPEAT, shape)
-        code = (gram << _U(14)) | shape.astype(_U)
-        content = np.where(again, _U(0), content)
-        for k in range(0, len(code), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (code.view(np.int64), content.view(np.int64), place)], names=["code", "content", "place"])
-
     for b in batches:
         for ords, offsets, texts in _pieces(b.column(0).to_pylist(), b.column(1).to_pylist()):
             d, start, windows, rel, gram, content = segments(texts)
@@ -142,10 +148,28 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((gram >> _U(14), content, place, (windows << 7) | rel))
             n += len(d)
             if n >= FLUSH:
-                yield from flush()
+                yield from _firsts(held)
+                held, n = [], 0
+    if n:
+        yield from _firsts(held)
+
+
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of segments (gram, place, shape, data) as a segment of its own, named by a hash of its bytes."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for b in batches:
+        for place, shape, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            m = shape >> 7
+            h = [xxhash.xxh3_128_digest(data[w : w + LENGTH]) for w in range(m)]
+            h = np.frombuffer(b"".join(h), _U).reshape(-1, 2)
+            held.append((h[:, 0] >> _U(14), h[:, 1].copy(), place + np.arange(m), np.full(m, 1 << 7)))
+            n += m
+            if n >= FLUSH:
+                yield from _firsts(held)
                 held, n = [], 0
     if n:
-        yield from flush()
+        yield from _firsts(held)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,6 +379,15 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(d.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(f"id {dict(d.dtypes)['id']}, text string, ord long"), "substring-numbers")
 
 
+_CODED = "code long, content long, place long"
+
+
+def _met(coded: DataFrame) -> DataFrame:
+    """Equal segments meet in one exchange, in the order of gram, content and place."""
+    coded = coded.withColumn("gram", F.shiftrightunsigned("code", 14)).repartition("gram").sortWithinPartitions("gram", "content", "place")
+    return coded.select("code", "content", "place").mapInArrow(_compare, "place long, shape int, gram long, ask boolean")
+
+
 def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id column, n_bytes, n_removed, n_spans and kept_sha256 for every row.
 
@@ -364,14 +397,20 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     tune(docs.sparkSession)
     d = _numbered(docs, id_col, text_col)
     low = (1 << OFFSET_BITS) - 1
-    occ = d.select("ord", "text").mapInArrow(_occurrences, "code long, content long, place long")
-    occ = occ.withColumn("gram", F.shiftrightunsigned("code", 14)).repartition("gram").sortWithinPartitions("gram", "content", "place").select("code", "content", "place")
-    found = cut(occ.mapInArrow(_compare, "place long, shape int, gram long, ask boolean"), "substring-places")
+    found = cut(_met(d.select("ord", "text").mapInArrow(_occurrences, _CODED)), "substring-places")
     number = F.shiftright("place", OFFSET_BITS)
     asked = found.filter("ask").groupBy(number.alias("ord")).agg(F.collect_list(F.struct("place", "shape", "gram")).alias("asked"))
     segs = d.select("ord", "text").join(asked, "ord").select("text", "asked").mapInArrow(_fetch, "gram long, place long, shape int, data binary")
+    crowded = found.filter("ask").groupBy("gram").count().filter(F.col("count") > MOST_CONTEXTS).select("gram")
+    split = not crowded.isEmpty()
+    if split:
+        crowded = cut(crowded, "substring-crowded")
+        single = _met(segs.join(crowded, "gram", "left_semi").mapInArrow(_single_windows, _CODED)).filter(~F.col("ask"))
+        segs = segs.join(crowded, "gram", "left_anti")
     inner = segs.repartition("gram").sortWithinPartitions("gram").mapInArrow(_expand, "place long, n long")
     outer = found.filter(~F.col("ask")).select("place", F.shiftright("shape", 7).cast("long").alias("n"))
+    if split:
+        inner = inner.union(single.select("place", F.lit(1).cast("long").alias("n")))
     spans = outer.union(inner).groupBy(number.alias("ord")).agg(F.collect_list(F.struct(F.col("place").bitwiseAND(low).alias("start"), "n")).alias("spans"))
     cleaned = d.select("ord", "text").join(spans, "ord").mapInArrow(_strip, "ord long, n_removed long, n_spans long, kept_sha256 string")
     text = F.coalesce("text", F.lit(""))

@@ -332,7 +332,9 @@ def plain_strip(docs):
     return out
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize("most", [1, 50_000])
+def test_substrings(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "MOST_CONTEXTS", most)
     rng = random.Random(7)
     shared = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (99, 100, 101, 150, 400)]
     texts = ["", None, "ab" * 300, "a" * 99, "a" * 100, "a" * 101, "a" * 3000]
