@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from docloom.checkpoints import shared_dir
+from docloom.shipping import ship
+
 #: Rows of an Arrow batch at most: whole texts travel in these batches.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
@@ -18,23 +20,6 @@ BATCH_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once an application: they may not have it installed."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="docloom-code-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    _SHIPPED.add(sc.applicationId)
-
-
 def tune(spark: SparkSession) -> None:
     """Make the package known to the executors and bound the Arrow batches: a thousand long texts must fit a Python worker."""
     ship(spark)
@@ -47,24 +32,21 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode with it unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    now = sc._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="docloom-")
-    sc.setCheckpointDir(base)
-    return base
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}/{tag}"
+    """A new place in the shared folder, deleted when the application's Python ends; lazy results need it until then."""
+    folder = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, folder))
+    return f"{folder}/{tag}"
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        with contextlib.suppress(Exception):  # the JVM may have ended first
+            remove(spark, path)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:

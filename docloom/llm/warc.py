@@ -175,7 +175,9 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
         jump = cut(jump.join(jump.select("file", F.col("start").alias("next"), F.col("next").alias("then")), ["file", "next"], "left").select("file", "start", F.coalesce("then", "next").alias("next")).coalesce(files), "warc-jump")
     first = cand.join(reached, ["file", "start"], "left_semi").groupBy("file", "block").agg(F.min("start").alias("entry"), F.max("last").alias("last"))
     blocks = blocks.join(first, ["file", "block"], "left")
-    return blocks.select("file", "block", "base", "entry", F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
+    out = cut(blocks.select("file", "block", "base", "entry", F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("open")), "warc-entries")
+    found.unpersist()
+    return out
 
 
 _PARTS = "file string, record long, at long, header binary, length long, data binary"
@@ -239,7 +241,7 @@ def read(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
     The entries of blocks are broadcast if there are at most ``most`` blocks, and joined by a sort
     else. Records that cross blocks are put together from their parts, by offset.
     """
-    at = cut(entries(spark, path), "warc-entries")
+    at = entries(spark, path)
     key = ["file", "block"]
     if at.count() <= most:
         rows = _chunks(spark, path).join(F.broadcast(at), key)
