@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import WORD, table
 
+#: Sources whose few numbers are broadcast at most; beyond it, joins on the source are left to the planner.
+MOST_BROADCAST = 100_000
 #: Documents of a block on average, and blocks of a source at most (beyond, blocks grow).
 BLOCK_DOCS, MOST_BLOCKS = 1024, 100_000
 
@@ -110,13 +112,14 @@ def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", id
         epochs, rest = divmod(share, r["n"]) if r["n"] else (1, 0)
         rows.append((r["source"], epochs, rest, min(max(1, ceil(r["docs"] / BLOCK_DOCS)), MOST_BLOCKS)))
     params = spark.createDataFrame(rows, "source string, epochs long, rest long, blocks long")
-    d = d.join(F.broadcast(params.filter("rest > 0").withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    few = F.broadcast if len(sizes) <= MOST_BROADCAST else lambda x: x
+    d = d.join(few(params.filter("rest > 0").withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     d = d.withColumn("block", _block(F.col("id"), F.col("blocks"), seed)).withColumn("edge", _block_key(seed, "epochs"))
     order = Window.partitionBy("source").orderBy("edge", "block")
     total = F.sum("n").over(order)
     blocks = d.groupBy("source", "block", "edge", "rest").agg(F.sum("n").alias("n")).withColumn("left", F.col("rest") - (total - F.col("n"))).filter((F.col("left") >= 0) & (F.col("left") < F.col("n")))
     blocks = blocks.select(F.col("source").alias("s"), F.col("block").alias("edge_block"), F.col("edge").alias("k"), "left")
-    inside = d.join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("edge_block"))).withColumn("key", _doc_key(seed, "epochs", F.col("id")))
+    inside = d.join(few(blocks), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("edge_block"))).withColumn("key", _doc_key(seed, "epochs", F.col("id")))
     run = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     last = inside.withColumn("sum", F.sum("n").over(run)).filter(F.col("sum") <= F.col("left")).groupBy("source").agg(F.max("key").alias("last"))
     edge = {r["s"]: (r["k"], r["edge_block"]) for r in blocks.collect()}
@@ -142,10 +145,10 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     free of charge; a source without any words comes once. Rows that repeat an id are drawn alike.
     An empty table gives none.
     """
-    _, params = plan(docs, text_col, source_col, id_col, seed=seed, **targets)
+    mixture, params = plan(docs, text_col, source_col, id_col, seed=seed, **targets)
     names = {c: f"__{c}" for c in params.columns}
     p = params.select(*[F.col(c).alias(n) for c, n in names.items()])
-    d = docs.join(F.broadcast(p), F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source")))
+    d = docs.join(F.broadcast(p) if len(mixture.sources) <= MOST_BROADCAST else p, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source")))
     id_ = F.col(f"`{id_col}`")
     block = _block(id_, F.col("__blocks"), seed)
     key = _key(F.lit(f"e{seed}"), F.col("__source"), F.col("__epochs"), block)
