@@ -40,7 +40,7 @@ ADAPTERS = [
     Adapter("docusaurus", lambda d: _generator("docusaurus")(d) or _any("[data-docusaurus-version]")(d), ("article .markdown", "article", ".markdown", "main"), ".theme-doc-footer, .pagination-nav", (".menu__list .menu__link",), True),
     Adapter("vitepress", _any("#VPContent, .VPDoc"), (".vp-doc", ".VPDoc", "#VPContent main", "main"), "", (".VPSidebar a",)),
     Adapter("gitbook", _any("meta[name=gitbook], .gitbook-root"), (".markdown-section", ".page-inner section", "main section", "main"), "", ("aside nav a, .sidebar nav a",)),
-    Adapter("readthedocs", _any("meta[name=readthedocs], .wy-nav-side, .wy-body-for-nav, link[href*=_static]"), ("[role=main]", ".document", ".rst-content .section", "main"), "footer, [role=navigation]", (".wy-menu-vertical a", ".toctree-wrapper a", "nav a")),
+    Adapter("readthedocs", _any("meta[name=readthedocs], .wy-nav-side, .wy-body-for-nav, link[href*=_static]"), ("[role=main]", ".document", ".rst-content .section", "main"), "footer, [role=navigation]", (".wy-menu a", ".toctree-wrapper a", "nav.wy-nav-side a")),
     Adapter("generic", lambda d: True, ("main", "article", "[role=main]", ".content"), "nav, header, footer, aside, script, style, .sidebar, .nav", (), True),
 ]
 
@@ -69,6 +69,18 @@ def adapter_content(doc: dom.Element, a: Adapter) -> str:
     return ""
 
 
+def _toc_path(href: str, adapter: str) -> str:
+    """Path of an entry: without slashes in front, and for most generators without .html behind."""
+    p = href.lstrip("/")
+    if adapter == "gitbook":
+        return p
+    while adapter == "docusaurus" and p.startswith("docs/"):
+        p = p.removeprefix("docs/")
+    while p.endswith(".html"):
+        p = p.removesuffix(".html")
+    return p.rstrip("/") if adapter == "docusaurus" else p
+
+
 def adapter_toc(doc: dom.Element, a: Adapter) -> list[tuple[str, str]]:
     """Title and path of each entry of the page's own navigation; headings on generic pages."""
     if not a.toc:
@@ -79,10 +91,10 @@ def adapter_toc(doc: dom.Element, a: Adapter) -> list[tuple[str, str]]:
                 out.append((t, "-".join("".join(c if c.isalnum() else " " for c in t.lower()).split())))
         return out
     for s in a.toc:
-        found = [(" ".join(e.text().split()), e.attrs.get("href", "")) for e in dom.select(doc, s)]
-        found = [(t, h) for t, h in found if t and h and not h.startswith("#")]
+        found = [(e.text().strip(), e.attrs.get("href", "")) for e in dom.select(doc, s)]
+        found = [(t, h) for t, h in found if t and h and not (a.name == "readthedocs" and h.startswith("#"))]
         if found:
-            return [(t, h.strip("/").removesuffix(".html").strip("/") or "index") for t, h in found]
+            return [(t, _toc_path(h, a.name)) for t, h in found]
     return []
 
 

@@ -70,6 +70,13 @@ def test_adapters(name):
     assert "<h1>" in body and "foot" not in body and "bad()" not in body and "Edit" not in body and "no</" not in body
 
 
+def test_adapter_tocs():
+    toc = {n: html.adapter_toc(d := dom.parse(x), html.adapter_of(d)) for n, x in PAGES.items()}
+    assert toc["docusaurus"] == [("X", "x")] and toc["vitepress"] == [("Guide", "guide/")] and toc["generic"] == [("About", "about")] and toc["readthedocs"] == []
+    x = dom.parse('<div class="wy-nav-side"><ul class="wy-menu"><a href="#here">Here</a><a href="/ref/api.html">API</a></ul></div>')
+    assert html.adapter_toc(x, html.adapter_of(x)) == [("API", "ref/api")]
+
+
 def test_tree():
     doc = dom.parse("<ul><li>a<li>b</ul><p>one<p>two<table><tr><th>h<td>x<tr><td>1</table>&amp;&copy;")
     assert [e.text() for e in dom.select(doc, "li")] == ["a", "b"]
