@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from docloom.checkpoints import shared_dir
+from docloom.checkpoints import cut, new_path  # noqa: F401  the operators take them from here
 from docloom.shipping import ship
 
 #: Rows of an Arrow batch at most: whole texts travel in these batches.
@@ -32,37 +29,6 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A new place in the shared folder, deleted when the application's Python ends; lazy results need it until then."""
-    folder = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, folder))
-    return f"{folder}/{tag}"
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        with contextlib.suppress(Exception):  # the JVM may have ended first
-            remove(spark, path)
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends here."""
-    path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store, whatever file system it is in."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
