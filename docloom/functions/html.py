@@ -49,13 +49,15 @@ def adapter_of(doc: dom.Element) -> Adapter:
     return next(a for a in ADAPTERS if a.detect(doc))
 
 
+def main_element(doc: dom.Element) -> dom.Element | None:
+    """The first main-content element that fits, else the body."""
+    return next((e for s in (*CONTENT, "body") if (e := dom.first(doc, s)) is not None), None)
+
+
 def content(html: str) -> str:
-    """Inner HTML of the first main-content selector that fits, else of the body, else the text as it is."""
-    doc = dom.parse(html)
-    for s in (*CONTENT, "body"):
-        if (e := dom.first(doc, s)) is not None:
-            return e.inner()
-    return html
+    """Inner HTML of the main element, or the text as it is if there is none."""
+    e = main_element(dom.parse(html))
+    return html if e is None else e.inner()
 
 
 def adapter_content(doc: dom.Element, a: Adapter) -> str:
@@ -98,8 +100,10 @@ def adapter_toc(doc: dom.Element, a: Adapter) -> list[tuple[str, str]]:
     return []
 
 
-def to_markdown(html: str) -> str:
-    return dom.markdown(dom.parse(content(html)))
+def to_markdown(doc: dom.Element) -> str:
+    """Markdown of a page's main element, before clean-up."""
+    e = main_element(doc)
+    return dom.markdown(dom.Element("#document", children=(doc if e is None else e).children))
 
 
 FACTS = "adapter string, content string, body string, toc array<struct<title:string,path:string>>, raw string"
@@ -118,7 +122,8 @@ def facts(pages: DataFrame, html_col: str = "html") -> DataFrame:
         doc = dom.parse(x)
         a = adapter_of(doc)
         toc = [{"title": t, "path": p} for t, p in adapter_toc(doc, a)]
-        return a.name, content(x), adapter_content(doc, a), toc, to_markdown(x)
+        e = main_element(doc)
+        return a.name, x if e is None else e.inner(), adapter_content(doc, a), toc, to_markdown(doc)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -130,7 +135,14 @@ def facts(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def convert(pages: DataFrame, fetched_at: Column | None = None) -> DataFrame:
     """page_id, url, title, markdown (with front matter) and word_count of pages (page_id, url, html)."""
-    f = facts(pages.select("page_id", "url", "html")).withColumn("clean", md.cleanup(F.col("raw"), F.col("url")))
+    ship(pages.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["html"] = [None if x is None else to_markdown(dom.parse(x)) for x in b["html"]]
+            yield b
+
+    f = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, html string").withColumn("clean", md.cleanup(F.col("html"), F.col("url")))
     f = f.withColumn("title", md.title(F.col("clean")))
     return f.select("page_id", "url", "title", F.concat(md.frontmatter(F.col("url"), F.col("title"), fetched_at), F.lit("\n"), "clean").alias("markdown"), md.word_count(F.col("clean")).alias("word_count"))
 
