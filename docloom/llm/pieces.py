@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,8 @@ MARK = "▁"
 REMEMBERED = 150_000
 #: Texts whose words are held at once.
 SLICE = 500
+#: Words of more characters are encoded by back pointers and not remembered: packed ids of every prefix take memory quadratic in a word's length.
+LONG = 256
 UNIGRAM, BPE = 1, 2
 
 
@@ -147,6 +150,9 @@ class Vocabulary:
             if bpe and w.startswith(MARK * 2):
                 out[w] = b"".join(map(self.pack, self.merge(w)))  # pieces of marks alone have equal scores
                 continue
+            if len(w) > LONG:
+                out[w] = self.encode_long(w)
+                continue
             keep, most = 0, min(len(before), len(w))
             while keep < most and before[keep] == w[keep]:
                 keep += 1
@@ -172,6 +178,33 @@ class Vocabulary:
             out[w] = ids[len(w)]
         return out
 
+    def encode_long(self, w: str) -> bytes:
+        """Packed ids of one word by the same forward pass, with a back pointer for each prefix: memory is linear in its length."""
+        last, best, piece, back, now = [""], array("d", [0.0]), [b""], array("q", [0]), []
+        for end, c in enumerate(w, 1):
+            now = [(at, n) for at, node in now if (n := node.get(c)) is not None]
+            start, text, packed, top = end - 1, c, None, best[end - 1] + self.unknown_score
+            one = [(end - 1, n)] if (n := self.tree.get(c)) is not None else []
+            if self.kind == BPE:
+                for at, node in now:
+                    if (p := node.get("")) is not None and (p[2] or (p[2] is None and self.alone(p))) and (at == 0 or self.pair(last[at], p[0])):
+                        start, text, packed = at, p[0], p[1]
+                        break
+            else:
+                for at, node in now + one:
+                    if (p := node.get("")) is not None and (sure := best[at] + self.score[self.ids[p[0]]]) > top:
+                        start, packed, top = at, p[1], sure
+            now += one
+            last.append(text)
+            best.append(top)
+            piece.append(self.pack(c) if packed is None else packed)
+            back.append(start)
+        out, end = [], len(w)
+        while end:
+            out.append(piece[end])
+            end = back[end]
+        return b"".join(reversed(out))
+
     def alone(self, p: list) -> bool:
         p[2] = self.merge(p[0]) == [p[0]]
         return p[2]
@@ -202,7 +235,11 @@ class Vocabulary:
         again = new.intersection(before)
         known.update((w, before[w]) for w in again)
         known.update(self.encode_words(list(new - again)))
-        return [None if ws is None else b"".join(map(known.__getitem__, ws)) for ws in cut]
+        rows = [None if ws is None else b"".join(map(known.__getitem__, ws)) for ws in cut]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return rows
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         """Ids of each whole text."""

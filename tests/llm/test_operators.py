@@ -526,6 +526,42 @@ def test_unigram_forward_pass():
         assert sum(score[named[i]] if i in named else -20.0 for i in np.frombuffer(packed, np.int32).tolist()) == pytest.approx(best(w))
 
 
+def test_long_words_take_linear_memory(monkeypatch):
+    import sentencepiece
+    import tracemalloc
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    v = pieces.Vocabulary(pieces.default_model())
+    rng = random.Random(2)
+    parts = [*"etaoinshr\n\t日本語はéQ0+/", "the", "tion", "();"]
+    x = "".join(rng.choice(parts) for _ in range(10_000))
+    v.encode([x])  # pieces are planted and pairs known: what follows is the word's own memory
+    v.known.clear()
+    tracemalloc.start()
+    got = v.encode([x])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [sp.encode(x)] and peak < 20 << 20 and not v.known
+    x = "".join(rng.choice(parts) for _ in range(1_000_000))[:1_000_000]
+    got = v.encode([x])[0]
+    assert got == sp.encode(x) and v.decode(got) == x
+    monkeypatch.setattr(pieces, "LONG", 2)
+    texts = [sentence(rng, 40) for _ in range(30)] + [x[k : k + 50] for k in range(0, 5000, 50)]
+    assert pieces.Vocabulary(pieces.default_model()).encode(texts) == [sp.encode(t) for t in texts]
+
+
+def test_long_words_of_a_unigram_model(monkeypatch):
+    v = pieces.Vocabulary.__new__(pieces.Vocabulary)
+    score = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -2.2, "▁a": -2.1, "aba": -3.0, "ba": -4.0}
+    v.kind, v.bytes, v.unknown, v.unknown_score, v.pair = pieces.UNIGRAM, {}, 99, -20.0, None
+    v.ids, v.score = {p: i for i, p in enumerate(score)}, list(score.values())
+    v.plant()
+    words = ["▁" + "".join(random.Random(k).choice("abz") for _ in range(k)) for k in range(60)]
+    want = v.encode_words(words)
+    monkeypatch.setattr(pieces, "LONG", 2)
+    assert v.encode_words(words) == want
+
+
 def test_pieces_of_odd_rows(spark, odd, none):
     out = pieces.round_trip(odd.drop("ids")).collect()
     assert len(out) == 12 and all(r["round_trip"] for r in out)
