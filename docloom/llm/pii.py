@@ -2,10 +2,11 @@
 
 Base spans (emails, addresses, cards, phones) are the seeds. Runs of tokens that hold a digit are
 the instances; the two words before a run are its lexical pattern. Patterns and instances form a
-graph. Each round scores a pattern by the mean score of its distinct instances, less what chance may
-add to it, and an instance by the patterns that it stands in; seeds score one. A pattern is trusted
-if it has enough distinct seeds, a high score, and is specific: a large part of all its occurrences
-in the corpus precede an instance. Runs behind trusted patterns are new spans of kind ``context``.
+graph. A pattern's support is the summed score of its distinct instances: one for a seed, and for
+any other what the other trusted patterns give that it stands in. Instances without a score are unknown and count
+neither way. A pattern is trusted if it has enough support, more of it than chance gives to other
+patterns, and is specific: a large part of all its occurrences in the corpus precede an instance.
+Rounds spread trust until it stands still. Runs behind trusted patterns are new spans of kind ``context``.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ RUN = rf"(?<![^{_BLANK}])[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+(?:[\x20\x09][^{_BLAN
 _EDGE = ".,;:!?\"'()[]{}<>"
 #: A run is an identifier if it has so many characters and digits.
 LEAST_CHARS, LEAST_DIGITS = 6, 3
-#: A trusted pattern has so many distinct seeds, a mean score that is surely such (the lower end of its 95 % interval)
-#: and half-way from the score of all instances to one, and such a share of its occurrences before instances.
-SEEDS, TRUST, SPECIFIC, ROUNDS = 8, 0.6, 0.3, 3
+#: A trusted pattern has such a support, and such a share of its occurrences before instances; its share of supported instances is surely above that of
+#: all other patterns, or above CHANCE where that is larger. Z is the square of the normal deviate of a 95 % interval.
+SEEDS, SPECIFIC, CHANCE, Z = 8, 0.3, 0.5, 1.96**2
+#: Supports stand still if their sum (of logarithms) changes by no larger part.
+STILL = 1e-4
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -121,33 +124,69 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
 
 def _sure(p: Column, n: Column) -> Column:
     """Lower end of the Wilson interval of a share p of n."""
-    z = 1.96
-    return (p + z * z / (2 * n) - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return (p + Z / (2 * n) - F.sqrt(Z * (F.greatest(p * (1 - p), F.lit(0.0)) / n + Z / (4 * n * n)))) / (1 + Z / n)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= 100_000 else df
+
+
+def specific(edges: DataFrame, patterns: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Edges of those of the patterns of which such a share of all occurrences precede instances."""
+    before = edges.groupBy("pattern").agg(F.sum("n").alias("before"))
+    words = F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"[^{_BLANK}]+"), F.lit(0)), _bare)
+    pairs = docs.select(words.alias("w")).select(F.explode(F.zip_with("w", F.slice(F.col("w"), 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))).alias("pattern"))
+    total = pairs.groupBy("pattern").count() if patterns.count() > 100_000 else pairs.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").count()
+    good = patterns.join(before, "pattern").join(total, "pattern").filter(F.col("before") >= SPECIFIC * F.col("count")).select("pattern")
+    return cut(edges.join(_small(cut(good, "pii-specific")), "pattern", "left_semi"), "pii-good")
 
 
 def trusted(scanned: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame | None:
-    """Trusted patterns (pattern), or None if there is none."""
+    """Trusted patterns (pattern), or None if there is none.
+
+    Rounds run twice: over all patterns, then over those of the first result that are specific. As scores only grow
+    with the patterns that take part, none is lost by that, and only the occurrences of few are counted in the texts.
+    """
     seed = F.exists("spans", lambda s: (s["start"] < F.col("r.end")) & (s["end"] > F.col("r.start")))
     occ = scanned.filter(F.size("runs") > 0).select("spans", F.explode("runs").alias("r")).select(F.col("r.pattern").alias("pattern"), F.col("r.text").alias("instance"), seed.cast("double").alias("seed"))
     edges = cut(occ.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
-    overall = edges.agg(F.avg("seed")).first()[0]
-    least = max(TRUST, (1 + (overall or 0.0)) / 2)
-    known = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= SEEDS)
-    edges = edges.join(known, "pattern").select("pattern", "instance", "seed", "n")
-    score = edges.select("pattern", "instance", "n", "seed", F.col("seed").alias("score"))
-    for _ in range(ROUNDS):
-        pattern = score.groupBy("pattern").agg(_sure(F.avg("score"), F.count("*")).alias("p"))
-        doubt = score.join(pattern.filter(F.col("p") >= least).select("pattern", "p"), "pattern").groupBy("instance").agg(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))).alias("doubt"))
-        score = edges.join(doubt, "instance", "left").select("pattern", "instance", "n", "seed", F.greatest("seed", 1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("score"))
-    pattern = score.groupBy("pattern").agg(_sure(F.avg("score"), F.count("*")).alias("p"), F.sum("seed").alias("seeds"), F.sum("n").alias("before")).filter((F.col("p") >= least) & (F.col("seeds") >= SEEDS))
-    pattern = cut(pattern.select("pattern", "before"), "pii-patterns")
-    if pattern.isEmpty():
+    whole = edges.agg(F.coalesce(F.sum("seed"), F.lit(0.0)).alias("seeds"), F.count("*").alias("all")).first()
+    # Fewer distinct instances are no such support, whatever their scores.
+    base = cut(edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").alias("all")).filter(F.col("all") >= SEEDS), "pii-patterns")
+    if base.filter(F.col("seeds") >= SEEDS).isEmpty():
+        return None  # no pattern to begin with
+    edges = edges.join(base.select("pattern", "all"), "pattern")
+    wide = spread(edges, whole["seeds"], whole["all"])
+    if wide is None:
         return None
-    words = F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"[^{_BLANK}]+"), F.lit(0)), _bare)
-    pairs = docs.select(words.alias("w")).select(F.explode(F.zip_with("w", F.slice(F.col("w"), 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))).alias("pattern"))
-    total = pairs.groupBy("pattern").count() if pattern.count() > 100_000 else pairs.join(F.broadcast(pattern.select("pattern")), "pattern", "left_semi").groupBy("pattern").count()
-    out = cut(pattern.join(total, "pattern").filter(F.col("before") >= SPECIFIC * F.col("count")).select("pattern"), "pii-trusted")
-    return None if out.isEmpty() else out
+    return spread(specific(edges, wide, docs, text_col), whole["seeds"], whole["all"])
+
+
+def spread(edges: DataFrame, seeds: float, n: int) -> DataFrame | None:
+    """Trusted ones of the patterns of edges (pattern, instance, seed, and all: the pattern's instances), or None; seeds and n are those of the corpus.
+
+    Rounds go on until no pattern becomes trusted and supports stand still: they only grow.
+    """
+    base = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.first("all").alias("all"))
+    rest = F.lit(n) - F.col("all")
+    chance = F.least(F.lit(CHANCE), F.when(rest > 0, (F.lit(seeds) - F.col("seeds")) / F.greatest(rest, F.lit(1))).otherwise(0.0))
+    base = base.select("pattern", "all", chance.alias("chance"))
+    support, before, out = edges.groupBy("pattern").agg(F.sum("seed").alias("support")), None, None
+    while True:
+        s = F.col("support")
+        good = base.join(support, "pattern").filter((s >= SEEDS) & (_sure(F.least(s / F.col("all"), F.lit(1.0)), F.col("all")) > F.col("chance")))
+        out = cut(good.select("pattern", F.log(Z / (s + Z)).alias("doubt")), "pii-trusted")
+        now = out.agg(F.count("*"), F.coalesce(F.sum("doubt"), F.lit(0.0))).first()
+        if now[0] == 0:
+            return None
+        if before and now[0] == before[0] and abs(now[1] - before[1]) <= STILL * abs(now[1]):
+            return out.select("pattern")
+        before = now
+        # An instance has the doubts of all trusted patterns that it stands in; it supports a pattern by those of the others alone.
+        own = edges.join(_small(out), "pattern", "left").select("pattern", "instance", "seed", F.coalesce("doubt", F.lit(0.0)).alias("own"))
+        all_ = own.filter("own < 0").groupBy("instance").agg(F.sum("own").alias("doubt"))
+        score = F.greatest("seed", 1 - F.exp(F.least(F.coalesce("doubt", F.lit(0.0)) - F.col("own"), F.lit(0.0))))
+        support = own.join(all_, "instance", "left").groupBy("pattern").agg(F.sum(score).alias("support"))
 
 
 def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -100,6 +100,19 @@ def test_contexts_add_unseen_identifiers(spark):
     assert "passport number <PHONE> is" in red[0] and "passport number <CONTEXT>, is" in red[44] and red[60] == texts[60]
 
 
+def test_contexts_spread_over_unseen_identifiers(spark):
+    rng = random.Random(4)
+    some = [f"K{rng.randrange(10**7, 10**8)}" for _ in range(30)]
+    texts = [f"so my passport number +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} is of the thing" for _ in range(9)]
+    texts += [f"well my passport number {x} is of the thing" for x in some]
+    texts += [f"they gave traveller code {x} to them" for x in some]
+    texts += [f"they gave traveller code Q{rng.randrange(10**7, 10**8)} to them" for _ in range(3)]
+    texts += [f"it came in model {rng.randrange(10**7, 10**8)} for the first time" for _ in range(150)]
+    got = {r["id"]: r["a"] for r in pii.find(small(spark, texts)).select("id", F.size("all_spans").alias("a")).collect()}
+    assert all(got[i] == 1 for i in range(9 + 30 + 30 + 3))  # unseen ones do not speak against a pattern, and carry trust to another
+    assert all(got[i] == 0 for i in range(72, 222))
+
+
 def test_redaction_of_overlaps_and_odd_rows(spark, odd, none):
     x = "é +1 (628) 555-2987 a@b.c 4923437827071911"
     out = pii.redact(small(spark, [x, "+4923437827071911 z"])).orderBy("doc_id").collect()
