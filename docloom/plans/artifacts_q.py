@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docloom.functions import html
 from docloom.operators import artifacts, diff, enrich, toc
 from docloom.plans import pages_q
 from docloom.plans.registry import PM, parent, query, title_from
+from docloom.sources import pages as src
 
 C = F.col
 
@@ -123,6 +125,14 @@ def llms_full_txt(spark, d):
     return artifacts.llms_full_txt(p, kbs(spark, d))
 
 
+@query()
+def llms_full_txt_whole(spark, d):
+    """The full documentation with the Markdown of all pages, those without a title under their path; no SQL follows the converter."""
+    p = pages_q.table(spark, d).select("kb_id", "page_id", "url", F.coalesce("title", "path").alias("title"))
+    text = html.convert(src.read(spark, d)).select("page_id", C("markdown").alias("content"))
+    return artifacts.llms_full_txt(p.join(text, "page_id").withColumnRenamed("page_id", "ord"), kbs(spark, d))
+
+
 @query(rf"""WITH {PM}, {_KBS} SELECT kb_id, {_TOP} || E'---\nname: ' || name || E'\nversion: 1.0.0\ndescription: "' || summary || E'"\nsource: ' || source_url || E'\n---\n\n'
   || CASE WHEN body IS NOT NULL THEN 'Body of ' || kb_id ELSE '# ' || name || E'\n\n' || summary || E'\n\n## Overview\n\nSee the documentation at ' || source_url END || E'\n\n' AS content FROM kb""")
 def skill_md(spark, d):

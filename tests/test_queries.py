@@ -20,3 +20,14 @@ def test_entry_point(spark):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_full_documentation_holds_whole_pages(spark):
+    from docloom.functions import html
+    from docloom.plans import pages_q
+    from docloom.sources import pages as src
+
+    files = {r["kb_id"]: r["content"] for r in catalog.QUERIES["llms_full_txt_whole"](spark, DATA).collect()}
+    text = {r["page_id"]: r["markdown"] for r in html.convert(src.read(spark, DATA)).collect()}
+    pages = pages_q.table(spark, DATA).collect()
+    assert len(pages) > 0 and all(f"## {p['path'] if p['title'] is None else p['title']}\n" in files[p["kb_id"]] and text[p["page_id"]].strip() in files[p["kb_id"]] for p in pages)
