@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, table, tune
+from .common import cut, freed, table, tune
 
 BLOCK = 8192
 QUERIES_A_BLOCK = 1024
@@ -111,7 +111,7 @@ def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
         for dim in held:
             yield from pack(dim, True)
 
-    packed = vectors.repartition(n).mapInArrow(run, "dim int, ids binary, data binary")
+    packed = vectors.repartition(n).mapInArrow(freed(run), "dim int, ids binary, data binary")
     return cut(packed.withColumn("block", F.monotonically_increasing_id()), name)
 
 
@@ -131,7 +131,7 @@ def centres(vectors: DataFrame) -> dict[int, np.ndarray]:
                 count[dim] = count.get(dim, 0) + len(mine)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64())), pa.array(list(count.values()), pa.int64())], names=["dim", "total", "n"])
 
-    parts = vectors.mapInArrow(run, "dim int, total array<double>, n long")
+    parts = vectors.mapInArrow(freed(run), "dim int, total array<double>, n long")
     add = F.aggregate(F.collect_list("total"), F.transform(F.first("total"), lambda x: F.lit(0.0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
     return {r["dim"]: np.array(r["total"]) / r["n"] for r in parts.groupBy("dim").agg(add.alias("total"), F.sum("n").alias("n")).collect()}
 
@@ -161,7 +161,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 n = [len(g[1]) for g in got]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([g[0] for g in got], n).astype(np.int64)), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("q_ids", "q_data", "dim", "ids", "data").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = pairs.select("q_ids", "q_data", "dim", "ids", "data").mapInArrow(freed(run), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, fold, table, tune
+from .common import cut, fold, freed, table, tune
 
 #: Words that are clustered one by one, groups of the others, classes, and words whose counts are sent to every task.
 SINGLE, GROUPS, CLASSES, HEAD = 1024, 256, 64, 200_000
@@ -57,7 +57,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word and n for every token of the text column; END counts the texts."""
-    parts = texts.mapInArrow(_count, "word binary, n long")
+    parts = texts.mapInArrow(freed(_count), "word binary, n long")
     return cut(parts.groupBy("word").agg(F.sum("n").alias("n")), "brown-words")
 
 
@@ -91,7 +91,7 @@ def neighbours(texts: DataFrame, units: Units) -> np.ndarray:
         for k in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000]), pa.array(total[at[k : k + 100_000]])], names=["pair", "n"])
 
-    got = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.mapInArrow(freed(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(size, size)
@@ -238,7 +238,7 @@ def score(df: DataFrame, model: ClassModel, counts: DataFrame, text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((row, word, tf, n_tok, known, num, rest), kinds)], names=["row", "word", "tf", "n_tok", "known", "num", "rest"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    parts = rows.select("row", "text").mapInArrow(run, "row long, word binary, tf long, n_tok long, known long, num double, rest double")
+    parts = rows.select("row", "text").mapInArrow(freed(run), "row long, word binary, tf long, n_tok long, known long, num double, rest double")
     c = F.coalesce("n", F.lit(0))
     parts = parts.join(counts, "word", "left").select("row", "n_tok", "rest", (F.col("known") + F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"), (F.col("num") + F.col("tf") * F.log10(c + 0.5)).alias("num"))
     sums = parts.groupBy("row").agg(F.sum("n_tok").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("num").alias("num"), F.sum("rest").alias("rest"))

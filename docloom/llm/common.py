@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -12,21 +14,39 @@ from docloom.shipping import ship
 
 #: Rows of an Arrow batch at most: whole texts travel in these batches.
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Rows that Spark's reader decodes at once, and bytes of a row group that a writer holds: both hold whole texts.
+READ_ROWS, GROUP_BYTES = 1024, 32 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def tune(spark: SparkSession) -> None:
-    """Make the package known to the executors and bound the Arrow batches: a thousand long texts must fit a Python worker."""
+    """Make the package known to the executors and bound what tasks hold of whole texts: Arrow batches, batches of the reader, and row groups."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) != f"{BATCH_BYTES}b":
-        spark.conf.set(key, f"{BATCH_BYTES}b")
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b"), ("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS)), ("parquet.block.size", str(GROUP_BYTES))):
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+
+
+def freed(run: Callable, after: Callable[[], None] | None = None) -> Callable:
+    """A function of Arrow batches that calls ``after`` and gives its memory back when its task ends: Python workers live on, and the next task's executor memory is theirs too."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if after is not None:
+                after()
+            pa.default_memory_pool().release_unused()
+            with suppress(Exception):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,26 +58,27 @@ def fold(id_col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % n, F.lit(-1)).cast("int")
 
 
-def append(df: DataFrame, text_col: str, fields: list[T.StructField], fn: Callable[[list], list[list]]) -> DataFrame:
+def append(df: DataFrame, text_col: str, fields: list[T.StructField], fn: Callable[[list], list[list]], after: Callable[[], None] | None = None) -> DataFrame:
     """All columns of ``df`` and new ones that ``fn`` computes from lists of texts, batch by batch.
 
-    ``fn`` takes a list of texts (str or None) and returns a list of values, or an Arrow array, for each new field.
-    A column of ``df`` that has the name of a new field is replaced.
+    ``fn`` takes a list of texts (str or None) and returns a list of values, or an Arrow array, for each new field;
+    ``after`` is called at each task's end. A column of ``df`` that has the name of a new field, in whatever case, is replaced.
     """
     tune(df.sparkSession)
-    names = {f.name for f in fields}
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
-    schema = T.StructType([*df.schema.fields, *fields])
-    at = df.columns.index(text_col)
+    names = {f.name.lower() for f in fields} - {text_col.lower()}
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+    schema = T.StructType([*[f for f in df.schema.fields if f.name.lower() not in {x.name.lower() for x in fields}], *fields])
+    at = [c.lower() for c in df.columns].index(text_col.lower())
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name in schema.fieldNames()[: len(schema) - len(fields)]]
     kinds = [ARROW[f.dataType.simpleString()] for f in fields]
     new = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = fn(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(got, kinds))], names=[*b.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *(v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(got, kinds))], names=[*(b.schema.names[i] for i in kept), *new])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freed(run, after), schema)
 
 
 ARROW = {

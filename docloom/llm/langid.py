@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import append, fold, table, tune
+from .common import append, fold, freed, table, tune
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 names=["id", "lang", "idx", "tf"],
             )
 
-    got = sample.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("lang string, idx array<int>, tf array<float>").fields])).toArrow()
+    got = sample.mapInArrow(freed(run), T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("lang string, idx array<int>, tf array<float>").fields])).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     if not langs:
         return LanguageModel([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0), 1.0)

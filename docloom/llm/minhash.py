@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import cut, table, tune
+from .common import cut, freed, table, tune
 from .components import components
 
 WORDS = 4
@@ -149,7 +149,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             got = [shingles(x).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["id", "set"])
 
-    found = docs.filter("id is not null").select("id", "text", place("id").alias("p")).mapInArrow(run, "id long, set binary")
+    found = docs.filter("id is not null").select("id", "text", place("id").alias("p")).mapInArrow(freed(run), "id long, set binary")
     return cut(found.join(ids, "id", "left_semi"), "minhash-sets")
 
 
@@ -161,7 +161,7 @@ def _large_buckets(at: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
     blocks = cut(full.groupBy("key", "band", "part", "parts").agg(F.collect_list(F.struct("node", "comp", "n", "sig", "set")).alias("rows")), "minhash-blocks")
     left = blocks.select("key", "band", F.col("part").alias("p"), F.col("rows").alias("left"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part"))
     pairs = left.join(blocks.select("key", "part", F.col("rows").alias("right")), ["key", "part"])
-    return pairs.select("band", (F.col("p") == F.col("part")).alias("same"), "left", "right").mapInArrow(_across, _PAIR)
+    return pairs.select("band", (F.col("p") == F.col("part")).alias("same"), "left", "right").mapInArrow(freed(_across), _PAIR)
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -173,7 +173,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """
     tune(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = cut(docs.mapInArrow(_features, "id long, n long, d1 long, d2 long, sig binary"), "minhash-rows")
+    rows = cut(docs.mapInArrow(freed(_features), "id long, n long, d1 long, d2 long, sig binary"), "minhash-rows")
     live = rows.filter("n > 0 and id is not null")
     nodes = cut(live.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "minhash-nodes")
     band = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS)), i))
@@ -186,10 +186,10 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         sig = nodes.select("node", "n", "sig")
         p = pairs.join(sig.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su")), "u")
         p = p.join(sig.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv")), "v")
-        p = p.filter(100 * F.least("nu", "nv") >= 80 * F.greatest("nu", "nv")).select("u", "v", "su", "sv").mapInArrow(_agree, _PAIR)
+        p = p.filter(100 * F.least("nu", "nv") >= 80 * F.greatest("nu", "nv")).select("u", "v", "su", "sv").mapInArrow(freed(_agree), _PAIR)
         p = cut(p, "minhash-agreed")
         p = p.join(sets.select(F.col("id").alias("u"), F.col("set").alias("xu")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("xv")), "v")
-        return p.select("u", "v", "xu", "xv").mapInArrow(_confirm, _PAIR)
+        return p.select("u", "v", "xu", "xv").mapInArrow(freed(_confirm), _PAIR)
 
     tested = cut(members.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "minhash-pairs")
     links = cut(confirmed(tested), "minhash-links")

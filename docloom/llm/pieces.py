@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a shared-prefix forward pass.
 
 Texts are marked (blank -> U+2581, one mark put before the text) and cut into words at each mark
-that follows another character; no piece crosses such a place, which ``Vocabulary`` checks. The
+that follows another character, and at line ends; no piece crosses such a place, which ``Vocabulary`` checks. The
 distinct marked words of a batch are sorted, so that they form a trie read depth-first: a word keeps
 the forward states of the prefix it shares with its predecessor and computes only the rest.
 
@@ -18,6 +18,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from .common import append
 
 MARK = "▁"
-#: Words after which a Python worker starts a new memory; words of the last one that come again move over.
-REMEMBERED = 150_000
+#: Bytes of words and ids after which a Python worker starts a new memory; words of the last one that come again move over.
+REMEMBERED = 20 << 20
+#: Pairs of pieces whose parting is remembered at most (about 75 bytes each).
+PAIRS = 300_000
 #: Texts whose words are held at once.
 SLICE = 500
 #: Words of more characters are encoded by back pointers and not remembered: packed ids of every prefix take memory quadratic in a word's length.
@@ -42,41 +45,53 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _model_type(proto: bytes) -> int:
-    """trainer_spec.model_type of a serialised model: fields are read by number, none is decoded otherwise."""
-
-    def fields(data: bytes) -> Iterator[tuple[int, object]]:
-        at = 0
-
-        def number() -> int:
-            nonlocal at
-            out = shift = 0
-            while True:
-                b = data[at]
-                at += 1
-                out |= (b & 127) << shift
-                shift += 7
-                if b < 128:
-                    return out
-
-        while at < len(data):
-            tag = number()
-            kind = tag & 7
-            if kind == 0:
-                yield tag >> 3, number()
-            elif kind == 2:
-                size = number()
-                yield tag >> 3, data[at : at + size]
-                at += size
-            else:
-                size = {1: 8, 5: 4}[kind]
-                yield tag >> 3, data[at : at + size]
-                at += size
-
-    for k, v in fields(proto):
-        if k == 2:
-            return next((x for j, x in fields(v) if j == 3), UNIGRAM)
-    return UNIGRAM
+def _fields(data: bytes) -> Iterator[tuple[int, object]]:
+    """Number and raw value of each field of a serialised message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+        else:
+            size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield tag >> 3, data[at : at + size]
+            at += size
+
+
+def model_type(proto: bytes) -> int:
+    """trainer_spec.model_type of a serialised model; a model whose settings change texts in ways not followed here is refused."""
+    top: dict[int, list] = {1: [], 2: [], 3: []}
+    for k, v in _fields(proto):
+        if k in top:
+            top[k].append(v)
+    trainer = dict(x for v in top[2] for x in _fields(v))
+    normal = dict(x for v in top[3] for x in _fields(v))
+    # Field numbers and defaults of the public model format.
+    wrong = {
+        "normalises characters": bool(normal.get(2)),
+        "puts no mark first": not normal.get(3, 1),
+        "removes blanks": bool(normal.get(4, 1)),
+        "keeps blanks unmarked": not normal.get(5, 1),
+        "marks word ends": bool(trainer.get(24, 0)),
+        "has pieces defined by its user": any(dict(_fields(v)).get(3, 1) == 4 for v in top[1]),
+        "is neither of the unigram nor of the BPE kind": trainer.get(3, UNIGRAM) not in (UNIGRAM, BPE),
+    }
+    if found := [k for k, v in wrong.items() if v]:
+        raise ValueError("this model is not supported, as it " + ", ".join(found))
+    return trainer.get(3, UNIGRAM)
 
 
 class Vocabulary:
@@ -86,7 +101,7 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.kind = _model_type(sp.serialized_model_proto())
+        self.kind = model_type(sp.serialized_model_proto())
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
@@ -99,19 +114,37 @@ class Vocabulary:
         self.unknown_score = least - 10.0
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark inside: words cannot be cut at marks")
-        self.pair = lru_cache(1 << 17)(lambda a, b: self.merge(a + b) == [a, b])
         self.plant()
 
     def plant(self) -> None:
-        """The tree of pieces: a node's "" holds its piece, the packed id, and whether merging makes the piece (found out when first asked)."""
+        """The tree of pieces: a node's "" holds its piece, the packed id, whether merging makes the piece (found out when first asked), and the id."""
         self.tree: dict = {}
+        self.entry: dict[str, list] = {}
         for p, k in self.ids.items():
             node = self.tree
             for c in p:
                 node = node.setdefault(c, {})
-            node[""] = [p, struct.pack("<i", k), True if len(p) == 1 else None]
+            node[""] = self.entry[p] = [p, struct.pack("<i", k), True if len(p) == 1 else None, k]
+        #: No piece crosses a line's end, so that words can be cut there as well.
+        self.lines = not any("\n" in p for p in self.ids)
+        self.parts: dict[int, bool] = {}  # of two ids in one number: whether merging leaves the two apart
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}  # packed ids of words
         self.before: dict[str, bytes] = {}
+        self.held = 0
+
+    def apart(self, a: list | None, b: list) -> bool:
+        """Whether merging leaves pieces a and b apart; None stands for a character that is no piece."""
+        if a is None:
+            return True
+        key = a[3] << 32 | b[3]
+        if (got := self.parts.get(key)) is None:
+            if len(self.parts) >= PAIRS:
+                self.parts.clear()
+            got = self.parts[key] = self.merge(a[0] + b[0]) == [a[0], b[0]]
+        return got
 
     def merge(self, word: str) -> list[str]:
         """The pieces that merging leaves: the best adjacent pair first, the leftmost of equals."""
@@ -144,8 +177,8 @@ class Vocabulary:
         out: dict[str, bytes] = {}
         before = ""
         # By place: the last piece, the sum of scores, the packed ids up to it, and where pieces begin that reach it and may go on.
-        last, best, ids, open_ = [""], [0.0], [b""], [[]]
-        root, pair, bpe = self.tree.get, self.pair, self.kind == BPE
+        last, best, ids, open_ = [None], [0.0], [b""], [[]]
+        root, entry, parts, bpe = self.tree.get, self.entry.get, self.parts.get, self.kind == BPE
         for w in sorted(words):
             if bpe and w.startswith(MARK * 2):
                 out[w] = b"".join(map(self.pack, self.merge(w)))  # pieces of marks alone have equal scores
@@ -162,13 +195,15 @@ class Vocabulary:
                 now = [(at, n) for at, node in now if (n := node.get(c)) is not None]
                 if bpe:
                     for at, node in now:
-                        if (p := node.get("")) is not None and (p[2] or (p[2] is None and self.alone(p))) and (at == 0 or pair(last[at], p[0])):
-                            last.append(p[0])
-                            ids.append(ids[at] + p[1])
-                            break
+                        if (p := node.get("")) is not None and (p[2] or (p[2] is None and self.alone(p))):
+                            a = last[at]
+                            if a is None or (ok := parts(a[3] << 32 | p[3])) or (ok is None and self.apart(a, p)):
+                                last.append(p)
+                                ids.append(ids[at] + p[1])
+                                break
                     else:
-                        last.append(c)
-                        ids.append(ids[-1] + self.pack(c))
+                        last.append(p := entry(c))
+                        ids.append(ids[-1] + (self.pack(c) if p is None else p[1]))
                 if (n := root(c)) is not None:
                     now.append((end - 1, n))
                 open_.append(now)
@@ -180,19 +215,19 @@ class Vocabulary:
 
     def encode_long(self, w: str) -> bytes:
         """Packed ids of one word by the same forward pass, with a back pointer for each prefix: memory is linear in its length."""
-        last, best, piece, back, now = [""], array("d", [0.0]), [b""], array("q", [0]), []
+        last, best, piece, back, now = [None], array("d", [0.0]), [b""], array("q", [0]), []
         for end, c in enumerate(w, 1):
             now = [(at, n) for at, node in now if (n := node.get(c)) is not None]
-            start, text, packed, top = end - 1, c, None, best[end - 1] + self.unknown_score
+            start, text, packed, top = end - 1, self.entry.get(c), None, best[end - 1] + self.unknown_score
             one = [(end - 1, n)] if (n := self.tree.get(c)) is not None else []
             if self.kind == BPE:
                 for at, node in now:
-                    if (p := node.get("")) is not None and (p[2] or (p[2] is None and self.alone(p))) and (at == 0 or self.pair(last[at], p[0])):
-                        start, text, packed = at, p[0], p[1]
+                    if (p := node.get("")) is not None and (p[2] or (p[2] is None and self.alone(p))) and self.apart(last[at], p):
+                        start, text, packed = at, p, p[1]
                         break
             else:
                 for at, node in now + one:
-                    if (p := node.get("")) is not None and (sure := best[at] + self.score[self.ids[p[0]]]) > top:
+                    if (p := node.get("")) is not None and (sure := best[at] + self.score[p[3]]) > top:
                         start, packed, top = at, p[1], sure
             now += one
             last.append(text)
@@ -212,7 +247,7 @@ class Vocabulary:
     def _viterbi(self, c: str, end: int, now: list, best: list[float], ids: list[bytes]) -> None:
         top, packed = best[end - 1] + self.unknown_score, None
         for at, node in now:
-            if (p := node.get("")) is not None and (sure := best[at] + self.score[self.ids[p[0]]]) > top:
+            if (p := node.get("")) is not None and (sure := best[at] + self.score[p[3]]) > top:
                 top, packed = sure, ids[at] + p[1]
         best.append(top)
         ids.append(ids[end - 1] + self.pack(c) if packed is None else packed)
@@ -227,18 +262,27 @@ class Vocabulary:
 
     def packed(self, texts: list[str | None]) -> list[bytes | None]:
         """Packed ids of each whole text; null for a null text, none for an empty one."""
-        cut = [split_marked(x) if x is not None else None for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.before, self.known = self.known, {}
+        cut = [split_marked(x, self.lines) if x is not None else None for x in texts]
+        if self.held > REMEMBERED:
+            self.before, self.known, self.held = self.known, {}, 0
         known, before = self.known, self.before
-        new = {w for ws in cut if ws for w in ws}.difference(known)
+        new: set[str] = set()
+        for ws in cut:
+            if ws:
+                new.update(ws)
+        new.difference_update(known)
         again = new.intersection(before)
         known.update((w, before[w]) for w in again)
-        known.update(self.encode_words(list(new - again)))
+        fresh = {w: marked(w) for w in new - again}
+        got = self.encode_words(list(set(fresh.values())))
+        line = self.pack("\n")
+        known.update((w, line + got[m] if w[0] == "\n" else got[m]) for w, m in fresh.items())
         rows = [None if ws is None else b"".join(map(known.__getitem__, ws)) for ws in cut]
         for w in new:
             if len(w) > LONG:
                 del known[w]
+            else:
+                self.held += getsizeof(w) + getsizeof(known[w]) + 100  # the place in the table
         return rows
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
@@ -260,25 +304,41 @@ class Vocabulary:
         return self._table
 
 
-def split_marked(text: str) -> list[str]:
-    """Marked words of a text: each is a run of marks and the characters up to the next mark."""
+def split_marked(text: str, lines: bool = True) -> list[str]:
+    """Words of a text in a short form: a word after one mark stands without it, one after a line's end (if ``lines``) with that; else marks lead.
+
+    A text without blanks is one word, lines or not.
+    """
     if not text:
         return []
-    words = text.replace(MARK, " ").split(" ")
+    text = text.replace(MARK, " ")
+    lines = lines and " " in text
+    words = (text.replace("\n", " \n") if lines else text).split(" ")
     if "" not in words:
-        return [MARK + w for w in words]
+        return words if lines else [MARK + w if w[0] == "\n" else w for w in words]
     out, marks = [], ""
     for w in words:
+        if lines and w[:1] == "\n":
+            if marks:
+                out.append(marks)
+                marks = ""
+            out.append(w)
+            continue
         marks += MARK
         if w:
-            out.append(marks + w)
+            out.append(w if marks == MARK and w[0] != "\n" else marks + w)
             marks = ""
     return [*out, marks] if marks else out
 
 
-@lru_cache(4)
+def marked(word: str) -> str:
+    """The marked word of a short form, without a line's end before it."""
+    return word[1:] if word[0] == "\n" else word if word[0] == MARK else MARK + word
+
+
+@lru_cache(1)
 def vocabulary(path: str) -> Vocabulary:
-    """One for each worker process and model."""
+    """One for each worker process; another model takes its place."""
     return Vocabulary(path)
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import append, table, tune
+from .common import append, freed, table, tune
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             ok = [i for i, (base, _) in enumerate(got) if not fails(base)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok, pa.int64())), b.column(1).take(pa.array(ok, pa.int64())), pa.array([got[i][1] for i in ok], pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    out = rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).collect()
+    out = rows.mapInArrow(freed(run), T.StructType([rows.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).collect()
     out.sort(key=lambda r: r["id"])
     return train(np.array([r["x"] for r in out]).reshape(len(out), len(STATISTICS)), np.array([r["y"] for r in out], dtype=float))
 

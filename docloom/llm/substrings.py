@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, table, tune
+from .common import cut, freed, table, tune
 
 LENGTH, GRAM, SYMBOL = 100, 24, 8
 SPAN = LENGTH - GRAM + 1  # grams of a window
@@ -385,7 +385,7 @@ _CODED = "code long, content long, place long"
 def _met(coded: DataFrame) -> DataFrame:
     """Equal segments meet in one exchange, in the order of gram, content and place."""
     coded = coded.withColumn("gram", F.shiftrightunsigned("code", 14)).repartition("gram").sortWithinPartitions("gram", "content", "place")
-    return coded.select("code", "content", "place").mapInArrow(_compare, "place long, shape int, gram long, ask boolean")
+    return coded.select("code", "content", "place").mapInArrow(freed(_compare), "place long, shape int, gram long, ask boolean")
 
 
 def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -397,22 +397,22 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     tune(docs.sparkSession)
     d = _numbered(docs, id_col, text_col)
     low = (1 << OFFSET_BITS) - 1
-    found = cut(_met(d.select("ord", "text").mapInArrow(_occurrences, _CODED)), "substring-places")
+    found = cut(_met(d.select("ord", "text").mapInArrow(freed(_occurrences), _CODED)), "substring-places")
     number = F.shiftright("place", OFFSET_BITS)
     asked = found.filter("ask").groupBy(number.alias("ord")).agg(F.collect_list(F.struct("place", "shape", "gram")).alias("asked"))
-    segs = d.select("ord", "text").join(asked, "ord").select("text", "asked").mapInArrow(_fetch, "gram long, place long, shape int, data binary")
+    segs = d.select("ord", "text").join(asked, "ord").select("text", "asked").mapInArrow(freed(_fetch), "gram long, place long, shape int, data binary")
     crowded = found.filter("ask").groupBy("gram").count().filter(F.col("count") > MOST_CONTEXTS).select("gram")
     split = not crowded.isEmpty()
     if split:
         crowded = cut(crowded, "substring-crowded")
-        single = _met(segs.join(crowded, "gram", "left_semi").mapInArrow(_single_windows, _CODED)).filter(~F.col("ask"))
+        single = _met(segs.join(crowded, "gram", "left_semi").mapInArrow(freed(_single_windows), _CODED)).filter(~F.col("ask"))
         segs = segs.join(crowded, "gram", "left_anti")
-    inner = segs.repartition("gram").sortWithinPartitions("gram").mapInArrow(_expand, "place long, n long")
+    inner = segs.repartition("gram").sortWithinPartitions("gram").mapInArrow(freed(_expand), "place long, n long")
     outer = found.filter(~F.col("ask")).select("place", F.shiftright("shape", 7).cast("long").alias("n"))
     if split:
         inner = inner.union(single.select("place", F.lit(1).cast("long").alias("n")))
     spans = outer.union(inner).groupBy(number.alias("ord")).agg(F.collect_list(F.struct(F.col("place").bitwiseAND(low).alias("start"), "n")).alias("spans"))
-    cleaned = d.select("ord", "text").join(spans, "ord").mapInArrow(_strip, "ord long, n_removed long, n_spans long, kept_sha256 string")
+    cleaned = d.select("ord", "text").join(spans, "ord").mapInArrow(freed(_strip), "ord long, n_removed long, n_spans long, kept_sha256 string")
     text = F.coalesce("text", F.lit(""))
     base = d.select("id", "ord", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     out = base.join(cleaned, "ord", "left")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import cut, new_path, table, tune
+from .common import cut, freed, new_path, table, tune
 
 END = "\r\n\r\n"
 MAGIC = b"WARC/1."
@@ -153,7 +153,7 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     open: the record that reaches into the block from an earlier one, as an offset in the file.
     """
     tune(spark)
-    found = _chunks(spark, path).mapInArrow(_candidates, _CANDIDATES).persist()
+    found = _chunks(spark, path).mapInArrow(freed(_candidates), _CANDIDATES).persist()
     order = Window.partitionBy("file").orderBy("block")
     blocks = found.filter(F.col("start").isNull()).select("file", "block", (F.sum("size").over(order) - F.col("size")).alias("base"))
     cand = found.filter(F.col("start").isNotNull()).join(blocks, ["file", "block"]).select("file", "block", *[(F.col(c) + F.col("base")).alias(c) for c in ("start", "exit", "last")])
@@ -248,8 +248,8 @@ def read(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
     else:
         rows = _chunks(spark, path).withColumn("n", F.monotonically_increasing_id()).join(at, key).repartition(*key).sortWithinPartitions(*key, "n")
     rows = rows.select("file", "block", "value", "base", "entry", "open")
-    whole = rows.mapInArrow(lambda batches: _parts(batches, True), _PARTS)
-    split = rows.mapInArrow(lambda batches: _parts(batches, False), _PARTS)
+    whole = rows.mapInArrow(freed(lambda batches: _parts(batches, True)), _PARTS)
+    split = rows.mapInArrow(freed(lambda batches: _parts(batches, False)), _PARTS)
     split = split.groupBy("file", "record").agg(F.max("header").alias("header"), F.max("length").alias("length"), F.sort_array(F.collect_list(F.struct("at", "data"))).alias("parts"))
     split = split.filter(F.col("header").isNotNull())  # else blanks after a record that was whole
     joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["data"]))

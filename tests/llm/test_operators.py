@@ -582,3 +582,38 @@ def test_pieces_of_odd_rows(spark, odd, none):
     assert got[4]["ids"] is None and got[5]["ids"] == [] and got[4]["n_tokens"] == 0 and pieces.round_trip(none).count() == 0
     back = pieces.decode(pieces.encode(odd)).filter("doc_id = 1").first()
     assert back["decoded"] == back["text"]
+
+
+def test_words_cut_at_lines_and_blanks():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    v = pieces.Vocabulary(pieces.default_model())
+    rng = random.Random(9)
+    texts = ["\n", " \n", "\n ", "a\nb", "a \nb", "a\n b", "a\n\n b  \n  c", "\n\n\n", "x\ny z\n", " \n \n"] + ["".join(rng.choice(["a", "the", " ", "\n", "\t", "é", "▁", "😀"]) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    assert v.lines and v.encode(texts) == [sp.encode(x) for x in texts]
+    assert v.before or v.held > 0
+
+
+def test_memory_is_bound_in_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 50_000)
+    monkeypatch.setattr(pieces, "PAIRS", 500)
+    v = pieces.Vocabulary(pieces.default_model())
+    rng = random.Random(3)
+    for _ in range(40):
+        v.encode([sentence(rng, 30)])
+        assert v.held <= 50_000 + 30 * 400 and len(v.parts) <= 500
+    v.forget()
+    assert not v.known and not v.before
+
+
+def _field(number, value):
+    return bytes([number << 3 & 127 | (128 if number > 15 else 0), *([number >> 4] if number > 15 else []), value]) if isinstance(value, int) else bytes([number << 3 | 2, len(value)]) + value
+
+
+def test_models_that_change_texts_are_refused():
+    plain = _field(4, 0)
+    assert pieces.model_type(_field(2, _field(3, 2)) + _field(3, plain)) == pieces.BPE
+    for bad in (_field(3, b""), _field(3, plain + _field(3, 0)), _field(3, plain + _field(2, b"x")), _field(3, plain) + _field(2, _field(24, 1)), _field(3, plain) + _field(1, _field(3, 4)), _field(3, plain) + _field(2, _field(3, 3))):
+        with pytest.raises(ValueError):
+            pieces.model_type(bad)
