@@ -1,12 +1,14 @@
 """Personal data: base patterns and bootstrapped contextual extraction, in DataFrame functions only.
 
-Base spans (emails, addresses, cards, phones) are the seeds. Runs of tokens that hold a digit are
-the instances; the two words before a run are its lexical pattern. Patterns and instances form a
-graph. A pattern's support is the summed score of its distinct instances: one for a seed, and for
-any other what the other trusted patterns give that it stands in. Instances without a score are unknown and count
-neither way. A pattern is trusted if it has enough support, more of it than chance gives to other
-patterns, and is specific: a large part of all its occurrences in the corpus precede an instance.
-Rounds spread trust until it stands still. Runs behind trusted patterns are new spans of kind ``context``.
+Runs of tokens that hold a digit are the instances. Seeds are the runs that meet a base span (emails,
+addresses, cards, phones) or have the shape of a generated secret. The two words before a run and the
+two behind it are its lexical patterns; words go across lines, and the text's start and end and other
+runs stand as words of their own. Patterns and instances form a graph. A pattern's support is the
+summed score of its distinct instances: one for a seed, and for any other what the other trusted
+patterns give that it stands in. Instances without a score are unknown and count neither way. A
+pattern is trusted if it has enough support, more of it than chance gives to other patterns, and is
+specific: a large part of all its occurrences in the corpus stand at an instance. Rounds spread trust
+until it stands still. Runs at trusted patterns are new spans of kind ``context``.
 """
 
 from __future__ import annotations
@@ -28,27 +30,55 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?+[0-9]){13}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CONTEXT = "context"
 _BLANK = r"\x20\x09-\x0D"
-RUN = rf"(?<![^{_BLANK}])[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+(?:[\x20\x09][^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+)*+"
-_EDGE = ".,;:!?\"'()[]{}<>"
+#: A run is a token with a digit, or several that have digits but no letters.
+_PLAIN = rf"[^{_BLANK}0-9\p{{L}}]*+[0-9][^{_BLANK}\p{{L}}]*+(?![^{_BLANK}])"
+RUN = rf"(?<![^{_BLANK}])(?:{_PLAIN}(?:[\x20\x09]{_PLAIN})*+|[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+)"
+_EDGE = ".,;:!?\"'()[]{}<>#*|$%&~`"
+#: Words that stand for the text's start, a run, and the text's end.
+START, MARK, END = "\ue001", "\ue000", "\ue002"
+#: Shapes of generated secrets (digests and keys in hexadecimal, identifiers in five groups, long keys of mixed characters).
+SECRET = r"^(?:[0-9a-fA-F]{32,}|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])(?=(?:[^0-9]*[0-9]){3})[A-Za-z0-9+/_-]{20,}={0,2})$"
 #: A run is an identifier if it has so many characters and digits.
 LEAST_CHARS, LEAST_DIGITS = 6, 3
-#: A trusted pattern has such a support, and such a share of its occurrences before instances; its share of supported instances is surely above that of
+#: A trusted pattern has such a support, and such a share of its occurrences at instances; its share of supported instances is surely above that of
 #: all other patterns, or above CHANCE where that is larger. Z is the square of the normal deviate of a 95 % interval.
-SEEDS, SPECIFIC, CHANCE, Z = 8, 0.3, 0.5, 1.96**2
+SEEDS, SPECIFIC, CHANCE, Z = 8, 0.3, 0.25, 1.96**2
+#: A pattern that could not make up one occurrence in so many of its rarer word, were it specific, is no term of its own: it is not trusted.
+TERM = 20
 #: Supports stand still if their sum (of logarithms) changes by no larger part.
 STILL = 1e-4
+#: Items that are folded into one array before the arrays are joined: appending to one array alone would take quadratic time.
+FOLD = 1000
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _fold(items: Column, state: Column, kind: str, step) -> Column:
+    """Array of what ``step`` gives for each item: step(state, item) is a struct of state and one; state goes from item to item."""
+    empty = lambda k: F.array().cast(f"array<{k}>")
+
+    def inner(a, x):
+        got = step(a["state"], x)
+        return F.struct(got["state"].alias("state"), F.array_append(a["out"], got["one"]).alias("out"))
+
+    def outer(a, chunk):
+        return F.aggregate(chunk, F.struct(a["state"].alias("state"), empty(kind).alias("out")), inner, lambda r: F.struct(r["state"].alias("state"), F.array_append(a["out"], r["out"]).alias("out")))
+
+    chunks = F.transform(F.sequence(F.lit(0), (F.size(items) - 1).cast("int"), F.lit(FOLD)), lambda i: F.slice(items, i + 1, F.lit(FOLD)))
+    out = F.aggregate(chunks, F.struct(state.alias("state"), empty(f"array<{kind}>").alias("out")), outer, lambda a: F.flatten(a["out"]))
+    return F.when(F.size(items) > 0, out).otherwise(empty(kind))
+
+
 def _places(text: Column, pattern: str) -> Column:
     """start, end and text of every match: lengths of matches and of what lies between add up to offsets."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    end = lambda a, x: a["pos"] + x["gap"] + F.length(x["m"])
-    step = lambda a, x: F.struct(end(a, x).alias("pos"), F.array_append(a["out"], F.struct((a["pos"] + x["gap"]).alias("start"), end(a, x).alias("end"), x["m"].alias("text"))).alias("out"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(both, start, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+
+    def step(pos, x):
+        start, end = pos + x["gap"], pos + x["gap"] + F.length(x["m"])
+        return F.struct(end.alias("state"), F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")).alias("one"))
+
+    return _fold(both, F.lit(0), "struct<start:int,end:int,text:string>", step)
 
 
 def _luhn(digits: Column) -> Column:
@@ -88,38 +118,58 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(name, x["kind"]), x["start"], x["end"])), ",")
 
 
-def _bare(word: Column) -> Column:
-    return F.translate(F.lower(word), _EDGE, "")
+def words(text: Column) -> Column:
+    """Lower-cased words without punctuation."""
+    return F.filter(F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r" + _EDGE, "     "), " "), lambda w: w != "")
+
+
+def _near(gap: Column, last: bool) -> Column:
+    """Words of a gap that hold its last two (or first two) or are all: most often those of its end tell."""
+    part = F.right(gap, F.lit(100)) if last else F.substring(gap, 1, 100)
+    return F.get(F.transform(F.array(words(part)), lambda w: F.when((F.size(w) >= 3) | (F.length(gap) <= 100), w).otherwise(words(gap))), F.lit(0))
+
+
+_RUN = "struct<start:int,end:int,text:string,left:string,right:string>"
 
 
 def runs(text: Column) -> Column:
-    """Runs of digit tokens that may be identifiers: start, end, text (without punctuation at its ends) and the pattern of two words before.
+    """Runs of digit tokens that may be identifiers: start, end, text (without punctuation at its ends) and the patterns before and behind it.
 
-    A run that has not two words in the 120 characters before it on its line has no pattern and is left out.
+    Before the first run stand the marks of the text's start, and before others what came before. A run with too few words
+    up to the next run has no pattern behind it.
     """
     found = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-    gaps = F.slice(F.split(text, RUN, -1), F.lit(1), F.size(found))
-    both = F.zip_with(gaps, found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    kind = "array<struct<start:int,end:int,text:string,pattern:string>>"
+    gaps = F.split(text, RUN, -1)
+    n = F.size(found)
+    last = F.concat(F.array_repeat(F.lit(False), n - 1), F.array(F.lit(True)))
+    around = F.zip_with(F.slice(gaps, F.lit(2), n), last, lambda gap, end: F.struct(gap.alias("next"), end.alias("last")))
+    between = F.zip_with(F.slice(gaps, F.lit(1), n), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+    items = F.zip_with(between, around, lambda a, b: F.struct(a["gap"].alias("gap"), a["m"].alias("m"), b["next"].alias("next"), b["last"].alias("last")))
+    items = F.when(n > 0, items).otherwise(F.array().cast("array<struct<gap:string,m:string,next:string,last:boolean>>"))
 
     def step(a, x):
         start = a["pos"] + F.length(x["gap"])
         core = F.trim(x["m"], F.lit(_EDGE))
         skip = F.length(x["m"]) - F.length(F.ltrim(x["m"], F.lit(_EDGE)))
-        words = F.split(F.trim(F.substring_index(F.right(x["gap"], F.lit(120)), "\n", -1)), r"[\x20\x09-\x0D]+")
-        pattern = F.when(F.size(words) >= 2, F.concat_ws(" ", _bare(F.get(words, F.size(words) - 2)), _bare(F.get(words, F.size(words) - 1))))
-        one = F.struct((start + skip).alias("start"), (start + skip + F.length(core)).alias("end"), core.alias("text"), pattern.alias("pattern"))
-        return F.struct((start + F.length(x["m"])).alias("pos"), F.array_append(a["out"], one).alias("out"))
+        before = F.slice(F.concat(a["tail"], _near(x["gap"], True)), -2, 2)
+        behind = F.concat(_near(x["next"], False), F.when(x["last"], F.array(F.lit(END), F.lit(END))).otherwise(F.array(F.lit(MARK))))
+        pair = lambda side, w: F.when(F.size(w) >= 2, F.concat_ws(" ", F.lit(side), F.get(w, F.lit(0)), F.get(w, F.lit(1))))
+        one = F.struct((start + skip).alias("start"), (start + skip + F.length(core)).alias("end"), core.alias("text"), pair("<", before).alias("left"), pair(">", behind).alias("right"))
+        return F.struct(F.struct((start + F.length(x["m"])).alias("pos"), F.array(F.get(before, F.lit(1)), F.lit(MARK)).alias("tail")).alias("state"), one.alias("one"))
 
-    all_ = F.aggregate(both, F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
-    good = lambda x: x["pattern"].isNotNull() & (F.length(x["text"]) >= LEAST_CHARS) & (F.length(F.regexp_replace(x["text"], "[^0-9]", "")) >= LEAST_DIGITS)
-    return F.when(text.rlike("[0-9]"), F.filter(all_, good)).otherwise(F.array().cast(kind))
+    all_ = _fold(items, F.struct(F.lit(0).alias("pos"), F.array(F.lit(START), F.lit(START)).alias("tail")), _RUN, step)
+    good = lambda x: (F.length(x["text"]) >= LEAST_CHARS) & (F.length(F.regexp_replace(x["text"], "[^0-9]", "")) >= LEAST_DIGITS)
+    return F.when(text.rlike("[0-9]"), F.filter(all_, good)).otherwise(F.array().cast(f"array<{_RUN}>"))
 
 
-def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, mark (hash of the text), spans and runs of every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), base_spans(text).alias("spans"), runs(text).alias("runs"))
+def _met(spans: Column, run: Column) -> Column:
+    return F.exists(spans, lambda s: (s["start"] < run["end"]) & (s["end"] > run["start"]))
+
+
+def _scanned(docs: DataFrame, text_col: str, *kept: Column) -> DataFrame:
+    """Columns that are kept, mark (hash of the text), spans and runs of every row, written once."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return cut(docs.select(*kept, F.xxhash64(text).alias("__mark"), base_spans(text).alias("__spans"), runs(text).alias("__runs")), "pii-scan")
 
 
 def _sure(p: Column, n: Column) -> Column:
@@ -131,35 +181,37 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= 100_000 else df
 
 
-def specific(edges: DataFrame, patterns: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Edges of those of the patterns of which such a share of all occurrences precede instances."""
-    before = edges.groupBy("pattern").agg(F.sum("n").alias("before"))
-    words = F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"[^{_BLANK}]+"), F.lit(0)), _bare)
-    pairs = docs.select(words.alias("w")).select(F.explode(F.zip_with("w", F.slice(F.col("w"), 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))).alias("pattern"))
-    total = pairs.groupBy("pattern").count() if patterns.count() > 100_000 else pairs.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").count()
-    good = patterns.join(before, "pattern").join(total, "pattern").filter(F.col("before") >= SPECIFIC * F.col("count")).select("pattern")
+def specific(edges: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Edges of those patterns of which such a share of all occurrences stand at instances.
+
+    The words of all texts are counted first. Only terms of their own (see TERM) have their pairs of words counted, so that the pairs
+    counted are at most a fixed multiple of the runs.
+    """
+    before = edges.groupBy("pattern").agg(F.sum("n").alias("before")).withColumn("pair", F.expr("substring(pattern, 3)"))
+    tokens = F.concat(F.array(F.lit(START), F.lit(START)), words(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), RUN, f" {MARK} ")), F.array(F.lit(END), F.lit(END)))
+    seqs = docs.select(tokens.alias("w"))
+    counts = seqs.select(F.explode("w").alias("word")).groupBy("word").count()
+    asked = before.select("pattern", F.explode(F.split("pair", " ")).alias("word"))
+    rarer = asked.join(counts, "word").groupBy("pattern").agg(F.min("count").alias("rarer"))
+    terms = cut(before.join(rarer, "pattern").filter(F.col("before") * (TERM / SPECIFIC) >= F.col("rarer")).select("pattern", "pair", "before"), "pii-terms")
+    pairs = seqs.select(F.explode(F.zip_with("w", F.slice(F.col("w"), 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))).alias("pair"))
+    total = pairs.join(_small(terms.select("pair").distinct()), "pair", "left_semi").groupBy("pair").count()
+    good = terms.join(total, "pair").filter(F.col("before") >= SPECIFIC * F.col("count")).select("pattern")
     return cut(edges.join(_small(cut(good, "pii-specific")), "pattern", "left_semi"), "pii-good")
 
 
 def trusted(scanned: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame | None:
-    """Trusted patterns (pattern), or None if there is none.
-
-    Rounds run twice: over all patterns, then over those of the first result that are specific. As scores only grow
-    with the patterns that take part, none is lost by that, and only the occurrences of few are counted in the texts.
-    """
-    seed = F.exists("spans", lambda s: (s["start"] < F.col("r.end")) & (s["end"] > F.col("r.start")))
-    occ = scanned.filter(F.size("runs") > 0).select("spans", F.explode("runs").alias("r")).select(F.col("r.pattern").alias("pattern"), F.col("r.text").alias("instance"), seed.cast("double").alias("seed"))
+    """Trusted patterns (pattern), or None if there is none."""
+    r = scanned.filter(F.size("__runs") > 0).select("__spans", F.explode("__runs").alias("r"))
+    seed = (_met(F.col("__spans"), F.col("r")) | F.col("r.text").rlike(SECRET)).cast("double")
+    occ = r.select(F.explode(F.array("r.left", "r.right")).alias("pattern"), F.col("r.text").alias("instance"), seed.alias("seed")).filter("pattern is not null")
     edges = cut(occ.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
     whole = edges.agg(F.coalesce(F.sum("seed"), F.lit(0.0)).alias("seeds"), F.count("*").alias("all")).first()
     # Fewer distinct instances are no such support, whatever their scores.
     base = cut(edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").alias("all")).filter(F.col("all") >= SEEDS), "pii-patterns")
     if base.filter(F.col("seeds") >= SEEDS).isEmpty():
         return None  # no pattern to begin with
-    edges = edges.join(base.select("pattern", "all"), "pattern")
-    wide = spread(edges, whole["seeds"], whole["all"])
-    if wide is None:
-        return None
-    return spread(specific(edges, wide, docs, text_col), whole["seeds"], whole["all"])
+    return spread(specific(edges.join(base.select("pattern", "all"), "pattern"), docs, text_col), whole["seeds"], whole["all"])
 
 
 def spread(edges: DataFrame, seeds: float, n: int) -> DataFrame | None:
@@ -189,62 +241,69 @@ def spread(edges: DataFrame, seeds: float, n: int) -> DataFrame | None:
         support = own.join(all_, "instance", "left").groupBy("pattern").agg(F.sum(score).alias("support"))
 
 
-def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
-    """more_id, more_mark and added spans (more) of the documents that have runs behind trusted patterns; runs that meet a base span add none."""
-    r = scanned.filter(F.size("runs") > 0).select("id", "mark", "spans", F.explode("runs").alias("r")).filter(~F.exists("spans", lambda s: (s["start"] < F.col("r.end")) & (s["end"] > F.col("r.start"))))
-    r = r.select("id", "mark", F.col("r.pattern").alias("pattern"), F.struct(F.col("r.start").alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("r.end").alias("end")).alias("s"))
-    return r.join(patterns, "pattern", "left_semi").groupBy(F.col("id").alias("more_id"), F.col("mark").alias("more_mark")).agg(F.array_sort(F.collect_set("s")).alias("more"))
+def discovered(scanned: DataFrame, patterns: DataFrame, id_col: str) -> DataFrame:
+    """more_id, more_mark and added spans (more) of the documents that have runs at trusted patterns; runs that meet a base span add none."""
+    r = scanned.filter(F.size("__runs") > 0).select(F.col(f"`{id_col}`").alias("more_id"), F.col("__mark").alias("more_mark"), "__spans", F.explode("__runs").alias("r")).filter(~_met(F.col("__spans"), F.col("r")))
+    s = F.struct(F.col("r.start").alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("r.end").alias("end"))
+    r = r.select("more_id", "more_mark", s.alias("s"), F.explode(F.array("r.left", "r.right")).alias("pattern"))
+    return r.join(patterns, "pattern", "left_semi").groupBy("more_id", "more_mark").agg(F.array_sort(F.collect_set("s")).alias("__more"))
+
+
+def _all_spans(docs: DataFrame, text_col: str, id_col: str, *kept: Column) -> DataFrame:
+    """Columns that are kept, __spans, and __all: base spans and added ones."""
+    s = _scanned(docs, text_col, *kept)
+    patterns = trusted(s, docs, text_col)
+    if patterns is None:
+        return s.withColumn("__all", F.col("__spans"))
+    more = discovered(s, patterns, id_col)
+    s = s.join(more, F.col(f"`{id_col}`").eqNullSafe(F.col("more_id")) & (F.col("__mark") == F.col("more_mark")), "left")
+    return s.withColumn("__all", F.when(F.col("__more").isNull(), F.col("__spans")).otherwise(F.array_sort(F.concat("__spans", "__more"))))
 
 
 def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, base spans and all spans of every row.
+    """id, base spans and all spans of every row; other columns of ``docs`` take no part, whatever their names.
 
-    A null or empty text has no spans. Rows of one id and one text get the same spans. Without
-    seeds or trusted patterns, the base spans are all there are.
+    A null or empty text has no spans; a text of any length is searched whole. Rows of one id and one text get the same
+    spans, and repeated identifiers count once as instances. Without seeds or trusted patterns, the base spans are all there
+    are. An empty table gives no rows.
     """
-    s = cut(scan(docs, text_col, id_col), "pii-scan")  # the text is read once for all that follows
-    patterns = trusted(s, docs, text_col)
-    if patterns is None:
-        return s.select("id", "spans", F.col("spans").alias("all_spans"))
-    more = discovered(s, patterns)
-    same = F.col("id").eqNullSafe(F.col("more_id")) & (F.col("mark") == F.col("more_mark"))
-    return s.join(more, same, "left").select("id", "spans", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more"))).alias("all_spans"))
+    out = _all_spans(docs, text_col, id_col, F.col(f"`{id_col}`"))
+    return out.select(F.col(f"`{id_col}`").alias("id"), F.col("__spans").alias("spans"), F.col("__all").alias("all_spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """All columns, with every span of the text replaced by its kind in angle brackets; spans that overlap become one.
 
-    A column n_chars is brought up to date. Null texts stay null.
+    A column n_chars is brought up to date. Null texts stay null, and empty ones empty; texts of any length are redacted whole,
+    and an empty table stays empty. Further columns are kept as they are (names that begin with two underscores are this operator's).
     """
-    s = scan(docs, text_col, id_col)
-    patterns = trusted(s, docs, text_col)
-    text = F.col(text_col)
-    if patterns is None:
-        d = docs.withColumn("__spans", base_spans(text))
-    else:
-        more = discovered(s, patterns)
-        d = docs.withColumn("__mark", F.xxhash64(F.coalesce(text, F.lit(""))))
-        d = d.join(more.select(*[F.col(c).alias(f"__{c}") for c in more.columns]), F.col(id_col).eqNullSafe(F.col("__more_id")) & (F.col("__mark") == F.col("__more_mark")), "left")
-        d = d.withColumn("__spans", F.array_sort(F.concat(base_spans(text), F.coalesce("__more", F.array().cast(_SPAN)))))
-    name = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, CONTEXT)])
-    step = lambda a, x: F.when(
-        x["start"] < a["pos"], F.struct(F.greatest(a["pos"], x["end"]).alias("pos"), a["out"].alias("out"))
-    ).otherwise(F.struct(x["end"].alias("pos"), F.concat(a["out"], F.substring(text, a["pos"] + 1, x["start"] - a["pos"]), F.get(name, x["kind"])).alias("out")))
-    done = F.aggregate("__spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
-    new = F.when(F.size("__spans") > 0, done).otherwise(text)
-    d = d.withColumn(text_col, new)
-    return d.select(*[F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    d = _all_spans(docs, text_col, id_col, *[F.col(f"`{c}`") for c in docs.columns])
+    text, name = F.col(f"`{text_col}`"), F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, CONTEXT)])
+
+    def step(pos, x):
+        inside = x["start"] < pos
+        part = F.when(inside, "").otherwise(F.concat(F.substring(text, pos + 1, x["start"] - pos), F.get(name, x["kind"])))
+        return F.struct(F.greatest(pos, x["end"]).alias("state"), part.alias("one"))
+
+    end = F.array_max(F.transform("__all", lambda x: x["end"]))
+    done = F.concat(F.concat_ws("", _fold(F.col("__all"), F.lit(0), "string", step)), F.substring(text, end + 1, F.length(text)))
+    d = d.withColumn("__text", F.when(F.size("__all") > 0, done).otherwise(text))
+    new = F.col("__text")
+    return d.select(*[new.alias(c) if c == text_col else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, digest of the base spans, and all spans of every document."""
+    """Counts, digest of the base spans, all spans of every document, and how many of them the contexts added and there are in all."""
     found = find(table(spark, sf_dir, "documents"))
-    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
-    return found.select(F.col("id").alias("doc_id"), *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"))
+    count = lambda k, c="spans": F.size(F.filter(c, lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"),
+        count(len(KINDS), "all_spans").alias("n_context"), F.size("all_spans").cast("long").alias("n_spans"),
+    )
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Documents with personal data replaced."""
+    """Documents with personal data replaced; see ``redact`` for odd rows."""
     return redact(docs)
 
 

@@ -14,6 +14,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from docloom.llm import ann, brown, components, langid, minhash, mixing, pieces, pii, quality, queries, substrings, warc
@@ -113,6 +114,99 @@ def test_contexts_spread_over_unseen_identifiers(spark):
     assert all(got[i] == 0 for i in range(72, 222))
 
 
+def plain_words(x):
+    return [w for w in re.split("[ \t-\r]+", re.sub("[" + re.escape(pii._EDGE) + "]", "", x.lower())) if w]
+
+
+def plain_contexts(texts):
+    """Trusted patterns and all spans, computed by rounds over plain dictionaries."""
+    S, M, E = pii.START, pii.MARK, pii.END
+    runs, occ, total, count = [], [], Counter(), Counter()
+    for x in texts:
+        x, mine, tail, at = x or "", [], [S, S], 0
+        base = plain_spans(x)
+        found = list(regex.finditer(pii.RUN, x))
+        for k, m in enumerate(found):
+            tail = (tail + plain_words(x[at : m.start()]))[-2:]
+            at = m.end()
+            behind = plain_words(x[at : found[k + 1].start()]) + [M] if k + 1 < len(found) else plain_words(x[at:]) + [E, E]
+            core = m[0].strip(pii._EDGE)
+            start = m.start() + len(m[0]) - len(m[0].lstrip(pii._EDGE))
+            if len(core) >= 6 and len(re.sub("[^0-9]", "", core)) >= 3:
+                pats = ["< " + " ".join(tail)] + (["> " + " ".join(behind[:2])] if len(behind) > 1 else [])
+                mine.append((start, start + len(core), core, pats, any(s < start + len(core) and e > start for s, _, e in base)))
+            tail = [tail[1], M]
+        runs.append((base, mine))
+        w = [S, S] + plain_words(regex.sub(pii.RUN, f" {M} ", x)) + [E, E]
+        count.update(w)
+        total.update(zip(w, w[1:]))
+    stands, n, seed = {}, Counter(), {}
+    for _, mine in runs:
+        for _, _, core, pats, met in mine:
+            for p in pats:
+                stands.setdefault(p, set()).add(core)
+                n[p] += 1
+                seed[p, core] = max(seed.get((p, core), 0.0), float(met or bool(re.match(pii.SECRET, core))))
+    seeds = {p: sum(seed[p, i] for i in c) for p, c in stands.items()}
+    whole, all_ = sum(seeds.values()), sum(map(len, stands.values()))
+    live = {p for p, c in stands.items() if len(c) >= pii.SEEDS and n[p] * pii.TERM / pii.SPECIFIC >= min(count[w] for w in p[2:].split()) and n[p] >= pii.SPECIFIC * total[tuple(p[2:].split())]}
+    chance = {p: min(pii.CHANCE, (whole - seeds[p]) / max(1, all_ - len(stands[p]))) for p in live}
+    support, last = {p: seeds[p] for p in live}, None
+    while True:
+        sure = lambda q, m: (q + pii.Z / (2 * m) - math.sqrt(pii.Z * (max(q * (1 - q), 0) / m + pii.Z / (4 * m * m)))) / (1 + pii.Z / m)
+        good = {p: math.log(pii.Z / (support[p] + pii.Z)) for p in live if support[p] >= pii.SEEDS and sure(min(support[p] / len(stands[p]), 1), len(stands[p])) > chance[p]}
+        now = (len(good), sum(good.values()))
+        if not good or (last and now[0] == last[0] and abs(now[1] - last[1]) <= pii.STILL * abs(now[1])):
+            break
+        last, doubt = now, Counter()
+        for p, d in good.items():
+            for i in stands[p]:
+                doubt[i] += d
+        support = {p: sum(max(seed[p, i], 1 - math.exp(min(doubt[i] - good.get(p, 0.0), 0))) for i in stands[p]) for p in live}
+    if max(seeds.values(), default=0) < pii.SEEDS:
+        good = {}
+    return set(good), [sorted(set(base) | {(s, 4, e) for s, e, _, pats, met in mine if not met and good.keys() & set(pats)}) for base, mine in runs]
+
+
+def context_texts():
+    rng = random.Random(12)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    fill = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    kinds = [
+        lambda: f'{fill(5)} token = "{hexa(40)}" {fill(3)}',
+        lambda: f'{fill(5)}\n### Token = "k-{rng.randrange(10**6)}"##{fill(3)} {rng.randrange(10**5)} 10.0.0.{rng.randrange(256)}',
+        lambda: f"SSN: {rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}, {fill(2)}",
+        lambda: f"{fill(4)} call +1 (555) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)} or {rng.randrange(10**9, 10**10)} by day {fill(4)}",
+        lambda: f"{fill(3)} mail to u{rng.randrange(1000, 9999)}@x{rng.randrange(50)}.example.org from now {fill(3)}",
+        lambda: f"{fill(3)} version {rng.choice(['1.2.345', '2.0.100'])} of it {fill(3)}",
+        lambda: f"{fill(6)} {rng.randrange(10**6, 10**8)} {fill(6)}",
+        lambda: fill(30),
+        lambda: "",
+        lambda: None,
+    ]
+    return [rng.choice(kinds)() for _ in range(700)] + ["a " * 200 + "token\n=\n" + hexa(40), "7" * 3000, "1234567 " * 2500 + "token = abc-123456"]
+
+
+def test_contexts_equal_plain_rounds(spark):
+    texts = context_texts()
+    good, want = plain_contexts(texts)
+    df = small(spark, texts)
+    got = {r[0]: sorted(map(tuple, r[1])) for r in pii.find(df).select("id", "all_spans").collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    s = pii._scanned(df, "text", F.col("doc_id"))
+    assert {r[0] for r in pii.trusted(s, df).collect()} == good and "< token =" in good and any(len(x) and x[0][1] == 4 for x in want)
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_planted_secrets_are_found(spark, folder):
+    df = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    planted = F.lower("text").rlike('token = "[0-9a-f]{40}"')
+    got = pii.find(df).join(df, F.col("id") == F.col("doc_id")).select(planted.alias("p"), F.exists("all_spans", lambda s: s["kind"] == 4).alias("c"), (F.size("all_spans") > 0).alias("any"), F.col("text").rlike("[0-9]{3}").alias("digits")).collect()
+    mine = [r for r in got if r["p"]]
+    assert sum(r["c"] for r in mine) >= 0.9 * len(mine) > 0
+    assert not any(r["c"] for r in got if not r["p"]) and not any(r["any"] for r in got if not r["digits"] and not r["p"] and r["any"] and r["c"])
+
+
 def test_redaction_of_overlaps_and_odd_rows(spark, odd, none):
     x = "é +1 (628) 555-2987 a@b.c 4923437827071911"
     out = pii.redact(small(spark, [x, "+4923437827071911 z"])).orderBy("doc_id").collect()
