@@ -34,6 +34,8 @@ _BLANK = r"\x20\x09-\x0D"
 _PLAIN = rf"[^{_BLANK}0-9\p{{L}}]*+[0-9][^{_BLANK}\p{{L}}]*+(?![^{_BLANK}])"
 RUN = rf"(?<![^{_BLANK}])(?:{_PLAIN}(?:[\x20\x09]{_PLAIN})*+|[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+)"
 _EDGE = ".,;:!?\"'()[]{}<>#*|$%&~`"
+#: What lies between the words of a pattern: blanks and punctuation.
+_BETWEEN = r"[\x20\x09-\x0D.,;:!?\x22'()\[\]{}<>#*|$%&~`]+"
 #: Words that stand for the text's start, a run, and the text's end.
 START, MARK, END = "\ue001", "\ue000", "\ue002"
 #: Shapes of generated secrets (digests and keys in hexadecimal, identifiers in five groups, long keys of mixed characters).
@@ -45,6 +47,8 @@ LEAST_CHARS, LEAST_DIGITS = 6, 3
 SEEDS, SPECIFIC, CHANCE, Z = 8, 0.3, 0.25, 1.96**2
 #: A pattern that could not make up one occurrence in so many of its rarer word, were it specific, is no term of its own: it is not trusted.
 TERM = 20
+#: Words by which texts are passed over before their pairs of words are built, at most; beyond it all texts give theirs.
+MOST_NAMED = 5_000
 #: Supports stand still if their sum (of logarithms) changes by no larger part.
 STILL = 1e-4
 #: Items that are folded into one array before the arrays are joined: appending to one array alone would take quadratic time.
@@ -53,32 +57,47 @@ FOLD = 1000
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _let(x: Column, fn) -> Column:
+    """fn(x) with x computed once, however often fn names it."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def _fold(items: Column, state: Column, kind: str, step) -> Column:
     """Array of what ``step`` gives for each item: step(state, item) is a struct of state and one; state goes from item to item."""
     empty = lambda k: F.array().cast(f"array<{k}>")
 
     def inner(a, x):
-        got = step(a["state"], x)
-        return F.struct(got["state"].alias("state"), F.array_append(a["out"], got["one"]).alias("out"))
+        return _let(step(a["state"], x), lambda got: F.struct(got["state"].alias("state"), F.array_append(a["out"], got["one"]).alias("out")))
 
     def outer(a, chunk):
         return F.aggregate(chunk, F.struct(a["state"].alias("state"), empty(kind).alias("out")), inner, lambda r: F.struct(r["state"].alias("state"), F.array_append(a["out"], r["out"]).alias("out")))
 
-    chunks = F.transform(F.sequence(F.lit(0), (F.size(items) - 1).cast("int"), F.lit(FOLD)), lambda i: F.slice(items, i + 1, F.lit(FOLD)))
-    out = F.aggregate(chunks, F.struct(state.alias("state"), empty(f"array<{kind}>").alias("out")), outer, lambda a: F.flatten(a["out"]))
-    return F.when(F.size(items) > 0, out).otherwise(empty(kind))
+    def all_(x):
+        chunks = F.transform(F.sequence(F.lit(0), (F.size(x) - 1).cast("int"), F.lit(FOLD)), lambda i: F.slice(x, i + 1, F.lit(FOLD)))
+        out = F.aggregate(chunks, F.struct(state.alias("state"), empty(f"array<{kind}>").alias("out")), outer, lambda a: F.flatten(a["out"]))
+        return F.when(F.size(x) > 0, out).otherwise(empty(kind))
+
+    return _let(items, all_)
+
+
+def _gaps(text: Column, pattern: str, fn) -> Column:
+    """fn(found, gaps) of the matches and of what lies between, before and behind them."""
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), lambda x: fn(x["found"], x["gaps"]))
 
 
 def _places(text: Column, pattern: str) -> Column:
     """start, end and text of every match: lengths of matches and of what lies between add up to offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+    kind = "struct<start:int,end:int,text:string>"
 
     def step(pos, x):
         start, end = pos + x["gap"], pos + x["gap"] + F.length(x["m"])
         return F.struct(end.alias("state"), F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")).alias("one"))
 
-    return _fold(both, F.lit(0), "struct<start:int,end:int,text:string>", step)
+    def all_(found, gaps):
+        both = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+        return F.when(F.size(found) > 0, _fold(both, F.lit(0), kind, step)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return _gaps(text, pattern, all_)
 
 
 def _luhn(digits: Column) -> Column:
@@ -120,13 +139,13 @@ def joined(spans: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased words without punctuation."""
-    return F.filter(F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r" + _EDGE, "     "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
 
 
 def _near(gap: Column, last: bool) -> Column:
     """Words of a gap that hold its last two (or first two) or are all: most often those of its end tell."""
     part = F.right(gap, F.lit(100)) if last else F.substring(gap, 1, 100)
-    return F.get(F.transform(F.array(words(part)), lambda w: F.when((F.size(w) >= 3) | (F.length(gap) <= 100), w).otherwise(words(gap))), F.lit(0))
+    return _let(words(part), lambda w: F.when((F.size(w) >= 3) | (F.length(gap) <= 100), w).otherwise(words(gap)))
 
 
 _RUN = "struct<start:int,end:int,text:string,left:string,right:string>"
@@ -138,15 +157,6 @@ def runs(text: Column) -> Column:
     Before the first run stand the marks of the text's start, and before others what came before. A run with too few words
     up to the next run has no pattern behind it.
     """
-    found = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-    gaps = F.split(text, RUN, -1)
-    n = F.size(found)
-    last = F.concat(F.array_repeat(F.lit(False), n - 1), F.array(F.lit(True)))
-    around = F.zip_with(F.slice(gaps, F.lit(2), n), last, lambda gap, end: F.struct(gap.alias("next"), end.alias("last")))
-    between = F.zip_with(F.slice(gaps, F.lit(1), n), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    items = F.zip_with(between, around, lambda a, b: F.struct(a["gap"].alias("gap"), a["m"].alias("m"), b["next"].alias("next"), b["last"].alias("last")))
-    items = F.when(n > 0, items).otherwise(F.array().cast("array<struct<gap:string,m:string,next:string,last:boolean>>"))
-
     def step(a, x):
         start = a["pos"] + F.length(x["gap"])
         core = F.trim(x["m"], F.lit(_EDGE))
@@ -154,12 +164,24 @@ def runs(text: Column) -> Column:
         before = F.slice(F.concat(a["tail"], _near(x["gap"], True)), -2, 2)
         behind = F.concat(_near(x["next"], False), F.when(x["last"], F.array(F.lit(END), F.lit(END))).otherwise(F.array(F.lit(MARK))))
         pair = lambda side, w: F.when(F.size(w) >= 2, F.concat_ws(" ", F.lit(side), F.get(w, F.lit(0)), F.get(w, F.lit(1))))
-        one = F.struct((start + skip).alias("start"), (start + skip + F.length(core)).alias("end"), core.alias("text"), pair("<", before).alias("left"), pair(">", behind).alias("right"))
-        return F.struct(F.struct((start + F.length(x["m"])).alias("pos"), F.array(F.get(before, F.lit(1)), F.lit(MARK)).alias("tail")).alias("state"), one.alias("one"))
 
-    all_ = _fold(items, F.struct(F.lit(0).alias("pos"), F.array(F.lit(START), F.lit(START)).alias("tail")), _RUN, step)
+        def put(v):
+            one = F.struct((v["start"] + v["skip"]).alias("start"), (v["start"] + v["skip"] + F.length(v["core"])).alias("end"), v["core"].alias("text"), pair("<", v["before"]).alias("left"), pair(">", v["behind"]).alias("right"))
+            return F.struct(F.struct((v["start"] + F.length(x["m"])).alias("pos"), F.array(F.get(v["before"], F.lit(1)), F.lit(MARK)).alias("tail")).alias("state"), one.alias("one"))
+
+        return _let(F.struct(start.alias("start"), skip.alias("skip"), core.alias("core"), before.alias("before"), behind.alias("behind")), put)
+
+    def all_(found, gaps):
+        n = F.size(found)
+        last = F.concat(F.array_repeat(F.lit(False), n - 1), F.array(F.lit(True)))
+        around = F.zip_with(F.slice(gaps, F.lit(2), n), last, lambda gap, end: F.struct(gap.alias("next"), end.alias("last")))
+        between = F.zip_with(F.slice(gaps, F.lit(1), n), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+        items = F.zip_with(between, around, lambda a, b: F.struct(a["gap"].alias("gap"), a["m"].alias("m"), b["next"].alias("next"), b["last"].alias("last")))
+        state = F.struct(F.lit(0).alias("pos"), F.array(F.lit(START), F.lit(START)).alias("tail"))
+        return F.when(n > 0, _fold(items, state, _RUN, step)).otherwise(F.array().cast(f"array<{_RUN}>"))
+
     good = lambda x: (F.length(x["text"]) >= LEAST_CHARS) & (F.length(F.regexp_replace(x["text"], "[^0-9]", "")) >= LEAST_DIGITS)
-    return F.when(text.rlike("[0-9]"), F.filter(all_, good)).otherwise(F.array().cast(f"array<{_RUN}>"))
+    return F.when(text.rlike("[0-9]"), F.filter(_gaps(text, RUN, all_), good)).otherwise(F.array().cast(f"array<{_RUN}>"))
 
 
 def _met(spans: Column, run: Column) -> Column:
@@ -188,12 +210,16 @@ def specific(edges: DataFrame, docs: DataFrame, text_col: str = "text") -> DataF
     counted are at most a fixed multiple of the runs.
     """
     before = edges.groupBy("pattern").agg(F.sum("n").alias("before")).withColumn("pair", F.expr("substring(pattern, 3)"))
-    tokens = F.concat(F.array(F.lit(START), F.lit(START)), words(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), RUN, f" {MARK} ")), F.array(F.lit(END), F.lit(END)))
-    seqs = docs.select(tokens.alias("w"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    marked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, RUN, f" {MARK} ")).otherwise(text)
+    seqs = docs.select(F.split(F.concat(F.lit(f"{START} {START} "), F.lower(marked), F.lit(f" {END} {END}")), _BETWEEN).alias("w"))
     counts = seqs.select(F.explode("w").alias("word")).groupBy("word").count()
     asked = before.select("pattern", F.explode(F.split("pair", " ")).alias("word"))
-    rarer = asked.join(counts, "word").groupBy("pattern").agg(F.min("count").alias("rarer"))
+    rarer = counts.join(_small(asked.select("word").distinct()), "word", "left_semi").join(asked, "word").groupBy("pattern").agg(F.min("count").alias("rarer"))
     terms = cut(before.join(rarer, "pattern").filter(F.col("before") * (TERM / SPECIFIC) >= F.col("rarer")).select("pattern", "pair", "before"), "pii-terms")
+    first = terms.select(F.substring_index("pair", " ", 1).alias("word")).distinct()
+    if first.count() <= MOST_NAMED:  # texts without any of these words need no pairs
+        seqs = seqs.filter(F.arrays_overlap("w", F.array(*[F.lit(r["word"]) for r in first.collect()]).cast("array<string>")))
     pairs = seqs.select(F.explode(F.zip_with("w", F.slice(F.col("w"), 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))).alias("pair"))
     total = pairs.join(_small(terms.select("pair").distinct()), "pair", "left_semi").groupBy("pair").count()
     good = terms.join(total, "pair").filter(F.col("before") >= SPECIFIC * F.col("count")).select("pattern")
