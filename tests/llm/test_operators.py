@@ -582,10 +582,63 @@ def test_mixture_meets_its_weights(spark, monkeypatch):
 
 def test_mixing_odd_rows(spark, odd, none):
     out = mixing.mix(odd)
-    assert out.columns == [*odd.columns, "mix_epoch"] and {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in odd.collect()}
+    assert out.columns == [*odd.columns, *mixing.PLACE] and {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in odd.collect()}
     assert mixing.mix(none).count() == 0 and mixing.stage(spark, odd).columns == odd.columns
 
 
+def plain_mix(rows, exponent_of, seed=1):
+    """Draws of (id, text, source) rows with their places, by plain loops over each source's permutation."""
+    import hashlib as h
+
+    md5 = lambda *p: h.md5(":".join(map(str, p)).encode()).hexdigest()
+    size = {}
+    for i, x, s, ident, block in rows:
+        size[s] = size.get(s, 0) + len(x.split())
+    names = sorted(size)
+    m = exponent_of(names, [size[s] for s in names])
+    out = []
+    for s, w in zip(names, m.weights):
+        epochs, rest = divmod(round(w * m.budget), size[s])
+        for e in range(epochs + 1):
+            used, done = 0, False
+            mine = sorted((md5(f"e{seed}", s, e, block), md5(f"d{seed}", e, ident), len(x.split()), i) for i, x, t, ident, block in rows if t == s)
+            for b, k, n, i in mine:
+                if e == epochs and (used + n > rest or done):
+                    done = True
+                    continue
+                used += n
+                out.append((i, e, b, k))
+    return sorted(out)
+
+
+def test_draws_are_the_permutation(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 7)
+    rng = random.Random(18)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 9)), "en", "big" if i % 10 else f"small{i % 3}", 0, True, 0.0, "", "", "") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    n = {s: sum(r[3] == s for r in rows) for s in {r[3] for r in rows}}
+    blocks = F.create_map(*[F.lit(x) for s, k in n.items() for x in (s, -(-k // 7))])
+    ident = mixing._ident("doc_id", "text")
+    plain = [tuple(r) for r in df.select("doc_id", "text", "source", ident, mixing._block(ident, blocks[F.col("source")].cast("long"), 1)).collect()]
+    for targets in ({"target_entropy": 0.9, "most_repeats": 3.0, "budget": 2500}, {"target_entropy": 0.95}, {"target_entropy": None, "most_repeats": 2.0}):
+        want = plain_mix(plain, lambda s, t: mixing.solve(s, t, **({"most_repeats": 2.0} | targets)))
+        got = mixing.mix(df, **targets).select("doc_id", *mixing.PLACE)
+        assert sorted(map(tuple, got.collect())) == want
+        order = [r["mix_key"] for r in mixing.arranged(got).collect()]
+        assert order == [x[3] for x in sorted(want, key=lambda x: x[1:])]
+
+
+def test_many_sources_are_solved_in_spark(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7), "en", f"s{i % 40}" if i % 3 else "big", 0, True, 0.0, "", "", "") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    one, _ = mixing.plan(df, target_entropy=0.99, most_repeats=5.0)
+    want = sorted(map(tuple, mixing.mix(df, target_entropy=0.99, most_repeats=5.0).select("doc_id", *mixing.PLACE).collect()))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    two, _ = mixing.plan(df, target_entropy=0.99, most_repeats=5.0)
+    assert 0 < one.exponent < 1 and two.exponent == pytest.approx(one.exponent, abs=1e-9) and two.budget == one.budget and not two.sources
+    assert sorted(map(tuple, mixing.mix(df, target_entropy=0.99, most_repeats=5.0).select("doc_id", *mixing.PLACE).collect())) == want
+
+
 # 10: pieces
 
 def test_pieces_agree_with_the_library():
