@@ -1,12 +1,14 @@
 """Language-model scores from Brown classes.
 
-Exchange clustering assigns words to classes: frequent words one by one, the others through the
-group of their last characters, so that every word, seen or not, has a class. Counts of all words and
-of all neighbouring units come from all training documents. A text's probability is the product of
-smoothed class transitions and word emissions.
-
-Counts of the most frequent words travel to every task; those of all other words are joined by a
-shuffle, which is even because no frequent word takes part.
+Exchange clustering assigns words to classes. The most frequent words and the groups of all others by
+their last characters are exchanged first, on one matrix. Then every other word that occurs a few times leaves
+its group: a distributed sweep gathers how often each class stands before and behind it, and gives it the
+class of largest exchange gain. Groups remain for rarer words and those never seen. Classes grow with the cube root of
+the vocabulary. A text's probability is the product of smoothed class transitions and word emissions,
+whose counts come from all training documents under the final classes.
+
+Counts and classes of the most frequent words travel to every task; those of all other words are joined
+by a shuffle, once for each batch of texts that holds them, so no key is hot and no word is dropped.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, fold, freed, table, tune
 
-#: Words that are clustered one by one, groups of the others, classes, and words whose counts are sent to every task.
+#: Words that are exchanged on one matrix, groups of the others there, classes at least, and words whose counts and classes are sent to every task.
 SINGLE, GROUPS, CLASSES, HEAD = 1024, 256, 64, 200_000
+#: A word leaves its group if it occurs so often: the neighbours of rarer ones tell too little.
+LEAST = 5
+#: Tokens whose neighbours are counted at once, and bytes of texts whose words are joined together.
+TOKENS, TEXT_BYTES = 2_000_000, 8 << 20
 SUFFIX = 3
 END = b""  # one at the end of each text; no word is empty
 _FLUSH = 400_000
@@ -151,99 +157,301 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = 6) -> np.ndarr
     return cls
 
 
+def classes_for(distinct: int) -> int:
+    return max(CLASSES, round(distinct ** (1 / 3)))
+
+
+def _sided(units: Units, cls: np.ndarray, size: int):
+    """A function of batches: each word beyond the single ones with codes (class before, or ``size`` more and class behind) and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[bytes, int] = {}
+        codes: list[np.ndarray] = []
+        n = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            code, count = np.unique(np.concatenate(codes), return_counts=True)
+            word, code = code // (2 * size), (code % (2 * size)).astype(np.int32)
+            ends = np.searchsorted(word, np.arange(len(at) + 1)).astype(np.int32)
+            names = list(at)
+            for k in range(0, len(names), 50_000):
+                part = ends[k : k + 50_001]
+                lists = [pa.ListArray.from_arrays(pa.array(part - part[0]), pa.array(x[part[0] : part[-1]])) for x in (code, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 50_000], pa.binary()), *lists], names=["word", "code", "n"])
+
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                w = words_of(x)
+                u = np.zeros(len(w) + 2, np.int64)
+                u[1:-1] = np.fromiter(map(units.__getitem__, w), np.int64, len(w))
+                k = cls[u]
+                mine = np.flatnonzero(u >= len(units))
+                if len(mine):
+                    ids = np.fromiter((at.setdefault(w[i], len(at)) for i in (mine - 1).tolist()), np.int64, len(mine)) * (2 * size)
+                    codes += [ids + k[mine - 1], ids + size + k[mine + 1]]
+                    n += len(mine)
+                if n >= TOKENS:
+                    yield from flush()
+                    at, codes, n = {}, [], 0
+        if n:
+            yield from flush()
+
+    return run
+
+
+def best_classes(codes: list[np.ndarray], counts: list[np.ndarray], old: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each word the class of largest exchange gain, by its neighbours' classes; b holds all transitions, the word's own at its old class."""
+    size = len(b)
+    word = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    code, n = np.concatenate(codes), np.concatenate(counts).astype(float)[:, None]
+    left = code < size
+    # Transitions between the neighbour's class and each class.
+    row = np.where(left[:, None], b[code % size], b[:, code % size].T)
+    home = np.arange(size)[None, :] == old[word][:, None]
+    row = np.maximum(row - home * n, 0)
+    gain = np.zeros((len(codes), size))
+    np.add.at(gain, word, _xlogx(row + n) - _xlogx(row))
+    total = np.bincount(word, np.where(left, n[:, 0], 0), len(codes))[:, None]
+    home = np.arange(size)[None, :] == old[:, None]
+    for whole in (b.sum(1)[None, :], b.sum(0)[None, :]):
+        rest = np.maximum(whole - home * total, 0)
+        gain -= _xlogx(rest + total) - _xlogx(rest)
+    gain[:, 0] = -np.inf
+    return gain.argmax(1)
+
+
+def _assigned(groups: np.ndarray, b: np.ndarray):
+    """A function of batches of words in order, with codes and counts: each word once, with its count and class."""
+    size = len(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            codes = [np.flatnonzero(c) for _, c in held]
+            counts = [c[k] for (_, c), k in zip(held, codes)]
+            n = np.array([int(c[:size].sum()) for _, c in held])
+            old = groups[[group_of(w) for w, _ in held]]
+            cls = np.where(n >= LEAST, best_classes(codes, counts, old, b), old)
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in held], pa.binary()), pa.array(n), pa.array(cls.astype(np.int32))], names=["word", "n", "cls"])
+
+        for batch in batches:
+            word, code, n = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            ends = np.cumsum(np.r_[0, code.value_lengths().to_numpy()])
+            code, n = code.flatten().to_numpy(), n.flatten().to_numpy()
+            for i, w in enumerate(word):
+                if not held or held[-1][0] != w:
+                    if len(held) >= 4096:
+                        yield flush()
+                        held = []
+                    held.append((w, np.zeros(2 * size, np.int64)))
+                held[-1][1][code[ends[i] : ends[i + 1]]] += n[ends[i] : ends[i + 1]]
+        if held:
+            yield flush()
+
+    return run
+
+
 @dataclass
-class ClassModel:
-    """What scoring needs of every task: head words with their counts, units and classes, and log tables."""
+class Classes:
+    """Classes of words: of the most frequent ones in ``head``, of groups for words never seen, and of all in ``words`` (word, n, cls)."""
 
     head: list[bytes]
     counts: np.ndarray
-    units: Units
-    cls: np.ndarray
-    step: np.ndarray  # log10 of the transition from class to class
-    below: np.ndarray  # log10 of the divisor of a class's emissions
+    of_head: np.ndarray
+    of_group: np.ndarray
+    size: int
+    words: DataFrame
     tokens: int
     distinct: int
     ends: int  # training texts
 
 
-def fit(texts: DataFrame, counts: DataFrame) -> ClassModel:
-    """Cluster and count. texts: one text column of the training rows; counts: their ``word_counts``."""
+@dataclass
+class ClassModel:
+    """Classes, and log tables of their transitions and emissions."""
+
+    classes: Classes
+    step: np.ndarray  # log10 of the transition from class to class
+    below: np.ndarray  # log10 of the divisor of a class's emissions
+
+    @property
+    def tokens(self) -> int:
+        return self.classes.tokens
+
+
+def cluster(texts: DataFrame, counts: DataFrame) -> Classes:
+    """Classes of all words. texts: one text column of the training rows; counts: their ``word_counts``."""
+    spark = texts.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.octet_length("word") == 0, F.col("n"))), F.lit(0)).alias("e")).first()
-    top = counts.filter(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    head, n = top.column("word").to_pylist(), top.column("n").to_numpy()
-    units = Units({END: 0} | {w: i + 1 for i, w in enumerate(head[:SINGLE])})
+    top = counts.filter(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(SINGLE).toArrow()
+    single, n = top.column("word").to_pylist(), top.column("n").to_pylist()
+    units = Units({END: 0} | {w: i + 1 for i, w in enumerate(single)})
     follow = neighbours(texts, units)
-    cls = exchange(follow)
-    b = np.zeros((cls.max() + 1,) * 2)
+    cls = exchange(follow, classes_for(total["v"]))
+    size = int(cls.max()) + 1
+    b = np.zeros((size, size))
     np.add.at(b, (cls[:, None].repeat(len(cls), 1), cls[None, :].repeat(len(cls), 0)), follow)
-    share = (b.sum(0) + 0.5) / (b.sum() + 0.5 * len(b))
-    step = np.log10((b + share[None, :]) / (b.sum(1)[:, None] + 1))
-    kinds = np.zeros(len(cls))  # distinct words of each unit
-    kinds[: len(units)] = 1
-    suffix = F.when(F.octet_length("word") > SUFFIX, F.substring("word", -SUFFIX, SUFFIX)).otherwise(F.col("word"))
-    for r in counts.filter(F.octet_length("word") > 0).groupBy((F.crc32(suffix) % GROUPS).cast("int").alias("g")).count().collect():
-        kinds[len(units) + r["g"]] += r["count"]
-    for w in head[:SINGLE]:
-        kinds[len(units) + group_of(w)] -= 1
-    below = np.log10(np.bincount(cls, follow.sum(0)) + 0.5 * (np.bincount(cls, kinds) + 1))
-    return ClassModel(head, n, units, cls, step, below, total["n"], total["v"], total["e"])
-
-
-def score(df: DataFrame, model: ClassModel, counts: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, n_known, base_score and score (log10 probabilities) for every row.
-
-    A null text is an empty one: its END is its only token. Rows that repeat an id are scored each.
-    Without training rows every token is unknown.
-    """
-    tune(df.sparkSession)
-    first = len(model.units)
-    at = {w: i for i, w in enumerate(model.head)}
-    unit = np.fromiter((model.units[w] for w in model.head), np.int64, len(model.head))
-    cls, step, below = model.cls, model.step, model.below
-    log_n = np.log10(model.counts + 0.5)
-    n_end = model.ends
+    groups = cls[len(units) :]
+    sided = texts.mapInArrow(freed(_sided(units, cls, size)), "word binary, code array<int>, n array<long>")
+    rest = sided.repartition("word").sortWithinPartitions("word").mapInArrow(freed(_assigned(groups, b)), "word binary, n long, cls int")
+    first = spark.createDataFrame([(bytearray(w), k, int(cls[i + 1])) for i, (w, k) in enumerate(zip(single, n))], "word binary, n long, cls int")
+    words = cut(rest.union(first), "brown-classes")
+    top = words.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    return Classes(top.column("word").to_pylist(), top.column("n").to_numpy(), top.column("cls").to_numpy().astype(np.int64), groups, size, words, total["n"], total["v"], total["e"])
+
 
-    class Place(dict):
-        def __missing__(self, word: bytes) -> int:
-            return -1 - group_of(word)
+def _skeletons(c: Classes, id_type: pa.DataType):
+    """A function of batches (id, text): one row for some MB of texts, with the class of each token or, below zero, its place among the words to be joined."""
+    at = {w: i for i, w in enumerate(c.head)}
+    of_head, log_n, log_end, known_end = c.of_head, np.log10(c.counts + 0.5), float(np.log10(c.ends + 0.5)), int(c.ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Place(at)
+        ids, ends, known, num, seqs, rest, n, size = [], [], [], [], [], {}, 0, 0
+
+        def flush() -> pa.RecordBatch:
+            lists = [pa.array([x], pa.list_(t)) for x, t in ((ids, id_type), (ends, pa.int64()), (known, pa.int64()), (num, pa.float64()), (list(rest), pa.binary()))]
+            return pa.RecordBatch.from_arrays([*lists, pa.array([np.concatenate(seqs).astype(np.int32).tobytes()], pa.binary())], names=["ids", "ends", "known", "num", "words", "seq"])
+
         for b in batches:
-            row, word, tf, n_tok, known, num, rest = [], [], [], [], [], [], []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words_of(x)
-                p = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
+                p = np.fromiter((at.get(t, -1) for t in w), np.int64, len(w))
                 seen = p >= 0
-                u = np.zeros(len(w) + 2, np.int64)
-                u[1:-1] = np.where(seen, unit[np.where(seen, p, 0)] if len(unit) else 0, first - 1 - p)
-                k = cls[u]
-                row.append(i)
-                word.append(b" %d" % i)  # a blank is in no word: this row meets no count, and rows spread evenly
-                tf.append(0)
-                n_tok.append(len(w) + 1)
-                known.append(int(seen.sum()) + (n_end > 0))
-                num.append(float(log_n[p[seen]].sum() + np.log10(n_end + 0.5)))
+                k = np.zeros(len(w), np.int64)
+                k[seen] = of_head[p[seen]]
+                far = np.flatnonzero(~seen)
+                k[far] = np.fromiter((-1 - rest.setdefault(w[j], len(rest)) for j in far.tolist()), np.int64, len(far))
+                n += len(w)
+                ids.append(i)
+                ends.append(n)
+                known.append(int(seen.sum()) + known_end)
+                num.append(float(log_n[p[seen]].sum()) + log_end)
+                seqs.append(k)
+                size += len(x or "")
+            if size >= TEXT_BYTES:
+                yield flush()
+                ids, ends, known, num, seqs, rest, n, size = [], [], [], [], [], {}, 0, 0
+        if ids:
+            yield flush()
+
+    return run
+
+
+def _filled(groups: np.ndarray):
+    """A function of batches of skeletons and their joined words: a row for each text, with its counts and classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                ids, ends, known, num, words, seq, got = (b.column(i)[r] for i in range(7))
+                seq, ends = np.frombuffer(seq.as_py(), np.int32).astype(np.int64), ends.values.to_numpy()
+                words = words.as_py()
+                cls = groups[[group_of(w) for w in words]] if words else np.zeros(0, np.int64)
+                n = np.zeros(len(words))
+                if got.is_valid and len(got.values):
+                    j = got.values.field("j").to_numpy()
+                    cls, n[j] = cls.copy(), got.values.field("n").to_numpy()
+                    cls[j] = got.values.field("cls").to_numpy()
+                far = np.flatnonzero(seq < 0)
+                place = -1 - seq[far]
+                own = np.searchsorted(ends, far, side="right")
+                more_known = np.bincount(own, n[place] > 0, len(ends)).astype(np.int64)
+                more_num = np.bincount(own, np.log10(n[place] + 0.5), len(ends))
+                seq = seq.copy()
+                seq[far] = cls[place]
+                start = np.r_[0, ends[:-1]]
+                packed = seq.astype(np.uint16)
+                for at in range(0, len(ends), 1000):
+                    rows = range(at, min(at + 1000, len(ends)))
+                    s = slice(at, at + 1000)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.values[at : at + 1000], pa.array(ends[s] - start[s] + 1), pa.array(known.values.to_numpy()[s] + more_known[s]), pa.array(num.values.to_numpy()[s] + more_num[s]), pa.array([packed[start[i] : ends[i]].tobytes() for i in rows], pa.binary())],
+                        names=["id", "n_tokens", "n_known", "num", "seq"],
+                    )
+
+    return run
+
+
+def sequences(df: DataFrame, c: Classes, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """id, n_tokens, n_known, num (sum of log10(count + 0.5) over tokens) and seq (classes of the words, packed) of every row.
+
+    Texts are read by one job whose result is written; so no later task depends on how rows met in batches.
+    """
+    tune(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    id_type = rows.limit(0).toArrow().schema.field("id").type
+    parts = cut(rows.mapInArrow(freed(_skeletons(c, id_type)), f"ids array<{kind}>, ends array<long>, known array<long>, num array<double>, words array<binary>, seq binary").withColumn("key", F.xxhash64("ids", F.md5("seq"), F.monotonically_increasing_id())), "brown-parts")
+    far = parts.select("key", F.posexplode("words").alias("j", "word")).join(c.words, "word").groupBy("key").agg(F.collect_list(F.struct("j", "n", "cls")).alias("got"))
+    out = parts.join(far, "key", "left").select("ids", "ends", "known", "num", "words", "seq", "got")
+    return cut(out.mapInArrow(freed(_filled(c.of_group)), f"id {kind}, n_tokens long, n_known long, num double, seq binary"), "brown-sequences")
+
+
+def transitions(seqs: DataFrame, c: Classes) -> ClassModel:
+    """The model whose counts are those of all sequences: class after class, END before and behind each."""
+    size = c.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                k = np.zeros(len(x) // 2 + 2, np.int64)
+                k[1:-1] = np.frombuffer(x, np.uint16)
+                total += np.bincount(k[:-1] * size + k[1:], minlength=size * size) if len(k) > size * size else 0
+                if len(k) <= size * size:
+                    np.add.at(total, k[:-1] * size + k[1:], 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    got = seqs.select("seq").mapInArrow(freed(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    b = np.zeros(size * size)
+    b[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    b = b.reshape(size, size)
+    share = (b.sum(0) + 0.5) / (b.sum() + 0.5 * size)
+    step = np.log10((b + share[None, :]) / (b.sum(1)[:, None] + 1))
+    kinds = np.zeros(size)  # distinct words of each class
+    kinds[0] = 1
+    for r in c.words.groupBy("cls").count().collect():
+        kinds[r["cls"]] += r["count"]
+    return ClassModel(c, step, np.log10(b.sum(0) + 0.5 * (kinds + 1)))
+
+
+def fit(texts: DataFrame, counts: DataFrame) -> ClassModel:
+    """Cluster and count. texts: one text column of the training rows; counts: their ``word_counts``."""
+    tune(texts.sparkSession)
+    c = cluster(texts, counts)
+    return transitions(sequences(texts.select(F.lit(0).alias("id"), F.col(texts.columns[0]).alias("text")), c, "text", "id"), c)
+
+
+def scored(seqs: DataFrame, model: ClassModel, id_col: str = "doc_id") -> DataFrame:
+    """id column, n_tokens, n_known, base_score and score of sequences."""
+    step, below = model.step, model.below
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rest = []
+            for x in b.column(4).to_pylist():
+                k = np.zeros(len(x) // 2 + 2, np.int64)
+                k[1:-1] = np.frombuffer(x, np.uint16)
                 rest.append(float(step[k[:-1], k[1:]].sum() - below[k[1:]].sum()))
-                if not seen.all():
-                    for t, c in Counter([w[j] for j in np.flatnonzero(~seen).tolist()]).items():
-                        row.append(i)
-                        word.append(t)
-                        tf.append(c)
-                        n_tok.append(0)
-                        known.append(0)
-                        num.append(0.0)
-                        rest.append(0.0)
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((row, word, tf, n_tok, known, num, rest), kinds)], names=["row", "word", "tf", "n_tok", "known", "num", "rest"])
-
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    parts = rows.select("row", "text").mapInArrow(freed(run), "row long, word binary, tf long, n_tok long, known long, num double, rest double")
-    c = F.coalesce("n", F.lit(0))
-    parts = parts.join(counts, "word", "left").select("row", "n_tok", "rest", (F.col("known") + F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"), (F.col("num") + F.col("tf") * F.log10(c + 0.5)).alias("num"))
-    sums = parts.groupBy("row").agg(F.sum("n_tok").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("num").alias("num"), F.sum("rest").alias("rest"))
-    d = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
-    return rows.select("row", "id").join(sums, "row").select(F.col("id").alias(id_col), "n_tokens", "n_known", (F.col("num") - F.col("n_tokens") * d).alias("base_score"), (F.col("num") + F.col("rest")).alias("score"))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(rest, pa.float64())], names=["id", "n_tokens", "n_known", "num", "rest"])
+
+    kind = seqs.schema["id"].dataType.simpleString()
+    out = seqs.select("id", "n_tokens", "n_known", "num", "seq").mapInArrow(freed(run), f"id {kind}, n_tokens long, n_known long, num double, rest double")
+    d = float(np.log10(model.classes.tokens + 0.5 * (model.classes.distinct + 1)))
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", (F.col("num") - F.col("n_tokens") * d).alias("base_score"), (F.col("num") + F.col("rest")).alias("score"))
+
+
+def score(df: DataFrame, model: ClassModel, counts: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """id, n_tokens, n_known, base_score and score (log10 probabilities) for every row; the model holds all counts.
+
+    A null text is an empty one: its END is its only token. Texts of any length are scored whole. Rows that
+    repeat an id, or are equal, are scored each; a null id stays null. Words of equal counts are taken in the
+    order of their bytes. Other columns take no part, whatever their names. Without training rows every token is
+    unknown; an empty table gives no rows.
+    """
+    return scored(sequences(df, model.classes, text_col, id_col), model, id_col)
 
 
 def op3_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,9 +459,10 @@ def op3_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     train = docs.filter(fold("doc_id", 5) != 1).select("text")
-    counts = word_counts(train)
-    model = fit(train, counts)
-    out = score(docs, model, counts)
+    classes = cluster(train, word_counts(train))
+    seqs = sequences(docs, classes)
+    model = transitions(seqs.filter(fold("id", 5) != 1), classes)
+    out = scored(seqs, model)
     return out.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

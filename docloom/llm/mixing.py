@@ -239,9 +239,9 @@ def arranged(draws: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every draw of every document, with its place: sources evened out to 99.9 % of the largest entropy, none more than twice over."""
+    """Every draw of every document, with its place: sources evened out to the largest entropy as far as none comes more than twice over."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, target_entropy=0.999).select("doc_id", "source", *PLACE)
+    return mix(docs, target_entropy=1.0, most_repeats=2.0).select("doc_id", "source", *PLACE)
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:

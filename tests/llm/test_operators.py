@@ -304,6 +304,80 @@ def test_exchange_gains():
             assert cls[0] == 0 and len(set(zip(kind[1:], cls[1:]))) == 2
 
 
+def plain_scores(docs, train, classes):
+    """Scores by plain counting under given classes: transitions with END around each text, emissions smoothed in each class."""
+    cls = {bytes(r["word"]): r["cls"] for r in classes.words.collect()}
+    of = lambda t: 0 if t == b"" else cls[t] if t in cls else int(classes.of_group[brown.group_of(t)])
+    n, b = Counter(), np.zeros((classes.size,) * 2)
+    for i, x in docs:
+        if i in train:
+            n.update(tokens(x))
+            for p, q in zip([b""] + tokens(x), tokens(x)):
+                b[of(p), of(q)] += 1
+    kinds = Counter(cls.values())
+    kinds[0] += 1
+    share = (b.sum(0) + 0.5) / (b.sum() + 0.5 * len(b))
+    out = {}
+    for i, x in docs:
+        total = 0.0
+        for p, q in zip([b""] + tokens(x), tokens(x)):
+            k = of(q)
+            total += math.log10((b[of(p), k] + share[k]) / (b[of(p)].sum() + 1)) + math.log10((n[q] + 0.5) / (b[:, k].sum() + 0.5 * (kinds[k] + 1)))
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("head,single", [(200_000, 1024), (40, 20)])
+def test_class_scores_equal_plain_counts(spark, monkeypatch, head, single):
+    monkeypatch.setattr(brown, "HEAD", head)
+    monkeypatch.setattr(brown, "SINGLE", single)
+    monkeypatch.setattr(brown, "TOKENS", 5000)
+    monkeypatch.setattr(brown, "TEXT_BYTES", 50_000)
+    df = documents(spark).select("doc_id", "text").limit(120)
+    docs = [tuple(r) for r in df.collect()]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    train = {i for i, _ in docs if i % 3}
+    text = df.filter("doc_id % 3 <> 0").select("text")
+    model = brown.fit(text, brown.word_counts(text))
+    counted = Counter(t for i, x in docs if i in train for t in tokens(x))
+    assert {bytes(r["word"]): r["n"] for r in model.classes.words.collect()} == {t: c for t, c in counted.items() if t}
+    want = plain_scores(docs, train, model.classes)
+    got = {r["doc_id"]: r["score"] for r in brown.score(df, model).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
+def test_best_classes_gain_most():
+    rng = np.random.default_rng(4)
+    size, words = 5, 12
+    old = rng.integers(1, size, words)
+    each = rng.poisson(1.0, (words, 2, size)) * (rng.random((words, 2, size)) < 0.5)
+    each[:, 1, 1] += np.maximum(each[:, 0].sum(1) - each[:, 1].sum(1), 0)  # as many behind as before
+    each[:, 0, 1] += np.maximum(each[:, 1].sum(1) - each[:, 0].sum(1), 0)
+    b = rng.poisson(30.0, (size, size)).astype(float)
+    for w in range(words):
+        b[:, old[w]] += each[w, 0]
+        b[old[w]] += each[w, 1]
+    codes = [np.flatnonzero(e.reshape(-1)) for e in each]
+    got = brown.best_classes(codes, [e.reshape(-1)[c] for e, c in zip(each, codes)], old, b)
+    x = lambda m: (m * np.log(np.maximum(m, 1))).sum()
+    for w in range(words):
+        if not each[w].any():
+            continue
+        gains = []
+        for k in range(1, size):
+            m = b.copy()
+            m[:, old[w]] -= each[w, 0]
+            m[old[w]] -= each[w, 1]
+            left, right = m.sum(1), m.sum(0)
+            left[old[w]], right[old[w]] = b.sum(1)[old[w]] - each[w, 1].sum(), b.sum(0)[old[w]] - each[w, 0].sum()
+            row, col = m[k].copy(), m[:, k].copy()
+            whole = [b.sum(1).copy(), b.sum(0).copy()]
+            for t in whole:
+                t[old[w]] -= each[w, 0].sum()
+            gains.append(x(col + each[w, 0]) - x(col) + x(row + each[w, 1]) - x(row) - sum(x(t[k : k + 1] + each[w, 0].sum()) - x(t[k : k + 1]) for t in whole))
+        assert gains[got[w] - 1] == pytest.approx(max(gains), abs=1e-6)
+
+
 def test_scores_of_tail_words_meet_the_counts(spark, monkeypatch):
     monkeypatch.setattr(brown, "HEAD", 5)
     monkeypatch.setattr(brown, "SINGLE", 3)
