@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, fold, freed, table, tune
+from .common import bitmap, bits_for, cut, fold, freed, table, tune
 
 #: Words that are exchanged on one matrix, groups of the others there, classes at least, and words whose counts and classes are sent to every task.
 SINGLE, GROUPS, CLASSES, HEAD = 1024, 256, 64, 200_000
@@ -78,14 +78,23 @@ def neighbours(texts: DataFrame, units: Units) -> np.ndarray:
     """How often each unit follows each, over all texts, END before and behind each: a matrix of fixed size."""
     size = len(units) + GROUPS
 
+    class Found(dict):
+        """Units of the words met so far."""
+
+        def __missing__(self, word: bytes) -> int:
+            if len(self) >= TOKENS:
+                self.clear()
+            self[word] = at = units[word]
+            return at
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, np.int64)
+        total, found = np.zeros(size * size, np.int64), Found()
         for b in batches:
             held, n = [], 0
             for x in b.column(0).to_pylist():
                 w = words_of(x)
                 u = np.zeros(len(w) + 2, np.int64)
-                u[1:-1] = np.fromiter(map(units.__getitem__, w), np.int64, len(w))
+                u[1:-1] = np.fromiter(map(found.__getitem__, w), np.int64, len(w))
                 held.append(u[:-1] * size + u[1:])
                 n += len(u)
                 if n > 1 << 20:
@@ -161,57 +170,80 @@ def classes_for(distinct: int) -> int:
     return max(CLASSES, round(distinct ** (1 / 3)))
 
 
-def _sided(units: Units, cls: np.ndarray, size: int):
-    """A function of batches: each word beyond the single ones with codes (class before, or ``size`` more and class behind) and their counts."""
+def _sided(units: Units, cls: np.ndarray, size: int, often: np.ndarray, bits: int):
+    """A function of batches: words beyond the single ones with codes (class before, or ``size`` more and class behind) and their counts.
+
+    Words without a bit in ``often`` are left out.
+    """
+
+    n_units = len(units) + GROUPS
+
+    class Ids(dict):
+        """Unit of a word, and n_units times its number from 1 in the order in which they come; 0 for those left out."""
+
+        def __init__(self) -> None:
+            self.words: list[bytes] = []
+
+        def __missing__(self, word: bytes) -> int:
+            out = units[word]
+            at = crc32(word) & ((1 << bits) - 1)
+            if out >= len(units) and often[at >> 3] >> (at & 7) & 1:
+                self.words.append(word)
+                out += n_units * len(self.words)
+            self[word] = out
+            return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[bytes, int] = {}
-        codes: list[np.ndarray] = []
-        n = 0
+        at, codes, n = Ids(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             code, count = np.unique(np.concatenate(codes), return_counts=True)
-            word, code = code // (2 * size), (code % (2 * size)).astype(np.int32)
-            ends = np.searchsorted(word, np.arange(len(at) + 1)).astype(np.int32)
-            names = list(at)
-            for k in range(0, len(names), 50_000):
+            ends = np.searchsorted(code // (2 * size), np.arange(len(at.words) + 1))
+            entry = np.zeros(len(code), _ENTRY)
+            entry["code"], entry["n"] = code % (2 * size), count
+            raw = entry.tobytes()
+            ends = ends * _ENTRY.itemsize
+            for k in range(0, len(at.words), 50_000):
                 part = ends[k : k + 50_001]
-                lists = [pa.ListArray.from_arrays(pa.array(part - part[0]), pa.array(x[part[0] : part[-1]])) for x in (code, count)]
-                yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 50_000], pa.binary()), *lists], names=["word", "code", "n"])
+                data = pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer((part - part[0]).astype(np.int32)), pa.py_buffer(raw[part[0] : part[-1]])])
+                yield pa.RecordBatch.from_arrays([pa.array(at.words[k : k + 50_000], pa.binary()), data], names=["word", "entries"])
 
         for b in batches:
             for x in b.column(0).to_pylist():
                 w = words_of(x)
-                u = np.zeros(len(w) + 2, np.int64)
-                u[1:-1] = np.fromiter(map(units.__getitem__, w), np.int64, len(w))
-                k = cls[u]
-                mine = np.flatnonzero(u >= len(units))
+                ids = np.fromiter(map(at.__getitem__, w), np.int64, len(w))
+                mine = np.flatnonzero(ids >= n_units)
                 if len(mine):
-                    ids = np.fromiter((at.setdefault(w[i], len(at)) for i in (mine - 1).tolist()), np.int64, len(mine)) * (2 * size)
-                    codes += [ids + k[mine - 1], ids + size + k[mine + 1]]
+                    u = np.zeros(len(w) + 2, np.int64)
+                    u[1:-1] = ids % n_units
+                    k, ids = cls[u], (ids[mine] // n_units - 1) * (2 * size)
+                    codes += [ids + k[mine], ids + size + k[mine + 2]]
                     n += len(mine)
-                if n >= TOKENS:
-                    yield from flush()
-                    at, codes, n = {}, [], 0
+                if n >= TOKENS or len(at) >= TOKENS:
+                    if n:
+                        yield from flush()
+                    at, codes, n = Ids(), [], 0
         if n:
             yield from flush()
 
     return run
 
 
+_ENTRY = np.dtype([("code", "<u2"), ("n", "<u4")])
+
+
 def best_classes(codes: list[np.ndarray], counts: list[np.ndarray], old: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each word the class of largest exchange gain, by its neighbours' classes; b holds all transitions, the word's own at its old class."""
+    """For each word (each has neighbours) the class of largest exchange gain, by its neighbours' classes; b holds all transitions, the word's own at its old class."""
     size = len(b)
     word = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    code, n = np.concatenate(codes), np.concatenate(counts).astype(float)[:, None]
-    left = code < size
-    # Transitions between the neighbour's class and each class.
-    row = np.where(left[:, None], b[code % size], b[:, code % size].T)
-    home = np.arange(size)[None, :] == old[word][:, None]
-    row = np.maximum(row - home * n, 0)
-    gain = np.zeros((len(codes), size))
-    np.add.at(gain, word, _xlogx(row + n) - _xlogx(row))
-    total = np.bincount(word, np.where(left, n[:, 0], 0), len(codes))[:, None]
+    code, n = np.concatenate(codes), np.concatenate(counts).astype(float)
+    near = np.vstack([b, b.T])  # transitions between a neighbour's class and each class
+    gain = _xlogx(near[code] + n[:, None]) - _xlogx(near)[code]
+    home, at = old[word], np.arange(len(code))
+    rest = np.maximum(near[code, home] - n, 0)  # its own transitions leave its old class first
+    gain[at, home] = _xlogx(rest + n) - _xlogx(rest)
+    gain = np.add.reduceat(gain, np.r_[0, np.cumsum([len(c) for c in codes])[:-1]])
+    total = np.bincount(word, np.where(code < size, n, 0), len(codes))[:, None]
     home = np.arange(size)[None, :] == old[:, None]
     for whole in (b.sum(1)[None, :], b.sum(0)[None, :]):
         rest = np.maximum(whole - home * total, 0)
@@ -224,30 +256,42 @@ def _assigned(groups: np.ndarray, b: np.ndarray):
     """A function of batches of words in order, with codes and counts: each word once, with its count and class."""
     size = len(b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            codes = [np.flatnonzero(c) for _, c in held]
-            counts = [c[k] for (_, c), k in zip(held, codes)]
-            n = np.array([int(c[:size].sum()) for _, c in held])
-            old = groups[[group_of(w) for w, _ in held]]
-            cls = np.where(n >= LEAST, best_classes(codes, counts, old, b), old)
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in held], pa.binary()), pa.array(n), pa.array(cls.astype(np.int32))], names=["word", "n", "cls"])
+    def out(words: list[bytes], word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Words, and the number of the word, code and count of each entry, in the order of words."""
+        total = np.bincount(word, np.where(code < size, n, 0), len(words)).astype(np.int64)
+        cls = groups[[group_of(w) for w in words]]
+        pair, at = np.unique(word * (2 * size) + code, return_inverse=True)
+        n = np.bincount(at.reshape(-1), n)
+        word, code = pair // (2 * size), pair % (2 * size)
+        often = np.flatnonzero(total >= LEAST)
+        ends = np.searchsorted(word, np.arange(len(words) + 1))
+        for at in range(0, len(often), 500):
+            some = often[at : at + 500].tolist()
+            cls[some] = best_classes([code[ends[i] : ends[i + 1]] for i in some], [n[ends[i] : ends[i + 1]] for i in some], cls[some], b)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(total), pa.array(cls.astype(np.int32))], names=["word", "n", "cls"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, np.ndarray, np.ndarray] | None = None  # its rows may go on in the next batch
         for batch in batches:
-            word, code, n = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            ends = np.cumsum(np.r_[0, code.value_lengths().to_numpy()])
-            code, n = code.flatten().to_numpy(), n.flatten().to_numpy()
-            for i, w in enumerate(word):
-                if not held or held[-1][0] != w:
-                    if len(held) >= 4096:
-                        yield flush()
-                        held = []
-                    held.append((w, np.zeros(2 * size, np.int64)))
-                held[-1][1][code[ends[i] : ends[i + 1]]] += n[ends[i] : ends[i + 1]]
-        if held:
-            yield flush()
+            if not batch.num_rows:
+                continue
+            rows, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            size_ = np.array([len(x) for x in data]) // _ENTRY.itemsize
+            entry = np.frombuffer(b"".join(data), _ENTRY)
+            code, n = entry["code"].astype(np.int64), entry["n"].astype(np.int64)
+            if last is not None:
+                rows, size_ = [last[0], *rows], np.r_[len(last[1]), size_]
+                code, n = np.r_[last[1], code], np.r_[last[2], n]
+            new = np.r_[True, [x != y for x, y in zip(rows[1:], rows)]].astype(bool)
+            word = np.repeat(np.cumsum(new) - 1, size_)
+            words = [rows[i] for i in np.flatnonzero(new).tolist()]
+            done = word < len(words) - 1
+            if len(words) > 1:
+                yield out(words[:-1], word[done], code[done].astype(np.int64), n[done])
+            codes, at = np.unique(code[~done], return_inverse=True)
+            last = (words[-1], codes, np.bincount(at.reshape(-1), n[~done]).astype(np.int64))
+        if last is not None:
+            yield out([last[0]], np.zeros(len(last[1]), np.int64), last[1].astype(np.int64), last[2])
 
     return run
 
@@ -293,10 +337,18 @@ def cluster(texts: DataFrame, counts: DataFrame) -> Classes:
     b = np.zeros((size, size))
     np.add.at(b, (cls[:, None].repeat(len(cls), 1), cls[None, :].repeat(len(cls), 0)), follow)
     groups = cls[len(units) :]
-    sided = texts.mapInArrow(freed(_sided(units, cls, size)), "word binary, code array<int>, n array<long>")
-    rest = sided.repartition("word").sortWithinPartitions("word").mapInArrow(freed(_assigned(groups, b)), "word binary, n long, cls int")
+    plain = counts.filter(F.octet_length("word") > 0)
+    common = plain.filter(F.col("n") >= LEAST)
+    bits = bits_for(common.count())
+    often = bitmap(common.select((F.crc32("word") % (1 << bits)).cast("long").alias("p")), bits)
+    sided = texts.mapInArrow(freed(_sided(units, cls, size, often, bits)), "word binary, entries binary")
+    moved = sided.repartition("word").sortWithinPartitions("word").mapInArrow(freed(_assigned(groups, b)), "word binary, n long, cls int").filter(F.col("n") >= LEAST)
+    # Rarer words stay with their groups; single ones have their own classes, however rare.
+    suffix = F.when(F.octet_length("word") > SUFFIX, F.substring("word", -SUFFIX, SUFFIX)).otherwise(F.col("word"))
+    group = F.get(F.array(*[F.lit(int(g)) for g in groups]), (F.crc32(suffix) % GROUPS).cast("int"))
     first = spark.createDataFrame([(bytearray(w), k, int(cls[i + 1])) for i, (w, k) in enumerate(zip(single, n))], "word binary, n long, cls int")
-    words = cut(rest.union(first), "brown-classes")
+    rare = plain.filter(F.col("n") < LEAST).join(F.broadcast(first.select("word")), "word", "left_anti").select("word", "n", group.cast("int").alias("cls"))
+    words = cut(moved.unionByName(rare).unionByName(first), "brown-classes")
     top = words.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
     return Classes(top.column("word").to_pylist(), top.column("n").to_numpy(), top.column("cls").to_numpy().astype(np.int64), groups, size, words, total["n"], total["v"], total["e"])
 

@@ -6,6 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -58,6 +59,37 @@ def fold(id_col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % n, F.lit(-1)).cast("int")
 
 
+#: Bits of a bitmap at most (32 MB): beyond it, more places are shared and fewer rows spared, nothing else.
+MOST_BITS = 28
+_CHUNK = 20  # bits of the places of one chunk
+
+
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """The bits of all places (one long column, under 2^bits), as bytes: every task sets those of its chunks, and chunks alone go to the driver."""
+    name = places.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(0).to_numpy()
+            for k in np.unique(at >> _CHUNK).tolist():
+                mine = np.unique(at[at >> _CHUNK == k] & ((1 << _CHUNK) - 1))
+                np.bitwise_or.at(held.setdefault(k, np.zeros(1 << _CHUNK - 3, np.uint8)), mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+        for k, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["chunk", "data"])
+
+    out = np.zeros(max(1 << bits, 1 << _CHUNK) >> 3, np.uint8)
+    dealt = places.repartition(max(1, 1 << max(0, bits - _CHUNK)), F.shiftright(name, _CHUNK))
+    for r in dealt.mapInArrow(freed(run), "chunk long, data binary").collect():
+        out[r["chunk"] << _CHUNK - 3 : r["chunk"] + 1 << _CHUNK - 3] |= np.frombuffer(r["data"], np.uint8)
+    return out
+
+
+def bits_for(n: int) -> int:
+    """Bits of a bitmap in which n places share few."""
+    return min(MOST_BITS, max(16, (16 * max(1, n) - 1).bit_length()))
+
+
 def append(df: DataFrame, text_col: str, fields: list[T.StructField], fn: Callable[[list], list[list]], after: Callable[[], None] | None = None) -> DataFrame:
     """All columns of ``df`` and new ones that ``fn`` computes from lists of texts, batch by batch.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import cut, freed, table, tune
+from .common import bitmap, bits_for, cut, freed, table, tune
 from .components import components
 
 WORDS = 4
@@ -136,16 +136,14 @@ _PAIR = "u long, v long"
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and full set of the documents of ``ids``: a bitmap of the ids' hashes spares the others, a join is exact."""
-    bits = min(28, max(16, int(np.ceil(np.log2(16.0 * max(1, ids.count()))))))
+    bits = bits_for(ids.count())
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    words = ids.select(place("id").alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b")).toArrow()  # at most 2^23 words
-    bitmap = np.zeros(1 << max(0, bits - 5), np.uint32)
-    bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
+    there = bitmap(ids.select(place("id").alias("p")), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b.column(2).to_numpy()
-            b = b.filter(pa.array((bitmap[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1))
+            b = b.filter(pa.array((there[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
             got = [shingles(x).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["id", "set"])
 
