@@ -1,25 +1,39 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Every vector is centred, normalised and rotated at random; what is kept for the search are the signs
-(packed bits) and correction scalars. The bits estimate each inner product, and the scalars bound
-the estimate's error. A query reranks by the original vectors, in double precision, just those
-whose upper bound reaches the k-th best score known. Queries meet vectors block by block.
+The index deals all rows to cells around centres (fitted on a bounded sample) and cells to blocks of
+bounded size. A row's residual from its centre is normalised and rotated at random; the index keeps
+its signs, packed into words, and correction scalars beside the vector. A query visits the cells of
+largest expected scores, as many as the sample needs for the wanted recall: few where rows form clusters, most
+where they have no order. In a block, its rotated components are rounded to a few bits, so that counts
+of common bits of words estimate all inner products; the scalars bound the estimates' errors. Only rows
+whose upper bound reaches the k-th best score known there are reranked by the original vectors, in double
+precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, freed, table, tune
 
-BLOCK = 8192
-QUERIES_A_BLOCK = 1024
-#: Signs of a code for each component of a vector.
-SPREAD = 4
+#: Rows of a cell on average, and of a block at most (on average, where a cell is dealt out).
+CELL = 4096
+#: Cells at most: their centres travel to every task. Beyond it cells grow, and have more blocks.
+MOST_CELLS = 65_536
+#: Cells that a query visits at least, the share of neighbours in the sample that the visited cells must hold, and the queries that tell.
+VISITS, RECALL, ASKED = 16, 0.95, 256
+#: Rows that centres are fitted on, for each cell, and their bytes at most.
+SAMPLE_EACH, SAMPLE_BYTES = 32, 64 << 20
+#: Queries that are sent to a block together at most.
+PACKET = 256
+#: Signs of a code for each component of a vector, and bits of a query's component.
+SPREAD, PLANES = 2, 5
 #: Standard deviations (of the rotation's randomness) that the error bound covers.
 SIGMAS = 4.0
 
@@ -27,7 +41,7 @@ SIGMAS = 4.0
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id and vec of rows that take part: null, empty or zero vectors and those with null or non-finite components do not; nor null ids."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))
     return v.filter(F.col("id").isNotNull() & ~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0))
 
 
@@ -38,131 +52,252 @@ def rotation(dim: int, seed: int = 17) -> np.ndarray:
     return (q * np.sign(np.diag(r))).T
 
 
+@dataclass
+class Cells:
+    """Centres of the cells of one dimension, how far rows lie from them (root of the mean square), and how many a query visits."""
+
+    centres: np.ndarray
+    radius: np.ndarray
+    most: int
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The nearest centre of each vector."""
+        with np.errstate(over="ignore", invalid="ignore"):  # vectors beyond all measure go to some cell
+            half = (self.centres**2).sum(1) / 2
+            return np.concatenate([np.nan_to_num(x[at : at + 1024] @ self.centres.T - half).argmax(1) for at in range(0, len(x), 1024)]) if len(x) else np.zeros(0, np.int64)
+
+    def hope(self, q: np.ndarray) -> np.ndarray:
+        """What the best rows of each cell are expected to score."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.nan_to_num(q @ self.centres.T + 3 * np.linalg.norm(q, axis=1)[:, None] * self.radius / q.shape[1] ** 0.5)
+
+    def visits(self, q: np.ndarray) -> np.ndarray:
+        """Cells that each query visits."""
+        n = len(self.centres)
+        if self.most >= n:
+            return np.tile(np.arange(n), (len(q), 1))
+        return np.argpartition(self.hope(q), n - self.most, axis=1)[:, n - self.most :]
+
+    def calibrate(self, sample: np.ndarray, own: np.ndarray, k: int = 20) -> None:
+        """Visit so many cells that they hold the wanted share of the nearest rows in the sample of some of its rows."""
+        n = len(self.centres)
+        if n <= VISITS:
+            self.most = n
+            return
+        q = sample[:ASKED]
+        score = q @ sample.T
+        score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        top = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
+        rank = np.empty((len(q), n), np.int64)
+        np.put_along_axis(rank, np.argsort(-self.hope(q), axis=1), np.arange(n)[None, :], 1)
+        need = np.sort(np.take_along_axis(rank, own[top], 1).reshape(-1))
+        self.most = min(n, max(VISITS, int(need[int(np.ceil(RECALL * len(need))) - 1]) + 1))
+
+
+def fit_cells(sample: np.ndarray, n: int, sweeps: int = 6, seed: int = 5) -> Cells:
+    """Centres by Lloyd's sweeps over a sample; an empty cell keeps its centre."""
+    sample = sample[np.random.default_rng(seed).permutation(len(sample))]
+    cells = Cells(sample[:n].copy(), np.zeros(0), n)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for _ in range(sweeps):
+            own = cells.of(sample)
+            count = np.bincount(own, minlength=n)
+            sums = np.zeros_like(cells.centres)
+            np.add.at(sums, own, sample / np.maximum(count, 1)[own, None])
+            cells.centres[count > 0] = sums[count > 0]
+            if n == 1:
+                break
+        own = cells.of(sample)
+        count = np.bincount(own, minlength=n)
+        square = np.bincount(own, ((sample - cells.centres[own]) ** 2).sum(1), n)
+        cells.radius = np.sqrt(np.where(count > 0, square / np.maximum(count, 1), square.sum() / max(1, len(sample))))
+        cells.calibrate(sample, own)
+    return cells
+
+
+@dataclass
 class Codes:
-    """Packed signs and correction scalars of a block of vectors."""
+    """Words of packed signs, and for each row: its number of set signs, what turns a sum of signs into an inner product, and the error's deviation."""
 
-    def __init__(self, x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> None:
-        r = x - centre
-        norm = np.linalg.norm(r, axis=1)
-        y = (r / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32) @ turn.astype(np.float32)
-        self.wide = turn.shape[1]
-        self.bits = np.packbits(y > 0, axis=1)
-        along = np.maximum(np.abs(y).sum(1) / np.sqrt(self.wide), 1e-6)  # cosine of the vector and its code
-        self.scale = (norm / along / np.sqrt(self.wide)).astype(np.float32)
-        self.error = (norm * np.sqrt(np.maximum(0, 1 - along**2)) / along / np.sqrt(self.wide - 1)).astype(np.float32)
+    words: np.ndarray
+    ones: np.ndarray
+    scale: np.ndarray
+    error: np.ndarray
 
-    def signs(self) -> np.ndarray:
-        return np.unpackbits(self.bits, axis=1, count=self.wide).astype(np.float32) * 2 - 1
 
+def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> Codes:
+    """Codes of vectors around their cell's centre."""
+    r = x - centre
+    top = np.abs(r).max(axis=1, initial=0)
+    norm = np.where(top > 0, top * np.linalg.norm(r / np.where(top > 0, top, 1)[:, None], axis=1), 0.0)
+    wide = turn.shape[1]
+    y = (r / np.where(norm > 0, norm, 1)[:, None]) @ turn
+    bits = np.zeros((len(x), -(-wide // 64) * 64), bool)
+    bits[:, :wide] = y > 0
+    words = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    along = np.maximum(np.abs(y).sum(1) / np.sqrt(wide), 1e-6)  # cosine of the vector and its code
+    return Codes(words, np.bitwise_count(words).sum(1).astype(np.float64), norm / along / np.sqrt(wide), norm * np.sqrt(np.maximum(0, 1 - along**2)) / along / np.sqrt(wide - 1))
 
-def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its id, and ids and exact scores of its k best rows of the block.
+
+def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, codes: Codes, centre: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its place, and ids and exact scores of its k best rows of the block.
 
     The k rows of largest estimate are scored first; the least of their scores is what a row's upper
     bound must reach to be scored as well.
     """
-    turn = rotation(x.shape[1])
-    x, q = x.astype(np.float64), q.astype(np.float64)
-    codes = Codes(x, centre, turn)
-    signs = codes.signs()
-    turned, base, size = (q @ turn).astype(np.float32), q @ centre, np.linalg.norm(q, axis=1)
-    for at in range(0, len(q), 64):
-        estimates = (turned[at : at + 64] @ signs.T) * codes.scale
-        for i, est in enumerate(estimates, at):
-            est[vid == qid[i]] = -np.inf
-            if len(vid) > k:
-                first = np.argpartition(est, len(est) - k)[len(est) - k :]
-                score = (x[first] * q[i]).sum(1)
-                least = np.where(np.isfinite(est[first]), score, -np.inf).min() - base[i]
-                slack = 1e-5 * (1 + abs(least))  # estimates are in single precision
-                pick = np.flatnonzero((est + np.float32(SIGMAS * size[i]) * codes.error >= np.float32(least - slack)) & np.isfinite(est))
-            else:
-                pick = np.flatnonzero(np.isfinite(est))
-            score = (x[pick] * q[i]).sum(1)
-            best = np.lexsort((vid[pick], -score))[:k]
-            yield int(qid[i]), vid[pick][best], score[best]
-
-
-def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """Blocks of at most ``rows`` vectors of one dimension, packed: dim, ids, data."""
-    n = max(1, -(-vectors.count() // rows))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def pack(dim: int, all_: bool) -> Iterator[pa.RecordBatch]:
-            ids, data = (np.concatenate(x) for x in zip(*held[dim]))
-            end = len(ids) if all_ else len(ids) // rows * rows
-            for at in range(0, end, rows):
-                to = min(at + rows, end)
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[at:to].tobytes()], pa.binary()), pa.array([data[at:to].tobytes()], pa.binary())], names=["dim", "ids", "data"])
-            held[dim] = [(ids[end:], data[end:])]
-
+    turned, base = q @ rotation(x.shape[1]), q @ centre
+    wide = turned.shape[1]
+    low = turned.min(1)
+    step = np.maximum((turned.max(1) - low) / ((1 << PLANES) - 1), np.finfo(float).tiny)
+    level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    rounded = low[:, None] + step[:, None] * level
+    lost = np.linalg.norm(turned - rounded, axis=1)
+    planes = np.zeros((len(q), PLANES, codes.words.shape[1] * 64), bool)
+    planes[:, :, :wide] = level[:, None, :] >> np.arange(PLANES)[None, :, None] & 1
+    planes = np.packbits(planes, axis=2, bitorder="little").view("<u8")
+    size = np.linalg.norm(q, axis=1)
+    for i in range(len(q)):
+        common = sum(np.bitwise_count(codes.words & planes[i, p]).sum(1, dtype=np.int64) << p for p in range(PLANES))
+        est = codes.scale * (2 * (low[i] * codes.ones + step[i] * common) - rounded[i].sum())
+        out = vid == qid[i]
+        est[out] = -np.inf
+        if len(vid) > k:
+            first = np.argpartition(est, len(est) - k)[len(est) - k :]
+            least = np.where(out[first], -np.inf, (x[first] * q[i]).sum(1)).min()
+            bound = SIGMAS * np.hypot(size[i] * codes.error, codes.scale * lost[i])
+            pick = np.flatnonzero((est + bound + base[i] >= least - 1e-9 * (1 + abs(least))) & ~out)
+        else:
+            pick = np.flatnonzero(~out)
+        score = (x[pick] * q[i]).sum(1)
+        best = np.lexsort((vid[pick], -score))[:k]
+        yield i, vid[pick][best], score[best]
+
+
+def _matrix(lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Dimension, rows and vectors of each dimension in a column of vectors."""
+    size, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    start = np.cumsum(size) - size
+    for dim in np.unique(size).tolist():
+        mine = np.flatnonzero(size == dim)
+        yield dim, mine, flat[start[mine][:, None] + np.arange(dim)]
+
+
+def fit(live: DataFrame) -> dict[int, Cells]:
+    """Cells of each dimension, fitted on a sample bounded by SAMPLE_EACH rows a cell and SAMPLE_BYTES, chosen by a hash of the id."""
+    dims = {r["dim"]: r["n"] for r in live.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    out = {}
+    for dim, n in sorted(dims.items()):
+        cells = min(MOST_CELLS, max(1, n // CELL))
+        most = max(16, min(SAMPLE_EACH * cells + 4096, SAMPLE_BYTES // (8 * dim)))
+        u = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30))
+        some = live.filter((F.size("vec") == dim) & (u < int(min(1.0, 1.2 * most / n) * (1 << 30)))).select("id", "vec").toArrow()
+        order = np.argsort(some.column("id").to_numpy(), kind="stable")[:most]
+        vec = some.column("vec").combine_chunks()
+        x = vec.flatten().to_numpy().reshape(-1, dim)[order] if len(vec) else np.zeros((1, dim))
+        out[dim] = fit_cells(x, min(cells, len(x)))
+    return out
+
+
+def index(live: DataFrame, cells: dict[int, Cells]) -> DataFrame:
+    """Blocks of all rows: dim, cell, part, and packed ids, vectors, words and scalars; written once."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, vec = b.column(0).to_numpy(), b.column(1)
-            size = vec.value_lengths().to_numpy()
-            flat = vec.flatten().to_numpy()
-            start = np.cumsum(size) - size
-            for dim in np.unique(size).tolist():
-                mine = np.flatnonzero(size == dim)
-                held.setdefault(dim, []).append((ids[mine], flat[start[mine][:, None] + np.arange(dim)]))
-                if sum(len(x) for x, _ in held[dim]) >= rows:
-                    yield from pack(dim, False)
-        for dim in held:
-            yield from pack(dim, True)
+            cell = np.zeros(b.num_rows, np.int64)
+            for dim, mine, x in _matrix(b.column(1)):
+                cell[mine] = cells[dim].of(x)
+            yield pa.RecordBatch.from_arrays([*b.columns, b.column(1).value_lengths(), pa.array(cell)], names=["id", "vec", "dim", "cell"])
+
+    dealt = cut(live.mapInArrow(freed(deal), "id long, vec array<double>, dim int, cell long"), "ann-cells")
+    parts = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / CELL).cast("long").alias("parts"))  # at most one row for each centre
+    rows = dealt.join(F.broadcast(parts), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")))
+    rows = rows.repartition("dim", "cell", "part").sortWithinPartitions("dim", "cell", "part").select("id", "vec", "dim", "cell", "part")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        key: tuple[int, int, int] | None = None
+
+        def flush() -> pa.RecordBatch:
+            ids, x = (np.concatenate(c) for c in zip(*held))
+            c = encode(x, cells[key[0]].centres[key[1]], rotation(key[0]))
+            raw = [ids.tobytes(), x.tobytes(), c.words.tobytes(), np.stack([c.ones, c.scale, c.error]).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]]), pa.array([key[2]]), *(pa.array([r], pa.binary()) for r in raw)], names=["dim", "cell", "part", "ids", "vectors", "words", "scalars"])
 
-    packed = vectors.repartition(n).mapInArrow(freed(run), "dim int, ids binary, data binary")
-    return cut(packed.withColumn("block", F.monotonically_increasing_id()), name)
-
-
-def centres(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Mean vector of each dimension, from one partial sum per task."""
+        for b in batches:
+            ids, dim, cell, part = (b.column(i).to_numpy() for i in (0, 2, 3, 4))
+            size, flat = b.column(1).value_lengths().to_numpy(), b.column(1).flatten().to_numpy()
+            ends = np.cumsum(size)
+            cuts = np.flatnonzero(np.r_[True, (dim[1:] != dim[:-1]) | (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]), True]) if len(ids) else np.zeros(1, int)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                now = (int(dim[lo]), int(cell[lo]), int(part[lo]))
+                if held and (now != key or sum(len(i) for i, _ in held) >= CELL):
+                    yield flush()
+                    held = []
+                key = now
+                held.append((ids[lo:hi], flat[ends[lo] - size[lo] : ends[hi - 1]].reshape(-1, now[0])))
+        if held:
+            yield flush()
+
+    return cut(rows.mapInArrow(freed(pack), "dim int, cell long, part long, ids binary, vectors binary, words binary, scalars binary"), "ann-index")
+
+
+def packets(asked: DataFrame, cells: dict[int, Cells]) -> DataFrame:
+    """Queries by the cells that they visit: dim, cell, and packed ids and vectors of up to PACKET of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        count: dict[int, int] = {}
         for b in batches:
-            vec = b.column(1)
-            size, flat = vec.value_lengths().to_numpy(), vec.flatten().to_numpy().astype(np.float64)
-            start = np.cumsum(size) - size
-            for dim in np.unique(size).tolist():
-                mine = np.flatnonzero(size == dim)
-                sums[dim] = sums.get(dim, 0) + flat[start[mine][:, None] + np.arange(dim)].sum(0)
-                count[dim] = count.get(dim, 0) + len(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64())), pa.array(list(count.values()), pa.int64())], names=["dim", "total", "n"])
-
-    parts = vectors.mapInArrow(freed(run), "dim int, total array<double>, n long")
-    add = F.aggregate(F.collect_list("total"), F.transform(F.first("total"), lambda x: F.lit(0.0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    return {r["dim"]: np.array(r["total"]) / r["n"] for r in parts.groupBy("dim").agg(add.alias("total"), F.sum("n").alias("n")).collect()}
+            ids = b.column(0).to_numpy()
+            for dim, mine, x in _matrix(b.column(1)):
+                if dim not in cells:
+                    continue
+                to = cells[dim].visits(x)
+                rows = []
+                own, cell = np.repeat(np.arange(len(x)), to.shape[1]), to.reshape(-1)
+                order = np.argsort(cell, kind="stable")
+                own, cell = own[order], cell[order]
+                cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    for at in range(lo, hi, PACKET):
+                        some = own[at : min(hi, at + PACKET)]
+                        rows.append((dim, int(cell[lo]), ids[mine[some]].tobytes(), x[some].tobytes()))
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                for at in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), kinds)], names=["dim", "cell", "q_ids", "q_vectors"])
+
+    return asked.mapInArrow(freed(run), "dim int, cell long, q_ids binary, q_vectors binary")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score of each query's ``k`` rows of largest inner product.
+    """query_id, rank, vec_id and score of each query's ``k`` rows of largest inner product among those of the cells that it visits.
 
     Ties go to the smaller id; a query's own id is no candidate; a query meets only vectors of its
     own dimension and gets all of them if there are fewer than ``k``. See ``usable`` for rows that
-    take no part. Repeated ids are separate rows. No vectors or no queries: no rows.
+    take no part. Repeated ids are separate rows, and repeated query ids with different vectors share their ranks' numbers but
+    not their rows. Of equal vectors, only the ``k`` + 1 of least ids can ever be among the nearest, and only those are indexed.
+    Other columns take no part, whatever their names. No vectors or no queries: no rows.
     """
-    spark = vectors.sparkSession
-    tune(spark)
+    tune(vectors.sparkSession)
     live, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
-    centre = centres(live)
-    v = _blocks(live, BLOCK, "ann-vectors")
-    q = _blocks(asked, QUERIES_A_BLOCK, "ann-queries").select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    places = v.select("dim", "block").groupBy("dim").agg(F.collect_list("block").alias("blocks"))  # one number for each 8192 vectors
-    pairs = q.join(places, "dim").select("q_ids", "q_data", F.explode("blocks").alias("block")).join(v, "block")
+    same = Window.partitionBy(F.xxhash64("vec"), F.hash("vec"), F.size("vec")).orderBy("id")
+    live = cut(live.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).select("id", "vec"), "ann-vectors")
+    cells = fit(live)
+    blocks = index(live, cells)
+    pairs = packets(asked, cells).join(blocks, ["dim", "cell"]).select("q_ids", "q_vectors", "dim", "cell", "ids", "vectors", "words", "scalars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q_ids, q_data, dim, ids, data in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for q_ids, q_vectors, dim, cell, ids, vectors_, words, scalars in zip(*(b.column(i).to_pylist() for i in range(8))):
                 qid, vid = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                x, y = np.frombuffer(data, np.float32).reshape(-1, dim), np.frombuffer(q_data, np.float32).reshape(-1, dim)
-                got = list(search_block(qid, y, vid, x, centre[dim], k))
+                x, q = np.frombuffer(vectors_).reshape(-1, dim), np.frombuffer(q_vectors).reshape(-1, dim)
+                codes = Codes(np.frombuffer(words, "<u8").reshape(len(vid), -1), *np.frombuffer(scalars).reshape(3, -1))
+                got = list(search_block(qid, q, vid, x, codes, cells[dim].centres[cell], k))
                 n = [len(g[1]) for g in got]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([g[0] for g in got], n).astype(np.int64)), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))], names=["query_id", "vec_id", "score"])
+                # Queries of one id are told apart by their vectors.
+                mark = np.array([xxhash.xxh3_64_intdigest(q[i].tobytes()) >> 1 for i, _, _ in got], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(np.repeat(mark, n)), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))], names=["query_id", "mark", "vec_id", "score"])
 
-    found = pairs.select("q_ids", "q_data", "dim", "ids", "data").mapInArrow(freed(run), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInArrow(freed(run), "query_id long, mark long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

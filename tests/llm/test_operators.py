@@ -584,6 +584,55 @@ def test_nearest(spark, dim, n):
         assert np.allclose([m[2] for m in mine], s[want], rtol=0, atol=1e-12)
 
 
+def test_nearest_in_double_precision(spark):
+    rows = [(1, [0.17, 0.0]), (2, [1.0, 0.0]), (3, [1e300, 1e300]), (4, [1.0, 0.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in ann.nearest(df, df.filter("vec_id = 1"), 20).orderBy("rank").collect()]
+    assert got == [(1, 3, 0.17 * 1e300), (1, 2, 0.17), (1, 4, 0.17), (1, 2, 0.0)]
+    two = ann.nearest(df, df.filter("vec_id = 2"), 2)
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in two.collect()) == [(1, 3, 1e300), (1, 3, 1e300), (2, 1, 0.0), (2, 4, 1.0)]
+
+
+def recall(spark, df, step):
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    got = {}
+    for r in ann.nearest(df, df.filter(f"vec_id % {step} = 0"), 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = [len(got[int(q)] & set(ids[np.lexsort((ids, -np.where(ids == q, -np.inf, x @ x[i])))[:20]].tolist())) / 20 for i, q in enumerate(ids) if q % step == 0]
+    return float(np.mean(hit))
+
+
+def test_recall_where_few_cells_are_visited(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 32)
+    visited = []
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda live: visited.append(fit(live)) or visited[-1])
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")  # no clusters at all
+    assert recall(spark, df.filter("embedding is not null"), 100) >= 0.9
+    cells = visited[-1][64]
+    assert cells.most < len(cells.centres)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((150, 24))
+    rows = [(i, (centres[i % 150] + 0.5 * rng.standard_normal(24)).tolist()) for i in range(9000)]
+    assert recall(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 100) >= 0.9
+    cells = visited[-1][24]
+    assert cells.most <= 0.1 * len(cells.centres)
+
+
+def test_estimates_stay_in_their_bounds():
+    rng = np.random.default_rng(2)
+    x, q, centre = rng.standard_normal((3000, 48)) + 0.3, rng.standard_normal((20, 48)), np.full(48, 0.3)
+    codes = ann.encode(x, centre, ann.rotation(48))
+    signs = np.unpackbits(codes.words.view(np.uint8), axis=1, bitorder="little")[:, : 48 * ann.SPREAD] * 2.0 - 1
+    est = (q @ ann.rotation(48)) @ signs.T * codes.scale + (q @ centre)[:, None]
+    off = np.abs(est - q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * codes.error)
+    assert (off > ann.SIGMAS).mean() < 1e-3 and 0.7 < np.sqrt((off**2).mean()) < 1.3
+    for i, ids, score in ann.search_block(np.arange(20) + 10**6, q, np.arange(3000), x, codes, centre, 20):
+        want = np.argsort(-(x * q[i]).sum(1), kind="stable")[:20]
+        assert ids.tolist() == want.tolist() and np.array_equal(score, (x[want] * q[i]).sum(1))
+
+
 def test_nearest_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(df, df).count() == 0
