@@ -55,6 +55,15 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return idx.astype(np.int32), (counts[idx] / counts.sum()).astype(np.float32)
 
 
+def buckets(text: str) -> np.ndarray:
+    """Distinct buckets of a whole text."""
+    codes, seen = _codes(text), np.zeros(1 << BITS, bool)
+    for n in ORDERS:
+        for at in range(0, len(codes), CHUNK):
+            seen[_grams(codes[at : at + CHUNK + n - 1], n)] = True
+    return np.flatnonzero(seen)
+
+
 @dataclass
 class LanguageModel:
     """Learned languages, a table of log-odds by bucket and language, and the temperature."""
@@ -152,27 +161,49 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 1600, max_langs: int = 400) -> LanguageModel:
-    """Fit on a bounded sample of labelled rows.
+def frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    """In how many of all texts with a letter each bucket occurs, and the number of these texts; one count for each bucket and task is shuffled."""
 
-    ``max_rows`` bounds the rows fitted, dealt evenly over the languages, and ``max_langs`` the
-    languages learned (the commonest). Rows are chosen by a hash of the id, so a run repeats. Rows
-    with a null text, lang or id, or without a letter, teach nothing. Without rows, the model knows
-    no language and predicts ``und``.
+    def run(batches):
+        seen, n = np.zeros(1 << BITS, np.int64), 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                if x and _LETTER.search(x):
+                    seen[buckets(x)] += 1
+                    n += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, seen[at]])], names=["bucket", "n"])
+
+    got = docs.select(F.col(f"`{text_col}`")).mapInArrow(freed(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = dict(zip(got.column("bucket").to_pylist(), got.column("n").to_pylist()))
+    total = out.pop(-1, 0)
+    df = np.zeros(1 << BITS)
+    df[list(out)] = list(out.values())
+    return df, total
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 1600) -> LanguageModel:
+    """Fit on a bounded sample of labelled rows; document frequencies are those of all of them.
+
+    ``max_rows`` bounds the rows fitted, dealt evenly over all languages (four of each, if there are more
+    languages than that allows). Rows are chosen by a hash of the id, ties by the id, so a run repeats; of rows
+    that repeat an id all or none are chosen. Rows with a null text, lang or id, or without a letter, teach
+    nothing. Long texts count whole. Without rows, the model knows no language and predicts ``und``. The model
+    has 2^15 weights a language.
     """
     tune(docs.sparkSession)
-    docs = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = docs.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    docs = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{id_col}`").alias("id")).filter("text is not null and lang is not null and id is not null")
+    counts = docs.groupBy("lang").count().collect()  # one row for each language
     if not counts:
         return LanguageModel([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0), 1.0)
     each = max(4, max_rows // len(counts))
     rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * (each + 20) / r["count"])) for r in counts], "lang string, rate double")
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), u.alias("u")).join(F.broadcast(rates), "lang").filter("u < rate")
+    u = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = docs.select("id", "lang", u.alias("u")).join(F.broadcast(rates), "lang").filter("u < rate")
     chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "id"))).filter(F.col("k") <= each).select("id", "lang")
-    picked = chosen.collect()  # at most max_rows + 4 * max_langs ids
-    ids = docs.sparkSession.createDataFrame([(r["id"],) for r in picked], T.StructType([T.StructField("id", docs.schema[id_col].dataType)]))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids.distinct()), "id")
+    picked = chosen.collect()
+    ids = docs.sparkSession.createDataFrame([(r["id"],) for r in picked], T.StructType([T.StructField("id", docs.schema["id"].dataType)]))
+    sample = docs.join(F.broadcast(ids.distinct()), "id").select("id", "text", "lang")
 
     def run(batches):
         for b in batches:
@@ -182,20 +213,18 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 names=["id", "lang", "idx", "tf"],
             )
 
-    got = sample.mapInArrow(freed(run), T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("lang string, idx array<int>, tf array<float>").fields])).toArrow()
+    got = sample.mapInArrow(freed(run), T.StructType([T.StructField("id", docs.schema["id"].dataType), *T._parse_datatype_string("lang string, idx array<int>, tf array<float>").fields])).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     if not langs:
         return LanguageModel([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0), 1.0)
-    order = np.argsort(np.array(got.column("id").to_pylist()), kind="stable")
+    df, total = frequencies(docs, "text")
+    idf = np.log((1 + total) / (1 + df)) + 1
     idx, tf, lang = got.column("idx").combine_chunks(), got.column("tf").combine_chunks(), got.column("lang").to_pylist()
-    df = np.zeros(1 << BITS)
+    place = {x: i for i, x in enumerate(langs)}
     rows = []
-    for i in order.tolist():
+    for i in np.argsort(np.array(got.column("id").to_pylist()), kind="stable").tolist():
         a = idx[i].values.to_numpy()
-        df[a] += 1
-        rows.append((langs.index(lang[i]), a, tf[i].values.to_numpy().astype(np.float64)))
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
-    rows = [(y, a, v * idf[a] * SCALE) for y, a, v in rows]
+        rows.append((place[lang[i]], a, tf[i].values.to_numpy().astype(np.float64) * idf[a] * SCALE))
     mine = [r for i, r in enumerate(rows) if i % 5] or rows
     aside = [r for i, r in enumerate(rows) if i % 5 == 0]
     w, bias = train_ftrl(mine, len(langs))
@@ -207,7 +236,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """All columns, the predicted language and its calibrated probability.
 
-    A null text, an empty one or one without any letter gets ``und`` and 0.0.
+    A null text, an empty one or one without any letter gets ``und`` and 0.0; of equal probabilities the language
+    that sorts first is taken. A text of any length is read whole, in slices. Repeated rows get the same
+    prediction; columns with the names of the new ones are replaced; an empty table gives no rows.
     """
     fields = [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]
     return append(df, text_col, fields, lambda texts: list(model.predict(texts)))
@@ -221,7 +252,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """Documents whose language is known with a probability of ``least`` or more."""
+    """Documents whose language is known with a probability of ``least`` or more; see ``predict`` for odd rows (null and empty texts go)."""
     held = docs.filter(fold("doc_id", 4) != 2)
     out = predict(docs, fit(held), lang_out="__lang", score_out="__score")
     return out.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

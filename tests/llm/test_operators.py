@@ -659,6 +659,52 @@ def test_languages_of_odd_rows(spark, odd, none):
     assert out.columns == odd.columns and not {4, 5, 6, 9} & {r["doc_id"] for r in out.collect()}
 
 
+def test_training_equals_plain_steps(monkeypatch):
+    monkeypatch.setattr(langid, "BITS", 4)
+    rng = np.random.default_rng(1)
+    rows = [(int(y), np.sort(rng.choice(16, 5, replace=False)).astype(np.int32), rng.random(5)) for y in rng.integers(0, 3, 30)]
+    w, bias = langid.train_ftrl(rows, 3, epochs=2)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+    z, n = Counter(), Counter()
+
+    def weight(i, k):
+        s = 1 if z[i, k] > 0 else -1
+        return 0.0 if abs(z[i, k]) <= l1 else -(z[i, k] - s * l1) / ((beta + math.sqrt(n[i, k])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for r in order.permutation(len(rows)):
+            y, idx, val = rows[r]
+            x = dict(zip(idx.tolist(), val.tolist())) | {16: 1.0}
+            old = {(i, k): weight(i, k) for i in x for k in range(3)}
+            e = [math.exp(sum(old[i, k] * v for i, v in x.items())) for k in range(3)]
+            for k in range(3):
+                for i, v in x.items():
+                    g = (e[k] / sum(e) - (k == y)) * v
+                    z[i, k] += g - (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / alpha * old[i, k]
+                    n[i, k] += g * g
+    assert np.allclose(w, [[weight(i, k) for k in range(3)] for i in range(16)]) and np.allclose(bias, [weight(16, k) for k in range(3)]) and (w == 0).any()
+
+
+def test_temperature_is_the_best():
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 3, 400)
+    logits = 6.0 * (rng.standard_normal((400, 3)) + 1.2 * np.eye(3)[y])
+    t = langid.fit_temperature(logits, y)
+    loss = lambda t: -np.log(langid.softmax(logits / t)[np.arange(400), y]).mean()
+    assert 1 < t < 20 and all(loss(t) <= loss(u) + 1e-9 for u in np.geomspace(0.05, 20, 300))
+
+
+def test_frequencies_of_all_texts_and_many_languages(spark):
+    texts = ["abc ab", "ab", None, "12", "xyz", ""] * 30
+    df = spark.createDataFrame([(i, x, f"l{i % 450}") for i, x in enumerate(texts)], "doc_id long, text string, lang string")
+    got, n = langid.frequencies(df, "text")
+    want = Counter(k for x in texts if x and any(c.isalpha() for c in x) for k in set(langid.features(x)[0].tolist()))
+    assert n == 90 and {k: got[k] for k in np.flatnonzero(got)} == want
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 5, f"l{i % 450}") for i in range(900)]
+    assert len(langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == 450
+
+
 def test_slices_give_the_same_scores(monkeypatch):
     model = langid.LanguageModel(["a", "b"], np.random.default_rng(0).random((2, 1 << langid.BITS)).astype(np.float32), np.zeros(2), 1.0)
     texts = ["abc", "déf ghi " * 50, "x", "Straße 12"]
