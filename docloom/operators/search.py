@@ -3,7 +3,7 @@
 Postings are a table (page_id, col, pos, token); a query is parsed to phrases and a boolean
 expression over them. Each phrase is counted by its postings (adjacent tokens meet by an equi join),
 counts are gathered in one aggregation by page, and the expression filters that. Statistics cover the
-whole index; a filter on a knowledge base comes after them.
+index that is searched: all pages, or those of one knowledge base.
 """
 
 from __future__ import annotations
@@ -260,9 +260,13 @@ def scores(index: DataFrame, pages: DataFrame, query: str) -> DataFrame:
 
 
 def search(pages: DataFrame, query: str, limit: int = 10, kb_id: str | None = None, index: DataFrame | None = None) -> DataFrame:
-    """page_id, kb_id, path, title and score of the best pages; ties go to the smaller page_id. The limit is held within 1 and 50."""
+    """page_id, kb_id, path, title and score of the best pages; ties go to the smaller page_id. The limit is held within 1 and 50.
+
+    With ``kb_id``, only its pages are the index, for statistics too. ``index`` holds the postings of the pages, if they are stored.
+    """
+    if kb_id is not None:
+        pages = pages.filter(F.col("kb_id") == kb_id)
+        index = index.join(pages.select("page_id"), "page_id", "left_semi") if index is not None else None
     idx = index if index is not None else postings(pages)
     out = scores(idx, pages, query).join(pages.select("page_id", "kb_id", "path", "title"), "page_id")
-    if kb_id is not None:
-        out = out.filter(F.col("kb_id") == kb_id)
     return out.select("page_id", "kb_id", "path", "title", F.round("score", 6).alias("score")).orderBy("score", "page_id").limit(min(max(limit, 1), 50))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from docloom.functions import html
-from docloom.operators import artifacts, diff, enrich, toc
+from docloom.checkpoints import cut
+from docloom.functions import html, markdown as md, urls
+from docloom.operators import artifacts, diff, enrich, search, toc
 from docloom.sources import llmstxt, pages as src
 from docloom.sources.config import EngineError
 from docloom.sources.store import Store
@@ -32,31 +33,60 @@ def listed_pages(files: DataFrame, fetched: DataFrame) -> DataFrame:
     return fetched.join(urls, "url", "left_semi")
 
 
-def _derived(store: Store, pages: DataFrame, kbs: DataFrame, contents: DataFrame, call: Callable[[str], str]) -> None:
-    """Contents, toc, enrichment and artifacts of a store's pages."""
-    t = toc.flat(pages)
-    tasks = contents.select("kb_id", "path", F.regexp_replace("markdown", r"(?s)^---\n.*?\n---\n", "").alias("content"))
-    tasks = tasks.select("kb_id", "path", "content", F.explode(F.array(F.lit("summary"), F.lit("description"))).alias("artifact_type"))
-    tasks = tasks.select("kb_id", "artifact_type", enrich.prompt_hash(F.col("content"), F.col("artifact_type")).alias("prompt_hash"), F.lit("offline").alias("model_id"), "path", "content")
-    store.write("contents", contents)
-    store.write("toc", t)
-    cache = store.table("cache")
+#: Bytes of a page that are sent for its summary and its description, and of a knowledge base's summaries.
+SENT = {"summary": 12_000, "description": 8_000}
+CONTEXT = 4_000
+
+
+def _bodies(contents: DataFrame) -> DataFrame:
+    """Tasks of each page: its Markdown without front matter, cut to what is sent."""
+    body = contents.select("kb_id", "path", F.regexp_replace("markdown", r"(?s)^---\n.*?\n---\n", "").alias("body"))
+    return body.select("kb_id", "path", F.explode(F.array(*[F.struct(F.lit(k).alias("artifact_type"), md.truncate(F.col("body"), n).alias("content")) for k, n in SENT.items()])).alias("t")).select("kb_id", "path", "t.*")
+
+
+def _whole(summaries: DataFrame) -> DataFrame:
+    """Tasks of each knowledge base: the summaries of its first pages, as far as they fit."""
+    line = summaries.select("kb_id", "path", F.concat(F.lit("- "), "path", F.lit(": "), "summary").alias("line"))
+    order = Window.partitionBy("kb_id").orderBy("path", "line")
+    first = line.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= CONTEXT)  # each line has a byte at least
+    first = first.withColumn("size", F.sum(F.octet_length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("size") <= CONTEXT) | (F.col("k") == 1))
+    text = first.groupBy("kb_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    return text.select("kb_id", F.lit(None).cast("string").alias("path"), F.explode(F.array(*[F.lit(t) for t in enrich.TASKS])).alias("artifact_type"), md.truncate(F.col("content"), CONTEXT).alias("content"))
+
+
+def _results(store: Store, tasks: DataFrame, touched: DataFrame, call: Callable[[str], str], model: str) -> DataFrame:
+    """kb_id, path, artifact_type and result_json of tasks (kb_id, path, artifact_type, content); those without a cached result call the model."""
+    tasks = tasks.select("kb_id", "artifact_type", enrich.prompt_hash(F.col("content"), F.col("artifact_type")).alias("prompt_hash"), F.lit(model).alias("model_id"), "path", "content")
+    cache = store.of("cache", touched)
     done = enrich.complete(tasks, cache, call)
     new = done.filter(~F.col("hit") & F.col("result").isNotNull()).select(*enrich.KEYS, F.col("result").alias("result_json"))
-    store.write("cache", diff.upsert(cache, new, enrich.KEYS, []))
-    results = tasks.join(store.table("cache"), enrich.KEYS).select("kb_id", "path", "artifact_type", "result_json")
+    store.merge("cache", diff.upsert(cache, new, enrich.KEYS, []), touched)
+    return tasks.join(store.of("cache", touched), enrich.KEYS).select("kb_id", "path", "artifact_type", "result_json")
+
+
+def _derived(store: Store, pages: DataFrame, kbs: DataFrame, contents: DataFrame, touched: DataFrame, call: Callable[[str], str], model: str, told: Callable[[str], None]) -> None:
+    """Contents, toc, postings, enrichment and artifacts of the pages of touched knowledge bases."""
+    t = toc.flat(pages)
+    store.merge("contents", contents, touched)
+    store.merge("toc", t, touched)
+    store.merge("postings", search.postings(pages).join(pages.select("page_id", "kb_id"), "page_id"), touched)
+    told("enrichment")
+    results = _results(store, _bodies(contents), touched, call, model)
     summaries = results.filter("artifact_type = 'summary'").select("kb_id", "path", F.col("result_json").alias("summary"))
     about = results.filter("artifact_type = 'description'").select("kb_id", "path", F.col("result_json").alias("description"))
+    whole = _results(store, _whole(summaries), touched, call, model).select("kb_id", "artifact_type", F.col("result_json").alias("body"))
+    told("artifacts")
     named = kbs.join(artifacts.kb_summary(kbs, summaries), "kb_id")
     full = contents.join(pages.select("kb_id", "path", "page_id", "url", "title"), ["kb_id", "path"])
     full = full.select("kb_id", F.col("page_id").alias("ord"), F.coalesce("title", "path").alias("title"), "url", F.col("markdown").alias("content"))
     files = artifacts.llms_txt(t, named, about).withColumn("filename", F.lit("llms.txt"))
     files = files.unionByName(artifacts.llms_full_txt(full, named).withColumn("filename", F.lit("llms-full.txt")))
-    blank = named.withColumn("body", F.lit(None).cast("string"))
-    files = files.unionByName(artifacts.skill_md(blank.withColumn("description", F.col("summary"))).withColumn("filename", F.lit("SKILL.md")))
+    body = lambda task: named.join(whole.filter(F.col("artifact_type") == task).select("kb_id", "body"), "kb_id", "left")
+    files = files.unionByName(artifacts.skill_md(body("skill").withColumn("description", F.col("summary"))).withColumn("filename", F.lit("SKILL.md")))
     for name in artifacts.PASSED:
-        files = files.unionByName(artifacts.passed_through(blank, name).withColumn("filename", F.lit(name)))
-    store.write("artifacts", files)
+        files = files.unionByName(artifacts.passed_through(body(name.removesuffix(".md")), name).withColumn("filename", F.lit(name)))
+    store.merge("artifacts", files, touched)
+    told("done")
 
 
 def _kbs(pages: DataFrame, now: str, known: DataFrame) -> DataFrame:
@@ -70,21 +100,35 @@ def one_each(pages: DataFrame) -> DataFrame:
     return diff.last_of(keyed, "__key", "__same", "page_id").drop("__key", "__same")
 
 
-def add(store: Store, fetched: DataFrame, now: str, call: Callable[[str], str] = enrich.offline_model) -> None:
-    """Fill a store from fetched pages (page_id, url, html); no pages are an error."""
+def add(store: Store, fetched: DataFrame, now: str, call: Callable[[str], str] = enrich.offline_model, model: str = "offline", told: Callable[[str], None] = lambda step: None) -> None:
+    """Fill the knowledge bases of fetched pages (page_id, url, html); those that the store holds besides stay. No pages are an error.
+
+    ``told`` is called with the name of each step that begins.
+    """
     if fetched.isEmpty():
         raise EngineError("no pages were fetched")
+    told("pages")
     pages = one_each(src.page_table(fetched))
-    store.write("pages", pages)
-    pages = store.table("pages")
-    kbs = _kbs(pages, now, store.table("kbs"))
-    contents = html.convert(fetched.join(pages.select("page_id"), "page_id", "left_semi"), F.lit(now)).join(pages.select("page_id", "kb_id", "path"), "page_id").select("kb_id", "path", "markdown")
-    store.write("kbs", kbs)
-    _derived(store, pages, kbs, contents, call)
+    touched = cut(pages.select("kb_id").distinct(), "touched")
+    store.merge("pages", pages, touched)
+    pages = store.of("pages", touched)
+    kbs = _kbs(pages, now, store.of("kbs", touched))
+    told("contents")
+    mine = fetched.join(pages.select("page_id"), "page_id", "left_semi")
+    contents = html.convert(mine, F.lit(now)).join(pages.select("page_id", "kb_id", "path"), "page_id").select("kb_id", "path", "markdown")
+    store.merge("links", _links(mine, pages), touched)
+    store.merge("kbs", kbs, touched)
+    _derived(store, pages, store.of("kbs", touched), contents, touched, call, model, told)
+
+
+def _links(fetched: DataFrame, pages: DataFrame) -> DataFrame:
+    """The links table's rows of fetched pages: internal links stay on the page's host."""
+    kind = F.when(urls.host(F.col("to_url")) == F.col("kb_id"), "internal").otherwise("external")
+    return src.links(fetched).join(pages.select(F.col("page_id").alias("from_page_id"), "kb_id"), "from_page_id").withColumn("kind", F.when(F.col("to_url").isNotNull(), kind))
 
 
-def update(store: Store, fetched: DataFrame, now: str, prune: bool = False, force: bool = False, call: Callable[[str], str] = enrich.offline_model) -> dict[str, int]:
-    """Bring a store up to date and return the counts of the difference.
+def update(store: Store, fetched: DataFrame, now: str, prune: bool = False, force: bool = False, call: Callable[[str], str] = enrich.offline_model, model: str = "offline", told: Callable[[str], None] = lambda step: None) -> dict[str, int]:
+    """Bring the knowledge bases of fetched pages up to date and return the counts of the difference; others stay as they are.
 
     Only new and changed pages are converted; the others keep their text. Known pages keep their id and
     knowledge bases their time of creation. Without ``prune``, pages that have gone stay in the page
@@ -92,19 +136,26 @@ def update(store: Store, fetched: DataFrame, now: str, prune: bool = False, forc
     """
     if fetched.isEmpty():
         raise EngineError("no pages were fetched")
-    old = store.table("pages")
+    told("pages")
     new = one_each(src.page_table(fetched))
+    touched = cut(new.select("kb_id").distinct(), "touched")
+    old = store.of("pages", touched)
     change = diff.page_diff(old, new, force)
     counts = diff.summary(change, prune).first().asDict()
-    todo = diff.needs_convert(change)
+    todo = cut(diff.needs_convert(change), "changed")
     merged = diff.upsert(old, new, ["kb_id", "path"], ["page_id"])
-    store.write("pages", diff.prune(merged, new) if prune else merged)
-    pages = diff.prune(store.table("pages"), new)
-    key = new.select(F.col("page_id").alias("fetched_id"), "kb_id", "path").join(todo, ["kb_id", "path"], "left_semi")
+    store.merge("pages", diff.prune(merged, new) if prune else merged, touched)
+    pages = diff.prune(store.of("pages", touched), new)
+    told("contents")
+    ids = new.select(F.col("page_id").alias("fetched_id"), "kb_id", "path")
+    key = ids.join(todo, ["kb_id", "path"], "left_semi")
     fresh = html.convert(fetched.join(key.select(F.col("fetched_id").alias("page_id")), "page_id", "left_semi"), F.lit(now))
     fresh = fresh.join(key, F.col("page_id") == F.col("fetched_id")).select("kb_id", "path", "markdown")
-    kept = store.table("contents").join(new.select("kb_id", "path"), ["kb_id", "path"], "left_semi").join(todo, ["kb_id", "path"], "left_anti")
-    kbs = _kbs(pages, now, store.table("kbs"))
-    store.write("kbs", kbs)
-    _derived(store, pages, kbs, kept.unionByName(fresh), call)
+    kept = store.of("contents", touched).join(new.select("kb_id", "path"), ["kb_id", "path"], "left_semi").join(todo, ["kb_id", "path"], "left_anti").select("kb_id", "path", "markdown")
+    # Links are those of the pages as fetched now, under the ids that pages keep.
+    named = ids.join(pages.select("kb_id", "path", "page_id"), ["kb_id", "path"]).select("fetched_id", F.col("page_id").alias("kept_id"))
+    mine = fetched.join(named, F.col("page_id") == F.col("fetched_id")).select(F.col("kept_id").alias("page_id"), "url", "html")
+    store.merge("links", _links(mine, pages), touched)
+    store.merge("kbs", _kbs(pages, now, store.of("kbs", touched)), touched)
+    _derived(store, pages, store.of("kbs", touched), kept.unionByName(fresh), touched, call, model, told)
     return counts

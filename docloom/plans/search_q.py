@@ -10,14 +10,15 @@ from docloom.plans import pages_q
 from docloom.plans.registry import PM, query
 
 
-def _cte(phrases: list[str], where: str) -> str:
+def _cte(phrases: list[str], where: str, kb: str | None = None) -> str:
     """SQL for a list of phrases, each a query for (page_id, f), and a condition over f0, f1 and so on."""
     fold = lambda c: f"translate(lower(coalesce({c}, '')), '{text.MARKED}', '{text.PLAIN}')"
     toks = lambda c: rf"regexp_extract_all({fold(c)}, '[\p{{L}}\p{{N}}]+')"
     n = range(len(phrases))
     idf = lambda k: f"CASE WHEN ln((s.n - df{k} + 0.5) / (df{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((s.n - df{k} + 0.5) / (df{k} + 0.5)) END"
     score = " + ".join(f"({idf(k)}) * (f{k} * 2.2) / (f{k} + 1.2 * (0.25 + 0.75 * l.len / s.mean))" for k in n)
-    return f"""WITH {PM}, a AS (SELECT page_id, 'title' AS col, {toks('title')} AS t FROM pm UNION ALL SELECT page_id, 'path', {toks('path')} FROM pm),
+    pages = PM if kb is None else PM.replace("pm AS", "every AS", 1) + f", pm AS (SELECT * FROM every WHERE kb_id = '{kb}')"
+    return f"""WITH {pages}, a AS (SELECT page_id, 'title' AS col, {toks('title')} AS t FROM pm UNION ALL SELECT page_id, 'path', {toks('path')} FROM pm),
 ix AS (SELECT page_id, col, unnest(range(0, len(t))) AS pos, unnest(t) AS token FROM a), l AS (SELECT page_id, count(*) AS len FROM ix GROUP BY page_id),
 s AS (SELECT count(*) AS n, sum(len) / count(*) AS mean FROM pm LEFT JOIN l USING (page_id)),
 {', '.join(f'q{k} AS ({p})' for k, p in enumerate(phrases))},
@@ -31,7 +32,7 @@ def _word(t: str, more: str = "") -> str:
 
 
 def _add(name: str, text_: str, phrases: list[str], where: str, limit: int = 10, kb: str | None = None) -> None:
-    sql = _cte(phrases, where + (f" AND pm.kb_id = '{kb}'" if kb else "")) + str(limit)
+    sql = _cte(phrases, where, kb) + str(limit)
     query(sql, name)(lambda spark, d: search.search(pages_q.table(spark, d), text_, limit, kb))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from docloom.operators import diff
+from docloom.checkpoints import cut
+from docloom.operators import diff, search
 from docloom.plans.ingest import one_each
 from docloom.sources import pages as src
 from docloom.sources.store import Store
@@ -22,7 +23,11 @@ def keep_up(stream: DataFrame, store: Store, checkpoint: str):
 
     def batch(df: DataFrame, _: int) -> None:
         new = one_each(src.page_table(df))
-        store.write("pages", diff.upsert(store.table("pages"), new, ["kb_id", "path"], ["page_id"]))
+        touched = cut(new.select("kb_id").distinct(), "touched")
+        pages = diff.upsert(store.of("pages", touched), new, ["kb_id", "path"], ["page_id"])
+        store.merge("pages", pages, touched)
+        pages = store.of("pages", touched)
+        store.merge("postings", search.postings(pages).join(pages.select("page_id", "kb_id"), "page_id"), touched)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

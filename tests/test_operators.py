@@ -204,3 +204,83 @@ def test_parsed_precedence():
     assert tree("a NOT b c") == ("not", 0, ("and", 1, 2)) and tree("a b OR c") == ("or", ("and", 0, 1), 2)
     assert tree("a OR b NOT c") == ("or", 0, ("not", 1, 2)) and tree("c NOT a NOT b") == ("not", ("not", 0, 1), 2)
     assert tree("a NOT b AND c") == ("and", ("not", 0, 1), 2) and tree("a and b") == ("and", 0, 1, 2)
+
+
+def two_sites(spark, store):
+    ingest.add(store, pages(spark, [(0, "https://a.com/", "<h1>A home</h1>"), (1, "https://a.com/x", '<h1>Alpha</h1><a href="/">h</a>')]), "t1")
+    ingest.add(store, pages(spark, [(10, "https://b.com/", "<h1>B home</h1>"), (11, "https://b.com/y", '<h1>Beta</h1><a href="/">h</a><a href="https://a.com/x">a</a>')]), "t2")
+
+
+def state(store, kb):
+    names = [n for n in st.SCHEMAS if n != "jobs"]
+    return {n: sorted(map(repr, store.table(n, kb).collect())) for n in names}
+
+
+def test_knowledge_bases_do_not_touch_each_other(spark, tmp_path):
+    s = st.Store(spark, str(tmp_path / "store"))
+    two_sites(spark, s)
+    assert [r["kb_id"] for r in s.kb_list().collect()] == ["a.com", "b.com"]
+    a = state(s, "a.com")
+    assert len(a["pages"]) == len(a["contents"]) == 2 and len(a["artifacts"]) == 6 and a["links"] and a["postings"] and a["toc"]
+    again = pages(spark, [(20, "https://b.com/y", "<h1>Beta two</h1>")])
+    assert ingest.update(s, again, "t3", prune=True) == {"added": 0, "changed": 1, "unchanged": 0, "removed": 1}
+    assert state(s, "a.com") == a and s.table("pages", "b.com").first()["page_id"] == 11 and s.table("links", "b.com").isEmpty()
+    assert ingest.update(s, pages(spark, [(30, "https://b.com/z", "<h1>Z</h1>")]), "t4")["removed"] == 0
+    assert {r["path"] for r in s.table("pages", "b.com").collect()} == {"y", "z"} and {r["path"] for r in s.table("contents", "b.com").collect()} == {"z"}
+    ingest.add(s, pages(spark, [(40, "https://b.com/only", "<h1>Only</h1>")]), "t5")
+    assert {r["path"] for r in s.table("pages", "b.com").collect()} == {"only"} and state(s, "a.com") == a
+    s.touch("b.com", "t6")
+    s.invalidate_cache("b.com")
+    s.delete_page(40)
+    assert state(s, "a.com") == a and s.table("pages", "b.com").isEmpty() and s.table("postings", "b.com").isEmpty()
+
+
+def test_stream_keeps_other_knowledge_bases(spark, tmp_path):
+    s = st.Store(spark, str(tmp_path / "store"))
+    two_sites(spark, s)
+    a = state(s, "a.com")
+    pages(spark, [(50, "https://b.com/s", "<h1>Streamed</h1>")]).write.parquet(str(tmp_path / "in"))
+    incremental.keep_up(incremental.page_stream(spark, str(tmp_path / "in")), s, str(tmp_path / "cp")).awaitTermination()
+    assert state(s, "a.com") == a and {r["path"] for r in s.table("pages", "b.com").collect()} == {"index", "y", "s"}
+    assert [r["page_id"] for r in s.search("b.com", "streamed").collect()] == [50]
+
+
+def test_search_of_one_knowledge_base_has_its_own_statistics(spark, tmp_path):
+    one, both = st.Store(spark, str(tmp_path / "one")), st.Store(spark, str(tmp_path / "both"))
+    two_sites(spark, both)
+    ingest.add(one, pages(spark, [(0, "https://a.com/", "<h1>A home</h1>"), (1, "https://a.com/x", "<h1>Alpha</h1>")]), "t1")
+    rows = lambda s, q: [tuple(r) for r in s.search("a.com", q).collect()]
+    assert rows(one, "home OR x OR alpha") == rows(both, "home OR x OR alpha") != []
+    from docloom.operators import search as find
+
+    assert [tuple(r) for r in find.search(both.table("pages"), "home OR x OR alpha", kb_id="a.com").collect()] == rows(one, "home OR x OR alpha")
+
+
+def test_whole_knowledge_base_is_enriched(spark, tmp_path):
+    s, asked, steps = st.Store(spark, str(tmp_path / "store")), str(tmp_path / "asked"), []
+
+    def model(prompt):
+        with open(asked, "a") as f:
+            f.write(f"{len(prompt.encode())}\n")
+        return prompt if prompt.startswith("- ") else "sum of " + prompt.split()[1]
+
+    rows = [(i, f"https://e.org/p{i:03d}", f"<h1>T{i}</h1><p>{'long text ' * 3000}</p>") for i in range(3)] + [(i, f"https://e.org/p{i:03d}", f"<h1>T{i}</h1>") for i in range(3, 400)]
+    ingest.add(s, pages(spark, rows), "t1", call=model, model="m1", told=steps.append)
+    assert steps == ["pages", "contents", "enrichment", "artifacts", "done"]
+    rules = s.artifact("e.org", "rules.md").first()["content"]
+    assert "- p000: sum of T0" in rules and "- p399" not in rules and len(rules.encode()) < ingest.CONTEXT + 500
+    assert "- p001" in s.artifact("e.org", "SKILL.md").first()["content"]
+    sizes = [int(x) for x in open(asked)]
+    assert len(sizes) == 2 * 400 + 4 and 11_000 < max(sizes) < 13_000
+    out = str(tmp_path / "kb")
+    s.export("e.org", out)
+    assert st.read_manifest(spark, out)["enrichment"]["models"] == ["m1"] and st.read_manifest(spark, out)["enrichment"]["results"]["skill"] == 1
+
+
+def test_versions_expire(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "MOST_VERSIONS", 3)
+    s = st.Store(spark, str(tmp_path / "store"))
+    for k in range(12):
+        s.start_job(f"j{k}", f"kb{k % 5}", "t")
+    assert s.table("jobs").count() == 12 and s.table("jobs", "kb0").count() == 3
+    assert len([x for x in s.files.names(f"{s.root}/jobs") if x.startswith("v-")]) <= 3 + 2 + st.KEPT
