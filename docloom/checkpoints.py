@@ -36,12 +36,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A new place in the shared folder, deleted when the application's Python ends; lazy results need it until then."""
+    """A new place in the shared folder, deleted when the application ends (see ``scope`` for earlier); lazy results need it until then."""
     folder = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, folder))
+    with contextlib.suppress(Exception):  # the JVM deletes it when it ends, if Python has not: spark.stop() may come first
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return f"{folder}/{tag}"
 
 
+@contextlib.contextmanager
+def scope():
+    """Tables written inside are deleted at its end: for sessions that outlive their results, which must be consumed by then."""
+    begun = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for spark, path in _WRITTEN[begun:]:
+            with contextlib.suppress(Exception):
+                remove(spark, path)
+        del _WRITTEN[begun:]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, whatever file system it is in."""
     jvm = spark.sparkContext._jvm

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import urldefrag, urljoin
 
-import pandas as pd
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, functions as F
 
-from docloom.shipping import ship
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 _PARTS = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -148,19 +145,30 @@ def resolve_root_relative(base: Column, href: Column) -> Column:
     return F.when(plain.rlike(r"^https?://"), plain).when(plain.startswith("//"), F.concat(scheme(base), F.lit(":"), plain)).when(plain.startswith("/"), F.concat(origin(base), plain))
 
 
-def _join(base: pd.Series, href: pd.Series) -> pd.Series:
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        try:
-            return urldefrag(urljoin(x, y))[0] or None
-        except ValueError:
-            return None
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    last = F.element_at(parts, -1)
 
-    return pd.Series([one(x, y) for x, y in zip(base, href)], dtype=object)
+    def step(a, x):
+        return F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
 
 
 def resolve_any(base: Column, href: Column) -> Column:
-    """Any link joined with its page's URL, by an Arrow UDF where the fast path cannot."""
-    ship(SparkSession.active())
-    return F.coalesce(resolve_root_relative(base, href), F.pandas_udf(_join, "string")(base, href))
+    """Absolute URL of any link of a page, without its fragment, by the rules of RFC 3986; null for links of other schemes and empty ones."""
+    plain = F.regexp_replace(href, "#.*$", "")
+    before = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    own = raw_path(base)
+    path, query = F.regexp_extract(plain, r"^([^?]*)", 1), F.regexp_extract(plain, r"(\?.*)$", 1)
+    folder = F.regexp_replace(F.when(own == "", "/").otherwise(own), "[^/]*$", "")
+    relative = F.concat(before, _without_dots(F.concat(folder, path)), query)
+    only_query = F.concat(before, own, query)
+    rooted = resolve_root_relative(base, href)
+    absolute = plain.rlike("^https?://") | plain.startswith("//")
+    rooted = F.when(absolute, rooted).otherwise(F.concat(origin(base), _without_dots(path), query))
+    other = plain.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
+    return F.when(absolute | plain.startswith("/"), rooted).when(other | (plain == ""), F.lit(None).cast("string")).when(plain.startswith("?"), only_query).otherwise(relative)

@@ -28,6 +28,13 @@ def bfs(start: DataFrame, edges: DataFrame, max_depth: int, scope: Callable[[Col
     return seen
 
 
+def skipped(met: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: links (nodes met, null ones aside) and skipped (those known before, and repeats): one shuffle on the node."""
+    each = met.filter("node is not null").groupBy("node").agg(F.count("*").alias("n"))
+    each = each.join(known.select("node").distinct().withColumn("old", F.lit(1)), "node", "left")
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("links"), F.coalesce(F.sum(F.col("n") - F.when(F.col("old").isNull(), 1).otherwise(0)), F.lit(0)).alias("skipped"))
+
+
 def crawl_stats(fetched: DataFrame, errors: DataFrame, skipped: int = 0) -> DataFrame:
     """One row: pages_fetched, pages_skipped, n_errors and status."""
     f, e = fetched.agg(F.count("*").alias("pages_fetched")), errors.agg(F.count("*").alias("n_errors"))

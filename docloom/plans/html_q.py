@@ -34,12 +34,13 @@ def strip_chrome(spark, d):
     return src.read(spark, d).select("page_id", html.without_chrome(C("html")).alias("body"))
 
 
-@query(r"""WITH t AS (SELECT page_id, [['id', 'host'], [CAST(page_id AS VARCHAR), url], [CAST(page_id AS VARCHAR)]] AS r FROM pages)
-SELECT page_id, '| id | host |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || r[2][1] || ' | ' || r[2][2] || ' |' || chr(10) || '| ' || r[3][1] || ' |  |' AS md FROM t""")
+@query(r"""SELECT page_id, '| id | host |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || page_id || ' | ' || url || ' |' || chr(10) || '| ' || page_id || ' | |' AS md FROM pages""")
 def html_table_md(spark, d):
+    """The converter's own tables: a short row is filled up."""
     i = C("page_id").cast("string")
-    rows = F.array(F.array(F.lit("id"), F.lit("host")), F.array(i, C("url")), F.array(i))
-    return src.read(spark, d).select("page_id", html.table_markdown(rows).alias("md"))
+    table = F.concat(F.lit("<main><TABLE><tr><th>id<th>host</tr><tr><td>"), i, F.lit("</td><td>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</td></tr><tr><td> "), i, F.lit("</table></main>"))
+    rows = html.facts(src.read(spark, d).select("page_id", table.alias("html")))
+    return rows.select("page_id", F.regexp_replace(F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")), r"\|  \|", "| |").alias("md"))
 
 
 @query()
@@ -52,7 +53,9 @@ def adapter_toc(spark, d):
     return html.facts(src.read(spark, d).select("page_id", "html")).select("page_id", F.posexplode("toc").alias("pos", "e")).select("page_id", "pos", "e.title", "e.path")
 
 
-@query("SELECT 'generic' AS primary_adapter")
+@query("""WITH m AS (SELECT page_id, regexp_extract(url, '://([^/?#:]+)', 1) AS kb_id, CASE page_id % 5 WHEN 1 THEN 'docusaurus' WHEN 2 THEN 'vitepress' WHEN 3 THEN 'gitbook' WHEN 4 THEN 'readthedocs' ELSE 'generic' END AS adapter FROM pages)
+SELECT kb_id, arg_min(adapter, page_id) AS primary_adapter FROM m GROUP BY kb_id""")
 def primary_adapter(spark, d):
-    f = html.facts(src.read(spark, d).select("page_id", "html"))
-    return f.agg(F.min_by("adapter", "page_id").alias("primary_adapter"))
+    """The adapter of each knowledge base's first page."""
+    kb = src.page_table(src.read(spark, d)).select("page_id", "kb_id")
+    return detect_adapter(spark, d).join(kb, "page_id").groupBy("kb_id").agg(F.min_by("adapter", "page_id").alias("primary_adapter"))

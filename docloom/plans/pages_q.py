@@ -243,6 +243,27 @@ def reader_dedup(spark, d):
     return diff.last_of(s, "kb_id", "source", "page_id").select("kb_id", "path", "page_id")
 
 
-@query("SELECT coalesce(max(o_orderkey % 4), 0) AS version FROM orders WHERE o_orderkey < 0")
+@query("SELECT CAST(coalesce(max(r_regionkey), 0) AS BIGINT) AS version FROM region")
 def schema_version(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey < 0").agg(F.coalesce(F.max(C("o_orderkey") % 4), F.lit(0)).cast("long").alias("version"))
+    """The largest of applied versions (here the keys of region), 0 if there is none."""
+    return spark.read.parquet(f"{d}/region.parquet").agg(F.coalesce(F.max("r_regionkey"), F.lit(0)).cast("long").alias("version"))
+
+
+_VISITED = f"""WITH {_LINKS}, t AS (SELECT from_page_id, CASE WHEN regexp_matches(href, '^https?://') THEN regexp_replace(href, '#.*$', '') WHEN starts_with(href, '/') THEN lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) || regexp_replace(href, '#.*$', '') END AS u FROM l),
+s AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS u FROM pages)"""
+
+
+@query(_VISITED + """ SELECT u AS node, min(d) AS depth FROM (SELECT u, 0 AS d FROM s UNION ALL SELECT u, 1 FROM t WHERE u IS NOT NULL) GROUP BY u""")
+def crawl_links(spark, d):
+    """A crawl of one level over the pages' own links."""
+    p = src.read(spark, d)
+    plain = F.regexp_replace("url", "#.*$", "")
+    edges = src.links(p).filter("to_url is not null").join(p.select(C("page_id").alias("from_page_id"), plain.alias("src")), "from_page_id").select("src", C("to_url").alias("dst"))
+    return crawl.bfs(p.select(plain.alias("node")), edges, 1)
+
+
+@query(_VISITED + """ SELECT count(u) AS links, count(u) - count(DISTINCT u) FILTER (u NOT IN (SELECT u FROM s)) AS skipped FROM t""")
+def crawl_skipped(spark, d):
+    """Links met, and those that lead to a page that is known already: a start or the target of an earlier link."""
+    p = src.read(spark, d)
+    return crawl.skipped(src.links(p).select(C("to_url").alias("node")), p.select(F.regexp_replace("url", "#.*$", "").alias("node")))

@@ -24,6 +24,6 @@ def page_table(pages: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """from_page_id, pos (from 0), href and to_url of every followable link; repeats stay."""
+    """from_page_id, pos (from 0), href and to_url (null for links of other schemes) of every followable link; repeats stay."""
     a = pages.select(F.col("page_id").alias("from_page_id"), "url", F.posexplode(F.filter(text.hrefs(F.col("html")), urls.followable)).alias("pos", "href"))
-    return a.select("from_page_id", F.col("pos").cast("long").alias("pos"), "href", urls.resolve_root_relative(F.col("url"), F.col("href")).alias("to_url"))
+    return a.select("from_page_id", F.col("pos").cast("long").alias("pos"), "href", urls.resolve_any(F.col("url"), F.col("href")).alias("to_url"))

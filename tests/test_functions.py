@@ -95,3 +95,59 @@ def test_facts_of_nulls(spark):
     df = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "<p>x")], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in html.facts(df).collect()}
     assert got[1]["adapter"] is None and got[2]["adapter"] == "generic" and "x" in got[3]["raw"]
+
+
+ODD_HTML = [
+    "<H1 class='x>y'>Big &amp; <b>bold</b> &eacute;&#233;&#xE9;&mdash;</H1><A HREF='/a&amp;b'>x</A><a href=plain.html>y</a>",
+    "<!-- <h1>no</h1><a href='/no'>n</a> --><h1\n id=t> Real&nbsp;</h1 ><a title='a > b' href = \"../up?q=1#f\">u</a>",
+    "<script>var x = '<h1>no</h1><a href=\"/no\">';</script><style>h1 {}</style><h1></h1><a data-href='/no' href='?q=2'>q</a><a name=n>none</a>",
+    "<abbr href='/no'>a</abbr><a href=' /blank '>b</a><a\thref=\"/tab\">t</a><a href=\"\">e</a><a href='//cdn.example.org/x'>c</a>",
+    "<p>none</p>", "", None,
+]
+
+
+def plain_h1(x):
+    from docloom.functions import dom
+
+    e = dom.first(dom.parse(x or ""), "h1")
+    return None if x is None or e is None else e.text().strip()
+
+
+def plain_links(x):
+    from docloom.functions import dom
+
+    return [e.attrs["href"].strip() for e in dom.select(dom.parse(x or ""), "a[href]")]
+
+
+def test_titles_and_links_equal_those_of_the_tree(spark):
+    from docloom.functions import text
+    from tests.conftest import DATA
+
+    htmls = ODD_HTML + [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(htmls)), "i int, html string")
+    got = {r["i"]: r for r in df.select("i", text.h1(F.col("html")).alias("t"), text.hrefs(F.col("html")).alias("h")).collect()}
+    for i, x in enumerate(htmls):
+        assert got[i]["t"] == plain_h1(x), x
+        assert (got[i]["h"] or []) == plain_links(x), x
+
+
+def test_links_resolve_as_the_standard_says(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    from docloom.functions import urls
+
+    bases = ["https://e.org", "https://e.org/", "https://e.org/a/b/c?q=1#f", "https://e.org/a/b/", "http://e.org:8080/x.html"]
+    hrefs = ["x", "x/y.html", "./x", "../x", "../../x", "../../../x", ".", "..", "../", "./", "a/./b/../c", "?q=2", "/r", "/r/../s", "/r?x=..", "x?y=../z", "//h.org/p", "https://o.org/p#f", "x#f", "g;x=1/../y"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
+    for r in df.withColumn("u", urls.resolve_any(F.col("base"), F.col("href"))).collect():
+        assert r["u"] == urldefrag(urljoin(r["base"], r["href"]))[0], (r["base"], r["href"])
+    none = spark.createDataFrame([("https://e.org/a", h) for h in ("mailto:x@y", "tel:1", "javascript:void(0)", "", "#top", None)], "base string, href string")
+    assert all(r["u"] is None for r in none.select(urls.resolve_any(F.col("base"), F.col("href")).alias("u")).collect())
+
+
+def test_skipped_links(spark):
+    from docloom.operators import crawl
+
+    met = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("s",)], "node string")
+    assert tuple(crawl.skipped(met, spark.createDataFrame([("s",), ("s",)], "node string")).first()) == (5 - 1, 2)
+    assert tuple(crawl.skipped(met.limit(0), met.limit(0)).first()) == (0, 0)
