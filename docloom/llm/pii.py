@@ -215,7 +215,7 @@ def specific(edges: DataFrame, docs: DataFrame, text_col: str = "text") -> DataF
     seqs = docs.select(F.split(F.concat(F.lit(f"{START} {START} "), F.lower(marked), F.lit(f" {END} {END}")), _BETWEEN).alias("w"))
     counts = seqs.select(F.explode("w").alias("word")).groupBy("word").count()
     asked = before.select("pattern", F.explode(F.split("pair", " ")).alias("word"))
-    rarer = counts.join(_small(asked.select("word").distinct()), "word", "left_semi").join(asked, "word").groupBy("pattern").agg(F.min("count").alias("rarer"))
+    rarer = counts.join(_small(asked), "word").groupBy("pattern").agg(F.min("count").alias("rarer"))  # after the counts: words meet patterns once each
     terms = cut(before.join(rarer, "pattern").filter(F.col("before") * (TERM / SPECIFIC) >= F.col("rarer")).select("pattern", "pair", "before"), "pii-terms")
     first = terms.select(F.substring_index("pair", " ", 1).alias("word")).distinct()
     if first.count() <= MOST_NAMED:  # texts without any of these words need no pairs
