@@ -7,7 +7,7 @@ largest expected scores, as many as the sample needs for the wanted recall: few
 where they have no order. In a block, its rotated components are rounded to a few bits, so that counts
 of common bits of words estimate all inner products; the scalars bound the estimates' errors. Only rows
 whose upper bound reaches the k-th best score known there are reranked by the original vectors, in double
-precision.
+precision. Every query visits its best cell first; what it finds there is what rows of its other cells must reach.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, freed, table, tune
@@ -139,10 +138,10 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> Codes:
     return Codes(words, np.bitwise_count(words).sum(1).astype(np.float64), norm / along / np.sqrt(wide), norm * np.sqrt(np.maximum(0, 1 - along**2)) / along / np.sqrt(wide - 1))
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, codes: Codes, centre: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its place, and ids and exact scores of its k best rows of the block.
+def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, codes: Codes, centre: np.ndarray, k: int, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its place, and ids and exact scores of its k best rows of the block that reach its known score, if it has one.
 
-    The k rows of largest estimate are scored first; the least of their scores is what a row's upper
+    Without a known score, the k rows of largest estimate are scored first; the least of their scores is what a row's upper
     bound must reach to be scored as well.
     """
     turned, base = q @ rotation(x.shape[1]), q @ centre
@@ -156,19 +155,25 @@ def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray,
     planes[:, :, :wide] = level[:, None, :] >> np.arange(PLANES)[None, :, None] & 1
     planes = np.packbits(planes, axis=2, bitorder="little").view("<u8")
     size = np.linalg.norm(q, axis=1)
+    words = np.ascontiguousarray(codes.words.T)  # word by word: rows lie together
     for i in range(len(q)):
-        common = sum(np.bitwise_count(codes.words & planes[i, p]).sum(1, dtype=np.int64) << p for p in range(PLANES))
+        common = np.zeros(len(vid), np.int32)
+        for p in range(PLANES):
+            for w, plane in zip(words, planes[i, p]):
+                if plane:
+                    common += np.bitwise_count(w & plane).astype(np.int32) << p
         est = codes.scale * (2 * (low[i] * codes.ones + step[i] * common) - rounded[i].sum())
         out = vid == qid[i]
-        est[out] = -np.inf
-        if len(vid) > k:
+        least = -np.inf if known is None else known[i]
+        if least == -np.inf and len(vid) > k:
+            est[out] = -np.inf
             first = np.argpartition(est, len(est) - k)[len(est) - k :]
             least = np.where(out[first], -np.inf, (x[first] * q[i]).sum(1)).min()
-            bound = SIGMAS * np.hypot(size[i] * codes.error, codes.scale * lost[i])
-            pick = np.flatnonzero((est + bound + base[i] >= least - 1e-9 * (1 + abs(least))) & ~out)
-        else:
-            pick = np.flatnonzero(~out)
+        bound = np.sqrt((size[i] * codes.error) ** 2 + (codes.scale * lost[i]) ** 2) * SIGMAS if least > -np.inf else np.inf
+        pick = np.flatnonzero((est + bound + base[i] >= least - 1e-9 * (1 + abs(least)) if least > -np.inf else True) & ~out)
         score = (x[pick] * q[i]).sum(1)
+        if known is not None:
+            pick, score = pick[score >= known[i]], score[score >= known[i]]
         best = np.lexsort((vid[pick], -score))[:k]
         yield i, vid[pick][best], score[best]
 
@@ -241,30 +246,33 @@ def index(live: DataFrame, cells: dict[int, Cells]) -> DataFrame:
     return cut(rows.mapInArrow(freed(pack), "dim int, cell long, part long, ids binary, vectors binary, words binary, scalars binary"), "ann-index")
 
 
-def packets(asked: DataFrame, cells: dict[int, Cells]) -> DataFrame:
-    """Queries by the cells that they visit: dim, cell, and packed ids and vectors of up to PACKET of them."""
+def packets(asked: DataFrame, cells: dict[int, Cells], first: bool) -> DataFrame:
+    """Queries (id, mark, known, vec) by their best cell, or by the others that they visit: dim, cell, and packed columns of up to PACKET queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for dim, mine, x in _matrix(b.column(1)):
+            columns = [b.column(i).to_numpy() for i in range(3)]
+            for dim, mine, x in _matrix(b.column(3)):
                 if dim not in cells:
                     continue
-                to = cells[dim].visits(x)
-                rows = []
+                best = cells[dim].hope(x).argmax(1)
+                to = best[:, None] if first else cells[dim].visits(x)
                 own, cell = np.repeat(np.arange(len(x)), to.shape[1]), to.reshape(-1)
+                if not first:
+                    own, cell = own[cell != best[own]], cell[cell != best[own]]
                 order = np.argsort(cell, kind="stable")
                 own, cell = own[order], cell[order]
-                cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+                cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True]) if len(cell) else np.zeros(1, int)
+                rows = []
                 for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     for at in range(lo, hi, PACKET):
                         some = own[at : min(hi, at + PACKET)]
-                        rows.append((dim, int(cell[lo]), ids[mine[some]].tobytes(), x[some].tobytes()))
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                        rows.append((dim, int(cell[lo]), *(c[mine[some]].tobytes() for c in columns), x[some].tobytes()))
+                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
                 for at in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), kinds)], names=["dim", "cell", "q_ids", "q_vectors"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), kinds)], names=["dim", "cell", "q_ids", "q_marks", "q_known", "q_vectors"])
 
-    return asked.mapInArrow(freed(run), "dim int, cell long, q_ids binary, q_vectors binary")
+    return asked.select("id", "mark", "known", "vec").mapInArrow(freed(run), "dim int, cell long, q_ids binary, q_marks binary, q_known binary, q_vectors binary")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -277,28 +285,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     Other columns take no part, whatever their names. No vectors or no queries: no rows.
     """
     tune(vectors.sparkSession)
-    live, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
+    live = usable(vectors, id_col, vec_col)
+    asked = usable(queries, id_col, vec_col).withColumn("mark", F.xxhash64("vec")).dropDuplicates(["id", "mark"])
     same = Window.partitionBy(F.xxhash64("vec"), F.hash("vec"), F.size("vec")).orderBy("id")
     live = cut(live.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).select("id", "vec"), "ann-vectors")
     cells = fit(live)
     blocks = index(live, cells)
-    pairs = packets(asked, cells).join(blocks, ["dim", "cell"]).select("q_ids", "q_vectors", "dim", "cell", "ids", "vectors", "words", "scalars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q_ids, q_vectors, dim, cell, ids, vectors_, words, scalars in zip(*(b.column(i).to_pylist() for i in range(8))):
-                qid, vid = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+            for q_ids, q_marks, q_known, q_vectors, dim, cell, ids, vectors_, words, scalars in zip(*(b.column(i).to_pylist() for i in range(10))):
+                qid, mark, known, vid = np.frombuffer(q_ids, np.int64), np.frombuffer(q_marks, np.int64), np.frombuffer(q_known), np.frombuffer(ids, np.int64)
                 x, q = np.frombuffer(vectors_).reshape(-1, dim), np.frombuffer(q_vectors).reshape(-1, dim)
                 codes = Codes(np.frombuffer(words, "<u8").reshape(len(vid), -1), *np.frombuffer(scalars).reshape(3, -1))
-                got = list(search_block(qid, q, vid, x, codes, cells[dim].centres[cell], k))
+                got = list(search_block(qid, q, vid, x, codes, cells[dim].centres[cell], k, known))
                 n = [len(g[1]) for g in got]
-                # Queries of one id are told apart by their vectors.
-                mark = np.array([xxhash.xxh3_64_intdigest(q[i].tobytes()) >> 1 for i, _, _ in got], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(np.repeat(mark, n)), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))], names=["query_id", "mark", "vec_id", "score"])
 
-    found = pairs.mapInArrow(freed(run), "query_id long, mark long, vec_id long, score double")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def visited(queries_: DataFrame, first: bool) -> DataFrame:
+        pairs = packets(queries_, cells, first).join(blocks, ["dim", "cell"])
+        return pairs.select("q_ids", "q_marks", "q_known", "q_vectors", "dim", "cell", "ids", "vectors", "words", "scalars").mapInArrow(freed(run), "query_id long, mark long, vec_id long, score double")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    none = F.lit(float("-inf"))
+    begun = cut(ranked(visited(asked.withColumn("known", none), True)), "ann-first")
+    least = begun.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "mark", F.col("score").alias("known"))
+    rest = visited(asked.join(least, ["id", "mark"], "left").withColumn("known", F.coalesce("known", none)), False)
+    return ranked(begun.drop("rank").union(rest)).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 Archives are written by Spark's text writer, a record a row, so that any file system and any lost
 task is served by Spark's own commit protocol. They are read by Spark's text reader in blocks that
-Spark splits at will, cut at each blank line. Every block emits candidates: places where the magic
-``WARC/1.`` stands at a line's start with a header below it, and the offset at which the successor
-must start. Payloads may hold the same magic; so a candidate counts only if it is reached from the
-start of its file. Inside a block the chain is followed at once; between blocks, pointer jumping
-over one exit pointer per candidate doubles the blocks that are crossed in each round.
+Spark splits at will, cut where a blank line is followed by the magic ``WARC/1.``. (A cut at blank lines
+alone would depend on where a block begins: line ends in a row can be paired in two ways. This mark cannot
+overlap itself.) Every block emits candidates: places where the magic stands with a header below it, and the
+offset at which the successor must start. Payloads may hold the same mark; so a candidate counts only if it
+is reached from the start of its file. Inside a block the chain is followed at once; between blocks,
+pointer jumping over one exit pointer per candidate doubles the blocks that are crossed in each round.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .common import cut, freed, new_path, table, tune
 
 END = "\r\n\r\n"
 MAGIC = b"WARC/1."
+MARK = END.encode() + MAGIC
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payloads that repeat, of 60 bytes each, that are sent to all executors at most; beyond it, a shuffle joins them.
 BROADCAST_ROWS = 200_000
@@ -57,15 +59,20 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Write one record for each page to archives under ``path``; a revisit has no payload of its own."""
+def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Write one record for each page to archives under ``path``; a revisit has no payload of its own.
+
+    ``date`` is the time that records state. Pages with a null id get an identifier from their address and payload. Payloads of
+    any length up to what a row holds (2 GB) are written whole; an empty table gives archives without records.
+    """
     p = with_revisits(pages, least)
     revisit = F.col("record_type") == "revisit"
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"\r\n{name}: "), value), F.lit(""))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"),
-        line("WARC-Record-ID", urn(F.col("page_id"))),
+        line("WARC-Record-ID", F.coalesce(urn(F.col("page_id")), F.concat(F.lit("<urn:sha1:"), F.sha1(F.concat_ws(" ", "url", "payload_digest")), F.lit(">")))),
+        F.lit(f"\r\nWARC-Date: {date}"),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]+", "%20")),
         line("WARC-Refers-To", urn(F.col("refers_to"))),
         line("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -78,9 +85,9 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Pieces between blank lines with their file, block and order; a file's blocks hold each piece once."""
+    """Pieces between marks with their file, block and order; a file's blocks hold each piece once."""
     meta = F.col("_metadata")
-    return spark.read.option("lineSep", END).text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.col("value").cast("binary").alias("value"))
+    return spark.read.option("lineSep", MARK.decode()).text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.col("value").cast("binary").alias("value"))
 
 
 def _header(head: bytes) -> dict[bytes, bytes] | None:
@@ -93,13 +100,16 @@ def _header(head: bytes) -> dict[bytes, bytes] | None:
     return out if out.get(b"content-length", b"").isdigit() else None
 
 
-def _magic(value: bytes) -> Iterator[int]:
-    """Places of the magic at a line's start."""
-    at = value.find(MAGIC)
-    while at >= 0:
-        if at == 0 or value[at - 2 : at] == b"\r\n":
-            yield at
-        at = value.find(MAGIC, at + 1)
+def _record(block: int, size: int, value: bytes) -> tuple[int, bytes, int] | None:
+    """Start (in the block's pieces), header and place of the payload in the value and its mark, if a piece begins like a record.
+
+    All pieces but a file's first follow a mark, whose magic belongs to them.
+    """
+    lead = 0 if block == 0 and size == 0 else len(MAGIC)
+    head = value[: (value + MARK[:4]).find(MARK[:4])]  # the header's blank line may lie in the mark, if the payload goes on with the magic
+    if not head or (not lead and not value.startswith(MAGIC)):
+        return None
+    return size - lead, head if not lead else MAGIC + head, len(head) + 4
 
 
 _CANDIDATES = "file string, block long, start long, exit long, last long, size long"
@@ -127,10 +137,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key is not None:
                     rows += flush()
                 key, found, size = (file, block), {}, 0
-            for at in _magic(value):
-                if (h := _header(value[at:])) is not None:
-                    found[size + at] = size + len(value) + 4 + int(h[b"content-length"]) + 4
-            size += len(value) + 4
+            if (r := _record(block, size, value)) is not None and (h := _header(r[1])) is not None:
+                found[r[0]] = size + r[2] + int(h[b"content-length"]) + 4
+            size += len(value) + len(MARK)
         if len(rows) > 10_000:
             yield _batch(rows)
             rows = []
@@ -208,19 +217,17 @@ def _parts(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.RecordB
                 key, base, size = (file, block), start, 0
                 due = entry
                 record = [open_, None, None, base, bytearray()] if open_ is not None else None
-            at = base + size
-            size += len(value) + 4
-            if due is not None and at <= due < at + len(value):
+            r = _record(block, size, value)
+            if due is not None and r is not None and base + r[0] == due:
                 if record is not None:
-                    record[4] += value[: due - at]
                     put(file, record)
-                head = value[due - at :]
-                length = int(_header(head)[b"content-length"])
-                body = at + len(value) + 4
-                record = [due, head, length, body, bytearray()]
+                length = int(_header(r[1])[b"content-length"])
+                body = base + size + r[2]
+                record = [due, r[1], length, body, bytearray((value + MARK)[r[2] :])]
                 due = body + length + 4
             elif record is not None:
-                record[4] += value + b"\r\n\r\n"
+                record[4] += value + MARK
+            size += len(value) + len(MARK)
             if held > 2 << 20 or len(out) > 5000:
                 yield _part_batch(out)
                 out, held = [], 0
@@ -255,8 +262,12 @@ def read(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
     joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["data"]))
     split = split.withColumn("joined", joined).select("file", "record", "header", F.expr("substring(joined, 1, cast(length as int))").alias("payload"))
     both = whole.select("file", "record", "header", F.col("data").alias("payload")).union(split)
-    lines = F.slice(F.split(F.decode("header", "UTF-8"), "\r\n"), 2, 10_000)
+    # The first line is the version; of a repeated field, the first value counts, as for lengths.
+    lines = F.slice(F.split(F.decode("header", "UTF-8"), "\r\n"), 2, 1 << 30)
     pairs = F.transform(F.filter(lines, lambda x: x.contains(":")), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
+    named = F.struct(pairs.alias("p"), F.transform(pairs, lambda x: x["k"]).alias("k"))
+    first = lambda b: F.filter(b["p"], lambda x, i: F.array_position(b["k"], x["k"]) == i + 1)
+    pairs = F.get(F.transform(F.array(named), first), F.lit(0))
     return both.select("file", "record", F.map_from_entries(pairs).alias("header"), "payload")
 
 

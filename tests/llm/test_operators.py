@@ -496,6 +496,34 @@ def test_archives_of_no_pages(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "v")).count() == 3
 
 
+@pytest.mark.parametrize("pad", range(0, 40, 5))
+def test_archives_at_any_place_of_block_ends(spark, pad, tmp_path):
+    magic = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    rng = random.Random(pad)
+    texts = ["".join(rng.choice(["a", "\r\n", "\r", "\n", "WARC/1.", "\r\n\r\n", "\r\n\r\n\r\n", magic, "é"]) for _ in range(rng.randrange(40))) + str(i) for i in range(120)]
+    pages = spark.createDataFrame([(i, f"http://e.org/{i}" + "p" * pad, x) for i, x in enumerate(texts)], "page_id long, url string, html string")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        warc.write(pages.coalesce(1), str(tmp_path / "w"))
+        got = {r["header"]["warc-record-id"]: bytes(r["payload"]) for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {f"<urn:page:{i}>": x.encode() for i, x in enumerate(texts)}
+
+
+def test_headers_of_other_writers(spark, tmp_path):
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Concurrent-To: <urn:a>\r\nWARC-Concurrent-To: <urn:b>\r\n" + b"".join(b"X-%d: v\r\n" % i for i in range(10_500)) + b"Content-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(one * 2)
+    rows = warc.read(spark, str(tmp_path / "in")).collect()
+    assert [bytes(r["payload"]) for r in rows] == [b"abc"] * 2 and all(r["header"]["warc-concurrent-to"] == "<urn:a>" and r["header"]["x-10499"] == "v" for r in rows)
+    warc.write(spark.createDataFrame([(None, "u", "x"), (1, "v", "y")], "page_id long, url string, html string"), str(tmp_path / "w"), date="2026-01-02T03:04:05Z")
+    heads = [r["header"] for r in warc.read(spark, str(tmp_path / "w")).collect()]
+    assert all(h["warc-date"] == "2026-01-02T03:04:05Z" and h["warc-record-id"].startswith("<urn:") for h in heads)
+
+
 # 6: substrings
 
 def plain_strip(docs):
