@@ -167,7 +167,8 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     Documents whose sets have 100 * intersection >= 80 * union are linked. Null and empty texts link
     with nothing. Rows of one id count as one document, whatever their texts. A null id gets a null
-    component and is kept.
+    component and is kept. Texts of any length give all their shingles; an empty table gives no rows;
+    further columns are not read.
     """
     tune(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

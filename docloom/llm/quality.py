@@ -194,6 +194,8 @@ def judge(df: DataFrame, trees: Trees, text_col: str = "text", least: float = 0.
 
     A document is kept if it passes the base rules and its probability is ``least`` or more: below
     one half, so that doubtful documents stay. A null or empty text has no words, and so fails.
+    Texts of any length are judged whole, equal texts alike; an empty table gives no rows. A column
+    that has the name of a new one, in whatever case, is replaced; further columns are kept.
     """
     fields = [*(T.StructField(c, T.LongType()) for c in BASE), T.StructField("base_failed", T.BooleanType()), T.StructField("quality", T.DoubleType()), T.StructField("kept", T.BooleanType())]
 

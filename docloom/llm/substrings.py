@@ -392,7 +392,9 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """id column, n_bytes, n_removed, n_spans and kept_sha256 for every row.
 
     A null text is an empty one; a text under 100 bytes loses nothing. Rows of one id, or of null ids
-    (which come last), are separate texts in the order of their texts. An empty table gives no rows.
+    (which come last), are separate texts in the order of their texts. An empty table gives no rows;
+    further columns are not read. Equal places are told by 64-bit hashes of content with 50-bit hashes
+    of grams, not by bytes. A text of 2^OFFSET_BITS bytes or more is refused with a ValueError.
     """
     tune(docs.sparkSession)
     d = _numbered(docs, id_col, text_col)
