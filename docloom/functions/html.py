@@ -1,14 +1,15 @@
-"""Facts of HTML pages that need a tree: each page is parsed once, in Arrow batches, for all of them."""
+"""Facts of HTML pages: each page is read once, in Arrow batches, for all that are asked of it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from docloom.functions import dom, markdown as md
+from docloom.functions import dom, events, markdown as md
 from docloom.shipping import ship
 
 # Selectors of main content, tried in this order.
@@ -106,55 +107,77 @@ def to_markdown(doc: dom.Element) -> str:
     return dom.markdown(dom.Element("#document", children=(doc if e is None else e).children))
 
 
-FACTS = "adapter string, content string, body string, toc array<struct<title:string,path:string>>, raw string"
+def _with_tree(f: Callable[[dom.Element, Adapter], object]) -> Callable:
+    return lambda html, tree: f(tree(), adapter_of(tree()))
 
 
-def facts(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """All other columns, and of each page: adapter, content, body (adapter content), toc and raw (Markdown before clean-up). Null html gives nulls."""
-    ship(pages.sparkSession)
-    keep = [f for f in pages.schema.fields if f.name != html_col]
-    names = [f.name for f in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), FACTS])
-
-    def one(x: str | None) -> tuple:
-        if x is None:
-            return None, None, None, None, None
-        doc = dom.parse(x)
-        a = adapter_of(doc)
-        toc = [{"title": t, "path": p} for t, p in adapter_toc(doc, a)]
-        e = main_element(doc)
-        return a.name, x if e is None else e.inner(), adapter_content(doc, a), toc, to_markdown(doc)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = pd.DataFrame([one(x) for x in b[html_col]], columns=["adapter", "content", "body", "toc", "raw"], index=b.index, dtype=object)
-            yield pd.concat([b[names], got], axis=1)
+#: What can be asked of a page: its type in Spark and in Arrow, and a function of the html and of its tree (made when first asked for).
+FACTS: dict[str, tuple[T.DataType, pa.DataType, Callable]] = {
+    "title": (T.StringType(), pa.string(), lambda html, tree: dom.title(html)),
+    "hrefs": (T.ArrayType(T.StringType()), pa.list_(pa.string()), lambda html, tree: events.hrefs(html)),
+    "content_hash": (T.StringType(), pa.string(), lambda html, tree: sha256(html.encode()).hexdigest()),
+    "content_len": (T.LongType(), pa.int64(), lambda html, tree: len(html.encode())),
+    "adapter": (T.StringType(), pa.string(), _with_tree(lambda doc, a: a.name)),
+    "content": (T.StringType(), pa.string(), lambda html, tree: html if (e := main_element(tree())) is None else e.inner()),
+    "body": (T.StringType(), pa.string(), _with_tree(adapter_content)),
+    "toc": (T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("path", T.StringType())])), pa.list_(pa.struct([("title", pa.string()), ("path", pa.string())])), _with_tree(lambda doc, a: [{"title": t, "path": p} for t, p in adapter_toc(doc, a)])),
+    "raw": (T.StringType(), pa.string(), lambda html, tree: to_markdown(tree())),
+}
+#: Rows and bytes of an Arrow batch at most: whole pages travel in them.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
-    return pages.mapInPandas(run, schema)
 
+def _bound(spark) -> None:
+    """Small Arrow batches for whole pages, unless the session asks for smaller ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
-def convert(pages: DataFrame, fetched_at: Column | None = None) -> DataFrame:
-    """page_id, url, title, markdown (with front matter) and word_count of pages (page_id, url, html)."""
+
+def facts(pages: DataFrame, *asked: str, html_col: str = "html") -> DataFrame:
+    """All other columns, and the facts asked of each page (those of ``FACTS``): one pass, and one tree at most. Null html gives nulls.
+
+    Columns that have the name of a fact that is asked for are replaced.
+    """
+    asked = asked or ("adapter", "content", "body", "toc", "raw")
     ship(pages.sparkSession)
+    _bound(pages.sparkSession)
+    keep = [c for c in pages.columns if c != html_col and c not in asked]
+    pages = pages.select(*[F.col(f"`{c}`") for c in (*keep, html_col)])
+    schema = T.StructType([*pages.schema.fields[:-1], *(T.StructField(k, FACTS[k][0]) for k in asked)])
+    kinds, tasks = [FACTS[k][1] for k in asked], [FACTS[k][2] for k in asked]
+
+    def one(html: str) -> list:
+        held: list[dom.Element] = []
+
+        def tree() -> dom.Element:
+            if not held:
+                held.append(dom.parse(html))
+            return held[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return [f(html, tree) for f in tasks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [None] * len(asked)
         for b in batches:
-            b["html"] = [None if x is None else to_markdown(dom.parse(x)) for x in b["html"]]
-            yield b
+            got = [none if x is None else one(x) for x in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array([r[i] for r in got], k) for i, k in enumerate(kinds))], names=[*keep, *asked])
 
-    f = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, html string").withColumn("clean", md.cleanup(F.col("html"), F.col("url")))
-    f = f.withColumn("title", md.title(F.col("clean")))
-    return f.select("page_id", "url", "title", F.concat(md.frontmatter(F.col("url"), F.col("title"), fetched_at), F.lit("\n"), "clean").alias("markdown"), md.word_count(F.col("clean")).alias("word_count"))
+    return pages.mapInArrow(run, schema)
 
 
-def article(html: Column) -> Column:
-    """Content of the first article element, for pages that have one: a fast path without a tree."""
-    return F.regexp_extract(html, r"(?s)<article(?:\s[^>]*)?>(.*?)</article>", 1)
+def convert(pages: DataFrame, fetched_at: Column | None = None) -> DataFrame:
+    """page_id, url, title, markdown (with front matter) and word_count of pages (page_id, url, html)."""
+    return converted(facts(pages.select("page_id", "url", "html"), "raw"), fetched_at)
 
 
-def without_chrome(html: Column) -> Column:
-    """HTML without navigation, heads, feet, asides, scripts and styles: a fast path for pages that do not nest them."""
-    return F.regexp_replace(html, r"(?s)<(nav|header|footer|aside|script|style)(?:\s[^>]*)?>.*?</\1>", "")
+def converted(read: DataFrame, fetched_at: Column | None = None) -> DataFrame:
+    """As ``convert``, of pages that are read already (page_id, url, raw)."""
+    f = read.select("page_id", "url", md.cleanup(F.col("raw"), F.col("url")).alias("clean"))
+    f = f.withColumn("title", md.title(F.col("clean")))
+    return f.select("page_id", "url", "title", F.concat(md.frontmatter(F.col("url"), F.col("title"), fetched_at), F.lit("\n"), "clean").alias("markdown"), md.word_count(F.col("clean")).alias("word_count"))
 
 
 def table_markdown(rows: Column) -> Column:

@@ -17,57 +17,3 @@ def fold(x: Column) -> Column:
 
 def tokens(x: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(x, F.lit(""))), F.lit(TOKEN), F.lit(0))
-
-
-#: Named entities and what they stand for; the ampersand comes last.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "times": "×", "rarr": "→", "larr": "←", "para": "¶", "sect": "§", "euro": "€", "pound": "£",
-    "agrave": "à", "aacute": "á", "acirc": "â", "auml": "ä", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "iacute": "í", "icirc": "î", "iuml": "ï", "ntilde": "ñ",
-    "oacute": "ó", "ocirc": "ô", "ouml": "ö", "oslash": "ø", "uacute": "ú", "ucirc": "û", "ugrave": "ù", "uuml": "ü", "szlig": "ß", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "Eacute": "É", "amp": "&",
-}
-
-
-def unescape(x: Column) -> Column:
-    """Numeric entities and the named ones above; others stay as they are."""
-
-    def numbered(text: Column) -> Column:
-        def one(a, e):
-            digits = F.regexp_extract(e, "^&#[xX]?([0-9a-fA-F]+);$", 1)
-            code = F.conv(digits, 16, 10).cast("long")
-            code = F.when(F.lower(e).startswith("&#x"), code).otherwise(digits.try_cast("long"))
-            char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-            good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-            return F.replace(a, e, F.when(good, char).otherwise("\ufffd"))
-
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[xX][0-9a-fA-F]{1,8}|[0-9]{1,9});"), F.lit(0)))
-        return F.when(text.contains("&#"), F.aggregate(found, text, one)).otherwise(text)
-
-    y = numbered(x)
-    for name, char in ENTITIES.items():
-        y = F.replace(y, F.lit(f"&{name};"), F.lit(char))
-    return F.when(x.contains("&"), y).otherwise(x)
-
-
-def visible(html: Column) -> Column:
-    """HTML without comments, and without scripts and styles, whose text is no markup."""
-    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)(?=[\s>]).*?</\1\s*>", "")
-
-
-#: Attributes of a start tag: quoted values may hold a closing bracket.
-_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-
-
-def h1(html: Column) -> Column:
-    """Text of the first h1: tags dropped, entities decoded, trimmed; null if there is none."""
-    pattern = rf"(?is)<h1(?=[\s>/]){_ATTRIBUTES}>(.*?)</h1\s*>"
-    page = visible(html)
-    inner = F.regexp_extract(page, pattern, 1)
-    return F.when(page.rlike(pattern), F.regexp_replace(unescape(F.regexp_replace(inner, "<[^>]*>", "")), r"(?U)^\s+|\s+$", ""))
-
-
-def hrefs(html: Column) -> Column:
-    """Targets of all a elements, in document order, whatever the case of names and the quotes of values; entities decoded."""
-    value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    found = F.regexp_extract_all(visible(html), F.lit(rf"""(?is)<a(?=[\s/])(?:(?!\shref\s*=)(?:[^>"']|"[^"]*"|'[^']*'))*+\shref\s*=\s*{value}"""), F.lit(1))
-    return F.transform(found, lambda x: unescape(F.regexp_replace(F.regexp_replace(x, """^["']|["']$""", ""), r"^[ \t\r\n]+|[ \t\r\n]+$", "")))

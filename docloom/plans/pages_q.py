@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.functions import text, urls
+from docloom.functions import html, urls
 from docloom.operators import crawl, diff
 from docloom.plans.registry import OLD, PM, h1, host, parent, path, query, raw_path, strip, title_from
 from docloom.sources import pages as src
@@ -16,6 +16,10 @@ def table(spark: SparkSession, d: str) -> DataFrame:
     return src.page_table(src.read(spark, d))
 
 
+def titles(spark: SparkSession, d: str) -> DataFrame:
+    return html.facts(src.read(spark, d).select("page_id", "html"), "title")
+
+
 def old(spark: SparkSession, d: str) -> DataFrame:
     """A previous snapshot made from the pages: see the SQL."""
     p = table(spark, d).filter("page_id % 5 <> 0")
@@ -84,12 +88,12 @@ def slugify_path(spark, d):
 
 @query(rf"SELECT page_id, regexp_replace(regexp_replace(lower({h1('html')}), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
 def slugify_title(spark, d):
-    return src.read(spark, d).select("page_id", urls.slugify(text.h1(C("html"))).alias("slug"))
+    return titles(spark, d).select("page_id", urls.slugify(C("title")).alias("slug"))
 
 
 @query(rf"SELECT page_id, regexp_replace(replace(lower({h1('html')}), ' ', '-'), '[^\p{{L}}\p{{N}}-]', '_', 'g') AS anchor FROM pages")
 def title_anchor(spark, d):
-    return src.read(spark, d).select("page_id", urls.title_anchor(text.h1(C("html"))).alias("anchor"))
+    return titles(spark, d).select("page_id", urls.title_anchor(C("title")).alias("anchor"))
 
 
 @query(rf"WITH {_V}, p AS (SELECT page_id, regexp_replace({raw_path('url')}, '^/+', '') AS p FROM v) SELECT page_id, regexp_replace(regexp_replace(regexp_replace(p, '^(?:docs/)+', ''), '(?:\.html)+$', ''), '/+$', '') AS path FROM p")

@@ -106,29 +106,17 @@ ODD_HTML = [
 ]
 
 
-def plain_h1(x):
-    from docloom.functions import dom
-
-    e = dom.first(dom.parse(x or ""), "h1")
-    return None if x is None or e is None else e.text().strip()
-
-
-def plain_links(x):
-    from docloom.functions import dom
-
-    return [e.attrs["href"].strip() for e in dom.select(dom.parse(x or ""), "a[href]")]
-
-
 def test_titles_and_links_equal_those_of_the_tree(spark):
-    from docloom.functions import text
     from tests.conftest import DATA
+    from tests.test_html import plain_tree
 
     htmls = ODD_HTML + [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
     df = spark.createDataFrame(list(enumerate(htmls)), "i int, html string")
-    got = {r["i"]: r for r in df.select("i", text.h1(F.col("html")).alias("t"), text.hrefs(F.col("html")).alias("h")).collect()}
+    got = {r["i"]: r for r in html.facts(df, "title", "hrefs").collect()}
     for i, x in enumerate(htmls):
-        assert got[i]["t"] == plain_h1(x), x
-        assert (got[i]["h"] or []) == plain_links(x), x
+        e = dom.first(plain_tree(x or ""), "h1")
+        assert got[i]["title"] == (None if x is None or e is None else e.text().strip()), x
+        assert (got[i]["hrefs"] or []) == [e.attrs["href"].strip() for e in dom.select(plain_tree(x or ""), "a[href]")], x
 
 
 def test_links_resolve_as_the_standard_says(spark):
