@@ -173,11 +173,11 @@ def convert(pages: DataFrame, fetched_at: Column | None = None) -> DataFrame:
     return converted(facts(pages.select("page_id", "url", "html"), "raw"), fetched_at)
 
 
-def converted(read: DataFrame, fetched_at: Column | None = None) -> DataFrame:
-    """As ``convert``, of pages that are read already (page_id, url, raw)."""
-    f = read.select("page_id", "url", md.cleanup(F.col("raw"), F.col("url")).alias("clean"))
+def converted(read: DataFrame, fetched_at: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As ``convert``, of pages that are read already (page_id, url, raw); columns ``keep`` stay."""
+    f = read.select("page_id", "url", *keep, md.cleanup(F.col("raw"), F.col("url")).alias("clean"))
     f = f.withColumn("title", md.title(F.col("clean")))
-    return f.select("page_id", "url", "title", F.concat(md.frontmatter(F.col("url"), F.col("title"), fetched_at), F.lit("\n"), "clean").alias("markdown"), md.word_count(F.col("clean")).alias("word_count"))
+    return f.select("page_id", "url", *keep, "title", F.concat(md.frontmatter(F.col("url"), F.col("title"), fetched_at), F.lit("\n"), "clean").alias("markdown"), md.word_count(F.col("clean")).alias("word_count"))
 
 
 def table_markdown(rows: Column) -> Column:

@@ -189,10 +189,11 @@ def parse(query: str) -> tuple[Node, list[Phrase | Near]]:
 
 
 def postings(pages: DataFrame) -> DataFrame:
-    """page_id, col, pos and token of titles and paths."""
+    """page_id, col, pos and token of titles and paths, and kb_id where pages have it: ids are unique in a knowledge base only."""
     col = lambda c: F.struct(F.lit(c).alias("col"), text.tokens(F.col(c)).alias("tokens"))
-    p = pages.select("page_id", F.explode(F.array(*[col(c) for c in COLUMNS])).alias("c"))
-    return p.select("page_id", F.col("c.col").alias("col"), F.posexplode("c.tokens").alias("pos", "token"))
+    own = [c for c in ("kb_id", "page_id") if c in pages.columns]
+    p = pages.select(*own, F.explode(F.array(*[col(c) for c in COLUMNS])).alias("c"))
+    return p.select(*own, F.col("c.col").alias("col"), F.posexplode("c.tokens").alias("pos", "token"))
 
 
 def _places(index: DataFrame, phrase: Phrase) -> DataFrame:

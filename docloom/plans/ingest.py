@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from docloom.checkpoints import cut
 from docloom.functions import html, markdown as md, urls
-from docloom.operators import artifacts, diff, enrich, search, toc
+from docloom.operators import artifacts, diff, enrich, identity, search, toc
 from docloom.sources import llmstxt, pages as src
 from docloom.sources.config import EngineError
 from docloom.sources.store import Store
@@ -69,7 +69,7 @@ def _derived(store: Store, pages: DataFrame, kbs: DataFrame, contents: DataFrame
     t = toc.flat(pages)
     store.merge("contents", contents, touched)
     store.merge("toc", t, touched)
-    store.merge("postings", search.postings(pages).join(pages.select("page_id", "kb_id"), "page_id"), touched)
+    store.merge("postings", search.postings(pages), touched)
     told("enrichment")
     results = _results(store, _bodies(contents), touched, call, model)
     summaries = results.filter("artifact_type = 'summary'").select("kb_id", "path", F.col("result_json").alias("summary"))
@@ -77,8 +77,8 @@ def _derived(store: Store, pages: DataFrame, kbs: DataFrame, contents: DataFrame
     whole = _results(store, _whole(summaries), touched, call, model).select("kb_id", "artifact_type", F.col("result_json").alias("body"))
     told("artifacts")
     named = kbs.join(artifacts.kb_summary(kbs, summaries), "kb_id")
-    full = contents.join(pages.select("kb_id", "path", "page_id", "url", "title"), ["kb_id", "path"])
-    full = full.select("kb_id", F.col("page_id").alias("ord"), F.coalesce("title", "path").alias("title"), "url", F.col("markdown").alias("content"))
+    full = contents.join(pages.select("kb_id", "path", "url", "title"), ["kb_id", "path"])
+    full = full.select("kb_id", F.col("path").alias("ord"), F.coalesce("title", "path").alias("title"), "url", F.col("markdown").alias("content"))
     files = artifacts.llms_txt(t, named, about).withColumn("filename", F.lit("llms.txt"))
     files = files.unionByName(artifacts.llms_full_txt(full, named).withColumn("filename", F.lit("llms-full.txt")))
     body = lambda task: named.join(whole.filter(F.col("artifact_type") == task).select("kb_id", "body"), "kb_id", "left")
@@ -100,6 +100,24 @@ def one_each(pages: DataFrame) -> DataFrame:
     return diff.last_of(keyed, "__key", "__same", "page_id").drop("__key", "__same")
 
 
+def read_once(fetched: DataFrame, *more: str) -> DataFrame:
+    """Rows of the page table of fetched pages, one a path, with ``fetched_id`` (the fetcher's number, unique among them) and the facts asked for: each page is parsed once.
+
+    The latest of each path is found on narrow rows; the facts are joined to those alone.
+    """
+    whole = cut(src.read_facts(fetched, *more), "facts")
+    latest = one_each(src.of_facts(whole)).withColumnRenamed("page_id", "fetched_id")
+    latest = latest.join(whole.select(F.col("page_id").alias("fetched_id"), *more), "fetched_id") if more else latest
+    return cut(latest, "read")
+
+
+def identified(new: DataFrame, old: DataFrame) -> DataFrame:
+    """New rows of the page table under ids that last: those of ``old`` where it has the path. A missing path counts as an empty one."""
+    named = lambda t: t.withColumn("path", F.coalesce("path", F.lit("")))
+    ids = identity.identify(named(new), named(old)).withColumnRenamed("path", "__path")
+    return new.withColumn("__path", F.coalesce("path", F.lit(""))).join(ids, ["kb_id", "__path"]).drop("__path")
+
+
 def add(store: Store, fetched: DataFrame, now: str, call: Callable[[str], str] = enrich.offline_model, model: str = "offline", told: Callable[[str], None] = lambda step: None) -> None:
     """Fill the knowledge bases of fetched pages (page_id, url, html); those that the store holds besides stay. No pages are an error.
 
@@ -108,38 +126,44 @@ def add(store: Store, fetched: DataFrame, now: str, call: Callable[[str], str] =
     if fetched.isEmpty():
         raise EngineError("no pages were fetched")
     told("pages")
-    pages = one_each(src.page_table(fetched))
-    touched = cut(pages.select("kb_id").distinct(), "touched")
-    store.merge("pages", pages, touched)
+    read = read_once(fetched, "hrefs", "raw")
+    touched = cut(read.select("kb_id").distinct(), "touched")
+    read = cut(identified(read, store.of("pages", touched)), "pages")
+    store.merge("pages", read, touched)
     pages = store.of("pages", touched)
     kbs = _kbs(pages, now, store.of("kbs", touched))
     told("contents")
-    mine = fetched.join(pages.select("page_id"), "page_id", "left_semi")
-    contents = html.convert(mine, F.lit(now)).join(pages.select("page_id", "kb_id", "path"), "page_id").select("kb_id", "path", "markdown")
-    store.merge("links", _links(mine, pages), touched)
+    store.merge("links", _links(read), touched)
     store.merge("kbs", kbs, touched)
-    _derived(store, pages, store.of("kbs", touched), contents, touched, call, model, told)
+    _derived(store, pages, store.of("kbs", touched), _contents(read, now), touched, call, model, told)
+
+
+def _contents(read: DataFrame, now: str) -> DataFrame:
+    text = html.converted(read.select("page_id", "url", "raw", "kb_id", "path"), F.lit(now), keep=("kb_id", "path"))
+    return text.select("kb_id", "path", "markdown")
 
 
-def _links(fetched: DataFrame, pages: DataFrame) -> DataFrame:
-    """The links table's rows of fetched pages: internal links stay on the page's host."""
+def _links(read: DataFrame) -> DataFrame:
+    """The links table's rows of pages that are read: internal links stay on the page's host."""
     kind = F.when(urls.host(F.col("to_url")) == F.col("kb_id"), "internal").otherwise("external")
-    return src.links(fetched).join(pages.select(F.col("page_id").alias("from_page_id"), "kb_id"), "from_page_id").withColumn("kind", F.when(F.col("to_url").isNotNull(), kind))
+    return src.links_of_facts(read, keep=("kb_id",)).withColumn("kind", F.when(F.col("to_url").isNotNull(), kind))
 
 
 def update(store: Store, fetched: DataFrame, now: str, prune: bool = False, force: bool = False, call: Callable[[str], str] = enrich.offline_model, model: str = "offline", told: Callable[[str], None] = lambda step: None) -> dict[str, int]:
     """Bring the knowledge bases of fetched pages up to date and return the counts of the difference; others stay as they are.
 
-    Only new and changed pages are converted; the others keep their text. Known pages keep their id and
-    knowledge bases their time of creation. Without ``prune``, pages that have gone stay in the page
-    table but leave the contents and the toc.
+    Only new and changed pages are converted; the others keep their text. Pages keep the id that their path has,
+    whatever the fetcher numbers them, and knowledge bases their time of creation. Without ``prune``, pages that
+    have gone stay in the page table but leave the contents and the toc.
     """
     if fetched.isEmpty():
         raise EngineError("no pages were fetched")
     told("pages")
-    new = one_each(src.page_table(fetched))
-    touched = cut(new.select("kb_id").distinct(), "touched")
+    read = read_once(fetched, "hrefs")
+    touched = cut(read.select("kb_id").distinct(), "touched")
     old = store.of("pages", touched)
+    read = cut(identified(read, old), "pages")
+    new = read.select(*old.columns)
     change = diff.page_diff(old, new, force)
     counts = diff.summary(change, prune).first().asDict()
     todo = cut(diff.needs_convert(change), "changed")
@@ -147,15 +171,11 @@ def update(store: Store, fetched: DataFrame, now: str, prune: bool = False, forc
     store.merge("pages", diff.prune(merged, new) if prune else merged, touched)
     pages = diff.prune(store.of("pages", touched), new)
     told("contents")
-    ids = new.select(F.col("page_id").alias("fetched_id"), "kb_id", "path")
-    key = ids.join(todo, ["kb_id", "path"], "left_semi")
-    fresh = html.convert(fetched.join(key.select(F.col("fetched_id").alias("page_id")), "page_id", "left_semi"), F.lit(now))
-    fresh = fresh.join(key, F.col("page_id") == F.col("fetched_id")).select("kb_id", "path", "markdown")
+    due = read.join(todo, ["kb_id", "path"], "left_semi").select("fetched_id", "kb_id", "path")
+    raw = html.facts(fetched.join(due.select(F.col("fetched_id").alias("page_id")), "page_id", "left_semi").select(F.col("page_id").alias("fetched_id"), "url", F.coalesce("html", F.lit("")).alias("html")), "raw")
+    fresh = _contents(raw.join(due, "fetched_id").withColumn("page_id", F.col("fetched_id")), now)
     kept = store.of("contents", touched).join(new.select("kb_id", "path"), ["kb_id", "path"], "left_semi").join(todo, ["kb_id", "path"], "left_anti").select("kb_id", "path", "markdown")
-    # Links are those of the pages as fetched now, under the ids that pages keep.
-    named = ids.join(pages.select("kb_id", "path", "page_id"), ["kb_id", "path"]).select("fetched_id", F.col("page_id").alias("kept_id"))
-    mine = fetched.join(named, F.col("page_id") == F.col("fetched_id")).select(F.col("kept_id").alias("page_id"), "url", "html")
-    store.merge("links", _links(mine, pages), touched)
+    store.merge("links", _links(read), touched)  # those of the pages as fetched now
     store.merge("kbs", _kbs(pages, now, store.of("kbs", touched)), touched)
     _derived(store, pages, store.of("kbs", touched), kept.unionByName(fresh), touched, call, model, told)
     return counts

@@ -17,7 +17,8 @@ def read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_facts(pages: DataFrame, *more: str) -> DataFrame:
     """page_id, url, and what the page table, the links and the contents need of the html (and ``more``), all read in one pass."""
-    return html.facts(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), "title", "content_hash", "content_len", *more)
+    status = ["status_code"] if "status_code" in pages.columns else []
+    return html.facts(pages.select("page_id", "url", *status, F.coalesce("html", F.lit("")).alias("html")), "title", "content_hash", "content_len", *more)
 
 
 def page_table(pages: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def page_table(pages: DataFrame) -> DataFrame:
 
     The status is that of the fetch, if pages have a column ``status_code``, and else 200.
     """
-    return of_facts(read_facts(pages)) if "status_code" not in pages.columns else of_facts(html.facts(pages.select("page_id", "url", "status_code", F.coalesce("html", F.lit("")).alias("html")), "title", "content_hash", "content_len"))
+    return of_facts(read_facts(pages))
 
 
 def of_facts(read: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def links(pages: DataFrame) -> DataFrame:
     return links_of_facts(html.facts(pages.select("page_id", "url", "html"), "hrefs"))
 
 
-def links_of_facts(read: DataFrame) -> DataFrame:
-    """The links of pages that are read already (page_id, url, hrefs)."""
-    a = read.select(F.col("page_id").alias("from_page_id"), "url", F.posexplode(F.filter("hrefs", urls.followable)).alias("pos", "href"))
-    return a.select("from_page_id", F.col("pos").cast("long").alias("pos"), "href", urls.resolve_any(F.col("url"), F.col("href")).alias("to_url"))
+def links_of_facts(read: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The links of pages that are read already (page_id, url, hrefs); columns ``keep`` of the page stay."""
+    a = read.select(F.col("page_id").alias("from_page_id"), "url", *keep, F.posexplode(F.filter("hrefs", urls.followable)).alias("pos", "href"))
+    return a.select(*keep, "from_page_id", F.col("pos").cast("long").alias("pos"), "href", urls.resolve_any(F.col("url"), F.col("href")).alias("to_url"))

@@ -179,12 +179,10 @@ class Store:
     def invalidate_cache(self, kb_id: str) -> None:
         self._replace("cache", kb_id, lambda t: t.filter(~F.col("kb_id").eqNullSafe(kb_id)))
 
-    def delete_page(self, page_id: int) -> None:
-        """Delete a page with its links and postings; page ids are those of all knowledge bases."""
-        for r in self.table("pages").filter(F.col("page_id") == page_id).select("kb_id").distinct().collect():
-            self._replace("pages", r["kb_id"], lambda t: t.filter(~F.col("page_id").eqNullSafe(page_id)))
-            self._replace("links", r["kb_id"], lambda t: t.filter(~F.col("from_page_id").eqNullSafe(page_id)))
-            self._replace("postings", r["kb_id"], lambda t: t.filter(~F.col("page_id").eqNullSafe(page_id)))
+    def delete_page(self, kb_id: str, page_id: int) -> None:
+        """Delete a page of a knowledge base with its links and postings; a page of the same id elsewhere stays."""
+        for name, col in (("pages", "page_id"), ("links", "from_page_id"), ("postings", "page_id")):
+            self._replace(name, kb_id, lambda t, col=col: t.filter(~(F.col("kb_id").eqNullSafe(kb_id) & F.col(col).eqNullSafe(page_id))))
 
     def kb_list(self) -> DataFrame:
         return self.table("kbs").orderBy("name")

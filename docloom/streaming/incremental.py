@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from docloom.checkpoints import cut
 from docloom.operators import diff, search
-from docloom.plans.ingest import one_each
-from docloom.sources import pages as src
+from docloom.plans.ingest import identified, read_once
 from docloom.sources.store import Store
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
@@ -22,12 +21,14 @@ def keep_up(stream: DataFrame, store: Store, checkpoint: str):
     """Start a query that upserts each batch; a batch that is run again gives the same table."""
 
     def batch(df: DataFrame, _: int) -> None:
-        new = one_each(src.page_table(df))
+        if df.isEmpty():
+            return
+        new = read_once(df)
         touched = cut(new.select("kb_id").distinct(), "touched")
-        pages = diff.upsert(store.of("pages", touched), new, ["kb_id", "path"], ["page_id"])
-        store.merge("pages", pages, touched)
-        pages = store.of("pages", touched)
-        store.merge("postings", search.postings(pages).join(pages.select("page_id", "kb_id"), "page_id"), touched)
+        old = store.of("pages", touched)
+        new = identified(new, old).select(*old.columns)
+        store.merge("pages", diff.upsert(old, new, ["kb_id", "path"], ["page_id"]), touched)
+        store.merge("postings", search.postings(store.of("pages", touched)), touched)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -92,7 +92,7 @@ def test_store_round_trip(spark, tmp_path):
     s = st.Store(spark, str(tmp_path / "store"))
     ingest.add(s, pages(spark), "2026-01-01T00:00:00Z")
     assert [r["page_count"] for r in s.kb_list().collect()] == [3]
-    assert [r["page_id"] for r in s.search("e.org", "installation").collect()] == [1]
+    assert [r["path"] for r in s.search("e.org", "installation").collect()] == ["a"]
     assert "# Home" in s.page("e.org", "index").first()["markdown"]
     assert s.artifact_names("e.org").count() == 6 and s.resources().count() == 3 + 6 + 1
     assert "- [Installation](https://e.org/a)" in s.artifact("e.org", "llms.txt").first()["content"]
@@ -111,10 +111,11 @@ def test_store_round_trip(spark, tmp_path):
 def test_update(spark, tmp_path):
     s = st.Store(spark, str(tmp_path / "store"))
     ingest.add(s, pages(spark), "t1")
+    ids = {r["path"]: r["page_id"] for r in s.table("pages").collect()}
     again = [SITE[0], (11, "https://e.org/a", "<h1>Changed</h1>"), (12, "https://e.org/new", "<h1>New</h1>")]
     assert ingest.update(s, pages(spark, again), "t2", prune=True) == {"added": 1, "changed": 1, "unchanged": 1, "removed": 1}
     got = {r["path"]: (r["page_id"], r["title"]) for r in s.table("pages").collect()}
-    assert got == {"index": (0, "Home"), "a": (1, "Changed"), "new": (12, "New")}
+    assert {p: t for p, (_, t) in got.items()} == {"index": "Home", "a": "Changed", "new": "New"} and all(got[p][0] == ids[p] for p in ("index", "a")) and len({i for i, _ in got.values()}) == 3
     assert {r["path"] for r in s.table("contents").collect()} == {"index", "a", "new"}
     assert s.kb_list().first()["created_at"] == "t1"
     with pytest.raises(config.EngineError):
@@ -177,7 +178,7 @@ def test_store_rows(spark, tmp_path):
     assert s.table("cache").count() > 0
     s.invalidate_cache("e.org")
     assert s.table("cache").count() == 0
-    s.delete_page(1)
+    s.delete_page("e.org", s.table("pages").filter("path = 'a'").first()["page_id"])
     assert s.table("pages").count() == 2
     with pytest.raises(config.ValidationError):
         s.finish_job("none", "t", {})
@@ -222,16 +223,17 @@ def test_knowledge_bases_do_not_touch_each_other(spark, tmp_path):
     assert [r["kb_id"] for r in s.kb_list().collect()] == ["a.com", "b.com"]
     a = state(s, "a.com")
     assert len(a["pages"]) == len(a["contents"]) == 2 and len(a["artifacts"]) == 6 and a["links"] and a["postings"] and a["toc"]
+    kept = s.table("pages", "b.com").filter("path = 'y'").first()["page_id"]
     again = pages(spark, [(20, "https://b.com/y", "<h1>Beta two</h1>")])
     assert ingest.update(s, again, "t3", prune=True) == {"added": 0, "changed": 1, "unchanged": 0, "removed": 1}
-    assert state(s, "a.com") == a and s.table("pages", "b.com").first()["page_id"] == 11 and s.table("links", "b.com").isEmpty()
+    assert state(s, "a.com") == a and s.table("pages", "b.com").first()["page_id"] == kept and s.table("links", "b.com").isEmpty()
     assert ingest.update(s, pages(spark, [(30, "https://b.com/z", "<h1>Z</h1>")]), "t4")["removed"] == 0
     assert {r["path"] for r in s.table("pages", "b.com").collect()} == {"y", "z"} and {r["path"] for r in s.table("contents", "b.com").collect()} == {"z"}
     ingest.add(s, pages(spark, [(40, "https://b.com/only", "<h1>Only</h1>")]), "t5")
     assert {r["path"] for r in s.table("pages", "b.com").collect()} == {"only"} and state(s, "a.com") == a
     s.touch("b.com", "t6")
     s.invalidate_cache("b.com")
-    s.delete_page(40)
+    s.delete_page("b.com", s.table("pages", "b.com").first()["page_id"])
     assert state(s, "a.com") == a and s.table("pages", "b.com").isEmpty() and s.table("postings", "b.com").isEmpty()
 
 
@@ -242,7 +244,7 @@ def test_stream_keeps_other_knowledge_bases(spark, tmp_path):
     pages(spark, [(50, "https://b.com/s", "<h1>Streamed</h1>")]).write.parquet(str(tmp_path / "in"))
     incremental.keep_up(incremental.page_stream(spark, str(tmp_path / "in")), s, str(tmp_path / "cp")).awaitTermination()
     assert state(s, "a.com") == a and {r["path"] for r in s.table("pages", "b.com").collect()} == {"index", "y", "s"}
-    assert [r["page_id"] for r in s.search("b.com", "streamed").collect()] == [50]
+    assert [r["path"] for r in s.search("b.com", "streamed").collect()] == ["s"]
 
 
 def test_search_of_one_knowledge_base_has_its_own_statistics(spark, tmp_path):
@@ -284,3 +286,48 @@ def test_versions_expire(spark, tmp_path, monkeypatch):
         s.start_job(f"j{k}", f"kb{k % 5}", "t")
     assert s.table("jobs").count() == 12 and s.table("jobs", "kb0").count() == 3
     assert len([x for x in s.files.names(f"{s.root}/jobs") if x.startswith("v-")]) <= 3 + 2 + st.KEPT
+
+
+def ids_of(store):
+    return {(r["kb_id"], r["path"]): r["page_id"] for r in store.table("pages").collect()}
+
+
+def test_page_ids_last_over_fetches_with_numbers_of_their_own(spark, tmp_path):
+    """Two sites are fetched apart with the same numbers, and together with others: ids stay, and each index has words of its own pages only."""
+    s = st.Store(spark, str(tmp_path / "store"))
+    ingest.add(s, pages(spark, [(1, "https://a.com/x", "<h1>Alpha</h1><a href='/y'>y</a>"), (2, "https://a.com/y", "<h1>Beta</h1>")]), "t1")
+    ingest.add(s, pages(spark, [(1, "https://b.com/x", "<h1>Gamma</h1><a href='/z'>z</a>"), (2, "https://b.com/z", "<h1>Delta</h1>")]), "t1")
+    first = ids_of(s)
+    assert len(set(first.values())) == 4
+    again = [(1, "https://a.com/new", "<h1>New page</h1>"), (2, "https://a.com/x", "<h1>Alpha</h1>"), (3, "https://a.com/y", "<h1>Beta two</h1>"), (4, "https://b.com/x", "<h1>Gamma</h1><a href='/z'>z</a>"), (5, "https://b.com/z", "<h1>Delta</h1>")]
+    assert ingest.update(s, pages(spark, again), "t2") == {"added": 1, "changed": 2, "unchanged": 2, "removed": 0}
+    now = ids_of(s)
+    assert len(set(now.values())) == 5 and all(now[k] == first[k] for k in first)
+    hits = lambda kb, q: [r["path"] for r in s.search(kb, q).collect()]
+    assert hits("a.com", "gamma") == [] and hits("a.com", "new") == ["new"] and hits("a.com", "two") == ["y"] and hits("b.com", "gamma") == ["x"] and hits("b.com", "alpha") == []
+    postings = s.table("postings").select("kb_id", "page_id").distinct().collect()
+    assert {(r["kb_id"], r["page_id"]) for r in postings} == {(kb, i) for (kb, _), i in now.items()}
+    assert {(r["kb_id"], r["from_page_id"]) for r in s.table("links").collect()} == {("b.com", now["b.com", "x"])}
+    b = state(s, "b.com")
+    s.delete_page("a.com", now["a.com", "x"])
+    assert state(s, "b.com") == b and ("a.com", "x") not in ids_of(s) and hits("a.com", "alpha") == []
+    ingest.add(s, pages(spark, [(9, "https://a.com/x", "<h1>Alpha again</h1>")]), "t3")
+    assert ids_of(s)["a.com", "x"] == first["a.com", "x"]
+
+
+def test_colliding_page_keys_are_told_apart(spark):
+    from docloom.operators import identity
+
+    few = lambda kb, path, k: F.pmod(identity.page_key(kb, path, k), F.lit(5))
+    known = spark.createDataFrame([("k", "p0", 3), ("k", "gone", 4), ("l", "p0", 1)], "kb_id string, path string, page_id long")
+    new = spark.createDataFrame([("k", f"p{i}") for i in range(4)] * 2 + [("l", "p1")], "kb_id string, path string")
+    got = [tuple(r) for r in identity.identify(new, known, few).select("kb_id", "path", "page_id").collect()]
+    assert len(got) == 5 and len({(kb, i) for kb, _, i in got}) == 5 and ("k", "p0", 3) in got and all(i != 4 for kb, p, i in got if kb == "k")
+    assert sorted(got) == sorted(tuple(r) for r in identity.identify(new, known, few).select("kb_id", "path", "page_id").collect())
+    assert identity.identify(new.limit(0), known).count() == 0
+    nulls = spark.createDataFrame([(None, None), ("", "")], "kb_id string, path string")
+    assert len({r["page_id"] for r in identity.identify(nulls.filter("kb_id is not null"), known.limit(0)).collect()}) == 1
+    from docloom.sources.config import StorageError
+
+    with pytest.raises(StorageError):
+        identity.identify(new, known.limit(0), lambda kb, path, k: F.lit(1).cast("long")).collect()
