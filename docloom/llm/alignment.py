@@ -10,6 +10,7 @@ is hot, nothing is tokenised twice, and a text's alignment is composed of those
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,11 +29,11 @@ from .common import cut, freed, table, tune
 from .pieces import MARK, default_model, model_type
 
 #: Segments that travel to every task at most, and bytes of these at most; distinct segments and characters that a task counts before it gives them on.
-HEAD, HEAD_BYTES, HELD, HELD_CHARS = 400_000, 32 << 20, 1_000_000, 64 << 20
+HEAD, HEAD_BYTES, HELD, HELD_CHARS = 500_000, 48 << 20, 1_000_000, 64 << 20
 #: Id pairs whose counts travel to every task at most (16 bytes each); beyond it, links and pairs meet in a salted shuffle.
 PAIRS, SALTS = 1 << 21, 32
 #: Characters of texts of one row of places.
-TEXT_CHARS = 16 << 20
+TEXT_CHARS = 4 << 20
 #: Characters of segments that are tokenised at once.
 CALL_CHARS = 1 << 20
 #: Segments up to this size are their own key; longer ones have a digest of 128 bits.
@@ -40,6 +41,10 @@ KEY_BYTES = 16
 
 _SEGMENT = re.compile(r"\s*+\S++(?:(?! )\s++\S++)*+(?:\s++\Z)?+|\s++")
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+#: Of these three and its groups a segment's other numbers follow.
+_KEPT = ("n_a", "n_best", "count_sum")
+#: Where a text cannot simply be split at its blanks: blanks side by side or at its ends, and other white space before a blank or at an end.
+_ODD = re.compile(r"\s |\s\Z|\A\s")
 
 
 def default_a() -> str:
@@ -56,8 +61,11 @@ def byte_of() -> dict[str, int]:
 
 
 def segments(text: str) -> list[str]:
-    """Parts of a text with a blank in front, cut before each run of white space that begins with a blank, follows and precedes other characters."""
-    return _SEGMENT.findall(" " + text)
+    """Parts of a text that has a blank in front, each without its own leading blank.
+
+    It is cut before each run of white space that begins with a blank, and that other characters come before and after.
+    """
+    return [x[1:] for x in _SEGMENT.findall(" " + text)] if _ODD.search(text) else text.split(" ")
 
 
 class Pair:
@@ -67,6 +75,7 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         data = Path(a_path).read_text(encoding="utf-8")
         self.a = Tokenizer.from_str(data)
         self.a.encode_special_tokens = True
@@ -103,16 +112,15 @@ class Pair:
     def of(self, text: str) -> list[str]:
         """Segments of a text; none if the vocabularies cannot give its bytes back."""
         if not self.cuts:
-            return [" " + text]
+            return [text]
         return [] if MARK in text else segments(text)
 
     def encoded(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both vocabularies for segments, each of which has a blank in front."""
+        """Ids of both vocabularies for segments, which get their blank back in front."""
         for at in range(0, len(parts), 4096):
             mine = parts[at : at + 4096]
-            a = self.a.encode_batch(mine, add_special_tokens=False)
-            b = self.b.encode([x[1:] for x in mine], num_threads=1)
-            yield from ((x.ids, y or [self.blank]) for x, y in zip(a, b))
+            a = self.a.encode_batch_fast([" " + x for x in mine], add_special_tokens=False)
+            yield from ((x.ids, y or [self.blank]) for x, y in zip(a, self.b.encode(mine, num_threads=1)))
 
 
 @lru_cache(maxsize=2)
@@ -120,31 +128,31 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
-    """Groups as text, their number, and all id pairs of tokens whose bytes overlap; both sides have the same bytes."""
+def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, list[int]]:
+    """Groups as text, and all pairs (id of A times 2^32 and id of B) of tokens whose bytes overlap; both sides have the same bytes."""
     i = j = 0
     x, y = size_a[a[0]], size_b[b[0]]
-    groups, links = [], [(a[0], b[0])]
-    left, right = [str(a[0])], [str(b[0])]
+    groups, links = [], [a[0] << 32 | b[0]]
+    left, right = str(a[0]), str(b[0])
     while True:
         if x == y:
-            groups.append(f"{','.join(left)}|{','.join(right)}")
+            groups.append(f"{left}|{right}")
             i += 1
             j += 1
             if i == len(a):
-                return ";".join(groups), len(groups), links
+                return ";".join(groups), links
             x += size_a[a[i]]
             y += size_b[b[j]]
-            left, right = [str(a[i])], [str(b[j])]
+            left, right = str(a[i]), str(b[j])
         elif x < y:
             i += 1
             x += size_a[a[i]]
-            left.append(str(a[i]))
+            left += f",{a[i]}"
         else:
             j += 1
             y += size_b[b[j]]
-            right.append(str(b[j]))
-        links.append((a[i], b[j]))
+            right += f",{b[j]}"
+        links.append(a[i] << 32 | b[j])
 
 
 def key_of(part: str) -> bytes:
@@ -176,7 +184,7 @@ def _counts(a_path: str, b_path: str):
 
 
 def _aligned(a_path: str, b_path: str):
-    """A function of batches (part, n): key, n, groups, numbers and links (id of A times 2^32 and id of B) of each segment; segments whose bytes are not given back are left out."""
+    """A function of batches (part, n): key, n, groups, tokens of A and links (id of A times 2^32 and id of B) of each segment; segments whose bytes are not given back are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(a_path, b_path)
@@ -185,16 +193,16 @@ def _aligned(a_path: str, b_path: str):
         def some(parts: list[str], counts: list[int]) -> pa.RecordBatch:
             rows = []
             for x, n, (a, b) in zip(parts, counts, p.encoded(parts)):
-                own = x.encode()
+                own = b" " + x.encode()
                 if b"".join([p.a_bytes[i] for i in a]) != own or b"".join([p.b_bytes[i] for i in b]) != own:
                     if p.cuts:
                         raise ValueError(f"a verified vocabulary does not give a segment's bytes back: {x[:100]!r}")
                     continue
-                groups, k, links = align(a, b, size_a, size_b)
-                rows.append((key_of(x), n, groups, len(a), len(b), k, len(links), [i << 32 | j for i, j in links]))
-            cols = list(zip(*rows)) or [()] * 8
-            kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "n", "groups", *_NUMBERS[:4], "links"])
+                groups, links = align(a, b, size_a, size_b)
+                rows.append((key_of(x), n, groups, len(a), links))
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "n", "groups", "n_a", "links"])
 
         for b in batches:
             parts, counts, at, size = b.column(0).to_pylist(), b.column(1).to_pylist(), 0, 0
@@ -208,7 +216,7 @@ def _aligned(a_path: str, b_path: str):
     return run
 
 
-_ALIGNED = "key binary, n long, groups string, n_a long, n_b long, n_groups long, n_links long, links array<long>"
+_ALIGNED = "key binary, n long, groups string, n_a long, links array<long>"
 _B = 0xFFFFFFFF
 
 
@@ -230,39 +238,68 @@ def pair_counts(segs: DataFrame) -> DataFrame:
 def with_counts(segs: DataFrame) -> DataFrame:
     """key, n, groups and all numbers of each segment, n_best and count_sum too."""
     pairs = cut(pair_counts(segs), "align-counts")
-    keep = ("key", "n", "groups", *_NUMBERS[:4])
+    keep = ("key", "n", "groups", "n_a")
     if pairs.count() <= PAIRS:
-        got = pairs.orderBy("link").toArrow()
+        got = pairs.toArrow().sort_by("link")
         link, n, best = (got.column(i).to_numpy() for i in range(3))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                links = b.column(7)
+                links = b.column(4)
                 at = np.searchsorted(link, links.flatten().to_numpy())
-                ends = np.r_[0, np.cumsum(b.column(6).to_numpy())]
+                ends = np.r_[0, np.cumsum(links.value_lengths().to_numpy())]
                 sums = [np.r_[0, np.cumsum(x[at])] for x in (best.astype(np.int64), n)]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(7)), *(pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums)], names=[*keep, *_NUMBERS[4:]])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *(pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums)], names=[*keep, "n_best", "count_sum"])
 
-        return segs.select(*keep, "links").mapInArrow(freed(run), "key binary, n long, groups string, " + ", ".join(f"{x} long" for x in _NUMBERS))
+        return segs.select(*keep, "links").mapInArrow(freed(run), "key binary, n long, groups string, n_a long, n_best long, count_sum long")
     salted = segs.select("key", F.explode("links").alias("link"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
     met = salted.join(pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["link", "salt"])
     sums = met.groupBy("key").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
     return segs.select(*keep).join(sums, "key")
 
 
+def _numbers(groups: list[str], kept: np.ndarray) -> np.ndarray:
+    """All numbers of segments from their groups and the numbers that are kept: a group of tokens that meet has one link fewer than tokens."""
+    n = np.array([x.count(";") + 1 for x in groups], np.int64)
+    ids = np.array([x.count(",") for x in groups], np.int64) + 2 * n
+    return np.stack([kept[:, 0], ids - kept[:, 0], n, ids - n, kept[:, 1], kept[:, 2]], 1)
+
+
+def least_count(segs: DataFrame) -> int:
+    """The least number of occurrences that at most HEAD segments have; found on counts of counts, which are kept by their first two digits."""
+    n = F.col("n")
+    scale = F.pow(F.lit(10), F.greatest(F.floor(F.log10("n")) - 1, F.lit(0))).cast("long")
+    rows = segs.filter(F.length("groups") < 200).groupBy((F.floor(n / scale) * scale).cast("long").alias("low")).count().collect()  # some 90 rows a power of ten
+    total, least = 0, 0
+    for r in sorted(rows, key=lambda r: -r["low"]):
+        total += r["count"]
+        if total > HEAD:
+            break
+        least = r["low"]
+    return least or 1 << 62
+
+
+def _planes(code: np.ndarray) -> bytes:
+    """Places, all their low bytes first, then the next ones: so they compress."""
+    return code.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
 def _places(a_path: str, b_path: str, head: dict[bytes, int]):
     """A function of batches (id, text): a row for some MB of texts, with the place of each segment in the head or, below zero, among the keys to be joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(a_path, b_path)
-        own = {k.decode(): i for k, i in head.items() if len(k) < KEY_BYTES}
-        # Longer segments are known by their digests.
+        own = {k.decode(): i for k, i in head.items() if len(k) < KEY_BYTES}  # longer segments are known by their digests
         ids, ends, seqs, rest, n, size = [], [], [], {}, 0, 0
         packer = zstandard.ZstdCompressor(3)
 
         def flush() -> pa.RecordBatch:
             lists = [pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (ends, pa.int64()), (list(rest), pa.binary()))]
-            return pa.RecordBatch.from_arrays([*lists, pa.array([packer.compress(np.concatenate(seqs).tobytes() if seqs else b"")], pa.binary())], names=["ids", "ends", "keys", "seq"])
+            return pa.RecordBatch.from_arrays([*lists, pa.array([packer.compress(_planes(np.concatenate(seqs)))], pa.binary())], names=["ids", "ends", "keys", "seq"])
 
         def place(x: str) -> int:
             k = key_of(x)
@@ -295,19 +332,18 @@ def _composed(head_text: list[str], head_numbers: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids, ends, keys, seq, got = (b.column(i)[r] for i in range(5))
-                code = np.frombuffer(zstandard.ZstdDecompressor().decompress(seq.as_py()), np.int32)
-                ends = ends.values.to_numpy()
-                far = len(keys.values)
+                ids, ends, far, seq, got = (b.column(i)[r] for i in range(5))
+                code = _from_planes(zstandard.ZstdDecompressor().decompress(seq.as_py()))
+                ends, far = ends.values.to_numpy(), far.as_py()
                 # Segments that are not joined have no tokens: those of vocabularies that do not give their bytes back.
                 text: list[str | None] = [None] * far
                 numbers = np.zeros((far, len(_NUMBERS)), np.int64)
                 if got.is_valid:
                     j = got.values.field("j").to_numpy()
-                    for k, x in zip(j.tolist(), got.values.field("groups").to_pylist()):
+                    groups = got.values.field("groups").to_pylist()
+                    for k, x in zip(j.tolist(), groups):
                         text[k] = x
-                    for c, name in enumerate(_NUMBERS):
-                        numbers[j, c] = got.values.field(name).to_numpy()
+                    numbers[j] = _numbers(groups, np.stack([got.values.field(c).to_numpy() for c in _KEPT], 1))
                 start = np.r_[0, ends[:-1]]
                 sums = np.zeros((len(ends), len(_NUMBERS)), np.int64)
                 known = code >= 0
@@ -348,17 +384,17 @@ def aligned(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", a_pat
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     segs = alignments(docs, a, b)
     full = with_counts(segs)
-    top = segs.select("key", "n", F.length("groups").alias("size")).filter(F.col("size") < 200).orderBy(F.desc("n"), "key").limit(HEAD)
-    rows = full.join(F.broadcast(top.select("key")), "key", "left_semi").orderBy(F.desc("n"), "key").drop("n").toArrow() if HEAD else full.limit(0).drop("n").toArrow()
-    take = int(np.searchsorted(np.cumsum([len(x) + 16 for x in rows.column("groups").to_pylist()] or [0]), HEAD_BYTES))
-    rows = rows.slice(0, take)
+    often = (F.col("n") >= least_count(segs)) & (F.length("groups") < 200)
+    rows = full.filter(often).toArrow().sort_by([("n", "descending"), ("key", "ascending")])
+    rows = rows.slice(0, int(np.searchsorted(np.cumsum([len(x) + 16 for x in rows.column("groups").to_pylist()] or [0]), HEAD_BYTES)))
     head = {k: i for i, k in enumerate(rows.column("key").to_pylist())}
-    numbers = np.stack([rows.column(c).to_numpy() for c in _NUMBERS], 1).astype(np.int64) if len(rows) else np.zeros((0, len(_NUMBERS)), np.int64)
+    groups = rows.column("groups").to_pylist()
+    numbers = _numbers(groups, np.stack([rows.column(c).to_numpy() for c in _KEPT], 1)) if groups else np.zeros((0, len(_NUMBERS)), np.int64)
     parts = cut(docs.mapInArrow(freed(_places(a, b, head)), "ids array<long>, ends array<long>, keys array<binary>, seq binary").withColumn("row", F.xxhash64("ids", F.md5("seq"), F.monotonically_increasing_id())), "align-places")
     far = parts.select("row", F.posexplode("keys").alias("j", "key")).join(full.drop("n"), "key")
-    got = far.groupBy("row").agg(F.collect_list(F.struct("j", "groups", *_NUMBERS)).alias("got"))
-    out = parts.join(got, "row", "left").select("ids", "ends", "keys", "seq", "got")
-    return out.mapInArrow(freed(_composed(rows.column("groups").to_pylist(), numbers)), "doc_id long, " + ", ".join(f"{x} long" for x in _NUMBERS) + ", groups_sha256 string")
+    got = far.groupBy("row").agg(F.collect_list(F.struct("j", "groups", *_KEPT)).alias("got"))
+    out = parts.select("row", "ids", "ends", F.size("keys").alias("far"), "seq").join(got, "row", "left").select("ids", "ends", "far", "seq", "got")
+    return out.mapInArrow(freed(_composed(groups, numbers)), "doc_id long, " + ", ".join(f"{x} long" for x in _NUMBERS) + ", groups_sha256 string")
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
