@@ -95,5 +95,11 @@ def frontmatter(source_url: Column, title_: Column, fetched_at: Column | None =
 
 
 def truncate(text: Column, most: int) -> Column:
-    """Texts of more than ``most`` bytes are cut to ``most`` characters at most, with a marker; characters are never split."""
-    return F.when(F.octet_length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(TRUNCATED))).otherwise(text)
+    """Texts of more than ``most`` bytes are cut to as many, or up to three fewer where a character would be split, and get a marker."""
+    data = F.encode(text, "UTF-8")
+    starts = lambda n: ~F.hex(F.substring(data, n + 1, 1)).between("80", "BF")  # a character begins behind n bytes
+    size = F.lit(max(most - 3, 0))
+    for n in range(max(most - 2, 0), most + 1):
+        size = F.when(starts(n), n).otherwise(size)
+    cut = F.decode(F.substring(data, F.lit(1), size), "UTF-8")
+    return F.when(F.octet_length(text) > most, F.concat(cut, F.lit(TRUNCATED))).otherwise(text)

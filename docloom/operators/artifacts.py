@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docloom.functions import urls
+from docloom.operators import concat
 
 TOOL = "docloom v1"
 # The files of a knowledge base's artifacts folder and what stands in for missing content.
@@ -38,16 +39,29 @@ def _trimmed(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
-def llms_full_txt(pages: DataFrame, kbs: DataFrame) -> DataFrame:
-    """kb_id and content. pages: kb_id, ord, title, url, content."""
-    p = pages.select(
-        "kb_id", F.struct("ord", F.concat(F.lit("- ["), "title", F.lit("](#"), urls.title_anchor(F.col("title")), F.lit(")\n")).alias("line"),
-        F.concat(F.lit("---\n\n## "), "title", F.lit("\n\n<!-- source: "), "url", F.lit(" -->\n\n"), _trimmed(F.col("content")), F.lit("\n\n")).alias("part")).alias("r"),
-    )
-    p = p.groupBy("kb_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    whole = lambda name: F.array_join(F.transform("rows", lambda x: x[name]), "")
+def _full_texts(pages: DataFrame, kbs: DataFrame) -> DataFrame:
+    """kb_id, kind, ord and text of all that llms-full.txt is made of: its head, a line for each page, and the pages."""
+    body = F.concat(F.lit("---\n\n## "), "title", F.lit("\n\n<!-- source: "), "url", F.lit(" -->\n\n"), _trimmed(F.col("content")), F.lit("\n\n"))
+    line = F.concat(F.lit("- ["), "title", F.lit("](#"), urls.title_anchor(F.col("title")), F.lit(")\n"))
+    kinds = F.array(F.struct(F.lit(1).alias("kind"), line.alias("text")), F.struct(F.lit(3).alias("kind"), body.alias("text")))
+    p = pages.join(kbs.select("kb_id"), "kb_id", "left_semi").select("kb_id", "ord", F.explode(kinds).alias("t")).select("kb_id", "t.kind", "ord", "t.text")
     top = F.concat(provenance(F.col("source_url")), F.lit("# "), F.col("name"), F.lit(" — Full Documentation\n\n## Table of Contents\n\n"))
-    return kbs.join(p, "kb_id").select("kb_id", F.concat(top, whole("line"), F.lit("\n"), whole("part")).alias("content"))
+    ends = kbs.join(pages.select("kb_id").distinct(), "kb_id", "left_semi").select("kb_id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), top.alias("text")), F.struct(F.lit(2).alias("kind"), F.lit("\n").alias("text")))).alias("t"))
+    return p.unionByName(ends.select("kb_id", "t.kind", F.lit(None).cast(pages.schema["ord"].dataType).alias("ord"), "t.text"))
+
+
+def llms_full_parts(pages: DataFrame, kbs: DataFrame, part_bytes: int = concat.PART_BYTES) -> DataFrame:
+    """kb_id, part, at and content of llms-full.txt in ordered parts. pages: kb_id, ord, title, url, content.
+
+    A knowledge base of any number of pages is written by many tasks: no row and no task holds more than a part and a page.
+    """
+    return concat.in_parts(_full_texts(pages, kbs), "kb_id", ["kind", "ord"], "text", part_bytes)
+
+
+def llms_full_txt(pages: DataFrame, kbs: DataFrame) -> DataFrame:
+    """kb_id and content: the parts of ``llms_full_parts`` in one row each, for knowledge bases that fit in one."""
+    row = F.array_sort(F.collect_list(F.struct("kind", "ord", "text")))
+    return _full_texts(pages, kbs).groupBy("kb_id").agg(F.array_join(F.transform(row, lambda x: F.coalesce(x["text"], F.lit(""))), "").alias("content"))
 
 
 def skill_md(kbs: DataFrame) -> DataFrame:

@@ -188,22 +188,33 @@ def parse(query: str) -> tuple[Node, list[Phrase | Near]]:
     return p.parse(), p.leaves
 
 
+def _length() -> Column:
+    return sum((F.size(text.tokens(F.col(c))) for c in COLUMNS[1:]), F.size(text.tokens(F.col(COLUMNS[0]))))
+
+
 def postings(pages: DataFrame) -> DataFrame:
-    """page_id, col, pos and token of titles and paths, and kb_id where pages have it: ids are unique in a knowledge base only."""
+    """page_id, col, pos, token and len (tokens of the page) of titles and paths, and kb_id where pages have it: ids are unique in a knowledge base only."""
     col = lambda c: F.struct(F.lit(c).alias("col"), text.tokens(F.col(c)).alias("tokens"))
     own = [c for c in ("kb_id", "page_id") if c in pages.columns]
-    p = pages.select(*own, F.explode(F.array(*[col(c) for c in COLUMNS])).alias("c"))
-    return p.select(*own, F.col("c.col").alias("col"), F.posexplode("c.tokens").alias("pos", "token"))
+    p = pages.select(*own, F.array(*[col(c) for c in COLUMNS]).alias("cs"))
+    n = F.aggregate("cs", F.lit(0), lambda a, c: a + F.size(c["tokens"]))
+    p = p.select(*own, n.alias("len"), F.explode("cs").alias("c"))
+    return p.select(*own, "len", F.col("c.col").alias("col"), F.posexplode("c.tokens").alias("pos", "token"))
+
+
+def statistics(pages: DataFrame) -> DataFrame:
+    """kb_id, n (pages, those without any token too) and total (tokens of all) of each knowledge base."""
+    return pages.groupBy("kb_id").agg(F.count("*").alias("n"), F.sum(_length().cast("long")).alias("total"))
 
 
 def _places(index: DataFrame, phrase: Phrase) -> DataFrame:
-    """page_id, col and pos of each start of a phrase."""
+    """page_id, len, col and pos of each start of a phrase: only postings of its tokens are read."""
     if not phrase.tokens:
-        return index.select("page_id", "col", "pos").limit(0)
+        return index.select("page_id", "len", "col", "pos").limit(0)
     here = index.filter(F.col("col").isin(*phrase.columns)) if phrase.columns else index.limit(0)
     last = len(phrase.tokens) - 1
     is_ = lambda k: F.col("token").startswith(phrase.tokens[k]) if phrase.prefix and k == last else F.col("token") == phrase.tokens[k]
-    found = here.filter(is_(0)).select("page_id", "col", "pos")
+    found = here.filter(is_(0)).select("page_id", "len", "col", "pos")
     if phrase.first:
         found = found.filter("pos = 0")
     for k in range(1, last + 1):
@@ -212,18 +223,18 @@ def _places(index: DataFrame, phrase: Phrase) -> DataFrame:
 
 
 def _counts(index: DataFrame, leaf: Phrase | Near) -> DataFrame:
-    """page_id and number of hits of a phrase, or of all phrases of a group that stand near enough."""
+    """page_id, len and number of hits of a phrase, or of all phrases of a group that stand near enough."""
     if isinstance(leaf, Phrase):
-        return _places(index, leaf).groupBy("page_id").agg(F.count("*").alias("f"))
+        return _places(index, leaf).groupBy("page_id").agg(F.max("len").alias("len"), F.count("*").alias("f"))
     near = None
     for p in leaf.phrases:
         at = _places(index, p).withColumn("end", F.col("pos") + len(p.tokens))
         if near is None:
-            near = at.select("page_id", "col", F.col("pos").alias("lo"), F.col("end").alias("first_end"), F.col("pos").alias("hi"))
+            near = at.select("page_id", "len", "col", F.col("pos").alias("lo"), F.col("end").alias("first_end"), F.col("pos").alias("hi"))
         else:
-            near = near.join(at, ["page_id", "col"]).filter(F.greatest("hi", "pos") - F.when(F.col("pos") < F.col("lo"), F.col("end")).otherwise(F.col("first_end")) <= leaf.within)
-            near = near.select("page_id", "col", F.least("lo", "pos").alias("lo"), F.when(F.col("pos") < F.col("lo"), F.col("end")).otherwise(F.col("first_end")).alias("first_end"), F.greatest("hi", "pos").alias("hi"))
-    return near.groupBy("page_id").agg(F.countDistinct("col", "lo", "hi").alias("f"))
+            near = near.join(at.drop("len"), ["page_id", "col"]).filter(F.greatest("hi", "pos") - F.when(F.col("pos") < F.col("lo"), F.col("end")).otherwise(F.col("first_end")) <= leaf.within)
+            near = near.select("page_id", "len", "col", F.least("lo", "pos").alias("lo"), F.when(F.col("pos") < F.col("lo"), F.col("end")).otherwise(F.col("first_end")).alias("first_end"), F.greatest("hi", "pos").alias("hi"))
+    return near.groupBy("page_id").agg(F.max("len").alias("len"), F.countDistinct("col", "lo", "hi").alias("f"))
 
 
 def _holds(node: Node) -> Column:
@@ -236,21 +247,23 @@ def _holds(node: Node) -> Column:
     return out
 
 
-def scores(index: DataFrame, pages: DataFrame, query: str) -> DataFrame:
+def scores(index: DataFrame, pages: DataFrame, query: str, stats: DataFrame | None = None) -> DataFrame:
     """page_id and score of every page that matches; lower is better, as scores are negative.
 
-    pages: page_id of all indexed pages, those without any token too.
+    pages: title and path of all indexed pages, those without any token too; read only where ``stats`` (one row: n and total) does not give
+    their number and size. Lengths are in the postings, so of the index only those of the words asked for are read.
     """
     node, leaves = parse(query)
     counts = None
     for i, leaf in enumerate(leaves):
-        one = _counts(index, leaf).select("page_id", *[(F.col("f") if i == k else F.lit(0).cast("long")).alias(f"f{k}") for k in range(len(leaves))])
+        one = _counts(index, leaf).select("page_id", "len", *[(F.col("f") if i == k else F.lit(0).cast("long")).alias(f"f{k}") for k in range(len(leaves))])
         counts = one if counts is None else counts.unionByName(one)
-    hits = counts.groupBy("page_id").agg(*[F.sum(f"f{k}").alias(f"f{k}") for k in range(len(leaves))])
-    size = index.groupBy("page_id").agg(F.count("*").alias("len"))
-    whole = pages.select("page_id").join(size, "page_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0))).alias("mean"))
+    hits = counts.groupBy("page_id").agg(F.max("len").alias("len"), *[F.sum(f"f{k}").alias(f"f{k}") for k in range(len(leaves))])
+    if stats is None:
+        stats = pages.agg(F.count("*").alias("n"), F.sum(_length().cast("long")).alias("total"))
+    whole = stats.select("n", (F.col("total") / F.col("n")).alias("mean"))
     found = hits.agg(*[F.count_if(F.col(f"f{k}") > 0).alias(f"df{k}") for k in range(len(leaves))])
-    d = hits.filter(_holds(node)).join(size, "page_id").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(found))  # one row of statistics each
+    d = hits.filter(_holds(node)).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(found))  # one row of statistics each
     total = F.lit(0.0)
     for k in range(len(leaves)):
         idf = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
@@ -260,14 +273,15 @@ def scores(index: DataFrame, pages: DataFrame, query: str) -> DataFrame:
     return d.select("page_id", (-total).alias("score"))
 
 
-def search(pages: DataFrame, query: str, limit: int = 10, kb_id: str | None = None, index: DataFrame | None = None) -> DataFrame:
+def search(pages: DataFrame, query: str, limit: int = 10, kb_id: str | None = None, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """page_id, kb_id, path, title and score of the best pages; ties go to the smaller page_id. The limit is held within 1 and 50.
 
-    With ``kb_id``, only its pages are the index, for statistics too. ``index`` holds the postings of the pages, if they are stored.
+    With ``kb_id``, only its pages are the index, for statistics too. ``index`` holds the postings of the pages and ``stats`` their number and size
+    (n and total), if they are stored.
     """
     if kb_id is not None:
         pages = pages.filter(F.col("kb_id") == kb_id)
         index = index.join(pages.select("page_id"), "page_id", "left_semi") if index is not None else None
     idx = index if index is not None else postings(pages)
-    out = scores(idx, pages, query).join(pages.select("page_id", "kb_id", "path", "title"), "page_id")
+    out = scores(idx, pages, query, stats).join(pages.select("page_id", "kb_id", "path", "title"), "page_id")
     return out.select("page_id", "kb_id", "path", "title", F.round("score", 6).alias("score")).orderBy("score", "page_id").limit(min(max(limit, 1), 50))

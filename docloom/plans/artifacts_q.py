@@ -125,6 +125,25 @@ def llms_full_txt(spark, d):
     return artifacts.llms_full_txt(p, kbs(spark, d))
 
 
+def _bodies(spark, d):
+    """Pages in the order of their paths, with their html for a text."""
+    p = pages_q.table(spark, d).join(src.read(spark, d).select("page_id", "html"), "page_id")
+    return p.select("kb_id", F.concat_ws(" ", "path", F.lpad(C("page_id").cast("string"), 12, "0")).alias("ord"), F.coalesce("title", "path").alias("title"), "url", C("html").alias("content"))
+
+
+@query(rf"""WITH {PM}, {_KBS}, x AS (SELECT pm.kb_id, concat_ws(' ', path, lpad(CAST(pm.page_id AS VARCHAR), 12, '0')) AS ord, coalesce(title, path) AS t, pm.url, html FROM pm JOIN pages USING (page_id)),
+y AS (SELECT kb_id, ord, 1 AS kind, '- [' || t || '](#' || regexp_replace(replace(lower(t), ' ', '-'), '[^\p{{L}}\p{{N}}-]', '_', 'g') || E')\n' AS s FROM x
+  UNION ALL SELECT kb_id, ord, 3, E'---\n\n## ' || t || E'\n\n<!-- source: ' || url || E' -->\n\n' || regexp_replace(html, '^\s+|\s+$', '', 'g') || E'\n\n' FROM x
+  UNION ALL SELECT kb_id, '', 0, {_TOP} || '# ' || name || E' — Full Documentation\n\n## Table of Contents\n\n' FROM kb UNION ALL SELECT kb_id, '', 2, chr(10) FROM kb),
+z AS (SELECT kb_id, kind, ord, s, coalesce(sum(strlen(s)) OVER (PARTITION BY kb_id ORDER BY kind, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM y),
+g AS (SELECT kb_id, b // 20000 AS cell, min(b) AS first_byte, string_agg(s, '' ORDER BY b, kind, ord) AS c FROM z GROUP BY ALL)
+SELECT kb_id, CAST(row_number() OVER (PARTITION BY kb_id ORDER BY cell) - 1 AS INT) AS part, CAST(first_byte AS BIGINT) AS first_byte, CAST(strlen(c) AS BIGINT) AS n_bytes, sha256(c) AS sha256 FROM g""")
+def llms_full_parts(spark, d):
+    """The full documentation of whole pages, in ordered parts of 20,000 bytes and a page: where each begins, its size and its digest."""
+    parts = artifacts.llms_full_parts(_bodies(spark, d), kbs(spark, d), 20_000)
+    return parts.select("kb_id", "part", F.col("at").alias("first_byte"), F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 @query()
 def llms_full_txt_whole(spark, d):
     """The full documentation with the Markdown of all pages, those without a title under their path; no SQL follows the converter."""

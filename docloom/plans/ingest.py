@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from docloom.checkpoints import cut
 from docloom.functions import html, markdown as md, urls
-from docloom.operators import artifacts, diff, enrich, identity, search, toc
+from docloom.operators import artifacts, diff, enrich, identity, toc
 from docloom.sources import llmstxt, pages as src
 from docloom.sources.config import EngineError
 from docloom.sources.store import Store
@@ -69,7 +69,7 @@ def _derived(store: Store, pages: DataFrame, kbs: DataFrame, contents: DataFrame
     t = toc.flat(pages)
     store.merge("contents", contents, touched)
     store.merge("toc", t, touched)
-    store.merge("postings", search.postings(pages), touched)
+    store.reindex(pages, touched)
     told("enrichment")
     results = _results(store, _bodies(contents), touched, call, model)
     summaries = results.filter("artifact_type = 'summary'").select("kb_id", "path", F.col("result_json").alias("summary"))
@@ -79,12 +79,13 @@ def _derived(store: Store, pages: DataFrame, kbs: DataFrame, contents: DataFrame
     named = kbs.join(artifacts.kb_summary(kbs, summaries), "kb_id")
     full = contents.join(pages.select("kb_id", "path", "url", "title"), ["kb_id", "path"])
     full = full.select("kb_id", F.col("path").alias("ord"), F.coalesce("title", "path").alias("title"), "url", F.col("markdown").alias("content"))
-    files = artifacts.llms_txt(t, named, about).withColumn("filename", F.lit("llms.txt"))
-    files = files.unionByName(artifacts.llms_full_txt(full, named).withColumn("filename", F.lit("llms-full.txt")))
     body = lambda task: named.join(whole.filter(F.col("artifact_type") == task).select("kb_id", "body"), "kb_id", "left")
+    files = artifacts.llms_txt(t, named, about).withColumn("filename", F.lit("llms.txt"))
     files = files.unionByName(artifacts.skill_md(body("skill").withColumn("description", F.col("summary"))).withColumn("filename", F.lit("SKILL.md")))
     for name in artifacts.PASSED:
         files = files.unionByName(artifacts.passed_through(body(name.removesuffix(".md")), name).withColumn("filename", F.lit(name)))
+    files = files.withColumns({"piece": F.lit(0), "at": F.lit(0).cast("long")})
+    files = files.unionByName(artifacts.llms_full_parts(full, named).withColumnRenamed("part", "piece").withColumn("filename", F.lit("llms-full.txt")))
     store.merge("artifacts", files, touched)
     told("done")
 

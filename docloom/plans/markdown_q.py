@@ -91,7 +91,8 @@ def frontmatter(spark, d):
     return docs(spark, d).select("doc_id", md.frontmatter(url, F.concat(F.lit('a\\b "'), "source", F.lit('"')), F.lit("2026-01-02T03:04:05Z")).alias("front"))
 
 
-@query(f"SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN left(text, 4000) || {_e(md.TRUNCATED)} ELSE text END AS cut FROM documents")
+@query(f"""WITH c AS (SELECT doc_id, text, strlen(text) AS n, list_max(list_filter(range(greatest(4000 // 4, 0), 4001), lambda k: strlen(left(text, k)) <= 4000)) AS k FROM (SELECT doc_id, text FROM documents WHERE strlen(text) > 4000))
+SELECT doc_id, CASE WHEN k IS NULL THEN d.text ELSE left(c.text, k) || {_e(md.TRUNCATED)} END AS cut FROM documents d LEFT JOIN c USING (doc_id)""")
 def truncate(spark, d):
     return docs(spark, d).select("doc_id", md.truncate(C("text"), md.LIMITS["context"]).alias("cut"))
 

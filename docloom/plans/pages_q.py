@@ -161,21 +161,60 @@ def ssrf_filter(spark, d):
     return src.read(spark, d).select("page_id", urls.guarded(u).alias("blocked"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, (2 * page_id + 1) % n AS dst FROM pages, n UNION ALL SELECT page_id, (7 * page_id + 3) % n FROM pages, n),
-r(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 4)
-SELECT node, min(depth) AS depth FROM r GROUP BY node""")
-def crawl_bfs(spark, d):
-    p = src.read(spark, d).select("page_id")
+#: A site made of all pages: page k is /p/k, with its own links and three more; of every 11 one is gone and of every 13 one has moved; a tenth of the links lead nowhere.
+_SITE = r"""WITH RECURSIVE n AS (SELECT count(*) AS n, count(*) + count(*) // 10 AS m FROM pages),
+h AS (SELECT page_id AS k, CASE WHEN page_id % 11 = 5 THEN 404 WHEN page_id % 13 = 6 THEN 301 ELSE 200 END AS status, (page_id * 3) % n AS moved, [(2 * page_id + 1) % m, (7 * page_id + 3) % m, (2 * page_id + 1) % m] AS dst,
+  3 + len(list_filter(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1), lambda x: NOT (starts_with(x, '#') OR starts_with(x, 'javascript:') OR starts_with(x, 'mailto:')))) AS n_links FROM pages, n),
+j(k, t, hops) AS (SELECT k, k, 0 FROM (SELECT unnest(range(0, (SELECT m FROM n))) AS k) UNION ALL SELECT j.k, h.moved, hops + 1 FROM j JOIN h ON h.k = j.t AND h.status = 301 WHERE hops < 6),
+o AS (SELECT j.k, t, hops, CASE WHEN hops > 5 THEN 'too_many_redirects' WHEN h.k IS NULL THEN 'missing' WHEN status <> 200 THEN 'http_error' ELSE 'fetched' END AS outcome, CASE WHEN hops <= 5 THEN status END AS status_code, dst, n_links
+  FROM (SELECT k, arg_max(t, hops) AS t, max(hops) AS hops FROM j GROUP BY k) j LEFT JOIN h ON h.k = j.t),
+r(k, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT x.dst, x.depth + 1 FROM (SELECT unnest(o.dst) AS dst, r.depth FROM r JOIN o ON o.k = r.k WHERE o.outcome = 'fetched' AND r.depth < 3) x),
+v AS (SELECT k, min(depth) AS depth FROM r GROUP BY k)"""
+
+
+def site(spark, d):
+    """Responses (url, status_code, html, location) of the site above."""
+    p = src.read(spark, d)
     n = p.count()
-    edges = p.select(C("page_id").alias("src"), F.explode(F.array((2 * C("page_id") + 1) % n, (7 * C("page_id") + 3) % n)).alias("dst"))
-    return crawl.bfs(p.filter("page_id = 0").select(C("page_id").alias("node")), edges, 4)
+    k, m = C("page_id"), n + n // 10
+    at = lambda x: F.concat(F.lit("https://site.example.org/p/"), x.cast("string"))
+    more = F.concat(*[F.concat(F.lit('<a href="/p/'), ((a * k + b) % m).cast("string"), F.lit('">x</a>')) for a, b in ((2, 1), (7, 3), (2, 1))])
+    status = F.when(k % 11 == 5, 404).when(k % 13 == 6, 301).otherwise(200)
+    return p.select(at(k).alias("url"), status.alias("status_code"), F.concat("html", more).alias("html"), F.when(status == 301, at((k * 3) % n)).alias("location"))
+
+
+def crawled(spark, d):
+    start = spark.range(1).select(F.lit("https://site.example.org/p/0").alias("url"))
+    return crawl.crawl(start, crawl.fetch_from(site(spark, d)), 3, lambda u: urls.in_scope(u, F.lit("site.example.org"), ["/p/*"]))
+
+
+@query(_SITE + " SELECT 'https://site.example.org/p/' || k AS url, depth, outcome, status_code FROM v JOIN o USING (k)")
+def crawl_bfs(spark, d):
+    """Every URL of a crawl of three levels: its level, and whether it was fetched or why not."""
+    return crawled(spark, d)[0]
 
 
-@query(f"""WITH {PM} SELECT count(*) AS pages_fetched, CAST(3 AS BIGINT) AS pages_skipped, count(*) FILTER (content_len % 97 = 0) AS n_errors,
-  CASE WHEN count(*) FILTER (content_len % 97 = 0) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM pm""")
+@query(_SITE + """, f AS (SELECT depth, n_links FROM v JOIN o USING (k) WHERE outcome = 'fetched')
+SELECT count(*) AS pages_fetched, CAST(1 + coalesce(sum(n_links) FILTER (depth < 3), 0) - count(*) AS BIGINT) AS pages_skipped, (SELECT count(*) FROM v JOIN o USING (k) WHERE outcome <> 'fetched') AS n_errors,
+  CASE WHEN (SELECT count(*) FROM v JOIN o USING (k) WHERE outcome <> 'fetched') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM f""")
 def crawl_stats(spark, d):
-    p = table(spark, d)
-    return crawl.crawl_stats(p, p.filter("content_len % 97 = 0"), skipped=3)
+    """The counts that the same crawl keeps as it goes."""
+    c = crawled(spark, d)[2]
+    return spark.range(1).select(F.lit(c["pages_fetched"]).cast("long").alias("pages_fetched"), F.lit(c["pages_skipped"]).cast("long").alias("pages_skipped"), F.lit(c["errors"]).cast("long").alias("n_errors"), F.lit(c["status"]).alias("status"))
+
+
+@query("""WITH w AS (SELECT page_id, url FROM pages WHERE page_id % 17 <> 3 UNION ALL SELECT page_id + 1000000, 'https://gone.example.org/' || page_id FROM pages WHERE page_id % 29 = 0)
+SELECT w.page_id, w.url, CASE WHEN p.page_id IS NULL THEN 'missing' WHEN p.page_id % 11 = 5 THEN 'http_error' WHEN strlen(p.html) > 5000 THEN 'too_large' ELSE 'fetched' END AS outcome,
+  CASE WHEN p.page_id % 11 = 5 THEN 404 WHEN p.page_id IS NOT NULL THEN 200 END AS status_code FROM w LEFT JOIN (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_replace(url, '#.*$', '') ORDER BY page_id % 11 = 5, page_id) = 1) p
+  ON regexp_replace(p.url, '#.*$', '') = regexp_replace(w.url, '#.*$', '')""")
+def fetch_outcomes(spark, d):
+    """Listed URLs against what came back for them: a row each, with what kept a page from being fetched."""
+    p = src.read(spark, d)
+    first = p.groupBy(F.regexp_replace("url", "#.*$", "").alias("u")).agg(F.min_by("page_id", F.struct(C("page_id") % 11 == 5, "page_id")).alias("page_id"))
+    one = p.join(first.select("page_id"), "page_id", "left_semi")
+    responses = one.select("url", F.when(C("page_id") % 11 == 5, 404).otherwise(200).alias("status_code"), "html", F.lit(None).cast("string").alias("location"))
+    wanted = p.filter("page_id % 17 <> 3").select("page_id", "url").unionByName(p.filter("page_id % 29 = 0").select((C("page_id") + 1000000).alias("page_id"), F.concat(F.lit("https://gone.example.org/"), "page_id").alias("url")))
+    return crawl.fetch_listed(wanted, responses, most_bytes=5000).select("page_id", "url", "outcome", "status_code")
 
 
 _DIFF = """o AS (SELECT kb_id, path, min(content_hash) AS h FROM old GROUP BY ALL),

@@ -3,7 +3,9 @@
 Rows are dealt to PARTS parts by their knowledge base. A version holds the parts that a write has touched, as
 folders, and a list of them that is written last: readers take each part from the newest version that lists it,
 and never see half of one. So a write costs what it touches, and a query of one knowledge base reads one part.
-Tables: kbs, pages, links, postings, contents, toc, artifacts, cache, jobs.
+Tables: kbs, pages, links, postings, stats, contents, toc, artifacts, cache, jobs.
+Spark sizes the files of a part, so a large knowledge base is written by many tasks. Postings are sorted by token, in small row groups with
+filters of bits, so a search reads the row groups that hold its words; their lengths and the statistics of the base are stored beside them.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ import json
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docloom.operators import artifacts, search
+from docloom.operators import artifacts, concat, search
 from docloom.sources.config import ParseError, StorageError, ValidationError
 
 SCHEMA_VERSION = 1
@@ -23,15 +26,19 @@ SCHEMAS = {
     "kbs": "kb_id string, name string, source_url string, created_at string, updated_at string, page_count long",
     "pages": "page_id long, kb_id string, url string, path string, title string, content_hash string, content_len long, status_code int",
     "links": "kb_id string, from_page_id long, pos long, href string, to_url string, kind string",
-    "postings": "kb_id string, page_id long, col string, pos int, token string",
+    "postings": "kb_id string, page_id long, len int, col string, pos int, token string",
+    "stats": "kb_id string, n long, total long",
     "contents": "kb_id string, path string, markdown string",
     "toc": "kb_id string, section int, item int, depth int, title string, path string, source_url string",
-    "artifacts": "kb_id string, filename string, content string",
+    "artifacts": "kb_id string, filename string, piece int, at long, content string",
     "cache": "kb_id string, artifact_type string, prompt_hash string, model_id string, result_json string",
     "jobs": "job_id string, kb_id string, started_at string, finished_at string, stats string",
 }
 #: Parts of each table; versions that stay after a newer whole one, for readers that have begun; partial versions after which a write is whole.
 PARTS, KEPT, MOST_VERSIONS = 64, 2, 30
+#: Columns by which rows of a part are sorted in their files, and options of the writer.
+SORTED = {"postings": ("kb_id", "token", "page_id"), "links": ("kb_id", "from_page_id", "pos"), "contents": ("kb_id", "path"), "pages": ("kb_id", "path")}
+WRITTEN = {"postings": {"parquet.block.row.count.limit": "100000", "parquet.bloom.filter.enabled#token": "true", "parquet.bloom.filter.expected.ndv#token": "20000"}}
 
 
 class Files:
@@ -57,11 +64,17 @@ class Files:
         fs.delete(p, True)
 
     def write(self, path: str, text: str) -> None:
-        """Whole or not at all: a temporary file takes the name when it is complete."""
+        for _ in self.write_all(path, iter([text.encode()])):
+            pass
+
+    def write_all(self, path: str, parts: Iterator[bytes]) -> Iterator[bytes]:
+        """Write a file part by part, and give each part on. Whole or not at all: a temporary file takes the name when it is complete."""
         fs, p = self._at(path)
         tmp = self.jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
         out = fs.create(tmp, True)
-        out.write(bytearray(text.encode()))
+        for x in parts:
+            out.write(bytearray(x))
+            yield x
         out.close()
         if fs.exists(p):
             fs.delete(p, False)
@@ -127,7 +140,8 @@ class Store:
             df, parts = self.table(name, parts=[k for k in range(PARTS) if k not in parts]).unionByName(df.select(*self._columns(name))), None
         names = [x for x in self.files.names(f"{self.root}/{name}") if x.startswith("v-")]
         at = f"{self.root}/{name}/v-{max([0, *(int(x[2:11]) for x in names)]) + 1:09d}-{uuid.uuid4().hex[:8]}"  # two writers never share a folder
-        df.select(*self._columns(name)).withColumn("part", self.part(F.col("kb_id"))).repartition("part").write.partitionBy("part").parquet(at)
+        rows = df.select(*self._columns(name)).withColumn("part", self.part(F.col("kb_id"))).hint("rebalance", "part")
+        rows.sortWithinPartitions("part", *SORTED.get(name, ("kb_id",))).write.options(**WRITTEN.get(name, {})).partitionBy("part").parquet(at)
         there = [int(x[5:]) for x in self.files.names(at) if re.fullmatch(r"part=\d+", x)]
         self.files.write(f"{at}/list.json", json.dumps({"whole": parts is None, "touched": sorted(parts or []), "there": there}))
         self._expire(name)
@@ -183,6 +197,12 @@ class Store:
         """Delete a page of a knowledge base with its links and postings; a page of the same id elsewhere stays."""
         for name, col in (("pages", "page_id"), ("links", "from_page_id"), ("postings", "page_id")):
             self._replace(name, kb_id, lambda t, col=col: t.filter(~(F.col("kb_id").eqNullSafe(kb_id) & F.col(col).eqNullSafe(page_id))))
+        self.merge("stats", search.statistics(self.table("pages", kb_id)), self.spark.createDataFrame([(kb_id,)], "kb_id string"))
+
+    def reindex(self, pages: DataFrame, touched: DataFrame) -> None:
+        """Write the postings and statistics of all pages of the touched knowledge bases."""
+        self.merge("postings", search.postings(pages), touched)
+        self.merge("stats", search.statistics(pages), touched)
 
     def kb_list(self) -> DataFrame:
         return self.table("kbs").orderBy("name")
@@ -203,7 +223,8 @@ class Store:
 
     def search(self, kb_id: str, query: str, limit: int = 10) -> DataFrame:
         self._known(kb_id)
-        return search.search(self.table("pages", kb_id), query, limit, index=self.table("postings", kb_id))
+        stats = self.table("stats", kb_id).groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+        return search.search(self.table("pages", kb_id), query, limit, index=self.table("postings", kb_id), stats=stats)
 
     def links(self, kb_id: str, page_id: int) -> DataFrame:
         """Links of a page, in their order."""
@@ -212,17 +233,23 @@ class Store:
     def artifact(self, kb_id: str, name: str) -> DataFrame:
         if name not in artifacts.NAMES:
             raise ValidationError(f"no such artifact: {name}")
-        return self.table("artifacts", kb_id).filter(F.col("filename") == name).select("content")
+        return concat.whole(self.table("artifacts", kb_id).filter(F.col("filename") == name).withColumnRenamed("piece", "part"), "filename").select("content")
+
+    def artifact_parts(self, kb_id: str, name: str) -> DataFrame:
+        """piece, at and content of an artifact, in order: joined they are the artifact."""
+        if name not in artifacts.NAMES:
+            raise ValidationError(f"no such artifact: {name}")
+        return self.table("artifacts", kb_id).filter(F.col("filename") == name).select("piece", "at", "content").orderBy("piece")
 
     def artifact_names(self, kb_id: str) -> DataFrame:
-        return self.table("artifacts", kb_id).filter(F.col("filename").isin(*artifacts.NAMES)).select("filename").orderBy("filename")
+        return self.table("artifacts", kb_id).filter(F.col("filename").isin(*artifacts.NAMES)).select("filename").distinct().orderBy("filename")
 
     def resources(self) -> DataFrame:
         """uri, kind and mime of all pages, artifacts and tables of contents."""
         uri = lambda kind, *c: F.concat_ws("/", F.lit(f"kb://{kind}"), *c)
         mime = F.when(F.col("filename").endswith(".md"), "text/markdown").otherwise("text/plain")
         p = self.table("contents").select(uri("page", "kb_id", "path").alias("uri"), F.lit("page").alias("kind"), F.lit("text/markdown").alias("mime"))
-        a = self.table("artifacts").select(uri("artifact", "kb_id", "filename").alias("uri"), F.lit("artifact").alias("kind"), mime.alias("mime"))
+        a = self.table("artifacts").filter("piece = 0").select(uri("artifact", "kb_id", "filename").alias("uri"), F.lit("artifact").alias("kind"), mime.alias("mime"))
         t = self.table("toc").select("kb_id").distinct().select(uri("toc", "kb_id").alias("uri"), F.lit("toc").alias("kind"), F.lit("application/json").alias("mime"))
         return p.unionByName(a).unionByName(t)
 
@@ -240,10 +267,19 @@ class Store:
             e = {k: r[k] for k in ("title", "path", "source_url") if r[k] is not None} | {"children": []}
             (sections if r["item"] == 0 else sections[-1]["children"]).append(e)
         f.write(f"{folder}/toc.json", json.dumps({"sections": sections}, indent=2, ensure_ascii=False))
-        found = {r["filename"]: r["content"] for r in self.table("artifacts", kb_id).collect()}
-        for name, text in found.items():
-            f.write(f"{folder}/artifacts/{name}", text)
-        meta = {r["filename"]: {"sha256": r["sha256"], "size_bytes": r["size_bytes"]} for r in artifacts.meta(self.table("artifacts", kb_id)).collect()}
+        meta: dict[str, dict] = {}
+        for r in self.table("artifacts", kb_id).select("filename").distinct().collect():  # a name for each kind of artifact
+            name = r["filename"]
+            digest, size = sha256(), 0
+
+            def parts(name: str = name) -> Iterator[bytes]:
+                for p in self.artifact_parts(kb_id, name).toLocalIterator():
+                    yield p["content"].encode()
+
+            for x in f.write_all(f"{folder}/artifacts/{name}", parts()):
+                digest.update(x)
+                size += len(x)
+            meta[name] = {"sha256": digest.hexdigest(), "size_bytes": size}
         f.write(f"{folder}/manifest.json", json.dumps({
             "schema_version": SCHEMA_VERSION, "id": kb_id, "name": kb["name"], "source_url": kb["source_url"], "tool_version": artifacts.TOOL,
             "created_at": kb["created_at"], "updated_at": kb["updated_at"], "page_count": n, "artifacts": meta, "enrichment": self._enrichment(kb_id),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from docloom.checkpoints import cut
-from docloom.operators import diff, search
+from docloom.operators import diff
 from docloom.plans.ingest import identified, read_once
 from docloom.sources.store import Store
 
@@ -28,7 +28,7 @@ def keep_up(stream: DataFrame, store: Store, checkpoint: str):
         old = store.of("pages", touched)
         new = identified(new, old).select(*old.columns)
         store.merge("pages", diff.upsert(old, new, ["kb_id", "path"], ["page_id"]), touched)
-        store.merge("postings", search.postings(store.of("pages", touched)), touched)
+        store.reindex(store.of("pages", touched), touched)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,8 +4,8 @@
 
 Documents (doc_id, text) become rows (term, doc_id, tf, doc_len, df), folded and split as the page index is. The output is a Parquet table partitioned by
 the bucket of the term, and sorted by term inside its files, so a search reads one bucket a word, and of it the row groups that hold the
-word. A bucket is written by a number of shards of documents, as the most frequent words are in a large part of all documents. A run replaces the
-whole index; run again over the same documents it gives the same rows.
+word. The most frequent words are in a large part of all documents, so they meet their frequencies in shards of documents, and Spark splits large buckets over
+tasks and files. A run replaces the whole index; run again over the same documents it gives the same rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from docloom.functions import text
 from jobs.common import command, logger, settings
 
-DEFAULTS = {"format": "parquet", "buckets": 16, "shards": 4}
+DEFAULTS = {"format": "parquet", "buckets": 32, "shards": 16}
 SOURCE = "doc_id long, text string"
 INDEX = "term string, doc_id long, tf long, doc_len long, df long, bucket int"
 #: Constants of the ranking function, as in the page index.
@@ -75,7 +75,7 @@ def run(spark: SparkSession, source: str, target: str, given: dict | None = None
     """Index all documents of the source into the target and return the index."""
     s, log = settings(DEFAULTS, given), logger("document_index")
     docs = spark.read.format(s["format"]).schema(SOURCE).load(source)
-    rows = build(docs, s).repartition("bucket", "shard").sortWithinPartitions("bucket", "term", "doc_id").drop("shard")
+    rows = build(docs, s).drop("shard").hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(target)
     n = index(spark, target).agg(F.count("*"), F.countDistinct("term"), F.countDistinct("bucket")).first()
     log.info("read %d documents of %s, wrote %d postings of %d terms in %d buckets to %s", docs.count(), source, n[0], n[1], n[2], target)

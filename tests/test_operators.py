@@ -331,3 +331,138 @@ def test_colliding_page_keys_are_told_apart(spark):
 
     with pytest.raises(StorageError):
         identity.identify(new, known.limit(0), lambda kb, path, k: F.lit(1).cast("long")).collect()
+
+
+def plain_crawl(start, responses, most_depth, inside, links):
+    """One queue, one URL after another."""
+    queue, seen, out, skipped, errors = [(start, 0)], set(), {}, 0, 0
+    while queue:
+        (url, depth), queue = queue[0], queue[1:]
+        if url in seen:
+            skipped += 1
+            continue
+        seen.add(url)
+        if not inside(url):
+            skipped += 1
+            continue
+        at, hops = url, 0
+        while at in responses and 300 <= responses[at][0] < 400 and responses[at][1] and hops <= 5:
+            at, hops = responses[at][1], hops + 1
+        status = responses[at][0] if at in responses else None
+        outcome = "too_many_redirects" if hops > 5 else "missing" if status is None else "fetched" if 200 <= status < 300 else "http_error"
+        out[url] = (depth, outcome)
+        if outcome != "fetched":
+            errors += 1
+            skipped += 1
+        elif depth < most_depth:
+            queue += [(x, depth + 1) for x in links[at]]
+    return out, sum(o == "fetched" for _, o in out.values()), skipped, errors
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crawl_equals_a_plain_queue(spark, seed):
+    import random
+
+    from docloom.functions import urls
+
+    rng = random.Random(seed)
+    name = lambda k: f"https://e.org/p/{k}" if k % 9 else f"https://e.org/q/{k}"
+    responses, links = {}, {}
+    for k in range(120):
+        kind = rng.random()
+        moved = name(k + 1) if k % 10 < 8 and kind < 0.3 else None  # long runs of redirects, too
+        responses[name(k)] = (301 if moved else 404 if kind < 0.4 else 200, moved)
+        links[name(k)] = [name(rng.randrange(140)) for _ in range(rng.randrange(6))] + (["https://f.org/x"] if k % 7 == 0 else [])
+    responses[name(0)] = (200, None)
+    responses[name(1)] = (302, name(2))
+    responses[name(2)] = (302, name(1))
+    links[name(0)] += [name(1), name(3), name(3)]
+    rows = [(u, s, "".join(f'<a href="{x}#t">x</a>' for x in links[u]), to) for u, (s, to) in responses.items()]
+    df = spark.createDataFrame(rows, "url string, status_code int, html string, location string")
+    start = spark.createDataFrame([("https://e.org/q/0/#top",)], "url string")
+    for depth in (0, 1, 4):
+        want, fetched, skipped, errors = plain_crawl(name(0), responses, depth, lambda u: u.startswith("https://e.org/"), links)
+        outcomes, pages, counts = crawl.crawl(start, crawl.fetch_from(df), depth, lambda u: urls.in_scope(u, F.lit("e.org")))
+        assert {r["url"]: (r["depth"], r["outcome"]) for r in outcomes.collect()} == want
+        assert counts == {"pages_fetched": fetched, "pages_skipped": skipped, "errors": errors, "status": "completed_with_errors" if errors else "completed"}
+        assert pages.count() == fetched
+    none = crawl.crawl(start.limit(0), crawl.fetch_from(df))
+    assert none[0].count() == none[1].count() == 0 and none[2]["pages_fetched"] == 0
+
+
+def test_listed_pages_that_fail_are_rows(spark):
+    rows = [("https://e.org/a", 200, "<p>x", None), ("https://e.org/big", 200, "y" * 100, None), ("https://e.org/r", 301, None, "/a"), ("https://e.org/e", 500, "z", None), ("https://e.org/n", 200, None, None)]
+    responses = spark.createDataFrame(rows, "url string, status_code int, html string, location string")
+    wanted = spark.createDataFrame([(k, u) for k, u in enumerate(["https://e.org/a#f", "https://e.org/big", "https://e.org/r", "https://e.org/e", "https://e.org/none", "http://localhost/x", None, "https://e.org/a", "https://e.org/n"])], "k int, url string")
+    got = {r["k"]: (r["outcome"], r["status_code"], r["html"]) for r in crawl.fetch_listed(wanted, responses, most_bytes=50).collect()}
+    assert got == {0: ("fetched", 200, "<p>x"), 1: ("too_large", 200, None), 2: ("fetched", 200, "<p>x"), 3: ("http_error", 500, None), 4: ("missing", None, None), 5: ("refused", None, None), 6: ("refused", None, None), 7: ("fetched", 200, "<p>x"), 8: ("fetched", 200, "")}
+
+
+def test_filter_of_urls_loses_none(spark):
+    keys = spark.range(500).select(F.concat(F.lit("u"), "id").alias("k"))
+    table = spark.range(20000).select(F.concat(F.lit("u"), "id").alias("c"))
+    kept = {r["c"] for r in crawl.url_filter(keys, "k", 500)(table, "c").collect()}
+    assert {f"u{i}" for i in range(500)} <= kept and len(kept) < 5000
+
+
+def test_ordered_parts_joined_are_the_whole(spark):
+    import random
+
+    from docloom.operators import artifacts, concat
+
+    rng = random.Random(4)
+    rows = [(None if k % 50 == 0 else f"kb{min(k % 9, 3)}", f"p{k:04d}", rng.choice([None, "", "é" * rng.randrange(40), "x" * rng.randrange(90)])) for k in range(900)]
+    df = spark.createDataFrame(rows, "kb string, ord string, t string").repartition(7)
+    want = {}
+    for kb, _, t in sorted(rows, key=lambda r: r[1]):
+        want[kb] = want.get(kb, "") + (t or "")
+    for most in (1, 100, 10**9):
+        parts = concat.in_parts(df, "kb", ["ord"], "t", most).collect()
+        got = {}
+        for r in sorted(parts, key=lambda r: r["part"]):
+            assert r["at"] == len(got.get(r["kb"], "").encode()) and len(r["content"].encode()) < most + 200
+            got[r["kb"]] = got.get(r["kb"], "") + r["content"]
+        assert got == want
+        assert {r["kb"]: r["content"] for r in concat.whole(concat.in_parts(df, "kb", ["ord"], "t", most), "kb").collect()} == want
+    assert len(parts) == len(want) and concat.in_parts(df.limit(0), "kb", ["ord"], "t").count() == 0
+    kbs = spark.createDataFrame([("a", "A", "https://a/"), ("none", "N", "https://n/")], "kb_id string, name string, source_url string")
+    pages_ = spark.createDataFrame([("a", k, f"T{k}", f"u{k}", f" body {k} ") for k in range(30)], "kb_id string, ord long, title string, url string, content string")
+    one = artifacts.llms_full_txt(pages_, kbs).collect()
+    many = concat.whole(artifacts.llms_full_parts(pages_, kbs, 64), "kb_id").collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in many] and "- [T2](#t2)" in one[0]["content"] and len(one) == 1
+
+
+def test_search_reads_the_row_groups_of_its_words(spark, tmp_path, monkeypatch):
+    """Stored postings are sorted by token and carry lengths: a rare word is in few row groups, and scores equal those over the page table."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from docloom.operators import search as find
+
+    monkeypatch.setitem(st.WRITTEN, "postings", st.WRITTEN["postings"] | {"parquet.block.row.count.limit": "5000"})
+    s = st.Store(spark, str(tmp_path / "store"))
+    words = [f"w{k:05d}" for k in range(60000)]
+    rows = [("big.org", i, " ".join(words[i * 20 : i * 20 + 20] + ["common"]), f"p/{i}") for i in range(3000)]
+    p = spark.createDataFrame(rows, "kb_id string, page_id long, title string, path string")
+    touched = spark.createDataFrame([("big.org",)], "kb_id string")
+    s.merge("pages", p.withColumns({"url": F.lit("u"), "content_hash": F.lit("h"), "content_len": F.lit(1).cast("long"), "status_code": F.lit(200)}), touched)
+    s.merge("kbs", spark.createDataFrame([("big.org", "b", "u", "t", "t", 3000)], st.SCHEMAS["kbs"]), touched)
+    s.reindex(s.of("pages", touched), touched)
+    groups = []
+    for f in glob.glob(f"{tmp_path}/store/postings/*/part=*/*.parquet"):
+        m = pq.ParquetFile(f).metadata
+        at = m.schema.names.index("token")
+        groups += [(m.row_group(g).column(at).statistics.min, m.row_group(g).column(at).statistics.max) for g in range(m.num_row_groups)]
+    hold = lambda w: sum(a <= w <= b for a, b in groups)
+    assert len(groups) >= 3 and hold("w31234") == 1
+    for q in ("w00042", "common w00100", "w0004*", "w00001 OR w59999", '"w00020 w00021"'):
+        got = s.search("big.org", q).collect()
+        assert got and got == find.search(p, q).collect()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = s.search("big.org", "w00042")._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(token,w00042)" in plan
+    assert s.table("stats", "big.org").first()["n"] == 3000
+    s.delete_page("big.org", 0)
+    assert s.table("stats", "big.org").first()["n"] == 2999 and s.search("big.org", "w00003").count() == 0
