@@ -49,7 +49,8 @@ def redirected(responses: DataFrame, most: int = MOST_REDIRECTS) -> DataFrame:
     after ``most`` hops, as in a loop, has hops beyond ``most``.
     """
     first = responses.filter(F.col("status_code").between(300, 399) & F.col("location").isNotNull())
-    first = first.select("url", urls.normalize_url(urls.resolve_any(F.col("url"), F.col("location"))).alias("target")).filter("target is not null")
+    # Two steps, so that the resolved URL is not worked out again wherever the second one names it.
+    first = first.select("url", urls.resolve_any(F.col("url"), F.col("location")).alias("to")).select("url", urls.normalize_url(F.col("to")).alias("target")).filter("target is not null")
     at = cut(first.groupBy("url").agg(F.min("target").alias("target")).withColumn("hops", F.lit(1)), "redirects")
     step = 1
     while step <= most and not at.isEmpty():
@@ -62,21 +63,29 @@ def redirected(responses: DataFrame, most: int = MOST_REDIRECTS) -> DataFrame:
 def fetch_from(responses: DataFrame, most_bytes: int = MOST_BYTES, most_redirects: int = MOST_REDIRECTS) -> Callable[[DataFrame], DataFrame]:
     """A fetch over responses that are there already (url, status_code, html and location): see ``crawl``.
 
-    Of several responses of a normalized URL the one of the least status, location and html counts. Every URL that is asked for gives one row: fetched, or why
+    Of several responses of a normalized URL the one of the least status, location and hash of its html counts. Every URL that is asked for gives one row: fetched, or why
     not (``missing``: no response; ``http_error``: not 2xx; ``too_many_redirects``; ``too_large``: its html is left out).
     """
-    known = responses.select(urls.normalize_url(F.col("url")).alias("url"), F.col("status_code").cast("int").alias("status_code"), "html", "location").filter("url is not null")
-    known = known.groupBy("url").agg(F.min_by(F.struct("status_code", "html", "location"), F.struct("status_code", "location", "html")).alias("r")).select("url", "r.*")
+    all_ = responses.select(urls.normalize_url(F.col("url")).alias("url"), F.col("status_code").cast("int").alias("status_code"), "location", "html").filter("url is not null")
+    all_ = all_.withColumn("mark", F.xxhash64("html"))
+    narrow = all_.select("url", "status_code", "location", F.octet_length("html").alias("size"), "mark")
+    known = cut(narrow.groupBy("url").agg(F.min(F.struct("status_code", "location", "mark", "size")).alias("r")).select("url", "r.*"), "responses")
     hops = redirected(known, most_redirects)
 
     def fetch(wanted: DataFrame) -> DataFrame:
         asked = wanted.select("url").join(hops, "url", "left").withColumn("target", F.coalesce("target", "url"))
-        got = asked.join(known.select(F.col("url").alias("target"), "status_code", "html", F.octet_length("html").alias("size"), F.lit(True).alias("there")), "target", "left")
+        got = asked.join(known.select(F.col("url").alias("target"), "status_code", "size", "mark", F.lit(True).alias("there")), "target", "left")
         outcome = (
             F.when(F.coalesce("hops", F.lit(0)) > most_redirects, "too_many_redirects").when(F.col("there").isNull(), "missing").when(~F.coalesce(F.col("status_code").between(200, 299), F.lit(False)), "http_error")
             .when(F.coalesce("size", F.lit(0)) > most_bytes, "too_large").otherwise("fetched")
         )
-        return got.select("url", outcome.alias("outcome"), F.when(outcome != "too_many_redirects", F.col("status_code")).alias("status_code"), F.when(outcome == "fetched", F.coalesce("html", F.lit(""))).alias("html"))
+        got = cut(got.select("url", "target", outcome.alias("outcome"), F.when(outcome != "too_many_redirects", F.col("status_code")).alias("status_code"), "mark"), "outcomes")
+        # Pages move for fetched URLs only: each target's html once.
+        due = got.filter("outcome = 'fetched'").select("target", "mark").distinct()
+        same = (F.col("r.url") == F.col("d.target")) & F.col("r.mark").eqNullSafe(F.col("d.mark"))
+        text = all_.alias("r").join(due.alias("d"), same).select("d.target", "r.html").groupBy("target").agg(F.first("html").alias("html"))
+        out = got.join(text, "target", "left")
+        return out.select("url", "outcome", "status_code", F.when(F.col("outcome") == "fetched", F.coalesce("html", F.lit(""))).alias("html"))
 
     return fetch
 
@@ -143,7 +152,7 @@ def crawl(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_depth:
         if depth == max_depth:
             break
         read = html.facts(pages[-1].select("url", "html"), "hrefs")
-        links = read.select("url", F.explode(F.filter("hrefs", urls.followable)).alias("href")).select(urls.normalize_url(urls.resolve_any(F.col("url"), F.col("href"))).alias("url"))
+        links = read.select("url", F.explode(F.filter("hrefs", urls.followable)).alias("href")).select(urls.resolve_any(F.col("url"), F.col("href")).alias("to")).select(urls.normalize_url(F.col("to")).alias("url"))
         queue = cut(links.filter("url is not null").groupBy("url").agg(F.count("*").alias("n")), "crawl-queue")
 
     def all_of(parts: list[DataFrame], schema: str) -> DataFrame:
