@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docloom.checkpoints import cut
 from docloom.shipping import ship
 
 KEYS = ["kb_id", "artifact_type", "prompt_hash", "model_id"]
@@ -80,25 +82,36 @@ def offline_model(prompt: str) -> str:
     return next((x.strip("# ").strip() for x in prompt.splitlines() if x.strip("# ").strip()), "")
 
 
-def complete(tasks: DataFrame, cache: DataFrame, call: Callable[[str], str] = offline_model) -> DataFrame:
-    """Tasks (the keys and content) with result, hit, tokens_in and tokens_out; misses call the model in Arrow batches, failures give null."""
+#: Model calls that one partition has under way at most.
+CONCURRENT = 4
+
+
+def complete(tasks: DataFrame, cache: DataFrame, call: Callable[[str], str] = offline_model, concurrent: int = CONCURRENT) -> DataFrame:
+    """Tasks (the keys and content) with result, hit, tokens_in and tokens_out; misses call the model, failures give null.
+
+    Each distinct key is asked for once, however many tasks have it (of their contents the least counts), and the answers are written before they
+    are used: no later step, and no loss of an executor after a task has ended, asks again. A partition has a few calls under way at a time.
+    """
     ship(tasks.sparkSession)
     known = lookup(tasks, cache)
-    names = known.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = with_retries(call)
 
-        def one(x: str) -> str | None:
+        def one(x: str | None) -> str | None:
             try:
-                return ask(x)
+                return None if x is None else ask(x)
             except Exception:
                 return None
 
-        for b in batches:
-            b["result"] = [one(x) for x in b["content"]]
-            yield b[names]
+        with ThreadPoolExecutor(max_workers=concurrent) as pool:
+            for b in batches:
+                got = list(pool.map(one, b.column(len(KEYS)).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(KEYS))), pa.array(got, pa.string())], names=[*KEYS, "answer"])
 
-    hits, misses = known.filter("hit"), known.filter(~F.col("hit")).mapInPandas(run, known.schema)
+    misses = known.filter(~F.col("hit")).groupBy(*KEYS).agg(F.min("content").alias("content"))
+    answers = cut(misses.mapInArrow(run, ", ".join(f"{k} string" for k in KEYS) + ", answer string"), "answers")
+    same = [F.col(f"k.{k}").eqNullSafe(F.col(f"a.{k}")) for k in KEYS]
+    done = known.alias("k").join(answers.alias("a"), same, "left").select(*[F.col(f"k.{c}") for c in known.columns if c != "result"], F.when(F.col("k.hit"), F.col("k.result")).otherwise(F.col("a.answer")).alias("result"))
     words = lambda c: F.when(F.col("hit") | F.col("result").isNull(), 0).otherwise(F.size(F.split(F.trim(c), r"\s+"))).cast("long")
-    return hits.unionByName(misses).withColumn("tokens_in", words(F.col("content"))).withColumn("tokens_out", words(F.col("result")))
+    return done.select(*known.columns).withColumn("tokens_in", words(F.col("content"))).withColumn("tokens_out", words(F.col("result")))

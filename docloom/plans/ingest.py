@@ -150,6 +150,29 @@ def _links(read: DataFrame) -> DataFrame:
     return src.links_of_facts(read, keep=("kb_id",)).withColumn("kind", F.when(F.col("to_url").isNotNull(), kind))
 
 
+def refresh(store: Store, fetched: DataFrame, now: str) -> None:
+    """Take fetched pages into their knowledge bases, and leave all else of these as it is: pages, links, contents, toc, index and kbs follow.
+
+    What a stream of batches builds so equals what one ``add`` of all pages builds, but for enrichment and artifacts, which are not asked for here.
+    A batch that is taken again changes nothing.
+    """
+    read = read_once(fetched, "hrefs", "raw")
+    touched = cut(read.select("kb_id").distinct(), "touched")
+    old = store.of("pages", touched)
+    read = cut(identified(read, old), "pages")
+    mine = read.select("kb_id", "path", "page_id")
+    store.merge("pages", diff.upsert(old, read.select(*old.columns), ["kb_id", "path"], ["page_id"]), touched)
+    pages = store.of("pages", touched)
+    links = store.of("links", touched).join(mine.select("kb_id", F.col("page_id").alias("from_page_id")), ["kb_id", "from_page_id"], "left_anti")
+    links = links.unionByName(_links(read))
+    store.merge("links", links, touched)
+    contents = store.of("contents", touched).join(mine.select("kb_id", "path"), ["kb_id", "path"], "left_anti").select("kb_id", "path", "markdown")
+    store.merge("contents", contents.unionByName(_contents(read, now)), touched)
+    store.merge("toc", toc.flat(pages), touched)
+    store.reindex(pages, touched)
+    store.merge("kbs", _kbs(pages, now, store.of("kbs", touched)), touched)
+
+
 def update(store: Store, fetched: DataFrame, now: str, prune: bool = False, force: bool = False, call: Callable[[str], str] = enrich.offline_model, model: str = "offline", told: Callable[[str], None] = lambda step: None) -> dict[str, int]:
     """Bring the knowledge bases of fetched pages up to date and return the counts of the difference; others stay as they are.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from docloom.checkpoints import cut
-from docloom.operators import diff
-from docloom.plans.ingest import identified, read_once
+from docloom.plans import ingest
 from docloom.sources.store import Store
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
@@ -17,18 +18,15 @@ def page_stream(spark: SparkSession, folder: str, files_a_batch: int = 100) -> D
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
 
 
-def keep_up(stream: DataFrame, store: Store, checkpoint: str):
-    """Start a query that upserts each batch; a batch that is run again gives the same table."""
+def keep_up(stream: DataFrame, store: Store, checkpoint: str, now: Callable[[], str] = lambda: datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")):
+    """Start a query that takes each batch into its knowledge bases, with all that reads them: links, contents, toc, index and kbs.
+
+    A batch that is run again gives the same tables; ``now`` gives the time that its pages and bases get.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        if df.isEmpty():
-            return
-        new = read_once(df)
-        touched = cut(new.select("kb_id").distinct(), "touched")
-        old = store.of("pages", touched)
-        new = identified(new, old).select(*old.columns)
-        store.merge("pages", diff.upsert(old, new, ["kb_id", "path"], ["page_id"]), touched)
-        store.reindex(store.of("pages", touched), touched)
+        if not df.isEmpty():
+            ingest.refresh(store, df, now())
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -144,6 +144,44 @@ def test_stream(spark, tmp_path):
     assert {r["path"] for r in s.table("pages").collect()} == {"index", "p0", "p1"}
 
 
+def test_a_stream_builds_what_a_batch_builds(spark, tmp_path):
+    """Two batches into a stream's base, one of them taken twice, against one add of all pages."""
+    one, many = st.Store(spark, str(tmp_path / "one")), st.Store(spark, str(tmp_path / "many"))
+    src = str(tmp_path / "in")
+    batches = [[SITE[0], SITE[1], (7, "https://f.org/x", "<h1>Other</h1><p>old")], [SITE[2], (8, "https://f.org/x", '<h1>Other</h1><p>new</p><a href="/y">y</a>'), (9, "https://f.org/y/z", "<h1>Deep</h1>")]]
+    for rows in batches:
+        pages(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        incremental.keep_up(incremental.page_stream(spark, src), many, str(tmp_path / "cp"), lambda: "t1").awaitTermination()
+    ingest.refresh(many, pages(spark, batches[1]), "t1")
+    ingest.add(one, pages(spark, [SITE[0], SITE[1], *batches[1]]), "t1")
+    for kb in ("e.org", "f.org"):
+        a, b = state(one, kb), state(many, kb)
+        for name in ("kbs", "pages", "links", "postings", "stats", "contents", "toc"):
+            assert a[name] == b[name] and a[name], (kb, name)
+    assert [r["path"] for r in many.search("f.org", "deep").collect()] == ["y/z"] and "new" in many.page("f.org", "x").first()["markdown"]
+
+
+def test_equal_tasks_are_asked_once(spark, tmp_path):
+    asked = str(tmp_path / "asked")
+
+    def model(prompt):
+        with open(asked, "a") as f:
+            f.write(prompt + "\n")
+        if prompt == "bad":
+            raise ValueError("no")
+        return f"answer to {prompt}"
+
+    rows = [("k", "s", f"h{i % 7}", "m", f"c{i % 7}") for i in range(70)] + [("k", "s", "hb", "m", "bad"), ("k", None, "h0", "m", "c0"), ("k", "s", "known", "m", "x")]
+    t = spark.createDataFrame(rows, "kb_id string, artifact_type string, prompt_hash string, model_id string, content string").repartition(8)
+    c = spark.createDataFrame([("k", "s", "known", "m", "there")], "kb_id string, artifact_type string, prompt_hash string, model_id string, result_json string")
+    done = enrich.complete(t, c, model)
+    got = {(r["artifact_type"], r["prompt_hash"]): r["result"] for r in done.collect()}
+    assert done.count() == 73 and got["s", "h3"] == "answer to c3" and got["s", "hb"] is None and got["s", "known"] == "there" and got[None, "h0"] == "answer to c0"
+    calls = [x.strip() for x in open(asked)]
+    assert sorted(calls) == sorted([f"c{i}" for i in range(7)] + ["bad", "c0"])
+    assert enrich.stats(done).first().asDict()["hits"] == 1
+
+
 def test_cache_hits(spark):
     t = spark.createDataFrame([("k", "s", "h1", "m", "A b"), ("k", "s", "h2", "m", "C")], "kb_id string, artifact_type string, prompt_hash string, model_id string, content string")
     c = spark.createDataFrame([("k", "s", "h1", "m", "known")], "kb_id string, artifact_type string, prompt_hash string, model_id string, result_json string")
