@@ -42,9 +42,14 @@ def nested(flat_toc: DataFrame) -> DataFrame:
     return sections.groupBy("kb_id").agg(ordered.alias("sections"))
 
 
+def covers(entries, pages):
+    """Whether a navigation of so many entries stands for a base of so many pages: numbers, or columns of them."""
+    return (entries > 0) & (entries * 2 + 1 >= pages)
+
+
 def choose(adapter_entries: int, pages: int) -> str:
     """Which structure counts: the adapter's if it covers half of the pages, else that of the paths."""
-    return "adapter" if adapter_entries and adapter_entries >= pages // 2 else "paths"
+    return "adapter" if covers(adapter_entries, pages) else "paths"
 
 
 def missing(flat_toc: DataFrame, files: DataFrame) -> DataFrame:

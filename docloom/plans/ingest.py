@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from docloom.checkpoints import cut
 from docloom.functions import html, markdown as md, urls
-from docloom.operators import artifacts, diff, enrich, identity, toc
+from docloom.operators import artifacts, diff, enrich, identity, navigation
 from docloom.sources import llmstxt, pages as src
 from docloom.sources.config import EngineError
 from docloom.sources.store import Store
@@ -66,9 +66,9 @@ def _results(store: Store, tasks: DataFrame, touched: DataFrame, call: Callable[
 
 def _derived(store: Store, pages: DataFrame, kbs: DataFrame, contents: DataFrame, touched: DataFrame, call: Callable[[str], str], model: str, told: Callable[[str], None]) -> None:
     """Contents, toc, postings, enrichment and artifacts of the pages of touched knowledge bases."""
-    t = toc.flat(pages)
     store.merge("contents", contents, touched)
-    store.merge("toc", t, touched)
+    store.merge("toc", navigation.table_of_contents(pages, store.of("nav", touched)), touched)
+    t = store.of("toc", touched)
     store.reindex(pages, touched)
     told("enrichment")
     results = _results(store, _bodies(contents), touched, call, model)
@@ -127,7 +127,7 @@ def add(store: Store, fetched: DataFrame, now: str, call: Callable[[str], str] =
     if fetched.isEmpty():
         raise EngineError("no pages were fetched")
     told("pages")
-    read = read_once(fetched, "hrefs", "raw")
+    read = read_once(fetched, "hrefs", "raw", "adapter", "toc")
     touched = cut(read.select("kb_id").distinct(), "touched")
     read = cut(identified(read, store.of("pages", touched)), "pages")
     store.merge("pages", read, touched)
@@ -135,6 +135,7 @@ def add(store: Store, fetched: DataFrame, now: str, call: Callable[[str], str] =
     kbs = _kbs(pages, now, store.of("kbs", touched))
     told("contents")
     store.merge("links", _links(read), touched)
+    store.merge("nav", navigation.entries(read), touched)
     store.merge("kbs", kbs, touched)
     _derived(store, pages, store.of("kbs", touched), _contents(read, now), touched, call, model, told)
 
@@ -156,7 +157,7 @@ def refresh(store: Store, fetched: DataFrame, now: str) -> None:
     What a stream of batches builds so equals what one ``add`` of all pages builds, but for enrichment and artifacts, which are not asked for here.
     A batch that is taken again changes nothing.
     """
-    read = read_once(fetched, "hrefs", "raw")
+    read = read_once(fetched, "hrefs", "raw", "adapter", "toc")
     touched = cut(read.select("kb_id").distinct(), "touched")
     old = store.of("pages", touched)
     read = cut(identified(read, old), "pages")
@@ -168,7 +169,9 @@ def refresh(store: Store, fetched: DataFrame, now: str) -> None:
     store.merge("links", links, touched)
     contents = store.of("contents", touched).join(mine.select("kb_id", "path"), ["kb_id", "path"], "left_anti").select("kb_id", "path", "markdown")
     store.merge("contents", contents.unionByName(_contents(read, now)), touched)
-    store.merge("toc", toc.flat(pages), touched)
+    nav = store.of("nav", touched).join(mine.select("kb_id", "page_id"), ["kb_id", "page_id"], "left_anti").select("kb_id", "page_id", "pos", "title", "path")
+    store.merge("nav", nav.unionByName(navigation.entries(read)), touched)
+    store.merge("toc", navigation.table_of_contents(pages, store.of("nav", touched)), touched)
     store.reindex(pages, touched)
     store.merge("kbs", _kbs(pages, now, store.of("kbs", touched)), touched)
 
@@ -183,7 +186,7 @@ def update(store: Store, fetched: DataFrame, now: str, prune: bool = False, forc
     if fetched.isEmpty():
         raise EngineError("no pages were fetched")
     told("pages")
-    read = read_once(fetched, "hrefs")
+    read = read_once(fetched, "hrefs", "adapter", "toc")
     touched = cut(read.select("kb_id").distinct(), "touched")
     old = store.of("pages", touched)
     read = cut(identified(read, old), "pages")
@@ -200,6 +203,7 @@ def update(store: Store, fetched: DataFrame, now: str, prune: bool = False, forc
     fresh = _contents(raw.join(due, "fetched_id").withColumn("page_id", F.col("fetched_id")), now)
     kept = store.of("contents", touched).join(new.select("kb_id", "path"), ["kb_id", "path"], "left_semi").join(todo, ["kb_id", "path"], "left_anti").select("kb_id", "path", "markdown")
     store.merge("links", _links(read), touched)  # those of the pages as fetched now
+    store.merge("nav", navigation.entries(read), touched)
     store.merge("kbs", _kbs(pages, now, store.of("kbs", touched)), touched)
     _derived(store, pages, store.of("kbs", touched), kept.unionByName(fresh), touched, call, model, told)
     return counts

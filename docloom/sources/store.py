@@ -3,7 +3,7 @@
 Rows are dealt to PARTS parts by their knowledge base. A version holds the parts that a write has touched, as
 folders, and a list of them that is written last: readers take each part from the newest version that lists it,
 and never see half of one. So a write costs what it touches, and a query of one knowledge base reads one part.
-Tables: kbs, pages, links, postings, stats, contents, toc, artifacts, cache, jobs.
+Tables: kbs, pages, links, nav, postings, stats, contents, toc, artifacts, cache, jobs.
 Spark sizes the files of a part, so a large knowledge base is written by many tasks. Postings are sorted by token, in small row groups with
 filters of bits, so a search reads the row groups that hold its words; their lengths and the statistics of the base are stored beside them.
 """
@@ -28,6 +28,7 @@ SCHEMAS = {
     "links": "kb_id string, from_page_id long, pos long, href string, to_url string, kind string",
     "postings": "kb_id string, page_id long, len int, col string, pos int, token string",
     "stats": "kb_id string, n long, total long",
+    "nav": "kb_id string, page_id long, pos int, title string, path string",
     "contents": "kb_id string, path string, markdown string",
     "toc": "kb_id string, section int, item int, depth int, title string, path string, source_url string",
     "artifacts": "kb_id string, filename string, piece int, at long, content string",
@@ -195,7 +196,7 @@ class Store:
 
     def delete_page(self, kb_id: str, page_id: int) -> None:
         """Delete a page of a knowledge base with its links and postings; a page of the same id elsewhere stays."""
-        for name, col in (("pages", "page_id"), ("links", "from_page_id"), ("postings", "page_id")):
+        for name, col in (("pages", "page_id"), ("links", "from_page_id"), ("nav", "page_id"), ("postings", "page_id")):
             self._replace(name, kb_id, lambda t, col=col: t.filter(~(F.col("kb_id").eqNullSafe(kb_id) & F.col(col).eqNullSafe(page_id))))
         self.merge("stats", search.statistics(self.table("pages", kb_id)), self.spark.createDataFrame([(kb_id,)], "kb_id string"))
 

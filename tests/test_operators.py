@@ -504,3 +504,41 @@ def test_search_reads_the_row_groups_of_its_words(spark, tmp_path, monkeypatch):
     assert s.table("stats", "big.org").first()["n"] == 3000
     s.delete_page("big.org", 0)
     assert s.table("stats", "big.org").first()["n"] == 2999 and s.search("big.org", "w00003").count() == 0
+
+
+def test_navigations_of_pages_become_one_order(spark):
+    from docloom.operators import navigation
+
+    menu = lambda kb, page, names: [(kb, page, k, n.split(":")[-1].upper() if ":" in n else n.title(), n.split(":")[0]) for k, n in enumerate(names)]
+    rows = menu("k", 1, ["a", "a/1", "a/2", "b", "c"]) + menu("k", 2, ["a", "b", "b/1", "b/2", "c"]) + menu("k", 3, ["a", "b", "b/1", "b/2", "c"]) + menu("k", 4, ["a", "b", "c", "c/1"])
+    rows += menu("k", 5, ["new", "a", "b", "c"]) + menu("l", 1, ["x", "y", "x"]) + menu("l", 2, ["y:other", "x"]) + menu("l", 3, ["y:other"]) + [("l", 4, 0, "none", None)]
+    nav = spark.createDataFrame(rows, "kb_id string, page_id long, pos int, title string, path string")
+    got = {}
+    for r in navigation.merged(nav).orderBy("kb_id", "seq").collect():
+        got.setdefault(r["kb_id"], []).append((r["seq"], r["path"], r["title"]))
+    assert [p for _, p, _ in got["k"]] == ["new", "a", "a/1", "a/2", "b", "b/1", "b/2", "c", "c/1"] and [s for s, _, _ in got["k"]] == list(range(1, 10))
+    assert [p for _, p, _ in got["l"]] == ["y", "x"] and got["l"][0][2] == "OTHER"
+    assert navigation.merged(nav.limit(0)).count() == 0
+
+
+GENERATED = {
+    "docusaurus": ('<meta name="generator" content="Docusaurus v3"><ul class="menu__list">{}</ul><article><h1>{}</h1></article>', '<li><a class="menu__link" href="/{0}">{1}</a></li>'),
+    "vitepress": ('<div id="VPContent"><aside class="VPSidebar">{}</aside><div class="vp-doc"><h1>{}</h1></div></div>', '<a href="/{0}.html">{1}</a>'),
+    "gitbook": ('<meta name="gitbook"><aside><nav>{}</nav></aside><section class="markdown-section"><h1>{}</h1></section>', '<a href="/{0}">{1}</a>'),
+    "readthedocs": ('<nav class="wy-nav-side"><div class="wy-menu">{}<a href="#here">Here</a></div></nav><div role="main"><h1>{}</h1></div>', '<a href="/{0}.html">{1}</a>'),
+    "generic": ("<nav>{}</nav><main><h1>{}</h1></main>", '<a href="/{0}">{1}</a>'),
+}
+
+
+@pytest.mark.parametrize("kind", GENERATED)
+def test_toc_follows_the_navigation_of_its_generator(spark, tmp_path, kind):
+    page, link = GENERATED[kind]
+    s = st.Store(spark, str(tmp_path / "store"))
+    order = [("zeta", "Start here"), ("guide/use", "Use"), ("alpha", "Reference")]
+    menu = "".join(link.format(p, t) for p, t in order)
+    ingest.refresh(s, pages(spark, [(k, f"https://{kind}.org/{p}", page.format(menu, t)) for k, (p, t) in enumerate(order)]), "t")
+    got = [(r["path"], r["title"], r["source_url"]) for r in s.toc(f"{kind}.org").collect()]
+    if kind == "generic":
+        assert [p for p, _, _ in got] == ["guide", "guide/use", "alpha", "zeta"]  # by the paths, in the order of titles
+    else:
+        assert got == [(p, t, f"https://{kind}.org/{p}") for p, t in order]
