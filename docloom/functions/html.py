@@ -122,6 +122,7 @@ FACTS: dict[str, tuple[T.DataType, pa.DataType, Callable]] = {
     "body": (T.StringType(), pa.string(), _with_tree(adapter_content)),
     "toc": (T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("path", T.StringType())])), pa.list_(pa.struct([("title", pa.string()), ("path", pa.string())])), _with_tree(lambda doc, a: [{"title": t, "path": p} for t, p in adapter_toc(doc, a)])),
     "raw": (T.StringType(), pa.string(), lambda html, tree: to_markdown(tree())),
+    "raw_whole": (T.StringType(), pa.string(), lambda html, tree: dom.markdown(tree())),
 }
 #: Rows and bytes of an Arrow batch at most: whole pages travel in them.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -173,6 +174,11 @@ def convert(pages: DataFrame, fetched_at: Column | None = None) -> DataFrame:
     return converted(facts(pages.select("page_id", "url", "html"), "raw"), fetched_at)
 
 
+def convert_extracted(parts: DataFrame, fetched_at: Column | None = None) -> DataFrame:
+    """As ``convert``, of HTML that is content already: no main element is sought, and all of it is converted."""
+    return converted(facts(parts.select("page_id", "url", "html"), "raw_whole").withColumnRenamed("raw_whole", "raw"), fetched_at)
+
+
 def converted(read: DataFrame, fetched_at: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """As ``convert``, of pages that are read already (page_id, url, raw); columns ``keep`` stay."""
     f = read.select("page_id", "url", *keep, md.cleanup(F.col("raw"), F.col("url")).alias("clean"))

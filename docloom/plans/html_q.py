@@ -54,6 +54,20 @@ def convert_pages(spark, d):
     return html.convert(src.read(spark, d))
 
 
+@query(r"""WITH p AS (SELECT page_id, url, lang.x AS lang FROM pages, (SELECT 1) o, LATERAL (SELECT regexp_extract(html, '<html lang="([a-z]+)"', 1) AS x) lang)
+SELECT page_id, url, 'Page ' || page_id AS title, '---' || chr(10) || 'source_url: "' || url || '"' || chr(10) || 'title: "Page ' || page_id || '"' || chr(10) || '---' || chr(10) || chr(10) || '# Page ' || page_id || chr(10) || chr(10)
+  || 'In **' || lang || '**, see [its source](' || url || ').' || chr(10) || chr(10) || '- one *' || page_id || '*' || chr(10) || '- two' || chr(10) || chr(10) || '| lang | id |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | ' || page_id || ' |'
+  || chr(10) || chr(10) || '```py' || chr(10) || 'x < ' || page_id || chr(10) || '```' || chr(10) AS markdown FROM p""")
+def convert_extracted(spark, d):
+    """Content that is no whole page, made of each page's facts and converted as it is: headings, marks, lists, a table and code."""
+    i, lang = C("page_id").cast("string"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
+    x = F.concat(
+        F.lit("<h1>Page "), i, F.lit("</h1><p>In <b>"), lang, F.lit("</b>, see <a href='"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("'>its\n source</a>.<ul><li>one <em>"), i, F.lit("</em><li>two</ul><table><tr><th>lang<th>id<tr><td>"), lang,
+        F.lit("<td>"), i, F.lit("</table><pre><code class='language-py'>x &lt; "), i, F.lit("</code></pre><script>no()</script>"),
+    )
+    return html.convert_extracted(src.read(spark, d).select("page_id", "url", x.alias("html"))).drop("word_count")
+
+
 @query(rf"""WITH t AS (SELECT page_id, {h1('html')} AS title FROM pages) SELECT page_id, CAST(0 AS INT) AS pos, regexp_replace(title, '\s+', ' ', 'g') AS title,
   regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS path FROM t WHERE title <> ''""")
 def adapter_toc(spark, d):

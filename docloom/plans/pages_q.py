@@ -122,13 +122,15 @@ def links_for_page(spark, d):
     return src.links(src.read(spark, d).filter("page_id = 7")).groupBy("href").agg(F.count("*").alias("n"))
 
 
-@query(rf"""WITH p AS (SELECT page_id, {host('url')} AS host, coalesce(nullif({raw_path('url')}, ''), '/') AS p FROM pages)
-SELECT page_id, host LIKE '%.example.com' AND (regexp_full_match(p, '/[^/]*/[0-9]*') OR regexp_full_match(p, '/en/.*')) AND NOT regexp_full_match(p, '/fr/1.*') AND host = 'ththre.example.com' AS inside FROM p""")
+@query(rf"""WITH p AS (SELECT page_id, {host('url')} AS host, coalesce(nullif({raw_path('url')}, ''), '/') AS p, CASE WHEN page_id % 4 = 0 THEN 'other.example.com' WHEN page_id % 9 = 1 THEN url || '/' ELSE url END AS u FROM pages)
+SELECT page_id, page_id % 4 <> 0 AND page_id % 7 <> 2 AND (regexp_full_match(q, '/[^/]*/[^/]*') OR regexp_full_match(q, '/en/.*')) AND NOT regexp_full_match(q, '/fr/1.*') AS inside
+FROM (SELECT *, CASE WHEN page_id % 9 = 1 AND NOT contains(u, '?') AND NOT contains(u, '#') THEN p || '/' ELSE p END AS q FROM p)""")
 def crawl_scope(spark, d):
-    inside = urls.in_scope(C("url"), F.lit("ththre.example.com"), includes=["/*/*", "/en/**"], excludes=["/fr/1**"])
-    p = urls.raw_path(C("url"))
-    digits = p.rlike(r"^/[^/]*/[0-9]*$") | p.rlike("^/en/.*$")
-    return src.read(spark, d).select("page_id", (inside & digits & urls.host(C("url")).endswith(".example.com")).alias("inside"))
+    """Pages in the scope of a crawl that began at their own host, or at another; some by another scheme, some with a slash behind."""
+    u = F.when(C("page_id") % 9 == 1, F.concat("url", F.lit("/"))).otherwise(C("url"))
+    u = F.when(C("page_id") % 7 == 2, F.regexp_replace(u, "^[a-z]+:", "ftp:")).otherwise(u)
+    begun = F.when(C("page_id") % 4 == 0, F.lit("other.example.com")).otherwise(urls.host(C("url")))
+    return src.read(spark, d).select("page_id", urls.in_scope(u, begun, includes=["/*/*", "/en/**"], excludes=["/fr/1**"]).alias("inside"))
 
 
 @query(f"""WITH p AS (SELECT page_id, {raw_path('url')} AS p FROM pages) SELECT page_id, regexp_full_match(p, '/[^/]*/.5.*') AS star, regexp_full_match(p, '/.*5') AS deep FROM p""")
@@ -151,13 +153,18 @@ def private_ip(spark, d):
     return src.read(spark, d).select("page_id", urls.private_ip(_address()).alias("private"))
 
 
-@query(f"""WITH {_IP} SELECT page_id, CASE page_id % 6 WHEN 0 THEN {_PRIVATE} WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN false ELSE true END AS blocked FROM ip""")
+#: Hosts of which each page gets one: its own, its address, or one that must not be fetched.
+_HOSTS = ("", "", "localhost", "LOCALHOST", "printer.local", "db.internal", "[::1]", "local.example.org", "internal", "me.localhost")
+
+
+@query(f"""WITH {_IP}, u AS (SELECT page_id, ({list(_HOSTS)})[CAST(page_id % 10 AS INT) + 1] AS h, (['http', 'https', 'HTTPS', 'ftp', 'file', 'https', 'http'])[CAST(page_id % 7 AS INT) + 1] AS s, {_PRIVATE} AS own FROM ip)
+SELECT page_id, lower(s) NOT IN ('http', 'https') OR CASE WHEN h = '' THEN page_id % 10 = 1 AND own ELSE regexp_full_match(lower(h), 'localhost|\[::1\]|.*\.local|.*\.internal') END AS blocked FROM u""")
 def ssrf_filter(spark, d):
-    k = C("page_id") % 6
-    u = (
-        F.when(k == 0, F.concat(F.lit("https://"), _address(), F.lit("/x"))).when(k == 1, F.lit("http://localhost:8080/")).when(k == 2, F.lit("ftp://example.com/a"))
-        .when(k == 3, F.lit("https://db.internal/q")).when(k == 4, F.lit("https://docs.example.org/p")).otherwise(F.lit("http://[::1]/"))
-    )
+    """Which of many kinds of URLs must not be fetched: by scheme, name, suffix or address, with users, ports and queries around them."""
+    k = C("page_id")
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (k % len(xs)).cast("int"))
+    name = F.when(k % 10 == 0, urls.host(C("url"))).when(k % 10 == 1, _address()).otherwise(pick(_HOSTS))
+    u = F.concat(pick(["http", "https", "HTTPS", "ftp", "file", "https", "http"]), F.lit("://"), F.when(k % 3 == 0, F.lit("me:pw@")).otherwise(""), name, F.when(k % 2 == 0, F.lit(":8080")).otherwise(""), F.lit("/a?x=localhost#db.internal"))
     return src.read(spark, d).select("page_id", urls.guarded(u).alias("blocked"))
 
 
