@@ -45,10 +45,8 @@ LEAST_CHARS, LEAST_DIGITS = 6, 3
 #: A trusted pattern has such a support, and such a share of its occurrences at instances; its share of supported instances is surely above that of
 #: all other patterns, or above CHANCE where that is larger. Z is the square of the normal deviate of a 95 % interval.
 SEEDS, SPECIFIC, CHANCE, Z = 8, 0.3, 0.25, 1.96**2
-#: A pattern that could not make up one occurrence in so many of its rarer word, were it specific, is no term of its own: it is not trusted.
-TERM = 20
-#: Words by which texts are passed over before their pairs of words are built, at most; beyond it all texts give theirs.
-MOST_NAMED = 5_000
+#: Rows of a narrow table that travel to every task at most.
+FEW = 100_000
 #: Supports stand still if their sum (of logarithms) changes by no larger part.
 STILL = 1e-4
 #: Items that are folded into one array before the arrays are joined: appending to one array alone would take quadratic time.
@@ -200,29 +198,26 @@ def _sure(p: Column, n: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= 100_000 else df
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def specific(edges: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Edges of those patterns of which such a share of all occurrences stand at instances.
 
-    The words of all texts are counted first. Only terms of their own (see TERM) have their pairs of words counted, so that the pairs
-    counted are at most a fixed multiple of the runs.
+    All pairs of neighbouring words of all texts are looked at, whatever their words: as hashes of 64 bits, of which those of patterns alone are
+    counted where the patterns are few enough to travel; else all are counted, added up in each task first.
     """
+    hashed = lambda x, y: F.xxhash64(x, y)
     before = edges.groupBy("pattern").agg(F.sum("n").alias("before")).withColumn("pair", F.expr("substring(pattern, 3)"))
+    terms = cut(before.select("pattern", "before", F.split("pair", " ").alias("w")).select("pattern", "before", hashed(F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("h")), "pii-terms")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     marked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, RUN, f" {MARK} ")).otherwise(text)
     seqs = docs.select(F.split(F.concat(F.lit(f"{START} {START} "), F.lower(marked), F.lit(f" {END} {END}")), _BETWEEN).alias("w"))
-    counts = seqs.select(F.explode("w").alias("word")).groupBy("word").count()
-    asked = before.select("pattern", F.explode(F.split("pair", " ")).alias("word"))
-    rarer = counts.join(_small(asked), "word").groupBy("pattern").agg(F.min("count").alias("rarer"))  # after the counts: words meet patterns once each
-    terms = cut(before.join(rarer, "pattern").filter(F.col("before") * (TERM / SPECIFIC) >= F.col("rarer")).select("pattern", "pair", "before"), "pii-terms")
-    first = terms.select(F.substring_index("pair", " ", 1).alias("word")).distinct()
-    if first.count() <= MOST_NAMED:  # texts without any of these words need no pairs
-        seqs = seqs.filter(F.arrays_overlap("w", F.array(*[F.lit(r["word"]) for r in first.collect()]).cast("array<string>")))
-    pairs = seqs.select(F.explode(F.zip_with("w", F.slice(F.col("w"), 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))).alias("pair"))
-    total = pairs.join(_small(terms.select("pair").distinct()), "pair", "left_semi").groupBy("pair").count()
-    good = terms.join(total, "pair").filter(F.col("before") >= SPECIFIC * F.col("count")).select("pattern")
+    pairs = seqs.select(F.explode(F.zip_with("w", F.slice(F.col("w"), 2, 1 << 30), hashed)).alias("h"))
+    asked = terms.select("h").distinct()
+    few = asked.count() <= FEW
+    total = (pairs.join(F.broadcast(asked), "h", "left_semi") if few else pairs).groupBy("h").count()
+    good = terms.join(total, "h").filter(F.col("before") >= SPECIFIC * F.col("count")).select("pattern")
     return cut(edges.join(_small(cut(good, "pii-specific")), "pattern", "left_semi"), "pii-good")
 
 

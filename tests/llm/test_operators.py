@@ -149,7 +149,7 @@ def plain_contexts(texts):
                 seed[p, core] = max(seed.get((p, core), 0.0), float(met or bool(re.match(pii.SECRET, core))))
     seeds = {p: sum(seed[p, i] for i in c) for p, c in stands.items()}
     whole, all_ = sum(seeds.values()), sum(map(len, stands.values()))
-    live = {p for p, c in stands.items() if len(c) >= pii.SEEDS and n[p] * pii.TERM / pii.SPECIFIC >= min(count[w] for w in p[2:].split()) and n[p] >= pii.SPECIFIC * total[tuple(p[2:].split())]}
+    live = {p for p, c in stands.items() if len(c) >= pii.SEEDS and n[p] >= pii.SPECIFIC * total[tuple(p[2:].split())]}
     chance = {p: min(pii.CHANCE, (whole - seeds[p]) / max(1, all_ - len(stands[p]))) for p in live}
     support, last = {p: seeds[p] for p in live}, None
     while True:
@@ -207,6 +207,19 @@ def test_planted_secrets_are_found(spark, folder):
     assert not any(r["c"] for r in got if not r["p"]) and not any(r["any"] for r in got if not r["digits"] and not r["p"] and r["any"] and r["c"])
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_hidden_shapes_are_discovered(spark, monkeypatch, few):
+    """Only half of the planted tokens have the seeds' shape: the patterns that these induce find the other half, and nothing else."""
+    monkeypatch.setattr(pii, "SECRET", "^[0-7][0-9a-f]{39}$")
+    monkeypatch.setattr(pii, "FEW", few)
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    token = F.regexp_extract(F.lower("text"), 'token = "([0-9a-f]{40})"', 1)
+    got = pii.find(df).join(df, F.col("id") == F.col("doc_id")).select(token.alias("t"), F.exists("all_spans", lambda s: s["kind"] == 4).alias("c")).collect()
+    hidden = [r["c"] for r in got if r["t"] > "8"]
+    assert len(hidden) > 40 and sum(hidden) >= 0.9 * len(hidden)
+    assert sum(r["c"] for r in got if r["t"]) >= 0.95 * sum(r["c"] for r in got)  # precision
+
+
 def test_redaction_of_overlaps_and_odd_rows(spark, odd, none):
     x = "é +1 (628) 555-2987 a@b.c 4923437827071911"
     out = pii.redact(small(spark, [x, "+4923437827071911 z"])).orderBy("doc_id").collect()
