@@ -45,8 +45,8 @@ LEAST_CHARS, LEAST_DIGITS = 6, 3
 #: A trusted pattern has such a support, and such a share of its occurrences at instances; its share of supported instances is surely above that of
 #: all other patterns, or above CHANCE where that is larger. Z is the square of the normal deviate of a 95 % interval.
 SEEDS, SPECIFIC, CHANCE, Z = 8, 0.3, 0.25, 1.96**2
-#: Rows of a narrow table that travel to every task at most.
-FEW = 100_000
+#: Pairs of words that are picked out while all are read, at most.
+FEW = 20_000
 #: Supports stand still if their sum (of logarithms) changes by no larger part.
 STILL = 1e-4
 #: Items that are folded into one array before the arrays are joined: appending to one array alone would take quadratic time.
@@ -198,7 +198,7 @@ def _sure(p: Column, n: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= FEW else df
+    return F.broadcast(df) if df.count() <= 100_000 else df
 
 
 def specific(edges: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -215,8 +215,9 @@ def specific(edges: DataFrame, docs: DataFrame, text_col: str = "text") -> DataF
     seqs = docs.select(F.split(F.concat(F.lit(f"{START} {START} "), F.lower(marked), F.lit(f" {END} {END}")), _BETWEEN).alias("w"))
     pairs = seqs.select(F.explode(F.zip_with("w", F.slice(F.col("w"), 2, 1 << 30), hashed)).alias("h"))
     asked = terms.select("h").distinct()
-    few = asked.count() <= FEW
-    total = (pairs.join(F.broadcast(asked), "h", "left_semi") if few else pairs).groupBy("h").count()
+    if asked.count() <= FEW:
+        pairs = pairs.filter(F.col("h").isin([r["h"] for r in asked.collect()]))
+    total = pairs.groupBy("h").count()
     good = terms.join(total, "h").filter(F.col("before") >= SPECIFIC * F.col("count")).select("pattern")
     return cut(edges.join(_small(cut(good, "pii-specific")), "pattern", "left_semi"), "pii-good")
 
