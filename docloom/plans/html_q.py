@@ -49,7 +49,13 @@ def html_table_md(spark, d):
     return rows.select("page_id", F.regexp_replace(F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")), r"\|  \|", "| |").alias("md"))
 
 
-@query()
+#: The given pages' articles hold one h1 and paragraphs, of which some are bold up to a line break; each is a block of the Markdown.
+@query(r"""WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(x, '<p><b>([^<]*)<br>', '<p>**\1**', 'g'), '<h1>', '<p># ', 'g'), '</p>|</h1>', '', 'g'), '<p>') AS ps FROM a),
+t AS (SELECT page_id, url, replace(replace(array_to_string(list_filter(list_transform(ps, lambda p: regexp_replace(regexp_replace(regexp_replace(p, '\s+', ' ', 'g'), '^ | $', '', 'g'), ' \*\*$', '**')), lambda p: p <> ''), chr(10) || chr(10)), '&quot;', '"'), '&amp;', '&') || chr(10) AS md FROM b),
+h AS (SELECT *, regexp_extract(md, '^# ([^\n]*)', 1) AS title FROM t)
+SELECT page_id, url, title, '---' || chr(10) || 'source_url: "' || url || '"' || chr(10) || 'title: "' || replace(replace(title, '\', '\\'), '"', '\"') || '"' || chr(10) || '---' || chr(10) || chr(10) || md AS markdown,
+  CAST(len(list_filter(regexp_split_to_array(md, '\s+'), lambda w: w <> '' AND NOT (starts_with(w, '#') AND strlen(w) <= 2))) AS BIGINT) AS word_count FROM h""")
 def convert_pages(spark, d):
     return html.convert(src.read(spark, d))
 

@@ -157,7 +157,7 @@ def private_ip(spark, d):
 _HOSTS = ("", "", "localhost", "LOCALHOST", "printer.local", "db.internal", "[::1]", "local.example.org", "internal", "me.localhost")
 
 
-@query(f"""WITH {_IP}, u AS (SELECT page_id, ({list(_HOSTS)})[CAST(page_id % 10 AS INT) + 1] AS h, (['http', 'https', 'HTTPS', 'ftp', 'file', 'https', 'http'])[CAST(page_id % 7 AS INT) + 1] AS s, {_PRIVATE} AS own FROM ip)
+@query(rf"""WITH {_IP}, u AS (SELECT page_id, ({list(_HOSTS)})[CAST(page_id % 10 AS INT) + 1] AS h, (['http', 'https', 'HTTPS', 'ftp', 'file', 'https', 'http'])[CAST(page_id % 7 AS INT) + 1] AS s, {_PRIVATE} AS own FROM ip)
 SELECT page_id, lower(s) NOT IN ('http', 'https') OR CASE WHEN h = '' THEN page_id % 10 = 1 AND own ELSE regexp_full_match(lower(h), 'localhost|\[::1\]|.*\.local|.*\.internal') END AS blocked FROM u""")
 def ssrf_filter(spark, d):
     """Which of many kinds of URLs must not be fetched: by scheme, name, suffix or address, with users, ports and queries around them."""
