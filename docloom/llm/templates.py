@@ -4,7 +4,7 @@ Every page is parsed once to blocks of text and to the element subtrees that hol
 all it holds, and a frame: its place, tags and classes without its text, for menus and adverts whose words change from
 page to page. Spark counts the hashes on each host, and how much text every place of the host holds. Subtrees that recur on
 many pages of their host go. The places that hold most of the host's text, and elements that say that they are the article, are
-what a template surrounds: nothing in them goes by its count but repeated lists of links. Elements that name themselves chrome
+what a template surrounds: nothing in them goes by its count but repeated lists of links and, outside articles, repeated small containers. Elements that name themselves chrome
 (menus, forms, reader comments and the like) go on every host, as a host of few pages has no counts.
 
 Hashes of 64 bits are taken for equal content.
@@ -269,7 +269,7 @@ def kept_blocks(blocks: list[str], e: np.ndarray, template: frozenset[int], main
             holder[parent[k]] = True
             deepest[parent[k]] = False
     zone = [bool(f & _ZONE) or d for f, d in zip(flags, deepest)]
-    inside = [False] * n
+    inside, article = [False] * n, _in_zone(e).tolist()
     gone = np.zeros(len(blocks) + 1, np.int64)
     exact, frame = e[:, 0].tolist(), e[:, 1].tolist()
     for k in range(n):
@@ -283,7 +283,9 @@ def kept_blocks(blocks: list[str], e: np.ndarray, template: frozenset[int], main
         elif zone[k] or holder[k]:
             away = False
         elif inside[k]:
-            away = bool(f & _CONTAINER and f & _LINKS) and exact[k] in template
+            # Without an article of its own a page's main place may hold its foot: there what recurs goes, but for headings, paragraphs and the like, and most of the text.
+            small = f & _LINKS or not article[k] and e[k, 7] < MOST * total
+            away = bool(f & _CONTAINER and small) and exact[k] in template
         else:
             away = exact[k] in template or frame[k] in template
         if away:

@@ -70,6 +70,13 @@ def test_copies_and_repeated_passages_stay(spark):
     assert set(texts(spark, copies).values()) == {f"{same}\n\n{line}"}
 
 
+def test_foot_inside_the_main_place(spark):
+    rng = random.Random(8)
+    rows = [(k, f"http://b.net/{k}", f"<body><h1>A{k}</h1><p>{words(rng, 30)}</p><p>Said by all</p><div>All rights kept</div></body>") for k in range(9)]
+    got = texts(spark, rows)
+    assert all(x.startswith(f"A{k}\n\n") and x.endswith("Said by all") for k, x in got.items())
+
+
 @pytest.mark.parametrize("html,want", [
     ("<header>Top</header><nav>menu</nav><article><header><h1>T</h1></header><p>a<br>b &amp; c&#233;<aside>side</aside><p>d<form>f</form><footer>foot</footer></article><footer>x</footer>", "T\n\na b & cé\n\nd"),
     ('<div class="cookie-notice">ok?</div><div id="main-content"><p>one <b>two</b>\n three<script>no()</script></p><div class="share-links"><a href=x>tweet</a></div></div><section id="comments"><article class="comment">troll</article></section>', "one two three"),
