@@ -4,8 +4,9 @@
 
 Documents (doc_id, text) become rows (term, doc_id, tf, doc_len, df), folded and split as the page index is. The output is a Parquet table partitioned by
 the bucket of the term, and sorted by term inside its files, so a search reads one bucket a word, and of it the row groups that hold the
-word. The most frequent words are in a large part of all documents, so they meet their frequencies in shards of documents, and Spark splits large buckets over
-tasks and files. A run replaces the whole index; run again over the same documents it gives the same rows.
+word. Postings move once: the terms of a bucket are dealt over shards, as many as there are documents for, and a shard is counted, sorted and written by one task. A word
+has one posting a document at most, so no word is much of a shard unless documents are of few words; its rows spill where they do not fit.
+A run replaces the whole index; run again over the same documents it gives the same rows.
 """
 
 from __future__ import annotations
@@ -15,35 +16,46 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docloom.functions import text
-from jobs.common import command, logger, settings
+from jobs.common import command, held, logger, settings
 
 DEFAULTS = {"format": "parquet", "buckets": 32, "shards": 16}
 SOURCE = "doc_id long, text string"
 INDEX = "term string, doc_id long, tf long, doc_len long, df long, bucket int"
+INDEX_COLUMNS = [c.split()[0] for c in INDEX.split(", ")]
 #: Constants of the ranking function, as in the page index.
 K1, B = 1.2, 0.75
+#: Documents for which a bucket gets one more shard.
+DOCUMENTS = 250_000
 
 
 def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(term), F.lit(buckets)).cast("int")
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def shards(documents: int, most: int) -> int:
+    """Shards of a bucket, so that the work of a task stays the same however many documents there are."""
+    return min(most, 1 + documents // DOCUMENTS)
+
+
+def postings(docs: DataFrame, tasks: int) -> DataFrame:
     """term, doc_id, tf and doc_len of documents. Rows of one id are one document; rows without an id or a term are in no posting.
 
-    Texts move once, by document; words are counted and added up where their document lies.
+    Texts move once, by document; lengths are added up before, and words counted after, each word has become a row.
     """
-    d = docs.filter("doc_id is not null").select("doc_id", "text").repartition("doc_id")
-    words = d.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
-    each = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return each.select("term", "doc_id", "tf", F.sum("tf").over(Window.partitionBy("doc_id")).alias("doc_len"))
+    d = docs.filter("doc_id is not null").select("doc_id", "text").repartition(tasks, "doc_id")
+    words = d.select("doc_id", text.tokens(F.col("text")).alias("words")).withColumn("doc_len", F.sum(F.size("words")).over(Window.partitionBy("doc_id")))
+    each = words.select("doc_id", "doc_len", F.explode("words").alias("term"))
+    return each.groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "doc_len")
 
 
-def build(docs: DataFrame, s: dict) -> DataFrame:
-    """The rows of the index. Postings of a frequent word meet its document frequency in as many tasks as there are shards."""
-    p = postings(docs).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(s["shards"])).cast("int"))
-    df = p.groupBy("term").agg(F.count("*").alias("df")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(s["shards"] - 1))))
-    return p.join(df, ["term", "shard"]).withColumn("bucket", bucket(F.col("term"), s["buckets"]))
+def build(docs: DataFrame, s: dict, documents: int) -> DataFrame:
+    """The rows of the index, each task's of one shard of a bucket and in the order of terms and documents."""
+    n = shards(documents, s["shards"])
+    p = postings(docs, s["buckets"] * n).withColumn("bucket", bucket(F.col("term"), s["buckets"]))
+    p = p.withColumn("shard", F.col("bucket") * n + F.pmod(F.xxhash64("term"), F.lit(n)).cast("int")).repartitionById(s["buckets"] * n, "shard")
+    # The term comes first, as Spark compares the first key of an order by its bytes; bucket and shard are the same in all of a task.
+    same = Window.partitionBy("term", "bucket", "shard").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return p.withColumn("df", F.count("*").over(same)).select(*INDEX_COLUMNS)
 
 
 def index(spark: SparkSession, target: str) -> DataFrame:
@@ -75,10 +87,13 @@ def run(spark: SparkSession, source: str, target: str, given: dict | None = None
     """Index all documents of the source into the target and return the index."""
     s, log = settings(DEFAULTS, given), logger("document_index")
     docs = spark.read.format(s["format"]).schema(SOURCE).load(source)
-    rows = build(docs, s).drop("shard").hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(target)
-    n = index(spark, target).agg(F.count("*"), F.countDistinct("term"), F.countDistinct("bucket")).first()
-    log.info("read %d documents of %s, wrote %d postings of %d terms in %d buckets to %s", docs.count(), source, n[0], n[1], n[2], target)
+    documents = docs.count()
+    # A task holds one bucket, so it needs no order by bucket, which would undo that of terms.
+    with held(spark, spark__sql__maxConcurrentOutputFileWriters="1"):
+        build(docs, s, documents).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(target)
+    # A term has df rows, so its rows make one when each counts for 1 / df.
+    n = index(spark, target).agg(F.count("*"), F.coalesce(F.round(F.sum(1 / F.col("df"))), F.lit(0)).cast("long"), F.countDistinct("bucket")).first()
+    log.info("read %d documents of %s, wrote %d postings of %d terms in %d buckets to %s", documents, source, n[0], n[1], n[2], target)
     return index(spark, target)
 
 

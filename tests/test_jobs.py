@@ -3,6 +3,7 @@
 import json
 import logging
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,24 @@ def test_index_equals_plain_counting_and_reruns(spark, tmp_path, caplog):
     assert document_index.run(spark, str(tmp_path / "none"), str(tmp_path / "o2")).count() == 0
 
 
+def test_index_counts_words_once_and_moves_postings_once(spark, tmp_path):
+    rows = [(k, f"the word w{k} and w{k // 2} the" + (" the" * k)) for k in range(300)] + [(7, "the again"), (None, "lost")]
+    docs = spark.createDataFrame(rows, document_index.SOURCE)
+    docs.write.parquet(str(tmp_path / "in"))
+    n = document_index.DOCUMENTS
+    assert [document_index.shards(k, 16) for k in (0, n - 1, n, 3 * n, 10**9)] == [1, 1, 2, 4, 16]
+    s = {"buckets": 3, "shards": 4}
+    built = document_index.build(docs, s, 2 * n)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("Exchange") == 2 and "Join" not in plan
+    assert {tuple(r) for r in built.drop("bucket").collect()} == plain_index(rows)
+    out = str(tmp_path / "out")
+    document_index.run(spark, str(tmp_path / "in"), out, s)
+    files = [Path(f) for f in document_index.index(spark, out).inputFiles()]
+    at = [[(r["term"], r["doc_id"]) for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert len(at) == 3 and all(x == sorted(x) for x in at) and sum(map(len, at)) == len(plain_index(rows))
+
+
 def test_command_lines(spark, tmp_path):
     src, docs = str(tmp_path / "in"), str(tmp_path / "docs")
     pages(spark, [(1, "https://e.org/a", "<h1>A</h1>")]).write.orc(src)
