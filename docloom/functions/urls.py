@@ -36,11 +36,16 @@ def raw_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def normalize_url(url: Column) -> Column:
-    """Without fragment, and without one trailing slash unless that is the whole path."""
+def requested_url(url: Column) -> Column:
+    """What a server is asked for: without fragment; a trailing slash stays."""
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    full = F.concat(origin(url), rest)
+    return F.concat(origin(url), rest)
+
+
+def normalize_url(url: Column) -> Column:
+    """Without fragment, and without one trailing slash unless that is the whole path."""
+    full = requested_url(url)
     slashes = F.length(full) - F.length(F.replace(full, F.lit("/")))
     return F.when(full.endswith("/") & (slashes > 3), F.left(full, F.length(full) - 1)).otherwise(full)
 

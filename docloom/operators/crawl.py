@@ -42,15 +42,27 @@ MOST_BYTES, MOST_REDIRECTS = 10 << 20, 5
 MOST_BITS = 1 << 27
 
 
-def redirected(responses: DataFrame, most: int = MOST_REDIRECTS) -> DataFrame:
+def own_names(known: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that turns requested URLs in a column of a table into those that have a response (url): their own, else that with or without a slash behind."""
+    names = known.groupBy(urls.normalize_url(F.col("url")).alias("__key")).agg(F.min("url").alias("__least"), F.max("url").alias("__most"))
+
+    def name(df: DataFrame, c: str) -> DataFrame:
+        met = df.withColumn("__key", urls.normalize_url(F.col(c))).join(names, "__key", "left")
+        return met.withColumn(c, F.when(F.col(c) == F.col("__most"), F.col(c)).otherwise(F.coalesce("__least", c))).drop("__key", "__least", "__most")
+
+    return name
+
+
+def redirected(responses: DataFrame, most: int = MOST_REDIRECTS, names: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """url, target and hops of every response that redirects, by pointer jumping: each round doubles the hops that a row has gone.
 
     responses: url, status_code, location. A location is resolved against the URL that gives it. A target that still redirects
-    after ``most`` hops, as in a loop, has hops beyond ``most``.
+    after ``most`` hops, as in a loop, has hops beyond ``most``. Targets are normalized, or with ``names`` (see ``own_names``) kept as they are requested.
     """
     first = responses.filter(F.col("status_code").between(300, 399) & F.col("location").isNotNull())
     # Two steps, so that the resolved URL is not worked out again wherever the second one names it.
-    first = first.select("url", urls.resolve_any(F.col("url"), F.col("location")).alias("to")).select("url", urls.normalize_url(F.col("to")).alias("target")).filter("target is not null")
+    first = first.select("url", urls.resolve_any(F.col("url"), F.col("location")).alias("to")).select("url", (urls.requested_url if names else urls.normalize_url)(F.col("to")).alias("target")).filter("target is not null")
+    first = names(first, "target") if names else first
     at = cut(first.groupBy("url").agg(F.min("target").alias("target")).withColumn("hops", F.lit(1)), "redirects")
     step = 1
     while step <= most and not at.isEmpty():
@@ -60,20 +72,23 @@ def redirected(responses: DataFrame, most: int = MOST_REDIRECTS) -> DataFrame:
     return at
 
 
-def fetch_from(responses: DataFrame, most_bytes: int = MOST_BYTES, most_redirects: int = MOST_REDIRECTS) -> Callable[[DataFrame], DataFrame]:
+def fetch_from(responses: DataFrame, most_bytes: int = MOST_BYTES, most_redirects: int = MOST_REDIRECTS, slashes: bool = False) -> Callable[[DataFrame], DataFrame]:
     """A fetch over responses that are there already (url, status_code, html and location): see ``crawl``.
 
     Of several responses of a normalized URL the one of the least status, location and hash of its html counts. Every URL that is asked for gives one row: fetched, or why
-    not (``missing``: no response; ``http_error``: not 2xx; ``too_many_redirects``; ``too_large``: its html is left out).
+    not (``missing``: no response; ``http_error``: not 2xx; ``too_many_redirects``; ``too_large``: its html is left out). With ``slashes``
+    URLs are told apart by a slash behind, where both have a response.
     """
-    all_ = responses.select(urls.normalize_url(F.col("url")).alias("url"), F.col("status_code").cast("int").alias("status_code"), "location", "html").filter("url is not null")
+    all_ = responses.select((urls.requested_url if slashes else urls.normalize_url)(F.col("url")).alias("url"), F.col("status_code").cast("int").alias("status_code"), "location", "html").filter("url is not null")
     all_ = all_.withColumn("mark", F.xxhash64("html"))
     narrow = all_.select("url", "status_code", "location", F.octet_length("html").alias("size"), "mark")
     known = cut(narrow.groupBy("url").agg(F.min(F.struct("status_code", "location", "mark", "size")).alias("r")).select("url", "r.*"), "responses")
-    hops = redirected(known, most_redirects)
+    names = own_names(known) if slashes else None
+    hops = redirected(known, most_redirects, names)
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        asked = wanted.select("url").join(hops, "url", "left").withColumn("target", F.coalesce("target", "url"))
+        asked = wanted.select("url", F.col("url").alias("own"))
+        asked = (names(asked, "own") if names else asked).join(hops.withColumnRenamed("url", "own"), "own", "left").withColumn("target", F.coalesce("target", "own"))
         got = asked.join(known.select(F.col("url").alias("target"), "status_code", "size", "mark", F.lit(True).alias("there")), "target", "left")
         outcome = (
             F.when(F.coalesce("hops", F.lit(0)) > most_redirects, "too_many_redirects").when(F.col("there").isNull(), "missing").when(~F.coalesce(F.col("status_code").between(200, 299), F.lit(False)), "http_error")
@@ -93,10 +108,11 @@ def fetch_from(responses: DataFrame, most_bytes: int = MOST_BYTES, most_redirect
 def fetch_listed(wanted: DataFrame, responses: DataFrame, most_bytes: int = MOST_BYTES, most_redirects: int = 3) -> DataFrame:
     """All rows of listed pages (url and others) with outcome, status_code and html: no row is lost, whatever its fetch came to.
 
-    A URL that cannot be normalised, or must not be fetched, is ``refused``.
+    A URL that cannot be normalised, or must not be fetched, is ``refused``. A response is that of its own URL: one of the same URL but for a trailing slash
+    stands in where there is no other.
     """
-    named = wanted.withColumn("__at", F.when(~urls.guarded(F.col("url")), urls.normalize_url(F.col("url"))))
-    got = fetch_from(responses, most_bytes, most_redirects)(named.filter("__at is not null").select(F.col("__at").alias("url")).distinct())
+    named = wanted.withColumn("__at", F.when(~urls.guarded(F.col("url")), urls.requested_url(F.col("url"))))
+    got = fetch_from(responses, most_bytes, most_redirects, slashes=True)(named.filter("__at is not null").select(F.col("__at").alias("url")).distinct())
     out = named.join(got.withColumnRenamed("url", "__at"), "__at", "left").drop("__at")
     return out.withColumn("outcome", F.coalesce("outcome", F.lit("refused")))
 

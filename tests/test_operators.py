@@ -436,6 +436,17 @@ def test_listed_pages_that_fail_are_rows(spark):
     assert got == {0: ("fetched", 200, "<p>x"), 1: ("too_large", 200, None), 2: ("fetched", 200, "<p>x"), 3: ("http_error", 500, None), 4: ("missing", None, None), 5: ("refused", None, None), 6: ("refused", None, None), 7: ("fetched", 200, "<p>x"), 8: ("fetched", 200, "")}
 
 
+def test_listed_urls_get_their_own_response(spark):
+    from docloom.operators import crawl
+
+    rows = [("https://e.org/a", 404, "x", None), ("https://e.org/a/#f", 200, "y", None), ("https://e.org/b/", 200, "z", None), ("https://e.org/c", 200, "w", None), ("https://e.org/r", 301, None, "/a"), ("https://e.org/s/", 302, None, "/b#t"), ("https://e.org", 200, "o", None)]
+    responses = spark.createDataFrame(rows, "url string, status_code int, html string, location string")
+    wanted = ["https://e.org/a", "https://e.org/a/", "https://e.org/b", "https://e.org/b/", "https://e.org/c/", "https://e.org/r", "https://e.org/s", "https://e.org/", "https://e.org/d/"]
+    got = {r["url"]: (r["outcome"], r["html"]) for r in crawl.fetch_listed(spark.createDataFrame([(u,) for u in wanted], "url string"), responses).collect()}
+    want = [("http_error", None), ("fetched", "y"), ("fetched", "z"), ("fetched", "z"), ("fetched", "w"), ("http_error", None), ("fetched", "z"), ("fetched", "o"), ("missing", None)]
+    assert got == dict(zip(wanted, want))
+
+
 def test_filter_of_urls_loses_none(spark):
     keys = spark.range(500).select(F.concat(F.lit("u"), "id").alias("k"))
     table = spark.range(20000).select(F.concat(F.lit("u"), "id").alias("c"))
