@@ -274,7 +274,8 @@ def prune_pages(spark, d):
 
 @query(f"WITH {PM} SELECT kb_id, path, title, url FROM pm ORDER BY kb_id, path")
 def list_pages(spark, d):
-    return table(spark, d).select("kb_id", "path", "title", "url").orderBy("kb_id", "path")
+    """Pages of each knowledge base by path; those that share one, by url and title, so that a listing repeats."""
+    return table(spark, d).select("kb_id", "path", "title", "url").orderBy("kb_id", "path", "url", "title")
 
 
 @query(f"WITH {PM} SELECT kb_id, count(*) AS page_count, sum(content_len) AS bytes FROM pm GROUP BY kb_id ORDER BY kb_id")
